@@ -94,7 +94,7 @@ def test_noindex_comments_nest():
 def test_entities_scripts_and_broken_html():
     got = M.parse_html("<p>a &amp; b&eacute;<script>var x;</script><style>p{}</style><p>c <p>d</zzz>", Config())
     assert words(got) == ["a", "bé", "c", "d"]
-    assert "var" in words(M.parse_html("<p>a<script>var x;</script>", Config(flags={"index_script": True})))
+    assert "var" in words(M.parse_html("<p>a <script>var x;</script>", Config(flags={"index_script": True})))
 
 
 DOM = "<doc><one>red <two four='blue'>green <three>yellow</three></two></one></doc>"
