@@ -85,7 +85,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     targets = staged(source_targets(sizes, weights, demand, most), "mix-targets")
     t = targets.withColumnRenamed("source", "t_source")
     docs = rows.join(t, F.col("source").eqNullSafe(F.col("t_source")))
-    draw = F.xxhash64(F.col("doc_id"), F.coalesce("source", F.lit("")), F.lit("mix"))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("/", F.col("doc_id").cast("string"), "source").cast("binary")), 1, 15), 16, 10).cast("long")
     blocks = F.ceil(F.col("n_rows") / BLOCK_ROWS)
     docs = docs.withColumn("draw", draw).withColumn("block", F.pmod(F.shiftright("draw", 20), blocks).cast("int")).drop("t_source")
     inner = Window.partitionBy("number", "block").orderBy("draw", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import chat, gif, langid, mixing, packing, secrets, simhash, sketch, sst, suffix
 from .common import documents
@@ -32,7 +33,7 @@ def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", "position")
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("position", 6).alias("position"))
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,10 +77,34 @@ FROM j
 """
 
 
+#: The same as op6_mixing, with one window for each source where the operator adds up blocks.
+OP6_SQL = f"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_rows FROM d GROUP BY source),
+n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM s),
+w AS (SELECT *, CAST(CASE number % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight, CAST(source_size AS DOUBLE) * 2 AS cap FROM n),
+l AS (SELECT *, cap / weight AS level FROM w),
+f AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 - coalesce(sum(cap) OVER (ORDER BY level, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY level, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS own FROM l),
+t AS (SELECT *, least(cap, coalesce((SELECT own FROM f WHERE own <= level ORDER BY level, number LIMIT 1) * weight, cap)) AS target FROM f),
+x AS (SELECT d.doc_id, d.size, t.source_size, t.n_rows, t.number, t.target, CAST(round(t.target) AS BIGINT) AS words,
+  CAST('0x' || substr(md5(concat_ws('/', CAST(d.doc_id AS VARCHAR), d.source)), 1, 15) AS BIGINT) AS draw FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+b AS (SELECT *, (draw >> 20) % CAST(ceil(n_rows / {mixing.BLOCK_ROWS}.0) AS BIGINT) AS block FROM x),
+c AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY number ORDER BY block, draw, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+  CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS passes FROM b),
+g AS (SELECT *, greatest(0, least(size, words - passes * source_size - start)) AS part, CAST(start AS DOUBLE) / words AS share,
+  CASE WHEN number % 2 = 0 THEN 0.5 ELSE 1.5 END AS early, CASE WHEN number % 2 = 0 THEN 1.0 ELSE -1.0 END AS slope FROM c)
+SELECT doc_id, size, source_size, target, CAST(passes * size + part AS BIGINT) AS taken,
+  CAST(passes + CASE WHEN part > 0 AND part * 2 >= size THEN 1 ELSE 0 END AS BIGINT) AS copies,
+  CASE WHEN passes * size + part > 0 THEN round(least(1.0, greatest(0.0, (sqrt(CAST(early * early + 2 * slope * share AS DOUBLE)) - early) / slope)), 6) END AS position
+FROM g
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (op1_secrets, op2_fingerprints, op3_repeats, op4_chat, op5_gif, op6_mixing, op7_shards, op8_simhash, op9_packing, op10_language)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL}
+    return {"op4_chat": OP4_SQL, "op6_mixing": OP6_SQL}
