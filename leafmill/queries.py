@@ -117,7 +117,7 @@ def pattern_terms(spark, sf_dir):
 
 @query()
 def stemmed_terms(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").where("lang = 'en'")
+    docs = _table(spark, sf_dir, "documents")
     piece = F.array(F.struct(F.lit("d").alias("meta"), F.lit("d").alias("context"), F.col("text").alias("text")))
     rows = T.postings(docs.select(F.col("doc_id").alias("uri"), piece.alias("pieces")), stem=stemmer("english"))
     return rows.groupBy("term").agg(F.count("*").alias("n"))
@@ -233,16 +233,16 @@ def snippets(spark, sf_dir):
 _EV = "SELECT user_id AS uri, event_id AS seq, event_type AS kind FROM events"
 
 
-@query(f"WITH e AS ({_EV}), o AS (SELECT uri, max(seq) AS seq FROM e WHERE seq % 2 = 0 GROUP BY uri), n AS (SELECT uri, max(seq) AS seq FROM e WHERE seq % 3 = 0 GROUP BY uri), r AS (SELECT * FROM n UNION ALL SELECT * FROM o WHERE uri NOT IN (SELECT uri FROM n)) SELECT e.uri, e.seq, e.kind FROM r JOIN e USING (uri, seq)")
+@query(f"WITH e AS ({_EV}), o AS (SELECT uri, max(seq) AS seq FROM e WHERE kind <> 'purchase' GROUP BY uri), n AS (SELECT uri, max(seq) AS seq FROM e WHERE kind IN ('purchase', 'click') GROUP BY uri), r AS (SELECT * FROM n UNION ALL SELECT * FROM o WHERE uri NOT IN (SELECT uri FROM n)) SELECT e.uri, e.seq, e.kind FROM r JOIN e USING (uri, seq)")
 def upsert_latest(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("uri"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"))
-    return merge.upsert(merge.latest(e.where("seq % 2 = 0"), "uri", "seq"), e.where("seq % 3 = 0"), "uri", "seq")
+    return merge.upsert(merge.latest(e.where("kind <> 'purchase'"), "uri", "seq"), e.where("kind IN ('purchase', 'click')"), "uri", "seq")
 
 
-@query(f"WITH e AS ({_EV}), o AS (SELECT uri, max(seq) AS seq FROM e WHERE seq % 4 = 0 GROUP BY uri), n AS (SELECT uri, min(seq) AS seq FROM e WHERE seq % 3 = 0 GROUP BY uri), r AS (SELECT * FROM o UNION ALL SELECT * FROM n WHERE uri NOT IN (SELECT uri FROM o)) SELECT e.uri, e.seq, e.kind FROM r JOIN e USING (uri, seq)")
+@query(f"WITH e AS ({_EV}), o AS (SELECT uri, max(seq) AS seq FROM e WHERE kind = 'purchase' GROUP BY uri), n AS (SELECT uri, min(seq) AS seq FROM e WHERE kind <> 'purchase' GROUP BY uri), r AS (SELECT * FROM o UNION ALL SELECT * FROM n WHERE uri NOT IN (SELECT uri FROM o)) SELECT e.uri, e.seq, e.kind FROM r JOIN e USING (uri, seq)")
 def skip_duplicates(spark, sf_dir):
     e = _table(spark, sf_dir, "events").select(F.col("user_id").alias("uri"), F.col("event_id").alias("seq"), F.col("event_type").alias("kind"))
-    return merge.skip_known(merge.latest(e.where("seq % 4 = 0"), "uri", "seq"), e.where("seq % 3 = 0"), "uri", "seq")
+    return merge.skip_known(merge.latest(e.where("kind = 'purchase'"), "uri", "seq"), e.where("kind <> 'purchase'"), "uri", "seq")
 
 
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
@@ -256,17 +256,17 @@ def missing_uris(spark, sf_dir):
     return merge.missing(_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("uri")), keys, "uri")
 
 
-@query(f"WITH {TOK} SELECT doc_id FROM documents WHERE doc_id >= 50 AND lang = 'de' AND doc_id IN ({_HAS.format('der')} INTERSECT {_HAS.format('die')})")
+@query(f"WITH {TOK} SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) AND doc_id IN ({_HAS.format('der')} INTERSECT {_HAS.format('die')})")
 def index_round_trip(spark, sf_dir):
     """Index, add again with changes, delete, compact, search."""
     from .plans.index import Index
 
     folder = spark.conf.get("spark.checkpoint.dir", "") or tempfile.mkdtemp()
     index = Index(spark, f"{folder}/leafmill-index-{uuid.uuid4().hex}", corpus_config())
-    docs = tables.text_documents(_table(spark, sf_dir, "documents").where("lang = 'de'"), "doc_id", "text")
+    docs = tables.text_documents(_table(spark, sf_dir, "documents"), "doc_id", "text")
     index.add(docs.withColumn("content", F.lit("der die")))
     index.add(docs)
-    index.delete(docs.where("CAST(uri AS BIGINT) < 50"))
+    index.delete(_table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("uri")))
     index.compact()
     return index.tables().search("der and die").select(F.col("uri").cast("long").alias("doc_id"))
 
@@ -391,11 +391,11 @@ def ctrl_to_space(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", C.ctrl_to_space("text").alias("text"), C.is_ascii("text").alias("ascii"))
 
 
-@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(strlen(text) AS BIGINT) AS bytes, CAST(unicode(text) AS INTEGER) AS point, CAST(strlen(substr(text, 1, 1)) AS INTEGER) AS char_bytes, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(text, ''), lambda x: x <> ''))), '') AS letters, CAST(position('e' IN text) - 1 AS INTEGER) AS at, reverse(substr(text, 1, 30)) AS back FROM documents WHERE text <> ''")
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(strlen(text) AS BIGINT) AS bytes, CAST(unicode(text) AS INTEGER) AS point, CAST(strlen(substr(text, 1, 1)) AS INTEGER) AS char_bytes, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(text, ''), lambda x: x <> ''))), '') AS letters, CAST(position('e' IN text) - 1 AS INTEGER) AS at, reverse(text) AS back FROM documents WHERE text <> ''")
 def text_measures(spark, sf_dir):
     return _table(spark, sf_dir, "documents").where("text <> ''").select(
         "doc_id", C.num_chars("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), C.code_point("text").alias("point"), C.char_bytes("text").alias("char_bytes"),
-        C.sorted_chars("text").alias("letters"), C.char_index("text", "e").alias("at"), C.reverse(F.substring("text", 1, 30)).alias("back"),
+        C.sorted_chars("text").alias("letters"), C.char_index("text", "e").alias("at"), C.reverse("text").alias("back"),
     )
 
 
