@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _own_dir: str | None = None
 
 
@@ -39,11 +41,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     It cuts the lineage, so what follows survives the loss of executors
-    without a second run of an expensive stage.
+    without a second run of an expensive stage. The shuffle files behind the
+    table go when it is written.
     """
-    path = f"{shared_dir(df.sparkSession)}/leafmill-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/leafmill-{name}-{uuid.uuid4().hex}"
+    was = spark.conf.get(_CLEAN_UP)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, was)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

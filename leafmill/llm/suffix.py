@@ -31,6 +31,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -182,12 +183,15 @@ def _names(schema: str) -> list[str]:
 
 
 def _store(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """Texts, squeezed, with the places, k-gram and surroundings hashes of their anchors, as a table in the shared folder."""
+    """Texts, squeezed, with the places, k-gram and surroundings hashes of their anchors, as a table in the shared folder.
+
+    A uid is the number of the task that wrote the row, and so of its file, and the row's number in it.
+    """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     schema = "uid long, doc_id long, n_bytes long, body binary, pos array<int>, gram array<long>, reach array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, uid = zstandard.ZstdCompressor(level=3), 0
+        squeeze, uid = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
         for batch in batches:
             out = []
             for text in batch.column(1).to_pylist():
@@ -213,8 +217,11 @@ def _file_rows(path: str, columns: list[str]) -> Iterator[dict]:
             yield from batch.to_pylist()
 
 
-def _by_file(rows: DataFrame) -> DataFrame:
-    return rows.repartition(parts(rows.sparkSession), "file").sortWithinPartitions("file", "uid", "pos")
+def _by_file(rows: DataFrame, stored: DataFrame) -> DataFrame:
+    """Rows (uid, pos, ...) with their file, all of a file in one task and in order."""
+    files = stored.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.shiftrightunsigned(F.min("uid"), 32).alias("task"))
+    rows = rows.withColumn("task", F.shiftrightunsigned("uid", 32)).join(files, "task")
+    return rows.repartition(parts(rows.sparkSession), "task").sortWithinPartitions("task", "uid", "pos")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[dict]]]:
@@ -222,7 +229,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[dic
     return groupby((row for b in batches for row in b.to_pylist()), key=lambda r: r["file"])
 
 
-def _contexts(frontier: DataFrame, length: int) -> DataFrame:
+def _contexts(frontier: DataFrame, stored: DataFrame, length: int) -> DataFrame:
     """The bytes around each place, read from the stored table's files: each file goes to one task, no text is shuffled."""
     schema = "gram long, reach long, n long, m long, before binary, after binary"
     side = length - GRAM
@@ -248,7 +255,7 @@ def _contexts(frontier: DataFrame, length: int) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    return map_batches(_by_file(frontier), run, schema)
+    return map_batches(_by_file(frontier, stored), run, schema)
 
 
 _VERDICT = "gram long, reach long, before int, after int"
@@ -308,21 +315,23 @@ def _resolve_large(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(stored: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(file, uid, pos, until): byte ranges covered by repeated strings; they may overlap."""
+    """(uid, pos, until): byte ranges covered by repeated strings; they may overlap."""
     side = length - GRAM
-    places = stored.select(F.col("_metadata.file_path").alias("file"), "uid", "n_bytes", F.inline(F.arrays_zip("pos", "gram", "reach")))
-    around = places.groupBy("gram", "reach").agg(F.count("*").alias("n"), F.min(F.struct("file", "uid", "pos")).alias("at"))
-    grams = around.groupBy("gram").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("single")).where("m > 1 AND single > 0").drop("single")
-    frontier = around.join(grams, "gram").select("at.file", "at.uid", "at.pos", "gram", "reach", "n", "m")
-    contexts = staged(_contexts(frontier, length), "suffix-contexts")
-    verdicts = _resolve(contexts.where(F.col("m") <= GROUP), length)
-    large = contexts.where(F.col("m") > GROUP)
+    places = stored.select("uid", "n_bytes", F.inline(F.arrays_zip("pos", "gram", "reach")))
+    around = places.groupBy("gram", "reach").agg(F.count("*").alias("n"), F.min("uid").alias("uid"), F.min_by("pos", "uid").alias("pos"))
+    grams = around.groupBy("gram").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("single"))
+    around = around.join(grams.where("m > single OR m > 1"), "gram").where("n > 1 OR m > 1").select("gram", "reach", "n", "m", (F.col("single") > 0).alias("single"), "uid", "pos")
+    around = staged(around, "suffix-around")
+    frontier = around.where("m > 1 AND single").drop("single")
+    verdicts = _resolve(_contexts(frontier.where(F.col("m") <= GROUP), stored, length), length)
+    large = frontier.where(F.col("m") > GROUP)
     if not large.isEmpty():
-        verdicts = verdicts.unionByName(_resolve_large(large, length))
+        verdicts = verdicts.unionByName(_resolve_large(_contexts(large, stored, length), length))
     # surroundings that stand twice are repeated as far as they reach
     twice = around.where("n > 1").select("gram", "reach", F.lit(side).alias("before"), F.lit(length).alias("after"))
-    found = places.join(verdicts.unionByName(twice), ["gram", "reach"])
-    return found.select("file", "uid", F.greatest(F.lit(0), F.col("pos") - F.col("before")).cast("int").alias("pos"), F.least(F.col("n_bytes"), F.col("pos") + F.col("after")).cast("int").alias("until"))
+    verdicts = staged(verdicts.unionByName(twice), "suffix-verdicts")
+    found = places.join(verdicts, ["gram", "reach"])
+    return found.select("uid", F.greatest(F.lit(0), F.col("pos") - F.col("before")).cast("int").alias("pos"), F.least(F.col("n_bytes"), F.col("pos") + F.col("after")).cast("int").alias("until"))
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
@@ -336,8 +345,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         raise ValueError(f"length must be at least {2 * GRAM}")
     stored = _store(df, id_col, text_col, length)
     spans = staged(repeated_spans(stored, length), "suffix-spans")
-    files = stored.select(F.col("_metadata.file_path").alias("file")).distinct()
-    rows = spans.unionByName(files.select("file", F.lit(-1).cast("long").alias("uid"), F.lit(-1).alias("pos"), F.lit(-1).alias("until")))
+    # a first row for each file, so that files without a repeated string are read too
+    firsts = stored.groupBy("_metadata.file_path").agg(F.min("uid").alias("uid")).select("uid", F.lit(-1).alias("pos"), F.lit(-1).alias("until"))
+    rows = spans.unionByName(firsts)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     types = (pa.int64(),) * 4 + (pa.string(),) + (pa.binary(),) * with_text
 
@@ -354,7 +364,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 data, kept, at, removed, n_spans = unsqueeze.decompress(row["body"]), [], 0, 0, 0
                 start = end = 0
                 while pending is not None and pending["uid"] <= row["uid"]:
-                    if pending["uid"] == row["uid"]:
+                    if pending["uid"] == row["uid"] and pending["pos"] >= 0:
                         if n_spans and pending["pos"] <= end:
                             removed += max(0, pending["until"] - end)
                             end = max(end, pending["until"])
@@ -374,4 +384,4 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             if out:
                 yield batch_of(out)
 
-    return map_batches(_by_file(rows), run, schema)
+    return map_batches(_by_file(rows, stored), run, schema)
