@@ -172,8 +172,7 @@ def strip_markup(c):
 
 def snippet(text, term, width: int = 60):
     """The text around the first place of a term, with the term between asterisks; the start if it is absent."""
-    text, term = _col(text), _col(term) if isinstance(term, Column) else F.lit(term)
-    at = F.locate(term.cast("string"), F.lower(text)) if isinstance(term, str) else F.expr("0")
+    text, term = _col(text), term if isinstance(term, Column) else F.lit(term)
     at = F.call_function("locate", F.lower(term), F.lower(text))
     start = F.greatest(F.lit(1), at - width)
     n = F.char_length(term)

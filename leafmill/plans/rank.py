@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .query import Node, Phrase, Tables, Term, Wild, leaves, parse, with_limits
+from .query import Node, Op, Phrase, Tables, Term, Wild, leaves, parse, with_limits
 
 K1, B = 1.2, 0.75
 
@@ -25,8 +25,6 @@ def ranked(tables: Tables, query: str | Node | None, limits: list[str] | None =
     if not counted:
         return hits.select("uri", F.lit(0.0).alias("score"))
     # how many documents have each leaf; an OR of the leaves, so that none is left out by the query
-    from .query import Op
-
     every = counted[0] if len(counted) == 1 else Op("OR", tuple(counted))
     order = {x: i for i, x in enumerate(leaves(every))}
     df = tables.hits(every).agg(*(F.count_if(F.col(f"tf{order[x]}") > 0).alias(f"df{bit[x]}") for x in counted))

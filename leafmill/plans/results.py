@@ -100,7 +100,7 @@ def default_template(config: Config) -> str:
 def rendered(tables: Tables, page: DataFrame, template: str | None = None) -> DataFrame:
     """(uri, line): result lines; hits must have rank where the template asks for it."""
     config = tables.config
-    parts, rows, columns = parse_template(template or default_template(config)), page, []
+    parts, rows = parse_template(template or default_template(config)), page
     names = list(dict.fromkeys(n for k, n in parts if k == "value"))
     source: dict[str, Column] = {}
     for i, name in enumerate(names):

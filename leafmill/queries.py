@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .config import DATE, INT, Config, Property
+from .config import DATE, INT, Config
 from .functions import columns as C
 from .operators import analyze as A
 from .operators import tokens as T
@@ -372,9 +372,6 @@ def stream_totals(spark, sf_dir):
 
 # ---- scalar functions
 
-_FLAG = "CASE WHEN props IS NULL THEN false ELSE regexp_matches(props, '^[yY1]') OR props IN ('on', 'ON') END"
-
-
 @query("SELECT o_orderkey AS id, regexp_matches(o_orderpriority, '^[yY1]') OR o_orderpriority IN ('on', 'ON') AS flag, CASE WHEN regexp_matches(o_orderpriority, '^\\s*[+-]?[0-9]+') THEN CAST(regexp_extract(o_orderpriority, '^\\s*([+-]?[0-9]+)', 1) AS INTEGER) ELSE 0 END AS n, printf('%f', o_totalprice) AS d FROM orders")
 def conversions(spark, sf_dir):
     return _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), C.string_to_bool("o_orderpriority").alias("flag"), C.string_to_int("o_orderpriority").alias("n"), C.double_to_string("o_totalprice").alias("d"))

@@ -52,7 +52,6 @@ def random_documents(spark: SparkSession, n: int, vocabulary: list[str], low: in
         w = F.get(words, F.pmod(F.xxhash64("id", i, F.lit(seed + 1)), F.lit(len(vocabulary))).cast("int"))
         if not shift_every:
             return w
-        moved = F.array_join(F.transform(F.split(w, ""), lambda c: F.when(c != "", F.char(F.lit(63)))), "")
         moved = F.translate(w, "".join(map(chr, range(97, 123))), "".join(chr(c + shift) for c in range(97, 123)))
         return F.when(i % shift_every == shift_every - 1, moved).otherwise(w)
 
