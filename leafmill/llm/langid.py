@@ -17,7 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,6 +36,8 @@ MAX_LANGS = 256
 ORDER = 4
 #: Words kept by a worker.
 CACHE_WORDS = 300_000
+#: Words scored at a time.
+BLOCK_WORDS = 20_000
 #: Bits above the worst of REJECT_QUANTILE of the calibration documents that are still accepted.
 REJECT_QUANTILE, SLACK_BITS, SHORT_BITS = 0.995, 0.75, 12.0
 UND = "und"
@@ -144,70 +146,123 @@ def fit(lang: str, word_counts: Counter) -> Model:
 
 
 class Scorer:
-    """Sums of log2 probabilities of words under all models, kept by word."""
+    """Cross-entropies of texts under all models. Scores of words are kept; new words of many texts are scored at once."""
 
     def __init__(self, models: list[Model]):
         self.models = models
-        self.known: dict[str, np.ndarray] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        for i in range(0, len(words), 20_000):
-            block = words[i : i + 20_000]
+        n = max(1, len(models))
+        self.most = max(10_000, min(CACHE_WORDS, (1 << 24) // n))
+        self.index: dict[str, int] = {}
+        self.table, self.sizes = np.zeros((0, n)), np.zeros(0)
+        # one sorted array for all languages: an n-gram is looked up once
+        self.grams = [_joint([m.grams[k] for m in models], [m.share[k] for m in models], 0.0) for k in range(ORDER)]
+        self.contexts = [_joint([m.contexts[k] for m in models], [m.lower[k] for m in models], 1.0) for k in range(ORDER)]
+        self.base = np.array([m.base for m in models])
+        self.first = np.array([m.lower[0][0] if len(m.lower[0]) else 1.0 for m in models])
+
+    def _scores(self, words: list[str]) -> np.ndarray:
+        """Sums of log2 probabilities of words, by word and model."""
+        out = []
+        for i in range(0, len(words), BLOCK_WORDS):
+            block = words[i : i + BLOCK_WORDS]
             codes, owner = _codes(block)
             hashes = [np.zeros(0, np.uint64)] + [_hashes(codes, n) for n in range(1, ORDER + 1)]
-            lead = np.ones(len(codes), bool)
             at = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
+            lead = np.ones(len(codes), bool)
             for j in range(ORDER - 1):
                 lead[at + j] = False
-            sums = np.stack([np.bincount(owner, np.where(lead, m.log2(codes, hashes), 0.0), len(block)) for m in self.models], 1)
-            self.known.update(zip(block, sums, strict=True))
-
-    def entropies(self, text: str) -> tuple[np.ndarray, int]:
-        """Cross-entropy in bits a character under each model, and the characters counted."""
-        counts = Counter(words_of(text))
-        n = sum((len(w) + 1) * c for w, c in counts.items())
-        if not n:
-            return np.zeros(len(self.models)), 0
-        new = [w for w in counts if w not in self.known]
-        if new:
-            if len(counts) > CACHE_WORDS // 2:  # a text of its own size is summed in parts
-                return self._in_parts(counts), n
-            self._learn(new)
-            if any(w not in self.known for w in counts):  # the store was emptied
-                self._learn([w for w in counts if w not in self.known])
-        rows = np.array([self.known[w] for w in counts])
-        return -(np.fromiter(counts.values(), np.float64, len(counts)) @ rows) / n, n
-
-    def _in_parts(self, counts: Counter) -> np.ndarray:
-        words, total, n = list(counts), np.zeros(len(self.models)), 0
-        for i in range(0, len(words), 20_000):
-            block = words[i : i + 20_000]
-            self._learn([w for w in block if w not in self.known])
-            total += sum(counts[w] * self.known[w] for w in block if w in self.known)
-            n += sum((len(w) + 1) * counts[w] for w in block)
-        return -total / n
-
-    def predict(self, text: str | None) -> tuple[str, float, float | None, bool]:
-        """(language, score, bits a character, rejected)."""
-        if not text or not self.models:
-            return UND, 0.0, None, True
-        bits, n = self.entropies(text)
-        if not n:
-            return UND, 0.0, None, True
-        best = int(bits.argmin())
-        gap = np.exp2(-(bits - bits[best]) * min(n, 40))
-        over = bits[best] - SHORT_BITS / math.sqrt(n) > self.models[best].limit
-        return self.models[best].lang, float(1 / gap.sum()), float(bits[best]), bool(over)
+            lead = np.flatnonzero(lead)
+            p = np.broadcast_to(self.base, (len(lead), len(self.models)))
+            for n in range(1, ORDER + 1):
+                alpha = _rows(*self.grams[n - 1], hashes[n][lead])
+                gamma = self.first if n == 1 else _rows(*self.contexts[n - 1], hashes[n - 1][lead - 1])
+                p = alpha + gamma * p
+            ends = np.searchsorted(owner[lead], np.arange(len(block)))
+            out.append(np.add.reduceat(np.log2(p), ends, axis=0))
+        return np.concatenate(out)
+
+    def _learn(self, words: list[str]) -> None:
+        n = len(self.index)
+        if n + len(words) > len(self.table):
+            room = max(2 * len(self.table), n + len(words), 4096)
+            self.table, self.sizes = np.resize(self.table, (room, self.table.shape[1])), np.resize(self.sizes, room)
+        self.table[n : n + len(words)] = self._scores(words)
+        self.sizes[n : n + len(words)] = [len(w) + 1 for w in words]
+        self.index.update(zip(words, range(n, n + len(words)), strict=True))
+
+    def entropies(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, int]]:
+        """For each text, bits a character under each model and the characters counted."""
+        held: list[Counter] = []
+        new: dict[str, None] = {}
+
+        def flush() -> Iterator[tuple[np.ndarray, int]]:
+            words = list(new)
+            if len(self.index) + len(words) > self.most:
+                self.index.clear()
+                words = list(dict.fromkeys(w for c in held for w in c))
+            if words:
+                self._learn(words)
+            for c in held:
+                at = np.fromiter(map(self.index.__getitem__, c), np.intp, len(c))
+                times = np.fromiter(c.values(), np.float64, len(c))
+                n = int(times @ self.sizes[at])
+                yield (-(times @ self.table[at]) / n if n else np.zeros(len(self.models))), n
+            held.clear()
+            new.clear()
+
+        for text in texts:
+            c = Counter(words_of(text)) if text else Counter()
+            fresh = [w for w in c if w not in self.index and w not in new]
+            if held and len(new) + len(fresh) > BLOCK_WORDS:
+                yield from flush()
+                fresh = [w for w in c if w not in self.index]
+            if len(c) > self.most // 2:  # a text with more words than are kept is scored by itself
+                yield from flush()
+                words, times = list(c), np.fromiter(c.values(), np.float64, len(c))
+                n = int(times @ np.array([len(w) + 1 for w in words]))
+                bits = sum(times[i : i + BLOCK_WORDS] @ self._scores(words[i : i + BLOCK_WORDS]) for i in range(0, len(words), BLOCK_WORDS))
+                yield -bits / n, n
+                continue
+            held.append(c)
+            new.update(dict.fromkeys(fresh))
+        yield from flush()
+
+    def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float, float | None, bool]]:
+        """For each text (language, score, bits a character, rejected)."""
+        if not self.models:
+            yield from ((UND, 0.0, None, True) for _ in texts)
+            return
+        for bits, n in self.entropies(texts):
+            if not n:
+                yield UND, 0.0, None, True
+                continue
+            best = int(bits.argmin())
+            gap = np.exp2(-(bits - bits[best]) * min(n, 40))
+            over = bits[best] - SHORT_BITS / math.sqrt(n) > self.models[best].limit
+            yield self.models[best].lang, float(1 / gap.sum()), float(bits[best]), bool(over)
+
+
+def _joint(keys: list[np.ndarray], values: list[np.ndarray], missing: float) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys of all languages and a row of values for each; a last row for keys that are not there."""
+    every = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+    rows = np.full((len(every) + 1, max(1, len(keys))), missing)
+    for i, (k, v) in enumerate(zip(keys, values, strict=True)):
+        rows[np.searchsorted(every, k), i] = v
+    return every, rows
+
+
+def _rows(keys: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    if not len(keys):
+        return rows[np.zeros(len(wanted), np.intp)]
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return rows[np.where(keys[at] == wanted, at, len(keys))]
 
 
 def calibrate(models: list[Model], held: list[tuple[str, str]]) -> None:
     """Set each model's limit of bits a character from documents it was not fitted on."""
     scorer = Scorer(models)
     seen: dict[str, list[float]] = {}
-    for lang, text in held:
-        bits, n = scorer.entropies(text)
+    for (lang, _), (bits, n) in zip(held, scorer.entropies(t for _, t in held), strict=True):
         if n:
             k = [m.lang for m in models].index(lang)
             seen.setdefault(lang, []).append(float(bits[k]) - SHORT_BITS / math.sqrt(n))
@@ -272,7 +327,7 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(shared.value)
         for batch in batches:
-            out = [scorer.predict(t) for t in batch.column(1).to_pylist()]
+            out = list(scorer.predict(batch.column(1).to_pylist()))
             cols = list(zip(*out, strict=True)) or [()] * 4
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), *(pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.float64(), pa.bool_()), strict=True))],
@@ -293,6 +348,6 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def accepted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)
         for texts in batches:
-            yield texts.map(lambda t: not scorer.predict(t)[3]).astype(bool)
+            yield pd.Series([not p[3] for p in scorer.predict(texts.tolist())], dtype=bool)
 
     return docs.where(accepted(F.col(text_col)))

@@ -38,7 +38,7 @@ def test_stages(spark, tmp_path, encode):  # noqa: F811
     # a document stays if its entropy under plain models is within the limit
     models = langid.train(spark.createDataFrame(data, schema), ~langid.held_out(F.col("doc_id")))
     scorer = langid.Scorer(models)
-    stay = [d for d in data if not scorer.predict(d[1])[3]]
+    stay = [d for d, p in zip(data, scorer.predict([d[1] for d in data]), strict=True) if not p[3]]
     assert sorted(r["doc_id"] for r in language) == sorted(d[0] for d in stay) and 140 < len(stay) < len(data)
     assert all(d[1] and any(c.isalpha() for c in d[1]) for d in stay)
 
