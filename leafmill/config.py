@@ -125,9 +125,12 @@ class Config:
         found = self.properties[name]
         return found.alias_for or name
 
+    def _free_meta_id(self) -> int:
+        return max([_FIRST_META - 1, *(m.id for m in self.metanames.values())]) + 1
+
     def add_meta(self, name: str, **values) -> MetaName:
         """A new metaname with the next free id."""
-        new = MetaName(name, max([_FIRST_META - 1, *(m.id for m in self.metanames.values())]) + 1, **values)
+        new = MetaName(name, self._free_meta_id(), **values)
         self.metanames[name] = new
         return new
 
@@ -195,7 +198,9 @@ class Config:
             elif k == "id":
                 values["id"] = to_int(v)
                 other = next((m.name for m in self.metanames.values() if m.id == values["id"] and m.name != name), None)
-                if other:
+                if other in (self.default_meta, self.title_meta):
+                    self.metanames[other].id = self._free_meta_id()
+                elif other:
                     raise ConfigError(f"id {v} of {name} belongs to {other}")
             elif k == "alias_for":
                 values["alias_for"] = v.lower()

@@ -200,7 +200,9 @@ def test_config_sections(tmp_path):
     (tmp_path / "a.xml").write_text("<c><IncludeConfigFile>b.xml</IncludeConfigFile></c>")
     (tmp_path / "b.xml").write_text("<c><MetaNames><inc/></MetaNames></c>")
     assert "inc" in Config.read(str(tmp_path / "a.xml")).metanames
-    assert validate("<c/>") and not validate("<c>") and not validate("<c><MetaNames><a id='1'/></MetaNames></c>")
+    assert validate("<c/>") and not validate("<c>") and not validate("<c><MetaNames><a id='8'/><b id='8'/></MetaNames></c>")
+    own = config("<MetaNames><a id='1'/></MetaNames>")
+    assert own.metanames["a"].id == 1 and own.metanames["leaftitle"].id not in (0, 1)
 
 
 def test_config_merge_and_errors():
