@@ -186,7 +186,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     found = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_stay")).agg(F.count("*").alias("_rows"))
     found = staged(found, "simhash-stay")
-    stay = docs.join(found, F.col(id_col) == F.col("_stay"))
+    # the ids that stay grow with the documents: never broadcast, whatever their size is now
+    stay = docs.join(found.hint("merge"), F.col(id_col) == F.col("_stay"))
     once = stay.where(F.col("_rows") == 1)
     if not found.where("_rows > 1").isEmpty():
         once = once.unionByName(stay.where(F.col("_rows") > 1).dropDuplicates([id_col]))
