@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import dropped, staged
 
 
 def _stars(edges: DataFrame, least: DataFrame) -> DataFrame:
@@ -40,6 +40,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = _stars(large, least).select(F.explode(F.array(F.struct("v", "m"), F.struct(F.col("u").alias("v"), "m"))).alias("x"))
         nxt = staged(small.select(F.col("x.v").alias("u"), F.col("x.m").alias("v")).where("u <> v").distinct(), "edges")
         new = _mark(nxt)
+        dropped(e)
         e = nxt
         if new == mark:
             break
