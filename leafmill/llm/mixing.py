@@ -24,7 +24,7 @@ WEIGHTS = (3.0, 1.0, 2.0)
 DEMAND = 1.5
 MOST = 2.0
 #: Rows of a source that one window sorts.
-BLOCK_ROWS = 20_000
+BLOCK_ROWS = 4_000
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 
