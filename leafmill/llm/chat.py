@@ -165,27 +165,30 @@ def link(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     identifier is linked to nothing.
     """
     rows = staged(messages.withColumn("uid", F.monotonically_increasing_id()), "chat")
-    calls = rows.where("kind = 'call' AND call_id IS NOT NULL AND conv_id IS NOT NULL")
-    firsts = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "part", "uid")).alias("f"), F.first("name").alias("c_name"))
-    firsts = firsts.select("conv_id", "call_id", F.col("f.uid").alias("call_uid"), F.col("f.turn").alias("call_turn"))
-    results = rows.where("kind = 'result'").groupBy("conv_id", "call_id").agg(F.min("turn").alias("result_turn"))
-    out = rows.join(firsts, ["conv_id", "call_id"], "left").join(results, ["conv_id", "call_id"], "left")
+    # identifiers only; texts and arguments are joined to the outcome once, at the end
+    slim = rows.select("uid", "conv_id", "turn", "part", "kind", "call_id", "refs")
+    results = slim.where("kind = 'result'")
+    calls = slim.where("kind = 'call' AND call_id IS NOT NULL AND conv_id IS NOT NULL")
+    firsts = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "part", "uid")).alias("f")).select("conv_id", "call_id", F.col("f.uid").alias("call_uid"))
+    answered = results.groupBy("conv_id", "call_id").agg(F.count("*").alias("answers"))
+    out = slim.join(firsts, ["conv_id", "call_id"], "left").join(answered, ["conv_id", "call_id"], "left")
     status = (
         F.when(F.col("kind") == "message", "message")
         .when(F.col("kind") == "result", F.when(F.col("call_uid").isNull(), "orphan").otherwise("linked"))
         .when(F.col("call_uid") != F.col("uid"), "repeated")
-        .when(F.col("result_turn").isNull(), "open")
+        .when(F.col("answers").isNull(), "open")
         .otherwise("linked")
     )
-    out = out.withColumn("status", status)
+    out = out.select("uid", status.alias("status"))
     # what must come before: a result's call, a call's referred results
-    after_call = rows.where("kind = 'result'").join(firsts, ["conv_id", "call_id"]).select("uid", F.col("call_uid").alias("before"))
-    refs = rows.where("kind = 'call'").select("uid", "conv_id", F.explode("refs").alias("call_id"))
-    after_result = refs.join(rows.where("kind = 'result'").select("conv_id", "call_id", F.col("uid").alias("before")), ["conv_id", "call_id"]).select("uid", "before")
-    order, cyclic = _order(rows.select("uid", F.coalesce("turn", F.lit(-1)).alias("place")), staged(after_call.unionByName(after_result), "chat-edges"))
+    after_call = results.join(firsts, ["conv_id", "call_id"]).select("uid", F.col("call_uid").alias("before"))
+    refs = slim.where("kind = 'call'").select("uid", "conv_id", F.explode("refs").alias("call_id"))
+    after_result = refs.join(results.select("conv_id", "call_id", F.col("uid").alias("before")), ["conv_id", "call_id"]).select("uid", "before")
+    order, cyclic = _order(slim.select("uid", F.coalesce("turn", F.lit(-1)).alias("place")), staged(after_call.unionByName(after_result), "chat-edges"))
     out = out.join(order, "uid", "left")
     if cyclic is not None:
         out = out.join(cyclic.withColumn("loops", F.lit(True)), "uid", "left").withColumn("status", F.when(F.col("loops"), "cyclic").otherwise(F.col("status"))).drop("loops")
+    out = rows.drop("refs").join(out, "uid")
     out = out.select("conv_id", "turn", "part", "role", "text", "kind", "call_id", "name", "arguments", "status", F.coalesce("place", "turn").alias("place"), F.coalesce("level", F.lit(0)).alias("level"))
     return _serialise(out, schemas)
 
