@@ -18,6 +18,8 @@ from .common import parts
 
 K = 128
 WORDS = 5
+#: Ranges of ids for each partition of a shuffle, so that partitions come out even.
+BUCKETS = 4
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -101,7 +103,7 @@ def in_order_with_next(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     the same bucket. After the last document comes the first.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    n = parts(df.sparkSession)
+    n = BUCKETS * parts(df.sparkSession)
     at = F.percentile_approx("doc_id", [i / n for i in range(1, n)] if n > 1 else [0.5], max(10_000, 10 * n))
     first = rows.agg(at.alias("at"), F.min("doc_id").alias("low"), F.count_if(F.col("doc_id").isNull()).alias("nulls")).first()
     low = None if first["nulls"] else first["low"]
@@ -131,7 +133,8 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k
     rows = in_order_with_next(df, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     # rows that are not its own close a bucket; the first of them by text is the one that follows
     order = Window.partitionBy("bucket").orderBy(F.col("own").desc(), F.col("doc_id").asc_nulls_first(), "text")
-    rows = rows.withColumn("sk", sketch(F.col("text"), k))
+    # texts are dealt out first, so that their sketches need not be
+    rows = rows.repartition(parts(df.sparkSession), "bucket").withColumn("sk", sketch(F.col("text"), k))
     rows = rows.withColumns({"next_text": F.lead("text").over(order), "next_sk": F.lead("sk").over(order)}).where("own")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
