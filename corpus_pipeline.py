@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafmill.llm import langid, mixing, packing, secrets, simhash
 from leafmill.llm.common import shared_dir
@@ -26,13 +27,16 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the mix takes them."""
+    """Documents come as often as the mix takes them, in files sorted by training position."""
     return mixing.apply_mix(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents' token ids in sequences."""
-    return packing.pack(docs)
+    """Pieces of the documents' token ids in sequences, whose ids follow the order of the files."""
+    file, row = F.col("_metadata.file_name"), F.col("_metadata.row_index")
+    # readers take the largest files first, so the order is taken up again
+    part = F.regexp_extract(file, r"part-(\d+)", 1).try_cast("long")
+    return packing.pack(docs.orderBy(part, file, row))
 
 
 STAGES = [("language_id", language), ("simhash", near_duplicates), ("secrets", secret_scan), ("mixing", mix), ("packing", pack)]

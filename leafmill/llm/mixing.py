@@ -4,8 +4,8 @@ Targets fill like water: every source gets its weight's share of the demand,
 no source more than `most` times its size, and what is above is shared anew by
 weight. A source's documents stand in a fixed pseudo-random order, repeated as
 often as its target asks. Each source has a weight schedule over training
-time; its integral gives the cumulative demand, whose inverse gives each
-document's training position, and documents are range-sorted by it.
+time; its integral gives the cumulative demand, whose inverse gives each copy
+of a document its training position, and copies are range-sorted by it.
 
 Cumulative sizes within a source come from sums over blocks of its order, so
 that a source with most of the rows is spread over many tasks.
@@ -67,20 +67,28 @@ def inverse_demand(share: Column, early: Column, late: Column) -> Column:
 
 
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = WEIGHTS, demand: float = DEMAND, most: float = MOST) -> DataFrame:
-    """One row per document: doc_id, size, source, source_size, target, taken, copies, position.
+    """One row per document: doc_id, size, source, source_size, target, taken, copies, position, positions.
 
     `taken` counts the words the mix takes, repeats included: whole passes over
     the source, then documents in its order up to the target, the last of them
     in part. `copies` is the same in whole documents, the last one included if
-    at least half of it is taken. `position` is the training time in [0, 1] of
-    the first copy, null if there is none. Even sources go from 0.5 to 1.5 of
-    their mean weight over time, odd ones the other way.
+    at least half of it is taken. `positions` has the training time in [0, 1]
+    of each copy, one taken in part included; a second pass stands behind the
+    first in its source's demand. `position` is that of the first copy, null if
+    no word is taken. Even sources go from 0.5 to 1.5 of their mean weight over
+    time, odd ones the other way.
 
     Null texts have size 0 and take nothing; a null source is a source of its
     own, in last place; repeated rows are documents each. The order depends on
     ids, sources and sizes only, so reruns agree.
     """
-    rows = staged(df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "mix")
+    out = _planned(df, id_col, text_col, source_col, weights, demand, most).drop("digest")
+    return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+
+
+def _planned(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float] = WEIGHTS, demand: float = DEMAND, most: float = MOST) -> DataFrame:
+    """The rows of mix() in no order, each with its text's digest."""
+    rows = staged(df.select(*_key(id_col, source_col, text_col), word_count(F.col(text_col)).alias("size")), "mix")
     sizes = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n_rows"))
     targets = staged(source_targets(sizes, weights, demand, most), "mix-targets")
     t = targets.withColumnRenamed("source", "t_source")
@@ -99,21 +107,39 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rest = F.col("words") - passes * F.col("source_size")
     part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("start")))
     docs = docs.withColumns({"passes": passes.cast("long"), "part": part.cast("long")})
-    share = F.when(F.col("words") > 0, F.col("start") / F.col("words"))
     even = F.col("number") % 2 == 0
-    at = inverse_demand(share, F.when(even, 0.5).otherwise(1.5), F.when(even, 1.5).otherwise(0.5))
+
+    def at(n: Column) -> Column:
+        share = (n * F.col("source_size") + F.col("start")) / F.col("words")
+        return inverse_demand(share, F.when(even, 0.5).otherwise(1.5), F.when(even, 1.5).otherwise(0.5))
+
     taken = F.col("passes") * F.col("size") + F.col("part")
     copies = F.col("passes") + ((F.col("part") > 0) & (F.col("part") * 2 >= F.col("size"))).cast("long")
-    out = docs.select("doc_id", "size", "source", "source_size", "target", taken.alias("taken"), copies.alias("copies"), F.when(taken > 0, at).alias("position"))
-    return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
+    times = F.col("passes") + (F.col("part") > 0).cast("long")
+    positions = F.when(times > 0, F.transform(F.sequence(F.lit(0).cast("long"), times - 1), at)).otherwise(F.array().cast("array<double>"))
+    return docs.select(
+        "doc_id", "size", "source", "source_size", "target", taken.alias("taken"), copies.alias("copies"),
+        F.when(taken > 0, at(F.lit(0))).alias("position"), positions.alias("positions"), "digest",
+    )
+
+
+def _key(id_col: str, source_col: str, text_col: str) -> tuple[Column, ...]:
+    """What tells documents apart; rows alike in it can stand for each other in a mix."""
+    return F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("digest")
 
 
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The documents as often as the mix takes them, whole; all columns stay.
+    """A row for each whole copy the mix takes, range-sorted by training position; all columns stay.
 
-    Documents the mix does not take are left out, those taken twice come twice.
-    Repeated ids are summed: they are taken alike.
+    Documents the mix does not take are left out, those taken twice come twice,
+    each copy at its own place. Repeated ids are documents each.
     """
-    plan = mix(docs, id_col, text_col, source_col).groupBy(F.col("doc_id").alias("_mix_id")).agg(F.max("copies").cast("int").alias("_copies")).where("_copies > 0")
-    out = docs.join(plan, F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_mix_id", "_copies", "_copy")
+    plan = _planned(docs, id_col, text_col, source_col).where("copies > 0")
+    plan = plan.select(F.struct("doc_id", "source", "digest").alias("_key"), F.slice("positions", F.lit(1), F.col("copies").cast("int")).alias("_at"))
+    plan = plan.groupBy("_key").agg(F.array_sort(F.collect_list("_at")).alias("_all"))
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    numbered = docs.select("*", F.struct(*_key(id_col, source_col, text_col)).alias("_key"))
+    numbered = numbered.withColumn("_number", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
+    # the plan grows with the documents: never broadcast, whatever its size is now
+    out = numbered.join(plan.hint("merge"), "_key").select(*names, F.explode(F.get("_all", F.col("_number") - 1)).alias("_position"))
+    return out.orderBy("_position", id_col).drop("_position")

@@ -349,6 +349,33 @@ def test_blocks_of_a_source(docs, monkeypatch):
         assert all(abs(n - t) <= 1 for (_, t), n in taken.items())
 
 
+def test_every_copy_has_its_position(spark, tmp_path):
+    data = [(i, f"w{i} " * 10, "abc"[i % 3] if i < 60 else "d") for i in range(600)] + [(5, "again " * 10, "c"), (None, "none " * 10, "a"), (None, "none " * 10, "a")]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    plan = rows(mixing.mix(df))
+    by = defaultdict(list)
+    for r in plan:
+        assert len(r["positions"]) == -(-r["taken"] // r["size"]) and r["positions"] == sorted(r["positions"])
+        assert r["position"] == (r["positions"][0] if r["taken"] else None)
+        by[r["source"]] += r["positions"]
+    twice = [r for r in plan if r["taken"] == 2 * r["size"]]
+    # a rising weight meets half of its demand at (sqrt(5) - 1) / 2, a falling one as early as 1 less that
+    half = {"a": (5 ** 0.5 - 1) / 2, "b": 1.5 - 1.25 ** 0.5}
+    assert {r["source"] for r in twice} >= {"a"}
+    for r in twice:
+        if r["source"] in half:
+            assert r["positions"][0] < half[r["source"]] <= r["positions"][1] + 1e-9
+    for at in by.values():
+        assert min(at) == 0 and max(at) > 0.9
+    mixed = mixing.apply_mix(df)
+    mixed.write.parquet(str(tmp_path / "mixed"))
+    want = sorted((p, -1 if r["doc_id"] is None else r["doc_id"]) for r in plan for p in r["positions"][: r["copies"]])
+    files = sorted((tmp_path / "mixed").glob("part-*.parquet"))
+    got = [r for f in files for r in rows(spark.read.parquet(str(f)))]
+    assert [d for _, d in want] == [r["doc_id"] if r["doc_id"] is not None else -1 for r in got]
+    assert Counter(r["text"] for r in got if r["doc_id"] == 5).keys() <= {"w5 " * 10, "again " * 10}
+
+
 # ---- tokens, shards, packing
 
 @pytest.fixture(scope="module")
