@@ -9,13 +9,12 @@ needs another's rows. What stands in unfilled bins at a worker's end is laid
 out anew, cut at sequence ends, and its last sequence is cut to powers of two,
 so that it needs no padding either.
 
-A worker holds the ids' checksums and lengths of unfilled bins only: at most
-one bin for each class, of which there are at most 2 * sqrt(capacity).
+A worker holds the ids of unfilled bins only: at most one bin for each class,
+of which there are at most 2 * sqrt(capacity).
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,7 +32,11 @@ END_ID = 1
 #: Sequence ids of a worker start at its number times this.
 WORKER_STEP = 1 << 36
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
+TYPES = [pa.binary() if x.endswith(" binary") else pa.int64() for x in SCHEMA.split(", ")]
+#: Rows and bytes of ids in one Arrow batch that a worker returns.
+OUT_ROWS = 20_000
+OUT_BYTES = 8 << 20
 
 
 def cut(total: int, capacity: int = CAPACITY, tail: int = TAIL) -> list[int]:
@@ -60,7 +63,7 @@ class Packer:
         self.next_id += 1
         for doc, start, ids, total in pieces:
             n = len(ids) // 4
-            yield doc, start, n, zlib.crc32(ids), total, seq, at
+            yield doc, start, n, ids, total, seq, at
             at += n
 
     def place(self, doc, start: int, ids: bytes, total: int) -> Iterator[tuple]:
@@ -90,7 +93,11 @@ class Packer:
 
 
 def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece. A null text is empty and still has its end id.
+    """One row per piece: its token ids, where it stands in its document and in its sequence, and their CRC-32.
+
+    `ids` are unsigned 32-bit numbers, least byte first. A sequence is the ids
+    of its pieces in the order of `offset`. A null text is empty and still has
+    its end id.
 
     Repeated rows are packed each; an empty table gives no row. The capacity
     must be a power of two.
@@ -106,21 +113,27 @@ def pack(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenize
         names = [x.split()[0] for x in SCHEMA.split(", ")]
 
         def batch_of(out: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=names)
-
-        out: list[tuple] = []
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids, start = encode(text) + end, 0
-                total = len(ids) // 4
-                for n in cut(total, capacity):
-                    out += packer.place(doc, start, ids[4 * start : 4 * (start + n)], total)
-                    start += n
-            if out:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), TYPES, strict=True)], names=names)
+
+        def placed() -> Iterator[tuple]:
+            for batch in batches:
+                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    ids, start = encode(text) + end, 0
+                    total = len(ids) // 4
+                    for n in cut(total, capacity):
+                        yield from packer.place(doc, start, ids[4 * start : 4 * (start + n)], total)
+                        start += n
+            yield from packer.finish()
+
+        out, held = [], 0
+        for row in placed():
+            out.append(row)
+            held += len(row[3])
+            if held >= OUT_BYTES or len(out) >= OUT_ROWS:
                 yield batch_of(out)
-                out = []
-        out += packer.finish()
+                out, held = [], 0
         if out:
             yield batch_of(out)
 
-    return map_batches(rows, run, SCHEMA)
+    packed = map_batches(rows, run, SCHEMA)
+    return packed.select("doc_id", "start", "length", "ids", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

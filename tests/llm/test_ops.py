@@ -458,6 +458,18 @@ def test_packing(docs, empty, encode):
     assert rows(packing.pack(empty)) == []
 
 
+def test_packed_ids_give_the_texts_back(docs, encode):
+    by = defaultdict(list)
+    for r in rows(packing.pack(docs)):
+        ids = np.frombuffer(r["ids"], "<u4").tolist()
+        assert len(ids) == r["length"] and crc(ids) == r["ids_crc32"]
+        by[r["doc_id"]].append((r["start"], ids))
+    count = Counter(d[0] for d in DOCS)
+    for d in DOCS:
+        if count[d[0]] == 1:
+            assert [x for _, ids in sorted(by[d[0]]) for x in ids] == encode(d[1]) + [packing.END_ID]
+
+
 # ---- SimHash
 
 def plain_simhash(text):
