@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, staged
 
 WIDTH = 64
 #: Rows of a frame; longer payloads take several frames.
@@ -32,6 +32,8 @@ HISTOGRAM_BINS = 8
 MAX_CODES = 4096
 #: A stream that claims more pixels than this in a frame is refused.
 MAX_PIXELS = 1 << 26
+#: Bytes of canvases in one Arrow batch that a worker returns.
+OUT_BYTES = 8 << 20
 
 
 @lru_cache(16)
@@ -315,53 +317,85 @@ def stored_samples(media: bytes) -> tuple[bytes, list[int], int, int]:
 
 
 def frames(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """Timed frames of a binary column: a row for each with its place, time, digest and colour histogram.
+    """Timed frames of a binary column: a row for each with its place, time, composed canvas, digest and colour histogram.
 
-    A null or damaged stream gives one row with the error and no frame.
+    `canvas` has the red, green, blue and alpha samples of the whole picture as
+    it is shown, row by row, `canvas_width` times `canvas_height`; the frame's
+    own part of it is `width` by `height` at `left` and `top`. A null or
+    damaged stream gives one row with the error and no frame.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).cast("binary").alias("media"))
-    schema = "id long, frame int, at_cs long, delay_cs int, disposal int, width int, height int, sha256 string, histogram array<long>, error string"
-    types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int64()), pa.string()]
+    schema = "id long, frame int, at_cs long, delay_cs int, disposal int, width int, height int, sha256 string, histogram array<long>, error string, left int, top int, canvas_width int, canvas_height int, canvas binary"
+    types = [pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 4, pa.string(), pa.list_(pa.int64()), pa.string(), *[pa.int32()] * 4, pa.binary()]
 
     def of(key, media) -> Iterator[tuple]:
         time = 0
         try:
             for n, f in enumerate(decode(media or b"")):
                 h, w = f.samples.shape
-                yield key, n, time, f.delay_cs, f.disposal, w, h, hashlib.sha256(f.canvas.tobytes()).hexdigest(), f.histogram(), None
+                canvas = f.canvas.tobytes()
+                yield key, n, time, f.delay_cs, f.disposal, w, h, hashlib.sha256(canvas).hexdigest(), f.histogram(), None, f.left, f.top, f.canvas.shape[1], f.canvas.shape[0], canvas
                 time += f.delay_cs
         except ValueError as e:
-            yield key, None, None, None, None, None, None, None, None, str(e)
+            yield key, *[None] * 8, str(e), *[None] * 5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def batch_of(out: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+
         for batch in batches:
+            out, held = [], 0
             for key, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out = list(of(key, media))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[x.split()[0] for x in schema.split(", ")])
+                for row in of(key, media):
+                    out.append(row)
+                    held += len(row[-1] or b"")
+                    if held >= OUT_BYTES:
+                        yield batch_of(out)
+                        out, held = [], 0
+            if out:
+                yield batch_of(out)
 
     return map_batches(rows, run, schema)
 
 
-def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Texts stored as GIF samples, read back and described; one row for each input row.
+def media_of_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes and media: texts as samples of GIF streams, one row for each input row.
 
-    A null text is empty: 64 zero samples. Equal texts have equal values.
+    A null text is empty: 64 zero samples. The samples are padded with zeros,
+    n_bytes says how many of them are the text's.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("payload"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            payloads = [p or b"" for p in batch.column(1).to_pylist()]
+            media = pa.array([encode(padded(p)) for p in payloads], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(len, payloads), pa.int64()), media], names=["doc_id", "n_bytes", "media"])
+
+    return map_batches(rows, run, "doc_id long, n_bytes long, media binary")
+
+
+def describe(stored: DataFrame) -> DataFrame:
+    """Digests of the samples read back from a table of media_of_texts(); one row for each of its rows."""
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for payload in batch.column(1).to_pylist():
-                payload = payload or b""
-                media = encode(padded(payload))
+            for media in batch.column(2).to_pylist():
                 back, histogram, n, time = stored_samples(media)
                 feature = f"frames={n};time_cs={time};red={'/'.join(map(str, histogram[:HISTOGRAM_BINS]))}"
-                out.append((len(payload), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature))
-            cols = list(zip(*out, strict=True)) or [()] * 7
-            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[x.split()[0] for x in schema.split(", ")])
+                out.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature))
+            cols = list(zip(*out, strict=True)) or [()] * 6
+            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=[x.split()[0] for x in schema.split(", ")])
 
-    return map_batches(rows, run, schema)
+    return map_batches(stored.select("doc_id", "n_bytes", "media"), run, schema)
+
+
+def store_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Texts stored as a media column of GIF samples, read back from it and described; one row for each input row.
+
+    A null text is empty: 64 zero samples. Equal texts have equal values.
+    """
+    return describe(staged(media_of_texts(df, id_col, text_col), "gif"))

@@ -290,6 +290,18 @@ def test_gif_composition(spark):
     assert all(r["error"] for r in got[2:4])
 
 
+def test_media_and_frames_are_stored(spark, docs, tmp_path):
+    gif.media_of_texts(docs).write.parquet(str(tmp_path / "media"))
+    stored = spark.read.parquet(str(tmp_path / "media"))
+    back = Counter((r["doc_id"], gif.stored_samples(r["media"])[0][: r["n_bytes"]]) for r in rows(stored))
+    assert back == Counter((d[0], (d[1] or "").encode()) for d in DOCS)
+    media = make_gif([(0, 0, 4, 4, 1, 5, None, False, None, [1] * 16), (1, 1, 2, 2, 1, 7, None, False, None, [2, 3, 3, 2])])
+    got = gif.frames(spark.createDataFrame([(1, media)], "id long, media binary"), "id", "media").orderBy("frame").collect()
+    for r, f in zip(got, gif.decode(media), strict=True):
+        assert bytes(r["canvas"]) == f.canvas.tobytes() and (r["canvas_width"], r["canvas_height"]) == (4, 4)
+        assert (r["left"], r["top"], r["width"], r["height"]) == (f.left, f.top, *f.samples.shape[::-1])
+
+
 # ---- mixing
 
 def plain_targets(sizes, weights=(3, 1, 2)):
