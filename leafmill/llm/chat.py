@@ -135,19 +135,28 @@ def parse_messages(df: DataFrame) -> DataFrame:
 
 
 def turns_as_calls(df: DataFrame) -> DataFrame:
-    """Plain dialogues as calls of the tool `reply`: a user's turn calls, the assistant's next turn is the result.
+    """Tool calls and results as parse_messages() finds them; what is left of a dialogue as calls of the tool `reply`.
 
-    The identifier is the calling turn's number; other turns stay messages.
+    A user's turn calls, the assistant's next turn is the result. The identifier
+    is the calling turn's number, `by_turn` keeps it apart from identifiers that
+    messages name; other turns stay messages.
     """
-    asks, answers = F.col("role") == "user", F.col("role") == "assistant"
+    df = df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    # only texts that begin like a JSON object can hold a call
+    json_like = F.coalesce(F.col("text").rlike("^[ \\t\\r\\n]*\\{"), F.lit(False))
+    none = F.lit(None).cast("string")
+    plain = df.where(~json_like).select("conv_id", "turn", F.lit(0).alias("part"), "role", "text", F.lit("message").alias("kind"), none.alias("call_id"), none.alias("name"), none.alias("arguments"), F.array().cast("array<string>").alias("refs"))
+    rows = plain.unionByName(parse_messages(df.where(json_like)))
+    left = F.col("kind") == "message"
+    asks, answers = left & F.coalesce(F.col("role") == "user", F.lit(False)), left & F.coalesce(F.col("role") == "assistant", F.lit(False))
     args = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), "turn"))
-    return df.select(
-        F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.lit(0).alias("part"), "role", "text",
-        F.when(asks, "call").when(answers, "result").otherwise("message").alias("kind"),
-        F.when(asks, F.col("turn").cast("string")).when(answers, (F.col("turn") - 1).cast("string")).alias("call_id"),
-        F.when(asks, "reply").alias("name"),
-        F.when(asks, args).alias("arguments"),
-        F.array().cast("array<string>").alias("refs"),
+    return rows.select(
+        "conv_id", "turn", "part", "role", "text",
+        F.when(asks, "call").when(answers, "result").otherwise(F.col("kind")).alias("kind"),
+        F.when(asks, F.col("turn").cast("string")).when(answers, (F.col("turn") - 1).cast("string")).otherwise(F.col("call_id")).alias("call_id"),
+        F.when(asks, "reply").otherwise(F.col("name")).alias("name"),
+        F.when(asks, args).otherwise(F.col("arguments")).alias("arguments"),
+        "refs", (asks | answers).alias("by_turn"),
     )
 
 
@@ -162,16 +171,20 @@ def link(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     a call may have several results. (place, level) orders a conversation: the
     turn, or that of what must come before it if that is later, then the depth
     of such dependencies. Ties keep (turn, part). A null conversation, turn or
-    identifier is linked to nothing.
+    identifier is linked to nothing. Where messages have a column `by_turn`,
+    identifiers are compared within each of its values.
     """
+    if "by_turn" not in messages.columns:
+        messages = messages.withColumn("by_turn", F.lit(False))
+    key = ["conv_id", "by_turn", "call_id"]
     rows = staged(messages.withColumn("uid", F.monotonically_increasing_id()), "chat")
     # identifiers only; texts and arguments are joined to the outcome once, at the end
-    slim = rows.select("uid", "conv_id", "turn", "part", "kind", "call_id", "refs")
+    slim = rows.select("uid", "conv_id", "turn", "part", "kind", "by_turn", "call_id", "refs")
     results = slim.where("kind = 'result'")
     calls = slim.where("kind = 'call' AND call_id IS NOT NULL AND conv_id IS NOT NULL")
-    firsts = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "part", "uid")).alias("f")).select("conv_id", "call_id", F.col("f.uid").alias("call_uid"))
-    answered = results.groupBy("conv_id", "call_id").agg(F.count("*").alias("answers"))
-    out = slim.join(firsts, ["conv_id", "call_id"], "left").join(answered, ["conv_id", "call_id"], "left")
+    firsts = calls.groupBy(*key).agg(F.min(F.struct("turn", "part", "uid")).alias("f")).select(*key, F.col("f.uid").alias("call_uid"))
+    answered = results.groupBy(*key).agg(F.count("*").alias("answers"))
+    out = slim.join(firsts, key, "left").join(answered, key, "left")
     status = (
         F.when(F.col("kind") == "message", "message")
         .when(F.col("kind") == "result", F.when(F.col("call_uid").isNull(), "orphan").otherwise("linked"))
@@ -181,9 +194,9 @@ def link(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     )
     out = out.select("uid", status.alias("status"))
     # what must come before: a result's call, a call's referred results
-    after_call = results.join(firsts, ["conv_id", "call_id"]).select("uid", F.col("call_uid").alias("before"))
-    refs = slim.where("kind = 'call'").select("uid", "conv_id", F.explode("refs").alias("call_id"))
-    after_result = refs.join(results.select("conv_id", "call_id", F.col("uid").alias("before")), ["conv_id", "call_id"]).select("uid", "before")
+    after_call = results.join(firsts, key).select("uid", F.col("call_uid").alias("before"))
+    refs = slim.where("kind = 'call'").select("uid", "conv_id", "by_turn", F.explode("refs").alias("call_id"))
+    after_result = refs.join(results.select(*key, F.col("uid").alias("before")), key).select("uid", "before")
     order, cyclic = _order(slim.select("uid", F.coalesce("turn", F.lit(-1)).alias("place")), staged(after_call.unionByName(after_result), "chat-edges"))
     out = out.join(order, "uid", "left")
     if cyclic is not None:

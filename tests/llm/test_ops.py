@@ -205,6 +205,24 @@ def test_chat_links(spark):
     assert rows(chat.link(chat.parse_messages(df.limit(0)))) == []
 
 
+def test_tool_calls_in_dialogues(spark):
+    call = lambda i, args: " " + json.dumps({"tool_call": {"id": i, "name": "reply", "arguments": args}})
+    result = lambda i: json.dumps({"tool_result": {"id": i, "content": 1}})
+    msgs = [
+        (1, 0, "user", "hello"), (1, 1, "assistant", call("0", {"prompt": "$result:b", "turn": 1})), (1, 2, "assistant", call("b", {"prompt": "", "turn": 2})),
+        (1, 3, "tool", result("b")), (1, 4, "tool", result("0")), (1, 5, "user", "{no json"), (1, 6, "assistant", "fine"), (1, 7, "system", None),
+        (2, 0, "user", json.dumps({"tool_calls": [{"id": i, "name": "reply", "arguments": {}} for i in "xy"]})),
+    ]
+    got = {(r["conv_id"], r["turn"], r["part"]): r for r in rows(chat.link(chat.turns_as_calls(spark.createDataFrame(msgs, "conv_id long, turn long, role string, text string"))))}
+    seen = lambda *k: (got[k]["kind"], got[k]["call_id"], got[k]["status"])
+    assert len(got) == 10 and seen(1, 0, 0) == ("call", "0", "open")
+    assert seen(1, 1, 0) == ("call", "0", "linked") and seen(1, 4, 0) == ("result", "0", "linked") and seen(1, 3, 0) == ("result", "b", "linked")
+    assert seen(1, 5, 0) == ("call", "5", "linked") and seen(1, 6, 0) == ("result", "5", "linked") and seen(1, 7, 0) == ("message", None, "message")
+    assert seen(2, 0, 0) == ("call", "x", "open") and seen(2, 0, 1) == ("call", "y", "open")
+    assert got[1, 2, 0]["faults"] == ["$.prompt: too short"] and len(got[2, 0, 1]["faults"]) == 2
+    assert [got[1, t, 0]["level"] for t in (2, 3, 1, 4)] == [0, 1, 2, 3]
+
+
 # ---- GIF
 
 def test_gif_round_trip(docs, empty):
