@@ -2,11 +2,13 @@
 
 The tokenizer's own rule splits a text into pieces that are encoded
 independently of each other, so each worker keeps the ids of pieces that it
-has met and only new pieces go through the tokenizers library.
+has met and only new pieces go through the tokenizers library. A text that holds
+an added token of the vocabulary, such as an end mark, goes through it whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import sys
@@ -61,14 +63,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.cache: dict[str, bytes] = {}
-        self.split = _splitter().findall if self._byte_level() else None
-
-    def _byte_level(self) -> bool:
-        import json
-
         spec = json.loads(self.tokenizer.to_str())
+        self.split = _splitter().findall if self._byte_level(spec) else None
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens") or () if t["content"]]
+        self.added = re.compile("|".join(added)).search if added else None
+
+    @staticmethod
+    def _byte_level(spec: dict) -> bool:
         pre = spec.get("pre_tokenizer") or {}
         return spec.get("normalizer") is None and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
 
@@ -85,7 +87,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if self.split is None or len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text):
+        if self.split is None or (self.added and self.added(text)) or len(text.encode("utf-16-le", "surrogatepass")) != 2 * len(text):
             return self._plain(text)
         pieces = self.split(text)
         try:

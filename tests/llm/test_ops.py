@@ -25,7 +25,7 @@ def make_docs() -> list[tuple]:
     passage, long = prose(90), prose(6000)
     texts = [prose(rng.randint(1, 120)) for _ in range(60)]
     texts += [texts[0], texts[1], texts[1], None, "", " \n\t", "x", "a" * 700, "ab" * 450, long, long[:9000] + " end", "\x00" * 250, "é" * 150]
-    texts += [prose(20) + " " + passage + " " + prose(20) for _ in range(5)] + ["word " * 500, "😀 two words", "TOKEN=" + "a1" * 15, "<|endoftext|> x"]
+    texts += [prose(20) + " " + passage + " " + prose(20) for _ in range(5)] + ["word " * 500, "😀 two words", "TOKEN=" + "a1" * 15, "<|endoftext|> x", "a <|endoftext|><|endoftext|>"]
     base = prose(200).split(" ")
     for i in range(12):
         near = list(base)
@@ -413,7 +413,6 @@ def encode():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -424,6 +423,16 @@ def test_pieces_equal_whole_texts(encode):
         assert np.frombuffer(e.encode(text), "<u4").tolist() == encode(text), repr(text)
 
 
+def test_added_tokens(encode):
+    """Added tokens anywhere give the ids that the library gives for the whole text."""
+    e = tokens.encoder(tokens.default_path())
+    assert len(e.tokenizer.encode("hello <|endoftext|> world", add_special_tokens=False).ids) == 4
+    for t in json.loads(e.tokenizer.to_str())["added_tokens"]:
+        x = t["content"]
+        for text in (x, x + x, f"a{x}", f"{x}a", f" {x} {x} b", f"a {x}\n\n{x}", f"{x[:-1]} {x[1:]}", f"😀{x}é{x}"):
+            assert np.frombuffer(e.encode(text), "<u4").tolist() == encode(text), text
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
