@@ -3,27 +3,33 @@
 A byte goes if a string of `length` bytes that covers it starts at any other
 place too. Equal strings of that length have the same anchor: the k-gram with
 the least hash among those inside them, the leftmost of equal ones. So only
-places that share an anchor's k-gram need comparing, and the suffixes that
-start at anchors, one in about 85 bytes, are a sparse suffix array of the
-corpus, dealt out by k-gram.
-
-Within one k-gram the suffixes are sorted, which gives their common prefixes.
-Breadth-first backward extension then prepends the bytes before the anchors -
-the columns of the Burrows-Wheeler transform of this sparse array - level by
-level: each level splits every interval by the prepended byte and pairs it
-with the interval of the shorter common prefix behind the anchor, so that
-prefix and extension are together exactly `length` bytes. It stops at the
-level where the extension alone reaches that length; an interval that keeps
-two places gives a repeated string.
-
-Surroundings of an anchor that are equal as far as any such string can reach
-are repeated wherever they stand; they are counted by hash and extended once.
-Equal texts are extended once too.
+places that share an anchor's k-gram need comparing. The surroundings of an
+anchor - all that a string of the length through it can cover - are dealt out
+by k-gram, and a task takes whole k-grams, a block of them at a time.
+
+The surroundings of a block are one text, each closed by an end mark. Its
+Burrows-Wheeler transform has a wavelet matrix that gives the rank of each
+byte. Breadth-first backward extension starts with the interval of all
+suffixes; each round prepends every byte that stands before an interval, so
+that the intervals of round v + 1 are those of strings of v + 1 bytes. Where
+an interval's end has no common prefix yet, it is v, and the interval goes on.
+Common prefixes are thus found by increasing value, and rounds stop at
+`length`: neighbours without one share at least that many bytes. Suffixes are
+sorted no deeper than that.
+
+An interval with more than GROUP surroundings is no task's work: it is shuffled
+again by what it can be extended to, half of the missing bytes behind it or the
+rest and one more before it, until it has fewer places or is `length` bytes
+long. Each string that it may hold reaches one of the two.
+
+Surroundings that are equal by 128 bits of BLAKE2b are extended once; they are
+repeated wherever they stand. Equal texts are extended once too.
 """
 
 from __future__ import annotations
 
 import hashlib
+import struct
 from collections.abc import Iterator
 from itertools import groupby
 
@@ -35,22 +41,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, open_shared, parts, staged
+from .common import dropped, map_batches, open_shared, parts, staged
 
 LENGTH = 200
-#: Bytes of an anchor's k-gram; a power of two.
-GRAM = 32
 #: Bytes hashed at a time; windows reach over the cuts.
 CHUNK = 1 << 23
-#: Distinct surroundings of one k-gram that one task compares; those of more go another way, as exact.
-GROUP = 1 << 17
-#: Surroundings that a task sorts at a time, as whole k-grams.
-BLOCK = 1 << 14
+#: Surroundings of one interval that a task takes; an interval of more is extended by a shuffle first.
+GROUP = 1 << 10
+#: Surroundings in one transform, as whole intervals.
+BLOCK = 1 << 12
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _AT_BITS = 24
 
 
+def gram_bytes(length: int) -> int:
+    """Bytes of an anchor's k-gram: the greatest power of two up to a third of the length."""
+    return 1 << (max(1, length // 3).bit_length() - 1)
+
+
 def _mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
@@ -64,7 +73,7 @@ def _byte_codes() -> np.ndarray:
 _CODES = _byte_codes()
 
 
-def gram_hashes(data: np.ndarray, k: int = GRAM) -> np.ndarray:
+def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     """A hash of the k bytes from each place on, by doubling; k is a power of two."""
     h, base = _CODES[data], int(_BASE)
     n = 1
@@ -75,8 +84,9 @@ def gram_hashes(data: np.ndarray, k: int = GRAM) -> np.ndarray:
     return _mix(h)
 
 
-def anchors(data: bytes, length: int = LENGTH, k: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
+def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the anchors of all strings of the length, ascending."""
+    k = gram_bytes(length)
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     raw = np.frombuffer(data, np.uint8)
@@ -101,94 +111,142 @@ def anchors(data: bytes, length: int = LENGTH, k: int = GRAM) -> tuple[np.ndarra
     return places, found[first]
 
 
-def reach_hashes(data: bytes, places: np.ndarray, length: int = LENGTH, k: int = GRAM) -> np.ndarray:
-    """A hash of each anchor's surroundings: all bytes that a string of the length through it can cover."""
-    side, n = length - k, len(data)
-    raw = np.frombuffer(data, np.uint8)
-    low, high = np.maximum(places - side, 0), np.minimum(places + k + side, n)
-    out = np.zeros(len(places), np.uint64)
-    size = high - low
-    full = size == length + side
-    out[~full] = np.array([int.from_bytes(hashlib.blake2b(data[a:b], digest_size=8).digest(), "little") for a, b in zip(low[~full].tolist(), high[~full].tolist(), strict=True)], np.uint64)
-    at = low[full]
-    for i in range(0, len(at), 1 << 13):
-        words = np.lib.stride_tricks.sliding_window_view(raw, length + side)[at[i : i + (1 << 13)]]
-        pad = -(length + side) % 8
-        words = np.ascontiguousarray(np.pad(words, ((0, 0), (0, pad)))).view(np.uint64)
-        h = np.full(len(words), 0x243F6A8885A308D3, np.uint64)
-        for c in range(words.shape[1]):
-            h = (h ^ words[:, c]) * _BASE
-            h ^= h >> np.uint64(32)
-        out[np.flatnonzero(full)[i : i + (1 << 13)]] = _mix(h)
-    # a clipped side is told apart from bytes that happen to be alike
-    clip = (places - low).astype(np.uint64) << np.uint64(32) | (high - places).astype(np.uint64)
-    return _mix(out ^ _mix(clip))
-
-
-def _ranks(rows: np.ndarray, length: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted order of byte rows of given lengths, and the common prefix of each row with the one before it in that order.
-
-    Ends of rows differ from every byte and from each other's.
-    """
-    text = rows.view(f"S{step}").ravel() if step else np.zeros(len(rows), "S1")
-    order = np.lexsort((length, text)) if len(rows) > 1 else np.zeros(len(rows), np.int64)
-    ordered, size = rows[order], length[order]
-    same = ordered[1:] == ordered[:-1]
-    common = np.where(same.all(axis=1), step, same.argmin(axis=1)) if step else np.zeros(len(rows) - 1, int)
-    return order, np.r_[0, np.minimum(common, np.minimum(size[1:], size[:-1]))]
+def _digest(data: bytes, left: int, right: int) -> bytes:
+    """128 bits of a string and of the bytes that it reaches to both sides."""
+    return hashlib.blake2b(data, digest_size=16, salt=struct.pack("<QQ", left, right)).digest()
+
 
+def reach_digests(data: bytes, places: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Two longs for each anchor: a digest of its surroundings, clipped sides told apart."""
+    side, n = length - gram_bytes(length), len(data)
+    out = b"".join(_digest(data[max(0, p - side) : p + length], min(p, side), min(n - p, length)) for p in places.tolist())
+    return np.frombuffer(out, "<i8").reshape(-1, 2)
 
-def expand(before: np.ndarray, n_before: np.ndarray, after: np.ndarray, n_after: np.ndarray, length: int = LENGTH, k: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """The reach of repeated strings around each place: bytes before and bytes from the anchor on; (-1, -1) without one.
 
-    `before` has the bytes before each anchor, the nearest first; `after` those
-    from the anchor's start on. A prefix is never shorter than the anchor, so
-    places of different k-grams are in different intervals throughout.
+# ---- the transform of a block
+
+def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
+    """Suffixes in the order of their first `depth` symbols at least, by doubling; the end counts as 0."""
+    n, bits = len(codes), max(1, int(codes.max()).bit_length())
+    width = min(63 // bits, depth)
+    key, padded = np.zeros(n, np.int64), np.r_[codes.astype(np.int64), np.zeros(width, np.int64)]
+    for i in range(width):
+        key = key << bits | padded[i : i + n]
+    while True:
+        order = np.argsort(key)
+        sorted_key = key[order]
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(np.r_[False, sorted_key[1:] != sorted_key[:-1]])
+        if width >= depth or rank[order[-1]] == n - 1:
+            return order
+        behind = np.zeros(n, np.int64)
+        behind[: n - width] = rank[width:] + 1
+        key, width = rank * (n + 1) + behind, 2 * width
+
+
+class Transform:
+    """The Burrows-Wheeler transform of a text of codes from 1 on, 0 at ends, with ranks of all symbols.
+
+    The wavelet matrix takes bits from the least one up, so that its last order
+    is the stable one by symbol: the place of an interval that has gone through
+    all levels is its place among the suffixes one symbol longer.
     """
-    n, side = len(before), length - k
-    left, right = np.full(n, -1), np.full(n, -1)
-    if n < 2:
+
+    def __init__(self, codes: np.ndarray, depth: int):
+        self.order = suffix_order(codes, depth)
+        self.ends = int(np.count_nonzero(codes == 0))
+        column = codes[self.order - 1]
+        self.levels = []
+        for bit in range(max(1, int(codes.max()).bit_length())):
+            one = (column >> bit & 1).astype(bool)
+            zeros = np.zeros(len(codes) + 1, np.int32)
+            np.cumsum(~one, out=zeros[1:])
+            self.levels.append(zeros)
+            column = np.concatenate([column[~one], column[one]])
+
+    def extend(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The intervals of all strings one symbol longer to the left; none goes over an end mark."""
+        for zeros in self.levels:
+            a, b, n = zeros[low], zeros[high], zeros[-1]
+            low, high = np.concatenate([a, n + low - a]), np.concatenate([b, n + high - b])
+            some = high > low
+            low, high = low[some], high[some]
+        inside = low >= self.ends
+        return low[inside], high[inside]
+
+    def common_prefixes(self, length: int) -> np.ndarray:
+        """Of each suffix with the one before it in order; -1 where they share `length` symbols at least.
+
+        Suffixes that meet an end mark within the length stand first among those
+        that begin alike, and may stay joined to each other.
+        """
+        common = np.full(len(self.order) + 1, -1, np.int32)
+        common[0] = 0
+        low, high = np.zeros(1, np.int32), np.full(1, len(self.order), np.int32)
+        for value in range(length):
+            low, high = self.extend(low, high)
+            new = common[high] < 0
+            low, high = low[new], high[new]
+            if not len(low):
+                break
+            common[high] = value
+        return common[:-1]
+
+
+def expand(around: list[bytes], at: np.ndarray, interval: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """How far repeated strings reach around each anchor: bytes before it and bytes from it on; (-1, -1) without one.
+
+    `around` has the bytes around each anchor, which stands at `at` in them. A
+    string counts as repeated if it also stands around another anchor of the
+    same interval, as many bytes before it: neighbouring anchors of a text have
+    bytes in common, but never at the same distance.
+    """
+    m, size = len(around), np.array([len(x) for x in around], np.int64)
+    left, right = np.full(m, -1), np.full(m, -1)
+    if m < 2 or size.max() < length:
         return left, right
-    b_order, b_common = _ranks(before, n_before, side)
-    a_order, a_common = _ranks(after, n_after, length)
-
-    def interval(order: np.ndarray, common: np.ndarray, size: int) -> np.ndarray:
-        out = np.empty(n, np.int64)
-        out[order] = np.cumsum(common < size)
-        return out
-
-    def in_company(rows: np.ndarray, key: np.ndarray) -> np.ndarray:
-        order = np.argsort(key, kind="stable")
-        same = key[order][1:] == key[order][:-1]
-        return rows[order[np.r_[same, False] | np.r_[False, same]]]
-
-    gram = interval(a_order, a_common, k)
-    live = np.arange(n)
-    for back in range(side + 1):
-        live = live[n_before[live] >= back]
-        extended = interval(b_order, b_common, back)
-        if back % 8 == 0:  # an interval of one place stays one
-            live = in_company(live, extended[live] * (n + 1) + gram[live])
-        if len(live) < 2:
-            break
-        fits = live[n_after[live] >= length - back]
-        hit = in_company(fits, extended[fits] * (n + 1) + interval(a_order, a_common, length - back)[fits])
-        left[hit] = back
-        right[hit] = np.maximum(right[hit], length - back)
+    raw = np.frombuffer(b"".join(around), np.uint8)
+    seen = np.bincount(raw, minlength=256) > 0
+    codes = np.zeros(len(raw) + m, np.uint16)
+    codes[np.arange(len(raw)) + np.repeat(np.arange(m), size)] = np.cumsum(seen).astype(np.uint16)[raw]
+    transform = Transform(codes, length)
+    run = np.cumsum(transform.common_prefixes(length) >= 0)
+    # starts with enough bytes up to their end mark, and at most at the anchor
+    owner = np.repeat(np.arange(m), size + 1)[transform.order]
+    start = transform.order - (np.cumsum(size + 1) - size - 1)[owner]
+    back = at[owner] - start
+    whole = (start + length <= size[owner]) & (back >= 0)
+    owner, back, run = owner[whole], back[whole], run[whole]
+    order = np.lexsort((interval[owner], back, run))
+    owner, back, run = owner[order], back[order], run[order]
+    same = (run[1:] == run[:-1]) & (back[1:] == back[:-1]) & (interval[owner][1:] == interval[owner][:-1])
+    hit = np.r_[same, False] | np.r_[False, same] if len(owner) else np.zeros(0, bool)
+    np.maximum.at(left, owner[hit], back[hit])
+    np.maximum.at(right, owner[hit], length - back[hit])
     return left, right
 
 
+# ---- tables
+
 def _names(schema: str) -> list[str]:
     return [x.split()[0] for x in schema.split(", ")]
 
 
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+
+
+def _batch(out: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split() for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, _KINDS[t]) for c, (_, t) in zip(zip(*out, strict=True), fields, strict=True)], names=_names(schema))
+
+
 def _store(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """Texts, squeezed, with the places, k-gram and surroundings hashes of their anchors, as a table in the shared folder.
+    """Texts, squeezed, with the places, k-gram hashes and surroundings' digests of their anchors, as a table in the shared folder.
 
-    A uid is the number of the task that wrote the row, and so of its file, and the row's number in it.
+    A uid is the number of the task that wrote the row and the row's number in it.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    schema = "uid long, doc_id long, n_bytes long, body binary, pos array<int>, gram array<long>, reach array<long>"
+    schema = "uid long, doc_id long, n_bytes long, body binary, pos array<int>, gram array<long>, reach array<long>, proof array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze, uid = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
@@ -197,14 +255,14 @@ def _store(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
             for text in batch.column(1).to_pylist():
                 data = text or b""
                 places, grams = anchors(data, length)
-                reach = reach_hashes(data, places, length)
-                out.append((uid, len(data), squeeze.compress(data), places.astype(np.int32), grams.view(np.int64), reach.view(np.int64)))
+                digests = reach_digests(data, places, length)
+                out.append((uid, len(data), squeeze.compress(data), places.astype(np.int32), grams.view(np.int64), digests[:, 0], digests[:, 1]))
                 uid += 1
             if not out:
                 continue
-            uids, sizes, bodies, pos, gram, reach = zip(*out, strict=True)
-            at = pa.array(np.r_[0, np.cumsum([len(x) for x in pos])].astype(np.int32))
-            lists = [pa.ListArray.from_arrays(at, pa.array(np.concatenate(x))) for x in (pos, gram, reach)]
+            uids, sizes, bodies, *lists = zip(*out, strict=True)
+            offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in lists[0]])].astype(np.int32))
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in lists]
             yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary()), *lists], names=_names(schema))
 
     return staged(map_batches(rows, run, schema), "suffix")
@@ -218,120 +276,163 @@ def _file_rows(path: str, columns: list[str]) -> Iterator[dict]:
 
 
 def _by_file(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows (uid, pos, ...) with their file, all of a file in one task and in order."""
-    files = stored.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.shiftrightunsigned(F.min("uid"), 32).alias("task"))
-    rows = rows.withColumn("task", F.shiftrightunsigned("uid", 32)).join(files, "task")
-    return rows.repartition(parts(rows.sparkSession), "task").sortWithinPartitions("task", "uid", "pos")
+    """Rows (uid, pos, ...) in order behind a head row with the path of their file; all of a file in one task.
+
+    A task of the stored table may have written any number of files; each holds
+    uids from its first to its last.
+    """
+    files = stored.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("uid").alias("first"), F.max("uid").alias("last"))
+    ranges = files.select("first", "last", F.shiftrightunsigned("first", 32).alias("task"))
+    placed = rows.withColumn("task", F.shiftrightunsigned("uid", 32)).join(ranges, "task").where("uid >= first AND uid <= last").drop("task", "last")
+    heads = files.select("file", "first", F.col("first").alias("uid"), F.lit(-1).alias("pos"))
+    return placed.unionByName(heads, allowMissingColumns=True).repartition(parts(rows.sparkSession), "first").sortWithinPartitions("first", "uid", "pos")
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[dict]]]:
-    """Rows that are sorted by file, file by file."""
-    return groupby((row for b in batches for row in b.to_pylist()), key=lambda r: r["file"])
+    """Paths of files, each with its rows."""
+    for _, rows in groupby((row for b in batches for row in b.to_pylist()), key=lambda r: r["first"]):
+        yield next(rows)["file"], rows
+
+
+_CONTEXT = "key binary, gram long, reach long, proof long, n long, before int, after int, at int, around binary"
 
 
 def _contexts(frontier: DataFrame, stored: DataFrame, length: int) -> DataFrame:
     """The bytes around each place, read from the stored table's files: each file goes to one task, no text is shuffled."""
-    schema = "gram long, reach long, n long, m long, before binary, after binary"
-    side = length - GRAM
+    side, k = length - gram_bytes(length), gram_bytes(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unsqueeze, out = zstandard.ZstdDecompressor(), []
-
-        def batch_of(out):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(),) * 4 + (pa.binary(),) * 2, strict=True)], names=_names(schema))
-
         for path, places in _runs(batches):
-            stored, here = _file_rows(path, ["uid", "body"]), None
+            texts, here = _file_rows(path, ["uid", "body"]), None
             for p in places:
                 while here is None or here["uid"] < p["uid"]:
-                    here, data = next(stored), None
+                    here, data = next(texts), None
                 if data is None:
                     data = unsqueeze.decompress(here["body"])
                 at = p["pos"]
-                out.append((p["gram"], p["reach"], p["n"], p["m"], data[max(0, at - side) : at][::-1], data[at : at + length]))
+                low = max(0, at - side)
+                out.append((struct.pack("<q", p["gram"]), p["gram"], p["reach"], p["proof"], p["n"], 0, k, at - low, data[low : at + length]))
                 if len(out) == 4096:
-                    yield batch_of(out)
+                    yield _batch(out, _CONTEXT)
                     out = []
         if out:
-            yield batch_of(out)
+            yield _batch(out, _CONTEXT)
 
-    return map_batches(_by_file(frontier, stored), run, schema)
+    return map_batches(_by_file(frontier, stored), run, _CONTEXT)
 
 
-_VERDICT = "gram long, reach long, before int, after int"
+_VERDICT = "gram long, reach long, proof long, before int, after int"
 
 
 def _resolve(contexts: DataFrame, length: int) -> DataFrame:
     """Verdicts of surroundings that stand once: how far repeated strings reach around them."""
-    side = length - GRAM
 
-    def padded(rows: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
-        flat = np.frombuffer(b"".join(r.ljust(width, b"\0") for r in rows), np.uint8).reshape(len(rows), width)
-        return flat, np.array([len(r) for r in rows])
+    def verdicts(rows: list[dict]) -> Iterator[pa.RecordBatch]:
+        numbers: dict[bytes, int] = {}
+        interval = np.array([numbers.setdefault(r["key"], len(numbers)) for r in rows], np.int64)
+        left, right = expand([r["around"] for r in rows], np.array([r["at"] for r in rows], np.int64), interval, length)
+        found = [(r["gram"], r["reach"], r["proof"], a, b) for r, a, b in zip(rows, left.tolist(), right.tolist(), strict=True) if a >= 0 and r["n"] == 1]
+        if found:
+            yield _batch(found, _VERDICT)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
-
-        def verdicts(rows: list[dict]) -> Iterator[pa.RecordBatch]:
-            if not rows:
-                return
-            left, right = expand(*padded([r["before"] for r in rows], side), *padded([r["after"] for r in rows], length), length)
-            found = [(r["gram"], r["reach"], a, b) for r, a, b in zip(rows, left.tolist(), right.tolist(), strict=True) if a >= 0 and r["n"] == 1]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=_names(_VERDICT))
-
         for batch in batches:
             held += batch.to_pylist()
-            if len(held) >= BLOCK and held[0]["gram"] != held[-1]["gram"]:
-                cut = next(i for i in range(len(held) - 1, -1, -1) if held[i]["gram"] != held[-1]["gram"]) + 1
+            while len(held) > BLOCK:
+                last = held[BLOCK]["key"]
+                cut = next((i for i in range(BLOCK, 0, -1) if held[i - 1]["key"] != last), None)
+                if cut is None:
+                    break
                 yield from verdicts(held[:cut])
                 held = held[cut:]
-        yield from verdicts(held)
+        if held:
+            yield from verdicts(held)
 
-    dealt = contexts.repartition(parts(contexts.sparkSession), "gram").sortWithinPartitions("gram")
+    dealt = contexts.repartition(parts(contexts.sparkSession), "key").sortWithinPartitions("key")
     return map_batches(dealt, run, _VERDICT)
 
 
-def _resolve_large(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for k-grams with too many surroundings for one task: each level is an interval of its own.
+def extended(row: dict, length: int) -> Iterator[tuple]:
+    """A place of a too large interval in the intervals that its strings reach: further behind, or further before.
 
-    A level's strings are hashed and counted with partial aggregation, so no
-    task holds a k-gram's places. It makes a row for each level and place.
+    `before` and `after` are the bytes of the interval's string before the
+    anchor and from it on. Bytes out of reach of the longer string are cut off.
     """
-    side = length - GRAM
-    schema = "gram long, reach long, n long, back int, string binary"
+    at, around = row["at"], row["around"]
+    missing = length - row["before"] - row["after"]
+    behind = (missing + 1) // 2
+    for before, after in ((row["before"], row["after"] + behind), (row["before"] + missing - behind + 1, row["after"])):
+        if before <= at and at + after <= len(around):
+            low = max(0, at - (length - after))
+            key = _digest(around[at - before : at + after], before, after)
+            yield key, row["gram"], row["reach"], row["proof"], row["n"], before, after, at - low, around[low : at + length - before]
 
+
+def _split(contexts: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                whole, n = r["before"][::-1] + r["after"], len(r["before"])
-                out = [(r["gram"], r["reach"], r["n"], back, hashlib.blake2b(whole[n - back : n - back + length], digest_size=16).digest()) for back in range(min(side, n) + 1) if len(r["after"]) >= length - back]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=_names(schema))
+            out = [x for row in batch.to_pylist() for x in extended(row, length)]
+            if out:
+                yield _batch(out, _CONTEXT)
+
+    return map_batches(contexts, run, _CONTEXT)
+
 
-    strings = staged(map_batches(contexts, run, schema), "suffix-large")
-    often = strings.groupBy("gram", "back", "string").agg(F.count("*").alias("places")).where("places > 1").drop("places")
-    return strings.where("n = 1").join(often, ["gram", "back", "string"]).groupBy("gram", "reach").agg(F.max("back").alias("before"), (F.lit(length) - F.min("back")).alias("after"))
+def _resolve_large(contexts: DataFrame, length: int) -> list[DataFrame]:
+    """The same for intervals of more than GROUP places. A round halves the bytes that they miss."""
+    out = []
+    while True:
+        rows = staged(_split(contexts, length), "suffix-split")
+        sizes = staged(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "suffix-sizes")
+        rows = rows.join(sizes, "key")
+        whole = F.col("before") + F.col("after") == length
+        out.append(rows.where(whole & (F.col("n") == 1)).select(*_names(_VERDICT)))
+        out.append(_resolve(rows.where(~whole & (F.col("m") <= GROUP)).drop("m"), length))
+        contexts = rows.where(~whole & (F.col("m") > GROUP)).drop("m")
+        if sizes.where(F.col("m") > GROUP).isEmpty() or contexts.isEmpty():
+            return out
 
 
 def repeated_spans(stored: DataFrame, length: int = LENGTH) -> DataFrame:
     """(uid, pos, until): byte ranges covered by repeated strings; they may overlap."""
-    side = length - GRAM
-    places = stored.select("uid", "n_bytes", F.inline(F.arrays_zip("pos", "gram", "reach")))
-    around = places.groupBy("gram", "reach").agg(F.count("*").alias("n"), F.min("uid").alias("uid"), F.min_by("pos", "uid").alias("pos"))
+    side, pair = length - gram_bytes(length), ["gram", "reach", "proof"]
+    places = stored.select("uid", "n_bytes", F.inline(F.arrays_zip("pos", *pair)))
+    around = places.groupBy(*pair).agg(F.count("*").alias("n"), F.min("uid").alias("uid"), F.min_by("pos", "uid").alias("pos"))
     grams = around.groupBy("gram").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("single"))
-    around = around.join(grams.where("m > single OR m > 1"), "gram").where("n > 1 OR m > 1").select("gram", "reach", "n", "m", (F.col("single") > 0).alias("single"), "uid", "pos")
+    around = around.join(grams.where("m > single OR m > 1"), "gram").where("n > 1 OR m > 1").select(*pair, "n", "m", (F.col("single") > 0).alias("single"), "uid", "pos")
     around = staged(around, "suffix-around")
     frontier = around.where("m > 1 AND single").drop("single")
-    verdicts = _resolve(_contexts(frontier.where(F.col("m") <= GROUP), stored, length), length)
-    large = frontier.where(F.col("m") > GROUP)
+    found = [_resolve(_contexts(frontier.where(F.col("m") <= GROUP).drop("m"), stored, length), length)]
+    large = frontier.where(F.col("m") > GROUP).drop("m")
     if not large.isEmpty():
-        verdicts = verdicts.unionByName(_resolve_large(_contexts(large, stored, length), length))
+        found += _resolve_large(_contexts(large, stored, length), length)
     # surroundings that stand twice are repeated as far as they reach
-    twice = around.where("n > 1").select("gram", "reach", F.lit(side).alias("before"), F.lit(length).alias("after"))
-    verdicts = staged(verdicts.unionByName(twice), "suffix-verdicts")
-    found = places.join(verdicts, ["gram", "reach"])
-    return found.select("uid", F.greatest(F.lit(0), F.col("pos") - F.col("before")).cast("int").alias("pos"), F.least(F.col("n_bytes"), F.col("pos") + F.col("after")).cast("int").alias("until"))
+    found.append(around.where("n > 1").select(*pair, F.lit(side).alias("before"), F.lit(length).alias("after")))
+    verdicts = found[0]
+    for x in found[1:]:
+        verdicts = verdicts.unionByName(x)
+    verdicts = staged(verdicts.groupBy(*pair).agg(F.max("before").alias("before"), F.max("after").alias("after")), "suffix-verdicts")
+    spans = places.join(verdicts, pair)
+    return spans.select("uid", F.greatest(F.lit(0), F.col("pos") - F.col("before")).cast("int").alias("pos"), F.least(F.col("n_bytes"), F.col("pos") + F.col("after")).cast("int").alias("until"))
+
+
+class Cut:
+    """What is left of a text without its ranges, which come by ascending start."""
+
+    def __init__(self, data: bytes):
+        self.data, self.kept, self.end, self.removed, self.n_spans = data, [], 0, 0, 0
+
+    def remove(self, start: int, until: int) -> None:
+        if not self.n_spans or start > self.end:
+            self.kept.append(self.data[self.end : start])
+            self.end, self.n_spans = start, self.n_spans + 1
+        if until > self.end:
+            self.removed, self.end = self.removed + until - self.end, until
+
+    def rest(self) -> bytes:
+        return b"".join([*self.kept, self.data[self.end :]])
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, with_text: bool = False) -> DataFrame:
@@ -339,49 +440,30 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Bytes are those of the UTF-8 text; a null text is empty. Texts shorter than
     the length keep all. Equal texts, repeated rows among them, lose all bytes
-    from that length on. An empty table gives no rows.
+    from that length on. An empty table gives no rows. The length is from 8 on.
     """
-    if length < 2 * GRAM:
-        raise ValueError(f"length must be at least {2 * GRAM}")
+    if length < 8:
+        raise ValueError("length must be at least 8")
     stored = _store(df, id_col, text_col, length)
     spans = staged(repeated_spans(stored, length), "suffix-spans")
-    # a first row for each file, so that files without a repeated string are read too
-    firsts = stored.groupBy("_metadata.file_path").agg(F.min("uid").alias("uid")).select("uid", F.lit(-1).alias("pos"), F.lit(-1).alias("until"))
-    rows = spans.unionByName(firsts)
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    types = (pa.int64(),) * 4 + (pa.string(),) + (pa.binary(),) * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unsqueeze = zstandard.ZstdDecompressor()
-
-        def batch_of(out):
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=_names(schema))
-
+        unsqueeze, out, held = zstandard.ZstdDecompressor(), [], 0
         for path, ranges in _runs(batches):
-            out, held = [], 0
             pending = next(ranges, None)
             for row in _file_rows(path, ["uid", "doc_id", "body"]):
-                data, kept, at, removed, n_spans = unsqueeze.decompress(row["body"]), [], 0, 0, 0
-                start = end = 0
-                while pending is not None and pending["uid"] <= row["uid"]:
-                    if pending["uid"] == row["uid"] and pending["pos"] >= 0:
-                        if n_spans and pending["pos"] <= end:
-                            removed += max(0, pending["until"] - end)
-                            end = max(end, pending["until"])
-                        else:
-                            if n_spans:
-                                at = end
-                            kept.append(data[at : pending["pos"]])
-                            start, end, n_spans = pending["pos"], pending["until"], n_spans + 1
-                            removed += end - start
+                cut = Cut(unsqueeze.decompress(row["body"]))
+                while pending is not None and pending["uid"] == row["uid"]:
+                    cut.remove(pending["pos"], pending["until"])
                     pending = next(ranges, None)
-                kept = b"".join([*kept, data[end if n_spans else 0 :]])
-                out.append((row["doc_id"], len(data), removed, n_spans, hashlib.sha256(kept).hexdigest(), *((kept,) if with_text else ())))
-                held += len(kept)
-                if len(out) == 2000 or with_text and held > 1 << 23:
-                    yield batch_of(out)
+                kept = cut.rest()
+                out.append((row["doc_id"], len(cut.data), cut.removed, cut.n_spans, hashlib.sha256(kept).hexdigest(), *((kept,) if with_text else ())))
+                held += len(kept) * with_text
+                if len(out) == 2000 or held > 1 << 23:
+                    yield _batch(out, schema)
                     out, held = [], 0
-            if out:
-                yield batch_of(out)
+        if out:
+            yield _batch(out, schema)
 
-    return map_batches(_by_file(rows, stored), run, schema)
+    return map_batches(_by_file(spans, stored), run, schema)

@@ -154,19 +154,87 @@ def plain_removal(texts, length=200):
     return out
 
 
+def removal(df, **kw):
+    return Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in rows(suffix.remove_repeats(df, **kw)))
+
+
+def removal_wanted(data, length=200):
+    return Counter((d[0], *w) for d, w in zip(data, plain_removal([d[1] for d in data], length), strict=True))
+
+
 @pytest.mark.parametrize("length", [200, 64])
 def test_repeats(docs, empty, length):
-    got = rows(suffix.remove_repeats(docs, length=length))
-    want = plain_removal([d[1] for d in DOCS], length)
-    assert Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got) == Counter((d[0], *w) for d, w in zip(DOCS, want, strict=True))
+    assert removal(docs, length=length) == removal_wanted(DOCS, length)
     assert rows(suffix.remove_repeats(empty)) == []
 
 
-def test_repeats_with_large_groups(docs, monkeypatch):
-    monkeypatch.setattr(suffix, "GROUP", 3)
-    got = rows(suffix.remove_repeats(docs))
-    want = plain_removal([d[1] for d in DOCS])
-    assert Counter((r["doc_id"], r["n_removed"], r["n_spans"]) for r in got) == Counter((d[0], w[1], w[2]) for d, w in zip(DOCS, want, strict=True))
+@pytest.mark.parametrize("group", [1, 3])
+def test_repeats_with_large_intervals(docs, monkeypatch, group):
+    monkeypatch.setattr(suffix, "GROUP", group)
+    assert removal(docs) == removal_wanted(DOCS)
+
+
+def test_repeats_over_many_files_a_task(docs, spark):
+    spark.conf.set("spark.sql.files.maxRecordsPerFile", "3")
+    try:
+        assert removal(docs) == removal_wanted(DOCS)
+    finally:
+        spark.conf.unset("spark.sql.files.maxRecordsPerFile")
+
+
+def small_tables():
+    """Tables of 2 to 50 documents that share passages, with sides from none to long."""
+    rng = random.Random(11)
+    draw = lambda n, of="abcdefgh \u00e9": "".join(rng.choice(of) for _ in range(n))
+    p = draw(230)
+    yield ["x" * 30 + p + "1", "y" * 30 + p + "2"]
+    yield [draw(rng.randint(0, 40)) + p + draw(rng.randint(0, 40)) for _ in range(40)]
+    for n in (2, 3, 7, 20, 50):
+        passages = [draw(rng.choice([150, 198, 199, 200, 201, 260, 700]), rng.choice(["ab", "abcdefgh ", "\u00e9\u65e5a"])) for _ in range(3)]
+        yield ["".join(rng.choice([draw(rng.choice([0, 1, 5, 90, 400])), rng.choice(passages)]) for _ in range(rng.randint(0, 6))) for _ in range(n)]
+
+
+def test_repeats_in_small_tables(spark):
+    """One table of many ids would mix them, so each stands for itself."""
+    for texts in small_tables():
+        data = list(enumerate(texts))
+        df = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+        assert removal(df) == removal_wanted(data)
+
+
+def test_expansion_against_plain_counting():
+    """Surroundings of one anchor with short sides, in one and in several intervals."""
+    rng = random.Random(12)
+    for _ in range(150):
+        length, m = rng.choice([8, 12, 20]), rng.randint(0, 9)
+        k = suffix.gram_bytes(length)
+        side, core = length - k, bytes(rng.choice(b"ab\x00\xff") for _ in range(k))
+        parts_ = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, side))) for _ in range(2 * m)]
+        around, at = [parts_[2 * i] + core + parts_[2 * i + 1] for i in range(m)], [len(parts_[2 * i]) for i in range(m)]
+        interval = [rng.randint(0, 1) for _ in range(m)]
+        left, right = suffix.expand(around, np.array(at, np.int64), np.array(interval, np.int64), length)
+        seen = Counter((interval[i], at[i] - s, around[i][s : s + length]) for i in range(m) for s in range(len(around[i]) - length + 1) if s <= at[i])
+        for i in range(m):
+            backs = [b for (v, b, x), c in seen.items() if c > 1 and v == interval[i] and b <= at[i] and around[i][at[i] - b : at[i] - b + length] == x]
+            assert (left[i], right[i]) == ((max(backs), length - min(backs)) if backs else (-1, -1))
+
+
+def test_common_prefixes():
+    rng = random.Random(13)
+    for _ in range(60):
+        codes = np.array([x for _ in range(rng.randint(1, 6)) for x in [*(rng.randint(1, 3) for _ in range(rng.randint(0, 30))), 0]], np.uint16)
+        length = rng.randint(1, 9)
+        t = suffix.Transform(codes, length)
+        text, common = codes.tolist(), t.common_prefixes(length)
+        heads = [text[i : i + length] for i in t.order]
+        assert heads == sorted(text[i : i + length] for i in range(len(text)))
+        for a, b, c in zip(heads, heads[1:], common[1:], strict=False):
+            if a == b:
+                assert c == -1 or 0 in a or len(a) < length
+                continue
+            same = next(i for i in range(length) if a[i : i + 1] != b[i : i + 1])
+            if 0 not in a[: same + 1] and len(a) > same:  # an end mark may leave a suffix joined to those behind it
+                assert c == same
 
 
 def test_anchors_over_chunks(monkeypatch):
