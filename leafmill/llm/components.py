@@ -1,9 +1,11 @@
 """Connected components of an edge table, all in DataFrame operations.
 
 Alternates the large-star and small-star steps of Kiveris et al. (2014):
-every step joins each edge with the least neighbour of one of its ends, so no
-task ever holds a whole neighbourhood, and the rounds grow with the logarithm
-of a component's diameter, not with the diameter.
+every step joins each edge with the least neighbour of one of its ends. The
+least comes from a partial aggregation and is one row a node, so a hub's edges
+stream past it, are never held, and adaptive execution deals them out to
+several tasks where they are many. The rounds grow with the logarithm of a
+component's diameter, not with the diameter.
 """
 
 from __future__ import annotations

@@ -10,6 +10,12 @@ Within a posting the shared bytes of a pair are tallied, pairs with fewer than
 5 are dropped and the rest verified by their differing bits. A posting yields
 a star for each linked group in it instead of all its pairs, which keeps all
 links of the components and as many rows as members.
+
+A posting is a mask and the fingerprint's bits under it. One with more than
+POSTING members is posted anew under the masks that its linked pairs can also
+share: two more bytes (the count asks for them), then one in four of the bits
+that are left (three differing bits miss one of four parts), twice. What is
+left then differs in 14 bits at most, so no posting has more members than that.
 """
 
 from __future__ import annotations
@@ -29,10 +35,30 @@ SEED = 42
 SHINGLE_WORDS = 3
 MAX_BITS = 3
 MIN_BYTES = 5
-#: Byte positions posted together.
-TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
-#: Postings up to this size compare members directly; beyond it, every value within reach is looked up.
-DIRECT = 1 << 16
+#: Members of a posting that a task compares; a larger one is posted under longer masks.
+POSTING = 1 << 12
+
+
+def _bytes_mask(positions) -> int:
+    return sum(255 << 8 * p for p in positions)
+
+
+#: Masks of the index: byte positions posted together.
+MASKS = [_bytes_mask(c) for half in (range(4), range(4, 8)) for c in combinations(half, 3)]
+
+
+def longer_masks(mask: int) -> list[int]:
+    """Masks of which a linked pair that agrees under this one agrees under one at least; none for the last."""
+    left = [b for b in range(64) if not mask >> b & 1]
+    if len(left) == 40:
+        return [mask | _bytes_mask(c) for c in combinations([p for p in range(8) if not mask >> 8 * p & 255], MIN_BYTES - 3)]
+    if len(left) < 18:
+        return []
+    return [mask | sum(1 << b for b in left[i * len(left) // (MAX_BITS + 1) : (i + 1) * len(left) // (MAX_BITS + 1)]) for i in range(MAX_BITS + 1)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
 def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -55,15 +81,15 @@ def simhash(text: str | None, words: int = SHINGLE_WORDS) -> int:
 
 
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): the fingerprint's 64 bits as a signed long. A null text counts as empty."""
-    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    """(doc_id, digest, fp): a digest of the text and the fingerprint's 64 bits as a signed long. A null text counts as empty."""
+    rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("digest"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.array([simhash(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([simhash(t) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "digest", "fp"])
 
-    return map_batches(rows, run, "doc_id long, fp long")
+    return map_batches(rows, run, "doc_id long, digest long, fp long")
 
 
 def linked(x: np.ndarray, y) -> np.ndarray:
@@ -77,58 +103,38 @@ def linked(x: np.ndarray, y) -> np.ndarray:
 
 def _within(values: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
     """(members, root) of each linked group of a posting with more than one member."""
-    if len(values) <= DIRECT:
-        rest = np.arange(len(values))
-        while len(rest) > 1:
-            root, rest, group, queue = rest[0], rest[1:], [], [rest[0]]
-            while queue and len(rest):
-                near = linked(values[rest], values[queue.pop()])
-                found, rest = rest[near], rest[~near]
-                queue += found.tolist()
-                group += found.tolist()
-            if group:
-                yield np.array(group), root
-        return
-    masks = [0, *(sum(1 << b for b in c) for n in range(1, MAX_BITS + 1) for c in combinations(range(64), n))]
-    differ = np.bitwise_or.reduce(values ^ values[0])
-    masks = np.array([m for m in masks if not m & ~int(differ)], np.uint64)
-    order = np.argsort(values)
-    ordered, seen = values[order], np.zeros(len(values), bool)
-    for root in range(len(values)):
-        if seen[root]:
-            continue
-        seen[root], group, queue = True, [], [root]
-        while queue:
-            near = values[queue.pop()] ^ masks
-            at = np.minimum(np.searchsorted(ordered, near), len(ordered) - 1)
-            hit = order[at[ordered[at] == near]]
-            new = hit[~seen[hit]]
-            seen[new] = True
-            queue += new.tolist()
-            group += new.tolist()
+    rest = np.arange(len(values))
+    while len(rest) > 1:
+        root, rest, group, queue = rest[0], rest[1:], [], [rest[0]]
+        while queue and len(rest):
+            near = linked(values[rest], values[queue.pop()])
+            found, rest = rest[near], rest[~near]
+            queue += found.tolist()
+            group += found.tolist()
         if group:
             yield np.array(group), root
 
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Stars of the postings in rows sorted by key."""
+    """Stars of the postings in rows sorted by mask and value."""
     held: list[tuple[np.ndarray, ...]] = []
 
-    def stars(key, fp, rep) -> pa.RecordBatch | None:
-        if len(key) < 2:
+    def stars(mask, value, fp) -> pa.RecordBatch | None:
+        if len(fp) < 2:
             return None
-        start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        size = np.diff(np.r_[start, len(key)])
+        bits = fp.view(np.uint64)
+        start = np.flatnonzero(np.r_[True, (mask[1:] != mask[:-1]) | (value[1:] != value[:-1])])
+        size = np.diff(np.r_[start, len(fp)])
         a, b = [], []
         two = start[size == 2]
         if len(two):
-            near = linked(fp[two], fp[two + 1])
-            a.append(rep[two[near]])
-            b.append(rep[two[near] + 1])
+            near = linked(bits[two], bits[two + 1])
+            a.append(fp[two[near]])
+            b.append(fp[two[near] + 1])
         for s, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-            for group, root in _within(fp[s : s + n]):
-                a.append(rep[s + group])
-                b.append(np.full(len(group), rep[s + root]))
+            for group, root in _within(bits[s : s + n]):
+                a.append(fp[s + group])
+                b.append(np.full(len(group), fp[s + root]))
         if not a:
             return None
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
@@ -137,58 +143,90 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return tuple(np.concatenate(c) for c in zip(*held, strict=True))
 
     for batch in batches:
-        key, fp, rep = (batch.column(i).to_numpy() for i in range(3))
-        if not len(key):
+        rows = tuple(batch.column(i).to_numpy() for i in range(3))
+        if not len(rows[0]):
             continue
-        held.append((key, fp.view(np.uint64), rep))
-        if key[0] == key[-1] and key[0] == held[0][0][0]:
+        held.append(rows)
+        mask, value, fp = joined()
+        last = int(np.flatnonzero((mask == mask[-1]) & (value == value[-1]))[0])
+        if not last:
             continue  # still the same posting
-        key, fp, rep = joined()
-        last = int(np.searchsorted(key, key[-1]))
-        held = [(key[last:], fp[last:], rep[last:])]
-        if (out := stars(key[:last], fp[:last], rep[:last])) is not None:
+        held = [(mask[last:], value[last:], fp[last:])]
+        if (out := stars(mask[:last], value[:last], fp[:last])) is not None:
             yield out
     if held and (out := stars(*joined())) is not None:
         yield out
 
 
-def links(distinct: DataFrame, fp: str = "fp", rep: str = "rep") -> DataFrame:
-    """Edges (a, b) between the reps of distinct fingerprints; enough of them to connect every linked group."""
-    byte = [F.shiftrightunsigned(fp, 8 * i).bitwiseAND(255) for i in range(8)]
-    keys = [F.lit(k << 24) + byte[x] * 65536 + byte[y] * 256 + byte[z] for k, (x, y, z) in enumerate(TRIPLES)]
-    posted = distinct.select(F.explode(F.array(*keys)).alias("key"), F.col(fp).alias("fp"), F.col(rep).alias("rep"))
-    dealt = posted.repartition(parts(distinct.sparkSession), "key").sortWithinPartitions("key", "fp")
-    return map_batches(dealt, _links, "a long, b long").distinct()
+def links(distinct: DataFrame, fp: str = "fp") -> DataFrame:
+    """Edges (a, b) between distinct fingerprints; enough of them to connect every linked group."""
+    spark, masks, found = distinct.sparkSession, MASKS, []
+    table = F.explode(F.array(*(F.lit(_signed(m)) for m in masks)))
+    posted = distinct.select(table.alias("mask"), F.col(fp).alias("fp")).select("mask", F.col("mask").bitwiseAND(F.col("fp")).alias("value"), "fp")
+    while True:
+        more = sorted({(m, x) for m in masks for x in longer_masks(m)})
+        small, large = posted, None
+        if more:
+            large = staged(posted.groupBy("mask", "value").agg(F.count("*").alias("n")).where(F.col("n") > POSTING).drop("n"), "simhash-large")
+            if large.isEmpty():
+                large = None
+            else:
+                small = posted.join(large, ["mask", "value"], "left_anti")
+        dealt = small.repartition(parts(spark), "mask", "value").sortWithinPartitions("mask", "value", "fp")
+        found.append(map_batches(dealt, _links, "a long, b long"))
+        if large is None:
+            break
+        # a table of the masks, a few hundred rows whatever the documents are
+        wider = F.broadcast(spark.createDataFrame([(_signed(m), _signed(x)) for m, x in more], "mask long, wider long"))
+        posted = posted.join(large, ["mask", "value"]).join(wider, "mask").select(F.col("wider").alias("mask"), F.col("wider").bitwiseAND(F.col("fp")).alias("value"), "fp").distinct()
+        posted, masks = staged(posted, "simhash-postings"), sorted({x for _, x in more})
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
+def _grouped(df: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, digest, fp) of each row, and (fp, component, component_id); a component is named by its least fingerprint."""
+    fps = staged(fingerprints(df, id_col, text_col), "simhash")
+    nodes = staged(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-nodes")
+    named = nodes.join(components(links(nodes)), nodes["fp"] == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    named = staged(named, "simhash-components")
+    least = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    return fps, named.drop("least").join(least, "component")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, fingerprint (16 hex digits), component_id.
 
     The component is the least doc_id reachable over links, the row itself
-    included. Texts without a word have fingerprint zero and are linked like
-    any other. Rows without an id get a component only from rows with one that
-    they reach; repeated rows give a row each.
+    included. Links are between fingerprints, so rows without an id link others
+    too; a component in which no row has an id has a null component_id. Texts
+    without a word have fingerprint zero and are linked like any other. Repeated
+    rows give a row each, repeated ids with different texts belong to the
+    components of their texts. An empty table gives no rows.
     """
-    fps = staged(fingerprints(df, id_col, text_col), "simhash")
-    distinct = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    nodes = staged(distinct, "simhash-nodes")
-    groups = components(links(nodes.where("rep IS NOT NULL")))
-    named = nodes.join(groups, nodes["rep"] == groups["node"], "left")
-    named = named.select("fp", F.coalesce("component", "rep").alias("component_id"))
+    fps, named = _grouped(df, id_col, text_col)
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that stand for their components; all columns stay.
+    """One document of each component; all columns stay, whatever their names.
 
-    The row with the least id of a component stays, one row where that id
-    repeats. Rows without an id stay.
+    The row with the least id stays, of several with that id the one whose text
+    has the least digest, and one of rows alike in both. Rows without an id come
+    last: one stays where no row of the component has an id.
     """
-    found = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").groupBy(F.col("doc_id").alias("_stay")).agg(F.count("*").alias("_rows"))
-    found = staged(found, "simhash-stay")
-    # the ids that stay grow with the documents: never broadcast, whatever their size is now
-    stay = docs.join(found.hint("merge"), F.col(id_col) == F.col("_stay"))
-    once = stay.where(F.col("_rows") == 1)
-    if not found.where("_rows > 1").isEmpty():
-        once = once.unionByName(stay.where(F.col("_rows") > 1).dropDuplicates([id_col]))
-    return once.drop("_stay", "_rows").unionByName(docs.where(F.col(id_col).isNull()))
+    fps, named = _grouped(docs, id_col, text_col)
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest", "n")
+    alike = fps.join(named, "fp").groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n"))
+    stay = staged(alike.groupBy("component").agg(F.min(rank).alias("k")).select("k.none", "k.id", "k.digest", "k.n"), "simhash-stay")
+    # all columns in one, so that no name meets another
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("digest"))
+    packed = packed.select("row", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest")
+    # the rows that stay grow with the documents: never broadcast, whatever their size is now
+    kept = packed.join(stay.hint("merge"), ["none", "id", "digest"])
+    once = kept.where("n = 1")
+    if not stay.where("n > 1").isEmpty():
+        once = once.unionByName(kept.where("n > 1").dropDuplicates(["none", "id", "digest"]))
+    return once.select("row.*")

@@ -219,6 +219,20 @@ def test_expansion_against_plain_counting():
             assert (left[i], right[i]) == ((max(backs), length - min(backs)) if backs else (-1, -1))
 
 
+def test_large_intervals_meet_every_string():
+    """Each string of the length around the anchor is in one of the longer intervals, at any depth."""
+    length, around, at = 20, bytes(range(40, 74)), 15
+    strings = {s for s in range(len(around) - length + 1) if s <= at and s + length >= at + 4}
+    todo, met = [{"key": b"", "gram": 0, "reach": 0, "proof": 0, "n": 1, "before": 0, "after": 4, "at": at, "around": around}], set()
+    while todo:
+        row = todo.pop()
+        if row["before"] + row["after"] == length:
+            met.add(at - row["before"])
+            continue
+        todo += [dict(zip(row, x, strict=True)) for x in suffix.extended(row, length)]
+    assert met == strings
+
+
 def test_common_prefixes():
     rng = random.Random(13)
     for _ in range(60):
@@ -243,7 +257,7 @@ def test_anchors_over_chunks(monkeypatch):
     whole = suffix.anchors(data)
     monkeypatch.setattr(suffix, "CHUNK", 700)
     cut = suffix.anchors(data)
-    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
+    assert all((a == b).all() for a, b in zip(whole, cut, strict=True))
 
 
 # ---- chat
@@ -609,20 +623,81 @@ def plain_components(pairs):
     return [least[top(i)] for i in range(n)]
 
 
-def test_simhash(docs, empty):
-    got = rows(simhash.near_duplicates(docs))
-    pairs = [(d[0], plain_simhash(d[1])) for d in DOCS]
-    want = Counter((d, f"{fp:016x}", c) for (d, fp), c in zip(pairs, plain_components(pairs), strict=True) if d is not None)
-    assert Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in got if r["doc_id"] is not None) == want
-    assert len(got) == len(DOCS) and rows(simhash.near_duplicates(empty)) == []
-    kept = rows(simhash.keep_one(docs))
-    assert {r["doc_id"] for r in kept} - {None} == {c for _, _, c in want}
-    assert len(kept) == len({r["doc_id"] for r in kept})
+def components_wanted(data):
+    pairs = [(d[0], plain_simhash(d[1])) for d in data]
+    return Counter((d, f"{fp:016x}", c) for (d, fp), c in zip(pairs, plain_components(pairs), strict=True))
 
 
-@pytest.mark.parametrize("direct", [1 << 16, 4])
-def test_links_find_all(spark, monkeypatch, direct):
-    monkeypatch.setattr(simhash, "DIRECT", direct)
+def components_found(df):
+    return Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in rows(simhash.near_duplicates(df)))
+
+
+def test_simhash(docs, empty):
+    assert components_found(docs) == components_wanted(DOCS)
+    assert rows(simhash.near_duplicates(empty)) == rows(simhash.keep_one(empty)) == []
+    kept = rows(simhash.keep_one(docs))
+    pairs = [(d[0], plain_simhash(d[1])) for d in DOCS]
+    groups = defaultdict(set)
+    for (d, fp), c in zip(pairs, plain_components(pairs), strict=True):
+        groups[c].add(fp)
+    assert len(kept) == len(groups) and {r["doc_id"] for r in kept} == set(groups)
+
+
+def near_texts(n=3000, seed=21):
+    """Three texts whose fingerprints link first to second and second to third, but not first to third."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(500)}" for _ in range(120)]
+    found = {}
+    for _ in range(n):
+        words = list(base)
+        for _ in range(rng.randint(1, 4)):
+            words[rng.randrange(120)] = f"v{rng.randrange(900)}"
+        found[plain_simhash(" ".join(words))] = " ".join(words)
+    far = lambda a, b: (a ^ b).bit_count()
+    for b in found:
+        near = [x for x in found if 0 < far(x, b) <= 3]
+        for a in near:
+            for c in near:
+                if far(a, c) > 3:
+                    return found[a], found[b], found[c]
+
+
+def test_rows_without_an_id_link_others(spark):
+    a, b, c = near_texts()
+    schema = "doc_id long, text string, _rows int, _stay string, none string, digest int, n int, row string, `a.b` int"
+    wrap = lambda data: spark.createDataFrame([(*d, 1, "s", "t", 2, 3, "r", 4) for d in data], schema)
+    for data in ([(1, a), (None, b), (3, c)], [(None, a), (None, b), (9, "other words of a text")], [(5, a), (5, c), (4, b)], [(None, None), (None, ""), (2, " "), (None, "alone")], [(7, a), (7, a), (None, c)]):
+        df = wrap(data)
+        assert components_found(df) == components_wanted(data)
+        pairs = [(d, plain_simhash(t)) for d, t in data]
+        groups, top = defaultdict(list), {}
+        for i, (_, fp) in enumerate(pairs):
+            linked = {top[j] for j in range(i) if (pairs[j][1] ^ fp).bit_count() <= 3}
+            top = {j: min(linked | {i}) if t in linked else t for j, t in top.items()} | {i: min(linked | {i})}
+        for i, t in top.items():
+            groups[t].append(pairs[i][0])
+        kept = simhash.keep_one(df)
+        assert kept.columns == df.columns
+        assert Counter(r["doc_id"] for r in rows(kept)) == Counter(min((d for d in g if d is not None), default=None) for g in groups.values())
+
+
+def test_masks_meet_every_linked_pair():
+    rng = random.Random(5)
+    levels = [simhash.MASKS]
+    while more := sorted({x for m in levels[-1] for x in simhash.longer_masks(m)}):
+        levels.append(more)
+    assert len(levels) == 4 and all(64 - m.bit_count() <= 14 for m in levels[-1])
+    for _ in range(400):
+        differ = sum(1 << b for b in rng.sample(range(64), rng.randint(0, 3)))
+        met = [m for m in simhash.MASKS if not m & differ]
+        assert met
+        for _ in range(3):
+            met = [next(x for x in simhash.longer_masks(m) if not x & differ) for m in met]
+
+
+@pytest.mark.parametrize("posting", [1 << 12, 4])
+def test_links_find_all(spark, monkeypatch, posting):
+    monkeypatch.setattr(simhash, "POSTING", posting)
     rng = random.Random(4)
     seeds, fps = [rng.getrandbits(64) for _ in range(6)], set()
     for s in seeds:
@@ -631,8 +706,9 @@ def test_links_find_all(spark, monkeypatch, direct):
             for _ in range(rng.randint(0, 9)):
                 x ^= 1 << rng.choice([rng.randrange(64), rng.randrange(12)])
             fps.add(x)
-    pairs = list(enumerate(fps))
-    df = spark.createDataFrame([(d, fp - (1 << 64) if fp >> 63 else fp) for d, fp in pairs], "rep long, fp long")
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    pairs = [(signed(fp), fp) for fp in sorted(fps)]
+    df = spark.createDataFrame([(x,) for x, _ in pairs], "fp long").repartition(3)
     from leafmill.llm.components import components
 
     found = {r["node"]: r["component"] for r in rows(components(simhash.links(df)))}
