@@ -4,8 +4,9 @@ A byte goes if a string of `length` bytes that covers it starts at any other
 place too. Equal strings of that length have the same anchor: the k-gram with
 the least hash among those inside them, the leftmost of equal ones. So only
 places that share an anchor's k-gram need comparing. The surroundings of an
-anchor - all that a string of the length through it can cover - are dealt out
-by k-gram, and a task takes whole k-grams, a block of them at a time.
+anchor - all strings of the length that have it as theirs - are dealt out by
+k-gram, and a task takes whole k-grams, a block of them at a time. Bytes at
+their ends that no other place of the k-gram continues with are cut off.
 
 The surroundings of a block are one text, each closed by an end mark. Its
 Burrows-Wheeler transform has a wavelet matrix that gives the rank of each
@@ -18,9 +19,9 @@ Common prefixes are thus found by increasing value, and rounds stop at
 sorted no deeper than that.
 
 An interval with more than GROUP surroundings is no task's work: it is shuffled
-again by what it can be extended to, half of the missing bytes behind it or the
-rest and one more before it, until it has fewer places or is `length` bytes
-long. Each string that it may hold reaches one of the two.
+again by what it can be extended to: so many of the missing bytes behind it and
+so many before it, in WAYS ways of which each string that it may hold meets one,
+until it has fewer places or is `length` bytes long.
 
 Surroundings that are equal by 128 bits of BLAKE2b are extended once; they are
 repeated wherever they stand. Equal texts are extended once too.
@@ -41,7 +42,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dropped, map_batches, open_shared, parts, staged
+from .common import map_batches, open_shared, parts, staged
 
 LENGTH = 200
 #: Bytes hashed at a time; windows reach over the cuts.
@@ -50,6 +51,8 @@ CHUNK = 1 << 23
 GROUP = 1 << 10
 #: Surroundings in one transform, as whole intervals.
 BLOCK = 1 << 12
+#: Extensions of an interval that is too large.
+WAYS = 4
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _AT_BITS = 24
@@ -84,14 +87,14 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return _mix(h)
 
 
-def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of the anchors of all strings of the length, ascending."""
+def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places and hashes of the anchors of all strings of the length, ascending, and where the first string of each starts."""
     k = gram_bytes(length)
     if len(data) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
     raw = np.frombuffer(data, np.uint8)
     window = length - k + 1
-    places, found = [], []
+    places, found, starts = [], [], []
     for at in range(0, len(raw) - length + 1, CHUNK):
         part = raw[at : at + CHUNK + length - 1]
         h = gram_hashes(part, k)
@@ -102,13 +105,14 @@ def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
             n *= 2
         if n < window:
             key = np.minimum(key[: n - window], key[window - n :])
-        here = key[np.r_[True, key[1:] != key[:-1]]] & np.uint64((1 << _AT_BITS) - 1)
-        here = here.astype(np.int64)
+        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        here = (key[first] & np.uint64((1 << _AT_BITS) - 1)).astype(np.int64)
         places.append(here + at)
         found.append(h[here])
-    places, found = np.concatenate(places), np.concatenate(found)
-    places, first = np.unique(places, return_index=True)
-    return places, found[first]
+        starts.append(first + at)
+    places, found, starts = map(np.concatenate, (places, found, starts))
+    places, one = np.unique(places, return_index=True)
+    return places, found[one], starts[one]
 
 
 def _digest(data: bytes, left: int, right: int) -> bytes:
@@ -116,11 +120,12 @@ def _digest(data: bytes, left: int, right: int) -> bytes:
     return hashlib.blake2b(data, digest_size=16, salt=struct.pack("<QQ", left, right)).digest()
 
 
-def reach_digests(data: bytes, places: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Two longs for each anchor: a digest of its surroundings, clipped sides told apart."""
-    side, n = length - gram_bytes(length), len(data)
-    out = b"".join(_digest(data[max(0, p - side) : p + length], min(p, side), min(n - p, length)) for p in places.tolist())
-    return np.frombuffer(out, "<i8").reshape(-1, 2)
+def surroundings(data: bytes, places: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How far the strings of each anchor reach before it and from it on, and two longs with a digest of these bytes."""
+    ends = np.r_[starts[1:] - 1 + length, [len(data)] * min(1, len(starts))].astype(np.int64)
+    before, after = places - starts, ends - places
+    out = b"".join(_digest(data[a:b], x, y) for a, b, x, y in zip(starts.tolist(), ends.tolist(), before.tolist(), after.tolist(), strict=True))
+    return before, after, np.frombuffer(out, "<i8").reshape(-1, 2)
 
 
 # ---- the transform of a block
@@ -128,20 +133,27 @@ def reach_digests(data: bytes, places: np.ndarray, length: int = LENGTH) -> np.n
 def suffix_order(codes: np.ndarray, depth: int) -> np.ndarray:
     """Suffixes in the order of their first `depth` symbols at least, by doubling; the end counts as 0."""
     n, bits = len(codes), max(1, int(codes.max()).bit_length())
-    width = min(63 // bits, depth)
+    digits = n.bit_length()
+    packed = 3 * digits <= 63
+    # two ranks and the place fit in one number up to two million symbols: sorting numbers is faster than sorting places
+    width = min(((63 - digits) if packed else 63) // bits, depth)
     key, padded = np.zeros(n, np.int64), np.r_[codes.astype(np.int64), np.zeros(width, np.int64)]
     for i in range(width):
         key = key << bits | padded[i : i + n]
     while True:
-        order = np.argsort(key)
-        sorted_key = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(np.r_[False, sorted_key[1:] != sorted_key[:-1]])
-        if width >= depth or rank[order[-1]] == n - 1:
+        if packed:
+            key = np.sort(key << digits | np.arange(n))
+            order, key = key & (1 << digits) - 1, key >> digits
+        else:
+            order = np.argsort(key)
+            key = key[order]
+        number = np.cumsum(np.r_[False, key[1:] != key[:-1]])
+        if width >= depth or number[-1] == n - 1:
             return order
-        behind = np.zeros(n, np.int64)
+        rank, behind = np.empty(n, np.int64), np.zeros(n, np.int64)
+        rank[order] = number
         behind[: n - width] = rank[width:] + 1
-        key, width = rank * (n + 1) + behind, 2 * width
+        key, width = rank << digits | behind if packed else rank * (n + 1) + behind, 2 * width
 
 
 class Transform:
@@ -193,6 +205,26 @@ class Transform:
         return common[:-1]
 
 
+def shared_ends(around: list[bytes], at: np.ndarray, interval: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many bytes before each anchor, and from it on, any other place of its interval has too."""
+
+    def longest(sides: list[bytes]) -> np.ndarray:
+        size = np.array([len(x) for x in sides], np.int64)
+        width = max(1, int(size.max()))
+        rows = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in sides), np.uint8).reshape(-1, width)
+        # the place that shares most is next to it in order, the shorter of equal ones first
+        order = np.lexsort((size, rows.view(f"S{width}").ravel(), interval))
+        rows, size, of = rows[order], size[order], interval[order]
+        same = rows[1:] == rows[:-1]
+        common = np.where(same.all(axis=1), width, same.argmin(axis=1))
+        common = np.where(of[1:] == of[:-1], np.minimum(common, np.minimum(size[1:], size[:-1])), 0)
+        out = np.empty(len(order), np.int64)
+        out[order] = np.maximum(np.r_[common, 0], np.r_[0, common])
+        return out
+
+    return longest([x[:n][::-1] for x, n in zip(around, at.tolist(), strict=True)]), longest([x[n:] for x, n in zip(around, at.tolist(), strict=True)])
+
+
 def expand(around: list[bytes], at: np.ndarray, interval: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """How far repeated strings reach around each anchor: bytes before it and bytes from it on; (-1, -1) without one.
 
@@ -201,10 +233,16 @@ def expand(around: list[bytes], at: np.ndarray, interval: np.ndarray, length: in
     same interval, as many bytes before it: neighbouring anchors of a text have
     bytes in common, but never at the same distance.
     """
-    m, size = len(around), np.array([len(x) for x in around], np.int64)
-    left, right = np.full(m, -1), np.full(m, -1)
-    if m < 2 or size.max() < length:
+    left, right = np.full(len(around), -1), np.full(len(around), -1)
+    if len(around) < 2:
+        return left, right
+    before, after = shared_ends(around, at, interval, length)
+    live = np.flatnonzero(before + after >= length)
+    if not len(live):
         return left, right
+    around = [around[i][at[i] - before[i] : at[i] + after[i]] for i in live.tolist()]
+    at, interval, m = before[live], interval[live], len(live)
+    size = at + after[live]
     raw = np.frombuffer(b"".join(around), np.uint8)
     seen = np.bincount(raw, minlength=256) > 0
     codes = np.zeros(len(raw) + m, np.uint16)
@@ -221,8 +259,8 @@ def expand(around: list[bytes], at: np.ndarray, interval: np.ndarray, length: in
     owner, back, run = owner[order], back[order], run[order]
     same = (run[1:] == run[:-1]) & (back[1:] == back[:-1]) & (interval[owner][1:] == interval[owner][:-1])
     hit = np.r_[same, False] | np.r_[False, same] if len(owner) else np.zeros(0, bool)
-    np.maximum.at(left, owner[hit], back[hit])
-    np.maximum.at(right, owner[hit], length - back[hit])
+    np.maximum.at(left, live[owner[hit]], back[hit])
+    np.maximum.at(right, live[owner[hit]], length - back[hit])
     return left, right
 
 
@@ -241,57 +279,57 @@ def _batch(out: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _store(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """Texts, squeezed, with the places, k-gram hashes and surroundings' digests of their anchors, as a table in the shared folder.
-
-    A uid is the number of the task that wrote the row and the row's number in it.
-    """
+    """Texts, squeezed, with their anchors, k-gram hashes and digests of surroundings, as a table in the shared folder."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    schema = "uid long, doc_id long, n_bytes long, body binary, pos array<int>, gram array<long>, reach array<long>, proof array<long>"
+    schema = "doc_id long, body binary, pos array<int>, before array<short>, after array<short>, gram array<long>, reach array<long>, proof array<long>"
+    kinds = (np.int32, np.int16, np.int16, np.int64, np.int64, np.int64) if length < 1 << 15 else (np.int32,) * 3 + (np.int64,) * 3
+    if length >= 1 << 15:
+        schema = schema.replace("short", "int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze, uid = zstandard.ZstdCompressor(level=3), TaskContext.get().partitionId() << 32
+        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            out = []
+            bodies, lists = [], []
             for text in batch.column(1).to_pylist():
                 data = text or b""
-                places, grams = anchors(data, length)
-                digests = reach_digests(data, places, length)
-                out.append((uid, len(data), squeeze.compress(data), places.astype(np.int32), grams.view(np.int64), digests[:, 0], digests[:, 1]))
-                uid += 1
-            if not out:
+                places, grams, starts = anchors(data, length)
+                before, after, digests = surroundings(data, places, starts, length)
+                bodies.append(squeeze.compress(data))
+                lists.append((places, before, after, grams.view(np.int64), digests[:, 0], digests[:, 1]))
+            if not bodies:
                 continue
-            uids, sizes, bodies, *lists = zip(*out, strict=True)
-            offsets = pa.array(np.r_[0, np.cumsum([len(x) for x in lists[0]])].astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x))) for x in lists]
-            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), batch.column(0), pa.array(sizes, pa.int64()), pa.array(bodies, pa.binary()), *lists], names=_names(schema))
+            offsets = pa.array(np.r_[0, np.cumsum([len(x[0]) for x in lists])].astype(np.int32))
+            columns = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(kind))) for x, kind in zip(zip(*lists, strict=True), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary()), *columns], names=_names(schema))
 
     return staged(map_batches(rows, run, schema), "suffix")
 
 
 def _file_rows(path: str, columns: list[str]) -> Iterator[dict]:
-    """The rows of one file of the stored table, in the order of their uid."""
+    """The rows of one file of the stored table, in their order."""
     with open_shared(path, "rb") as file:
         for batch in pq.ParquetFile(file).iter_batches(batch_size=128, columns=columns):
             yield from batch.to_pylist()
 
 
 def _by_file(rows: DataFrame, stored: DataFrame) -> DataFrame:
-    """Rows (uid, pos, ...) in order behind a head row with the path of their file; all of a file in one task.
+    """Rows (file, place, ...) in order behind a head row with the path of their file; all of a file in one task."""
+    heads = stored.select(F.col("_metadata.file_path").alias("path")).distinct().select("path", F.xxhash64("path").alias("file"), F.lit(-1).cast("long").alias("place"))
+    every = rows.unionByName(heads, allowMissingColumns=True)
+    return every.repartition(parts(rows.sparkSession), "file").sortWithinPartitions("file", "place")
 
-    A task of the stored table may have written any number of files; each holds
-    uids from its first to its last.
-    """
-    files = stored.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("uid").alias("first"), F.max("uid").alias("last"))
-    ranges = files.select("first", "last", F.shiftrightunsigned("first", 32).alias("task"))
-    placed = rows.withColumn("task", F.shiftrightunsigned("uid", 32)).join(ranges, "task").where("uid >= first AND uid <= last").drop("task", "last")
-    heads = files.select("file", "first", F.col("first").alias("uid"), F.lit(-1).alias("pos"))
-    return placed.unionByName(heads, allowMissingColumns=True).repartition(parts(rows.sparkSession), "first").sortWithinPartitions("first", "uid", "pos")
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[tuple[int, int, dict]]]]:
+    """Paths of files, each with its places as (row of the file, place in its text, rest)."""
+
+    def places(rows: Iterator[dict]) -> Iterator[tuple[int, int, dict]]:
+        for r in rows:
+            if r["place"] < 0:
+                raise RuntimeError("two files of the stored table have the same hash of their paths; run it again")
+            yield r["place"] >> 32, r["place"] & 0xFFFFFFFF, r
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[dict]]]:
-    """Paths of files, each with its rows."""
-    for _, rows in groupby((row for b in batches for row in b.to_pylist()), key=lambda r: r["first"]):
-        yield next(rows)["file"], rows
+    for _, rows in groupby((row for b in batches for row in b.to_pylist()), key=lambda r: r["file"]):
+        yield next(rows)["path"], places(rows)
 
 
 _CONTEXT = "key binary, gram long, reach long, proof long, n long, before int, after int, at int, around binary"
@@ -299,20 +337,18 @@ _CONTEXT = "key binary, gram long, reach long, proof long, n long, before int, a
 
 def _contexts(frontier: DataFrame, stored: DataFrame, length: int) -> DataFrame:
     """The bytes around each place, read from the stored table's files: each file goes to one task, no text is shuffled."""
-    side, k = length - gram_bytes(length), gram_bytes(length)
+    k = gram_bytes(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unsqueeze, out = zstandard.ZstdDecompressor(), []
         for path, places in _runs(batches):
-            texts, here = _file_rows(path, ["uid", "body"]), None
-            for p in places:
-                while here is None or here["uid"] < p["uid"]:
-                    here, data = next(texts), None
-                if data is None:
+            texts, at, data = enumerate(_file_rows(path, ["body"])), -1, b""
+            for row, pos, p in places:
+                if at < row:
+                    while at < row:
+                        at, here = next(texts)
                     data = unsqueeze.decompress(here["body"])
-                at = p["pos"]
-                low = max(0, at - side)
-                out.append((struct.pack("<q", p["gram"]), p["gram"], p["reach"], p["proof"], p["n"], 0, k, at - low, data[low : at + length]))
+                out.append((struct.pack("<q", p["gram"]), p["gram"], p["reach"], p["proof"], p["n"], 0, k, p["before"], data[pos - p["before"] : pos + p["after"]]))
                 if len(out) == 4096:
                     yield _batch(out, _CONTEXT)
                     out = []
@@ -355,16 +391,19 @@ def _resolve(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def extended(row: dict, length: int) -> Iterator[tuple]:
-    """A place of a too large interval in the intervals that its strings reach: further behind, or further before.
+    """A place of a too large interval in the longer intervals that its strings can be in.
 
     `before` and `after` are the bytes of the interval's string before the
-    anchor and from it on. Bytes out of reach of the longer string are cut off.
+    anchor and from it on. Of its missing bytes a string has so many behind it:
+    the way is the range that this number is in. Bytes out of reach of the
+    longer string are cut off.
     """
     at, around = row["at"], row["around"]
     missing = length - row["before"] - row["after"]
-    behind = (missing + 1) // 2
-    for before, after in ((row["before"], row["after"] + behind), (row["before"] + missing - behind + 1, row["after"])):
-        if before <= at and at + after <= len(around):
+    bounds = [(missing + 1) * i // WAYS for i in range(WAYS + 1)]
+    for least, over in zip(bounds, bounds[1:], strict=False):
+        before, after = row["before"] + missing - over + 1, row["after"] + least
+        if least < over and before <= at and at + after <= len(around):
             low = max(0, at - (length - after))
             key = _digest(around[at - before : at + after], before, after)
             yield key, row["gram"], row["reach"], row["proof"], row["n"], before, after, at - low, around[low : at + length - before]
@@ -381,7 +420,7 @@ def _split(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _resolve_large(contexts: DataFrame, length: int) -> list[DataFrame]:
-    """The same for intervals of more than GROUP places. A round halves the bytes that they miss."""
+    """The same for intervals of more than GROUP places. A round leaves a quarter of the bytes that they miss."""
     out = []
     while True:
         rows = staged(_split(contexts, length), "suffix-split")
@@ -396,26 +435,30 @@ def _resolve_large(contexts: DataFrame, length: int) -> list[DataFrame]:
 
 
 def repeated_spans(stored: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(uid, pos, until): byte ranges covered by repeated strings; they may overlap."""
-    side, pair = length - gram_bytes(length), ["gram", "reach", "proof"]
-    places = stored.select("uid", "n_bytes", F.inline(F.arrays_zip("pos", *pair)))
-    around = places.groupBy(*pair).agg(F.count("*").alias("n"), F.min("uid").alias("uid"), F.min_by("pos", "uid").alias("pos"))
+    """(file, place, before, after): byte ranges around places that repeated strings cover; they may overlap.
+
+    A file is a hash of its path, a place the row in its file above 32 bits with the place in the text.
+    """
+    pair = ["gram", "reach", "proof"]
+    lists = stored.select(F.xxhash64("_metadata.file_path").alias("file"), F.shiftleft(F.col("_metadata.row_index"), 32).alias("row"), F.inline(F.arrays_zip("pos", "before", "after", *pair)))
+    places = lists.select("file", (F.col("row") + F.col("pos")).alias("place"), "before", "after", *pair)
+    # before and after are the same in all places with one digest
+    around = places.groupBy(*pair).agg(F.count("*").alias("n"), F.min("file").alias("file"), F.min_by("place", "file").alias("place"), F.max("before").cast("int").alias("before"), F.max("after").cast("int").alias("after"))
     grams = around.groupBy("gram").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("single"))
-    around = around.join(grams.where("m > single OR m > 1"), "gram").where("n > 1 OR m > 1").select(*pair, "n", "m", (F.col("single") > 0).alias("single"), "uid", "pos")
+    around = around.join(grams.where("m > single OR m > 1"), "gram").where("n > 1 OR m > 1").select(*pair, "n", "m", (F.col("single") > 0).alias("single"), "file", "place", "before", "after")
     around = staged(around, "suffix-around")
     frontier = around.where("m > 1 AND single").drop("single")
     found = [_resolve(_contexts(frontier.where(F.col("m") <= GROUP).drop("m"), stored, length), length)]
     large = frontier.where(F.col("m") > GROUP).drop("m")
     if not large.isEmpty():
         found += _resolve_large(_contexts(large, stored, length), length)
-    # surroundings that stand twice are repeated as far as they reach
-    found.append(around.where("n > 1").select(*pair, F.lit(side).alias("before"), F.lit(length).alias("after")))
+    # surroundings that stand twice are repeated as a whole
+    found.append(around.where("n > 1").select(*pair, "before", "after"))
     verdicts = found[0]
     for x in found[1:]:
         verdicts = verdicts.unionByName(x)
     verdicts = staged(verdicts.groupBy(*pair).agg(F.max("before").alias("before"), F.max("after").alias("after")), "suffix-verdicts")
-    spans = places.join(verdicts, pair)
-    return spans.select("uid", F.greatest(F.lit(0), F.col("pos") - F.col("before")).cast("int").alias("pos"), F.least(F.col("n_bytes"), F.col("pos") + F.col("after")).cast("int").alias("until"))
+    return places.drop("before", "after").join(verdicts, pair).select("file", "place", "before", "after")
 
 
 class Cut:
@@ -452,10 +495,10 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         unsqueeze, out, held = zstandard.ZstdDecompressor(), [], 0
         for path, ranges in _runs(batches):
             pending = next(ranges, None)
-            for row in _file_rows(path, ["uid", "doc_id", "body"]):
+            for at, row in enumerate(_file_rows(path, ["doc_id", "body"])):
                 cut = Cut(unsqueeze.decompress(row["body"]))
-                while pending is not None and pending["uid"] == row["uid"]:
-                    cut.remove(pending["pos"], pending["until"])
+                while pending is not None and pending[0] == at:
+                    cut.remove(pending[1] - pending[2]["before"], pending[1] + pending[2]["after"])
                     pending = next(ranges, None)
                 kept = cut.rest()
                 out.append((row["doc_id"], len(cut.data), cut.removed, cut.n_spans, hashlib.sha256(kept).hexdigest(), *((kept,) if with_text else ())))
