@@ -579,6 +579,23 @@ def test_packing(docs, empty, encode):
     assert rows(packing.pack(empty)) == []
 
 
+@pytest.mark.parametrize("longest", [30, 400, 1900, 9000])
+def test_packer_keeps_documents_whole(longest):
+    """Every id once and in order, no padding, and few documents cut that fit."""
+    rng = random.Random(longest)
+    sizes = [1 + int(longest * rng.random() ** 2) for _ in range(1500)] + [2048, 1, 4096, 2049] * (longest > 2048)
+    packer, found, seqs = packing.Packer(3), defaultdict(list), defaultdict(int)
+    ids = [np.arange(n, dtype="<u4").tobytes() for n in sizes]
+    for doc, start, n, data, total, seq, at in [r for i, x in enumerate(ids) for r in packer.add(i, x)] + list(packer.finish()):
+        assert at == seqs[seq] and n * 4 == len(data) and total == sizes[doc] and seq >= 3 * packing.WORKER_STEP
+        seqs[seq] += n
+        found[doc].append((start, data))
+    assert all(b"".join(d for _, d in sorted(found[i])) == x and sorted(found[i])[0][0] == 0 for i, x in enumerate(ids))
+    assert all(n == 2048 or n & (n - 1) == 0 for n in seqs.values()) and sum(n < 2048 for n in seqs.values()) < 12
+    fitting = [i for i, n in enumerate(sizes) if n <= 2048]
+    assert sum(len(found[i]) == 1 for i in fitting) >= 0.9 * len(fitting)
+
+
 def test_packed_ids_give_the_texts_back(docs, encode):
     by = defaultdict(list)
     for r in rows(packing.pack(docs)):
