@@ -3,8 +3,12 @@
 Calls and results are joined by identifier, put in an order in which a result
 stands behind its call and a call behind the results that its arguments refer
 to, checked against argument schemas, and written as canonical JSON (sorted
-keys, no spaces, UTF-8, shortest numbers). Rows stay one for each message, so
-a conversation with most of the rows is never in one task.
+keys, no spaces, UTF-8, shortest numbers). Rows stay one for each message, and
+messages that neither call nor answer are joined to nothing, so a conversation
+with most of the rows is never in one task.
+
+The order takes rounds that double the reach of a chain of calls and results,
+then one round for each layer of calls that wait for several results.
 """
 
 from __future__ import annotations
@@ -17,14 +21,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, staged
+from .common import dropped, map_batches, staged
 
 #: Schemas by tool name; only the keywords that check() knows.
 SCHEMAS = {
     "reply": {
         "type": "object",
         "required": ["prompt", "turn"],
-        "properties": {"prompt": {"type": "string", "minLength": 1}, "turn": {"type": "integer", "minimum": 0}, "system": {"type": "boolean"}},
+        "properties": {
+            "prompt": {"type": "string", "minLength": 1, "maxLength": 1000},
+            "turn": {"type": "integer", "minimum": 0},
+            "context": {"type": "string", "pattern": "^\\$result:"},
+            "system": {"type": "boolean"},
+        },
         "additionalProperties": False,
     },
 }
@@ -139,7 +148,8 @@ def turns_as_calls(df: DataFrame) -> DataFrame:
 
     A user's turn calls, the assistant's next turn is the result. The identifier
     is the calling turn's number, `by_turn` keeps it apart from identifiers that
-    messages name; other turns stay messages.
+    messages name. From turn 2 on a call's argument `context` refers to the
+    result of the call two turns before. Other turns stay messages.
     """
     df = df.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     # only texts that begin like a JSON object can hold a call
@@ -149,14 +159,15 @@ def turns_as_calls(df: DataFrame) -> DataFrame:
     rows = plain.unionByName(parse_messages(df.where(json_like)))
     left = F.col("kind") == "message"
     asks, answers = left & F.coalesce(F.col("role") == "user", F.lit(False)), left & F.coalesce(F.col("role") == "assistant", F.lit(False))
-    args = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), "turn"))
+    earlier = F.when(F.col("turn") >= 2, (F.col("turn") - 2).cast("string"))
+    args = F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("prompt"), "turn", F.concat(F.lit("$result:"), earlier).alias("context")))
     return rows.select(
         "conv_id", "turn", "part", "role", "text",
         F.when(asks, "call").when(answers, "result").otherwise(F.col("kind")).alias("kind"),
         F.when(asks, F.col("turn").cast("string")).when(answers, (F.col("turn") - 1).cast("string")).otherwise(F.col("call_id")).alias("call_id"),
         F.when(asks, "reply").otherwise(F.col("name")).alias("name"),
         F.when(asks, args).otherwise(F.col("arguments")).alias("arguments"),
-        "refs", (asks | answers).alias("by_turn"),
+        F.when(asks & earlier.isNotNull(), F.array(earlier)).otherwise(F.col("refs")).alias("refs"), (asks | answers).alias("by_turn"),
     )
 
 
@@ -170,73 +181,104 @@ def link(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     identifier the first by (turn, part) counts, the others are `repeated`;
     a call may have several results. (place, level) orders a conversation: the
     turn, or that of what must come before it if that is later, then the depth
-    of such dependencies. Ties keep (turn, part). A null conversation, turn or
-    identifier is linked to nothing. Where messages have a column `by_turn`,
-    identifiers are compared within each of its values.
+    of such dependencies. Ties keep (turn, part). faults: what check() says of
+    a call's arguments, then references to results that are not there. A null
+    conversation, turn or identifier is linked to nothing; repeated rows give a
+    row each; an empty table gives none. Where messages have a column
+    `by_turn`, identifiers are compared within each of its values.
     """
     if "by_turn" not in messages.columns:
         messages = messages.withColumn("by_turn", F.lit(False))
     key = ["conv_id", "by_turn", "call_id"]
     rows = staged(messages.withColumn("uid", F.monotonically_increasing_id()), "chat")
     # identifiers only; texts and arguments are joined to the outcome once, at the end
-    slim = rows.select("uid", "conv_id", "turn", "part", "kind", "by_turn", "call_id", "refs")
-    results = slim.where("kind = 'result'")
-    calls = slim.where("kind = 'call' AND call_id IS NOT NULL AND conv_id IS NOT NULL")
-    firsts = calls.groupBy(*key).agg(F.min(F.struct("turn", "part", "uid")).alias("f")).select(*key, F.col("f.uid").alias("call_uid"))
+    slim = rows.where("kind <> 'message'").select("uid", "conv_id", "turn", "part", "kind", "by_turn", "call_id", "refs")
+    named = slim.where("call_id IS NOT NULL AND conv_id IS NOT NULL")
+    results = named.where("kind = 'result'")
+    firsts = named.where("kind = 'call'").groupBy(*key).agg(F.min(F.struct("turn", "part", "uid")).alias("f")).select(*key, F.col("f.uid").alias("call_uid"))
     answered = results.groupBy(*key).agg(F.count("*").alias("answers"))
-    out = slim.join(firsts, key, "left").join(answered, key, "left")
     status = (
-        F.when(F.col("kind") == "message", "message")
-        .when(F.col("kind") == "result", F.when(F.col("call_uid").isNull(), "orphan").otherwise("linked"))
+        F.when(F.col("kind") == "result", F.when(F.col("call_uid").isNull(), "orphan").otherwise("linked"))
         .when(F.col("call_uid") != F.col("uid"), "repeated")
         .when(F.col("answers").isNull(), "open")
         .otherwise("linked")
     )
-    out = out.select("uid", status.alias("status"))
+    out = named.join(firsts, key, "left").join(answered, key, "left").select("uid", status.alias("status"))
     # what must come before: a result's call, a call's referred results
     after_call = results.join(firsts, key).select("uid", F.col("call_uid").alias("before"))
     refs = slim.where("kind = 'call'").select("uid", "conv_id", "by_turn", F.explode("refs").alias("call_id"))
     after_result = refs.join(results.select(*key, F.col("uid").alias("before")), key).select("uid", "before")
-    order, cyclic = _order(slim.select("uid", F.coalesce("turn", F.lit(-1)).alias("place")), staged(after_call.unionByName(after_result), "chat-edges"))
-    out = out.join(order, "uid", "left")
-    if cyclic is not None:
-        out = out.join(cyclic.withColumn("loops", F.lit(True)), "uid", "left").withColumn("status", F.when(F.col("loops"), "cyclic").otherwise(F.col("status"))).drop("loops")
-    out = rows.drop("refs").join(out, "uid")
-    out = out.select("conv_id", "turn", "part", "role", "text", "kind", "call_id", "name", "arguments", "status", F.coalesce("place", "turn").alias("place"), F.coalesce("level", F.lit(0)).alias("level"))
+    missing = refs.join(answered, key, "left_anti").groupBy("uid").agg(F.sort_array(F.collect_set("call_id")).alias("missing"))
+    edges = staged(after_call.unionByName(after_result).distinct(), "chat-edges")
+    order = _order(slim.select("uid", F.coalesce("turn", F.lit(-1)).alias("place")), edges)
+    out = slim.select("uid").join(out, "uid", "left").join(order, "uid", "left").join(missing, "uid", "left")
+    out = rows.drop("refs").join(out, "uid", "left")
+    alone = F.when(F.col("kind") == "message", "message").when(F.col("kind") == "result", "orphan").otherwise("open")
+    out = out.select(
+        "conv_id", "turn", "part", "role", "text", "kind", "call_id", "name", "arguments",
+        F.when(F.col("cyclic"), "cyclic").otherwise(F.coalesce("status", alone)).alias("status"),
+        F.when(F.col("place") >= 0, F.col("place")).otherwise(F.col("turn")).alias("place"), F.coalesce("level", F.lit(0)).alias("level"), "missing",
+    )
     return _serialise(out, schemas)
 
 
-def _order(places: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """(uid, place, level), and the rows on or behind a cycle if there are any.
+def _chains(places: DataFrame, edges: DataFrame) -> DataFrame:
+    """(uid, head, place, steps, done) of the rows that have one predecessor.
 
-    Kahn's algorithm by rounds: each round places the rows whose predecessors
-    all have a place. Rounds are as many as the longest chain of calls that
-    refer to results that refer to calls.
+    Each round a row takes over how far the row it points to has come, so the
+    reach doubles. The head is the first row behind a chain that has no
+    predecessor or several; `place` is the latest of the chain's, without the
+    head's. Rows that are not done when a round brings none forward are on a
+    cycle of such rows or behind one.
     """
-    degree = edges.groupBy("uid").agg(F.count("*").alias("n"))
-    done = staged(places.join(degree, "uid", "left_anti").select("uid", "place", F.lit(0).alias("level")), "chat-order")
+    single = edges.groupBy("uid").agg(F.count("*").alias("n"), F.min("before").alias("head")).where("n = 1").drop("n")
+    state = staged(single.join(places, "uid").withColumns({"steps": F.lit(1).cast("long"), "done": F.lit(False)}), "chat-chains")
+    left = None
+    while True:
+        to_do = state.where("NOT done").count()
+        if not to_do or to_do == left:
+            return state
+        left = to_do
+        ahead = state.select(F.col("uid").alias("a_uid"), F.col("head").alias("a_head"), F.col("place").alias("a_place"), F.col("steps").alias("a_steps"), F.col("done").alias("a_done"))
+        moved = state.where("NOT done").join(ahead, F.col("head") == F.col("a_uid"), "left").select(
+            "uid", F.coalesce("a_head", "head").alias("head"), F.greatest("place", "a_place").alias("place"),
+            (F.col("steps") + F.coalesce("a_steps", F.lit(0))).alias("steps"), F.coalesce("a_done", F.lit(True)).alias("done"),
+        )
+        fresh = staged(state.where("done").unionByName(moved), "chat-chains")
+        dropped(state)
+        state = fresh
+
+
+def _order(places: DataFrame, edges: DataFrame) -> DataFrame:
+    """(uid, place, level, cyclic) of all rows; those on or behind a cycle have neither place nor level."""
+    heads = places.join(edges.select("uid").distinct(), "uid", "left_anti").withColumn("level", F.lit(0).cast("long"))
     if edges.isEmpty():
-        return done, None
-    level, fresh, all_done = 0, done, [done]
-    left = staged(edges.select("uid", "before").distinct(), "chat-left")
-    waiting = left.withColumn("p_place", F.lit(None).cast("long"))
+        return heads.select("uid", "place", F.col("level").cast("int"), F.lit(False).alias("cyclic"))
+    chains = _chains(places, edges)
+    several = edges.join(edges.groupBy("uid").agg(F.count("*").alias("n")).where("n > 1"), "uid")
+    fresh, found, waits = staged(heads, "chat-order"), [], not several.isEmpty()
+    waiting = several.select("uid", "before", "n").withColumns({"b_place": F.lit(None).cast("long"), "b_level": F.lit(None).cast("long")})
     while True:
-        # the latest place of predecessors so far, and those still open
-        met = waiting.join(fresh.select(F.col("uid").alias("before"), F.col("place").alias("b_place"), F.lit(True).alias("met")), "before", "left")
-        met = met.select("uid", "before", F.coalesce("b_place", "p_place").alias("p_place"), (F.coalesce("met", F.lit(False)) | (F.col("p_place").isNotNull())).alias("met"))
-        met = staged(met, "chat-met")
-        ready = met.groupBy("uid").agg(F.min("met").alias("all"), F.max("p_place").alias("p_place")).where("all")
-        level += 1
-        fresh = staged(ready.join(places, "uid").select("uid", F.greatest("place", "p_place").alias("place"), F.lit(level).alias("level")), "chat-order")
+        found.append(fresh)
+        top = fresh.select(F.col("uid").alias("head"), F.col("place").alias("h_place"), F.col("level").alias("h_level"))
+        behind = chains.where("done").join(top, "head").select("uid", F.greatest("place", "h_place").alias("place"), (F.col("steps") + F.col("h_level")).alias("level"))
+        behind = staged(behind, "chat-order")
+        found.append(behind)
+        if not waits:
+            break
+        # the rows with several predecessors whose last one has just got its place
+        new = fresh.unionByName(behind).select(F.col("uid").alias("before"), F.col("place").alias("n_place"), F.col("level").alias("n_level"))
+        waiting = staged(waiting.join(new, "before", "left").select("uid", "before", "n", F.coalesce("b_place", "n_place").alias("b_place"), F.coalesce("b_level", "n_level").alias("b_level")), "chat-waiting")
+        ready = waiting.groupBy("uid").agg(F.max("n").alias("n"), F.count("b_level").alias("met"), F.max("b_place").alias("b_place"), F.max("b_level").alias("b_level")).where("met = n")
+        fresh = staged(ready.join(places, "uid").select("uid", F.greatest("place", "b_place").alias("place"), (F.col("b_level") + 1).alias("level")), "chat-order")
         if fresh.isEmpty():
             break
-        all_done.append(fresh)
-        waiting = met.join(fresh, "uid", "left_anti").select("uid", "before", "p_place")
-    order = all_done[0]
-    for x in all_done[1:]:
+        waiting = waiting.join(fresh, "uid", "left_anti")
+    order = found[0]
+    for x in found[1:]:
         order = order.unionByName(x)
-    cyclic = waiting.select("uid").distinct()
-    return order, None if cyclic.isEmpty() else cyclic
+    order = order.select("uid", "place", F.col("level").cast("int").alias("level"))
+    return places.select("uid").join(order, "uid", "left").withColumn("cyclic", F.col("level").isNull())
 
 
 def _serialise(rows: DataFrame, schemas: dict) -> DataFrame:
@@ -251,6 +293,7 @@ def _serialise(rows: DataFrame, schemas: dict) -> DataFrame:
                 if r["kind"] == "call":
                     args = json.loads(r["arguments"]) if r["arguments"] is not None else None
                     faults = check(args, schemas[r["name"]]) if r["name"] in schemas else [f"$: no schema {r['name']}"]
+                    faults += [f"$result:{x}: no result" for x in r["missing"] or ()]
                     body |= {"tool_call": {"id": r["call_id"], "name": r["name"], "arguments": args}}
                 elif r["kind"] == "result":
                     body |= {"tool_result": {"id": r["call_id"], "content": json.loads(r["arguments"]) if r["arguments"] is not None else r["text"]}}

@@ -25,7 +25,8 @@ def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    return chat.link(chat.turns_as_calls(turns)).select("conv_id", "turn", "kind", "call_id", "status", "place", "level", "json")
+    out = chat.link(chat.turns_as_calls(turns)).withColumn("faults", F.array_join("faults", "; "))
+    return out.select("conv_id", "turn", "part", "kind", "call_id", "status", "place", "level", "faults", "json")
 
 
 def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +53,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
-#: The same as op4_chat: user turns call, the next turn answers if it is the assistant's.
+#: The same as op4_chat: user turns call, the next turn answers if it is the assistant's, calls refer to the result before them.
 OP4_SQL = """
 WITH t AS (
   SELECT conv_id, turn, role, coalesce(text, '') AS text,
@@ -63,17 +64,23 @@ j AS (
   SELECT t.*, o.role AS other,
     CASE WHEN kind = 'message' THEN 'message'
          WHEN kind = 'call' THEN CASE WHEN o.role IS NULL THEN 'open' ELSE 'linked' END
-         ELSE CASE WHEN o.role IS NULL THEN 'orphan' ELSE 'linked' END END AS status
+         ELSE CASE WHEN o.role IS NULL THEN 'orphan' ELSE 'linked' END END AS status,
+    lag(t.role) OVER (PARTITION BY conv_id ORDER BY turn) AS was, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) = turn - 1 AS next
   FROM t LEFT JOIN (SELECT DISTINCT conv_id AS c, turn AS n, role FROM t) o
     ON o.c = t.conv_id AND ((t.role = 'user' AND o.role = 'assistant' AND o.n = t.turn + 1)
-                         OR (t.role = 'assistant' AND o.role = 'user' AND o.n = t.turn - 1)))
-SELECT conv_id, turn, kind, call_id, status, turn AS place,
-  CAST(CASE WHEN kind = 'result' AND status = 'linked' THEN 1 ELSE 0 END AS INTEGER) AS level,
+                         OR (t.role = 'assistant' AND o.role = 'user' AND o.n = t.turn - 1))),
+d AS (SELECT *, coalesce(next AND (role = 'assistant' AND was = 'user' OR role = 'user' AND was = 'assistant' AND turn >= 2), false) AS depends FROM j),
+g AS (SELECT *, sum(CASE WHEN depends THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY turn) AS chain FROM d)
+SELECT conv_id, turn, CAST(0 AS INTEGER) AS part, kind, call_id, status, turn AS place,
+  CAST(row_number() OVER (PARTITION BY conv_id, chain ORDER BY turn) - 1 AS INTEGER) AS level,
+  CASE WHEN kind = 'call' THEN concat_ws('; ', CASE WHEN length(text) < 1 THEN '$.prompt: too short' END, CASE WHEN length(text) > 1000 THEN '$.prompt: too long' END,
+    CASE WHEN turn >= 2 AND NOT depends THEN '$result:' || (turn - 2) || ': no result' END) ELSE '' END AS faults,
   CASE kind
-    WHEN 'call' THEN '{"role":"user","tool_call":{"arguments":{"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '},"id":"' || call_id || '","name":"reply"}}'
+    WHEN 'call' THEN '{"role":"user","tool_call":{"arguments":{' || CASE WHEN turn >= 2 THEN '"context":"$result:' || (turn - 2) || '",' ELSE '' END
+      || '"prompt":' || CAST(to_json(text) AS VARCHAR) || ',"turn":' || turn || '},"id":"' || call_id || '","name":"reply"}}'
     WHEN 'result' THEN '{"role":"assistant","tool_result":{"content":' || CAST(to_json(text) AS VARCHAR) || ',"id":"' || call_id || '"}}'
     ELSE '{"content":' || CAST(to_json(text) AS VARCHAR) || ',"role":' || CAST(to_json(role) AS VARCHAR) || '}' END AS json
-FROM j
+FROM g
 """
 
 

@@ -287,6 +287,43 @@ def test_chat_links(spark):
     assert rows(chat.link(chat.parse_messages(df.limit(0)))) == []
 
 
+def plain_order(edges, place):
+    """(place, level) by following all predecessors; None on or behind a cycle."""
+    before = defaultdict(list)
+    for a, b in edges:
+        before[a].append(b)
+    out, todo = {}, set(place)
+    while ready := {x for x in todo if all(b in out for b in before[x])}:
+        for x in ready:
+            out[x] = (max([place[x], *(out[b][0] for b in before[x])]), max([-1, *(out[b][1] for b in before[x])]) + 1)
+        todo -= ready
+    return out | dict.fromkeys(todo)
+
+
+def test_order_of_calls(spark):
+    """Long chains, rows with several predecessors in several layers, cycles and what is behind them."""
+    rng = random.Random(9)
+    cases = [[(i + 1, i) for i in range(60)], [(i, i // 2) for i in range(1, 40)], [(0, 1), (1, 2), (2, 0), (3, 2), (4, 3), (6, 5)], []]
+    cases += [[(a, rng.randrange(a)) for a in range(1, 25) for _ in range(rng.choice([0, 1, 1, 2]))] for _ in range(3)]
+    cases.append([(a, rng.randrange(20)) for a in range(20) for _ in range(rng.choice([0, 1, 2]))])
+    edges = {(100 * n + a, 100 * n + b) for n, c in enumerate(cases) for a, b in c}
+    place = {100 * n + i: rng.randrange(50) for n in range(len(cases)) for i in range(65)}
+    got = chat._order(spark.createDataFrame(list(place.items()), "uid long, place long"), spark.createDataFrame(list(edges), "uid long, before long"))
+    assert {r["uid"]: None if r["cyclic"] else (r["place"], r["level"]) for r in rows(got)} == plain_order(edges, place)
+
+
+def test_chat_nulls_and_repeats(spark):
+    """Null keys link nothing, repeated rows give a row each, missing results are faults, further columns do not matter."""
+    msgs = [(1, 0, "user", "hi"), (1, 0, "user", "hi"), (1, 1, "assistant", None), (1, 3, "user", ""), (None, 0, "user", "a"), (None, 1, "assistant", "b"), (2, None, "user", "x" * 1001), (2, 1, None, None), (3, 2, "system", "s")]
+    df = spark.createDataFrame([(*m, 1, "k") for m in msgs], "conv_id long, turn long, role string, text string, status int, json string")
+    got = rows(chat.link(chat.turns_as_calls(df)))
+    assert Counter((r["conv_id"], r["turn"], r["kind"], r["status"], tuple(r["faults"])) for r in got) == Counter([
+        (1, 0, "call", "linked", ()), (1, 0, "call", "repeated", ()), (1, 1, "result", "linked", ()), (1, 3, "call", "open", ("$.prompt: too short", "$result:1: no result")),
+        (None, 0, "call", "open", ()), (None, 1, "result", "orphan", ()), (2, None, "call", "open", ("$.turn: missing", "$.prompt: too long")), (2, 1, "message", "message", ()), (3, 2, "message", "message", ()),
+    ])
+    assert rows(chat.link(chat.turns_as_calls(df.limit(0)))) == []
+
+
 def test_tool_calls_in_dialogues(spark):
     call = lambda i, args: " " + json.dumps({"tool_call": {"id": i, "name": "reply", "arguments": args}})
     result = lambda i: json.dumps({"tool_result": {"id": i, "content": 1}})
