@@ -79,16 +79,18 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     time, odd ones the other way.
 
     Null texts have size 0 and take nothing; a null source is a source of its
-    own, in last place; repeated rows are documents each. The order depends on
-    ids, sources and sizes only, so reruns agree.
+    own, in last place; repeated rows are documents each; an empty table gives
+    no rows. The order depends on ids, sources and sizes only, so reruns agree.
     """
-    out = _planned(df, id_col, text_col, source_col, weights, demand, most).drop("digest")
+    out = _planned(df, id_col, text_col, source_col, weights, demand, most)
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
 
 
-def _planned(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float] = WEIGHTS, demand: float = DEMAND, most: float = MOST) -> DataFrame:
-    """The rows of mix() in no order, each with its text's digest."""
-    rows = staged(df.select(*_key(id_col, source_col, text_col), word_count(F.col(text_col)).alias("size")), "mix")
+def _planned(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float] = WEIGHTS, demand: float = DEMAND, most: float = MOST, along: Sequence[Column] = ()) -> DataFrame:
+    """The rows of mix() in no order, with the columns that go along."""
+    key = F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source")
+    rows = staged(df.select(*key, word_count(F.col(text_col)).alias("size"), *along), "mix")
+    carried = rows.columns[3:]
     sizes = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n_rows"))
     targets = staged(source_targets(sizes, weights, demand, most), "mix-targets")
     t = targets.withColumnRenamed("source", "t_source")
@@ -119,27 +121,18 @@ def _planned(df: DataFrame, id_col: str, text_col: str, source_col: str, weights
     positions = F.when(times > 0, F.transform(F.sequence(F.lit(0).cast("long"), times - 1), at)).otherwise(F.array().cast("array<double>"))
     return docs.select(
         "doc_id", "size", "source", "source_size", "target", taken.alias("taken"), copies.alias("copies"),
-        F.when(taken > 0, at(F.lit(0))).alias("position"), positions.alias("positions"), "digest",
+        F.when(taken > 0, at(F.lit(0))).alias("position"), positions.alias("positions"), *carried,
     )
 
 
-def _key(id_col: str, source_col: str, text_col: str) -> tuple[Column, ...]:
-    """What tells documents apart; rows alike in it can stand for each other in a mix."""
-    return F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.xxhash64(text_col).alias("digest")
-
-
 def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """A row for each whole copy the mix takes, range-sorted by training position; all columns stay.
+    """A row for each whole copy the mix takes, range-sorted by training position; all columns stay, whatever their names.
 
     Documents the mix does not take are left out, those taken twice come twice,
-    each copy at its own place. Repeated ids are documents each.
+    each copy at its own place. Repeated ids are documents each, null ids too.
+    An empty table gives no rows.
     """
-    plan = _planned(docs, id_col, text_col, source_col).where("copies > 0")
-    plan = plan.select(F.struct("doc_id", "source", "digest").alias("_key"), F.slice("positions", F.lit(1), F.col("copies").cast("int")).alias("_at"))
-    plan = plan.groupBy("_key").agg(F.array_sort(F.collect_list("_at")).alias("_all"))
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    numbered = docs.select("*", F.struct(*_key(id_col, source_col, text_col)).alias("_key"))
-    numbered = numbered.withColumn("_number", F.row_number().over(Window.partitionBy("_key").orderBy("_key")))
-    # the plan grows with the documents: never broadcast, whatever its size is now
-    out = numbered.join(plan.hint("merge"), "_key").select(*names, F.explode(F.get("_all", F.col("_number") - 1)).alias("_position"))
-    return out.orderBy("_position", id_col).drop("_position")
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    plan = _planned(docs, id_col, text_col, source_col, along=[row]).where("copies > 0")
+    copies = plan.select("row", "doc_id", F.explode(F.slice("positions", F.lit(1), F.col("copies").cast("int"))).alias("position"))
+    return copies.orderBy("position", "doc_id").select("row.*")

@@ -34,7 +34,10 @@ def op5_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "copies", F.round("position", 6).alias("position"))
+    millionths = F.transform("positions", lambda x: F.round(x * 1e6).cast("long"))
+    return mixing.mix(documents(spark, sf_dir)).select(
+        "doc_id", "size", "source_size", "target", "taken", "copies", F.round("position", 6).alias("position"), F.array_join(millionths, ",").alias("positions"),
+    )
 
 
 def op7_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,7 +106,9 @@ g AS (SELECT *, greatest(0, least(size, words - passes * source_size - start)) A
   CASE WHEN number % 2 = 0 THEN 0.5 ELSE 1.5 END AS early, CASE WHEN number % 2 = 0 THEN 1.0 ELSE -1.0 END AS slope FROM c)
 SELECT doc_id, size, source_size, target, CAST(passes * size + part AS BIGINT) AS taken,
   CAST(passes + CASE WHEN part > 0 AND part * 2 >= size THEN 1 ELSE 0 END AS BIGINT) AS copies,
-  CASE WHEN passes * size + part > 0 THEN round(least(1.0, greatest(0.0, (sqrt(CAST(early * early + 2 * slope * share AS DOUBLE)) - early) / slope)), 6) END AS position
+  CASE WHEN passes * size + part > 0 THEN round(least(1.0, greatest(0.0, (sqrt(CAST(early * early + 2 * slope * share AS DOUBLE)) - early) / slope)), 6) END AS position,
+  coalesce(array_to_string(list_transform(range(0, CAST(passes + CASE WHEN part > 0 THEN 1 ELSE 0 END AS BIGINT)), lambda n:
+    CAST(round(1e6 * least(1.0, greatest(0.0, (sqrt(early * early + 2 * slope * (CAST(n * source_size + start AS DOUBLE) / words)) - early) / slope))) AS BIGINT)), ','), '') AS positions
 FROM g
 """
 

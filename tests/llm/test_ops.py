@@ -475,7 +475,7 @@ def test_mixing(docs, empty):
     assert at == sorted(at) and 0 <= at[0] and at[-1] <= 1
     assert rows(mixing.mix(empty)) == []
     mixed = mixing.apply_mix(docs)
-    assert mixed.columns == docs.columns
+    assert mixed.columns == docs.columns and mixing.apply_mix(empty).count() == 0
     assert Counter(r["doc_id"] for r in rows(mixed)) != {}
 
 
@@ -500,7 +500,8 @@ def test_blocks_of_a_source(docs, monkeypatch):
 
 def test_every_copy_has_its_position(spark, tmp_path):
     data = [(i, f"w{i} " * 10, "abc"[i % 3] if i < 60 else "d") for i in range(600)] + [(5, "again " * 10, "c"), (None, "none " * 10, "a"), (None, "none " * 10, "a")]
-    df = spark.createDataFrame(data, "doc_id long, text string, source string").repartition(5)
+    names = ["_copies", "_copy", "_key", "_number", "row", "position", "size", "number", "a.b"]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string").select("*", *(F.lit(i).alias(n) for i, n in enumerate(names))).repartition(5)
     plan = rows(mixing.mix(df))
     by = defaultdict(list)
     for r in plan:
@@ -517,6 +518,7 @@ def test_every_copy_has_its_position(spark, tmp_path):
     for at in by.values():
         assert min(at) == 0 and max(at) > 0.9
     mixed = mixing.apply_mix(df)
+    assert mixed.columns == df.columns
     mixed.write.parquet(str(tmp_path / "mixed"))
     want = sorted((p, -1 if r["doc_id"] is None else r["doc_id"]) for r in plan for p in r["positions"][: r["copies"]])
     files = sorted((tmp_path / "mixed").glob("part-*.parquet"))
