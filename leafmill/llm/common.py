@@ -67,12 +67,20 @@ def dropped(*tables: DataFrame) -> None:
 
 def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """mapInArrow with small batches, so that long documents stay in memory."""
-    conf = df.sparkSession.conf
-    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    small_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches.
+
+    The options count when a plan runs, which is after the operator has
+    returned it, so they are not set back.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def open_shared(path: str, mode: str):
     """Open a file of the shared folder, on any file system that pyarrow knows."""
     if "://" not in path and not path.startswith("file:"):

@@ -7,9 +7,11 @@ under a model is the mean over its characters; the language with the lowest
 one wins. Rejection is calibrated on sampled documents that the models have not
 seen.
 
-Models are fitted on a bounded sample (TRAIN_DOCS documents for each language,
-whole texts, chosen by a hash of their ids); every document is scored, by all
-of its words. Words repeat, so each worker scores a distinct word once.
+Models of all languages are fitted on a bounded sample: whole texts chosen by a
+hash of their ids, about TRAIN_DOCS for each language, fewer where there are so
+many languages or texts so long that all would have more than TRAIN_CHARS
+characters, but never less than LEAST_DOCS. Every document is scored, by all of
+its words. Words repeat, so each worker scores a distinct word once.
 """
 
 from __future__ import annotations
@@ -26,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, small_batches, staged
 
 #: The sample's documents for each language, about; a fifth of them calibrates.
 TRAIN_DOCS = 400
-#: Languages that can be learned, those with most documents; it bounds the models with TRAIN_DOCS.
-MAX_LANGS = 256
+#: Characters of the whole sample, about, and documents that each language has whatever they are.
+TRAIN_CHARS, LEAST_DOCS = 1 << 26, 20
 #: Characters of the longest n-gram.
 ORDER = 4
 #: Words kept by a worker.
@@ -84,27 +86,6 @@ class Model:
     base: float = 1e-5
     limit: float = math.inf
 
-    def log2(self, codes: np.ndarray, hashes: list[np.ndarray]) -> np.ndarray:
-        """log2 of the probability of each code point after those before it."""
-        p = np.full(len(codes), self.base)
-        for n in range(1, ORDER + 1):
-            alpha = _find(self.grams[n - 1], self.share[n - 1], hashes[n], 0.0)
-            if n == 1:
-                gamma = self.lower[0][0] if len(self.lower[0]) else 1.0
-            else:
-                context = np.zeros(len(codes), np.uint64)
-                context[1:] = hashes[n - 1][:-1]
-                gamma = _find(self.contexts[n - 1], self.lower[n - 1], context, 1.0)
-            p = alpha + gamma * p
-        return np.log2(p)
-
-
-def _find(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-    if not len(keys):
-        return np.full(len(wanted), missing)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], missing)
-
 
 def fit(lang: str, word_counts: Counter) -> Model:
     """The interpolated Kneser-Ney model of counted words."""
@@ -228,7 +209,7 @@ class Scorer:
         yield from flush()
 
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float, float | None, bool]]:
-        """For each text (language, score, bits a character, rejected)."""
+        """For each text (language, score, bits a character, rejected); the score is the language's share if all are as likely before."""
         if not self.models:
             yield from ((UND, 0.0, None, True) for _ in texts)
             return
@@ -237,7 +218,7 @@ class Scorer:
                 yield UND, 0.0, None, True
                 continue
             best = int(bits.argmin())
-            gap = np.exp2(-(bits - bits[best]) * min(n, 40))
+            gap = np.exp2(-(bits - bits[best]) * n)
             over = bits[best] - SHORT_BITS / math.sqrt(n) > self.models[best].limit
             yield self.models[best].lang, float(1 / gap.sum()), float(bits[best]), bool(over)
 
@@ -272,21 +253,20 @@ def calibrate(models: list[Model], held: list[tuple[str, str]]) -> None:
         m.limit = float(np.quantile(xs, REJECT_QUANTILE)) + SLACK_BITS if xs else math.inf
 
 
-def training_sample(df: DataFrame, train: Column, docs: int = TRAIN_DOCS) -> DataFrame:
-    """About `docs` rows (lang, text, held) of each language, by a hash of the id; independent of row order.
+def training_sample(df: DataFrame, train: Column, docs: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> DataFrame:
+    """Rows (lang, text, held) of each language, by a hash of the id; independent of row order.
 
     The share kept of a language comes from its count, so its size is bounded
     however many rows there are, and no language's rows meet in one task.
     """
     rows = df.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
-        return rows.select("lang", "text", F.lit(False).alias("held")).limit(0)
-    total = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], float(r["count"]))))
+    counts = staged(rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("mean")), "langid")
+    share = chars / max(1, counts.count())
+    size = F.least(F.col("n"), F.greatest(F.lit(float(LEAST_DOCS)), F.least(F.lit(float(docs)), F.lit(share) / F.greatest("mean", F.lit(1.0)))))
+    sizes = counts.select(F.col("lang").alias("of"), "n", size.alias("size"))
     draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    n = F.try_element_at(total, F.col("lang"))
-    picked = rows.select("lang", "text", (draw * n).alias("place"), F.least(n, F.lit(float(docs))).alias("size")).where("place < size")
-    return picked.select("lang", "text", (F.col("place") >= 0.8 * F.col("size")).alias("held"))
+    picked = rows.select("lang", "text", draw.alias("draw")).join(sizes, F.col("lang") == F.col("of")).where(F.col("draw") * F.col("n") < F.col("size"))
+    return picked.select("lang", "text", (F.col("draw") * F.col("n") >= 0.8 * F.col("size")).alias("held"))
 
 
 def train(df: DataFrame, train_rows: Column, docs: int = TRAIN_DOCS) -> list[Model]:
@@ -339,11 +319,13 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that are not rejected; all columns stay."""
+    """The documents that are not rejected; all columns stay, whatever their names. An empty table stays empty."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     models = train(rows, ~held_out(F.col("doc_id")))
     shared = docs.sparkSession.sparkContext.broadcast(models)
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf("boolean")
     def accepted(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(shared.value)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import map_batches, small_batches
 
 #: Kinds in the order in which spans with the same start are listed.
 KINDS = ("assign", "access", "hex", "codehost", "package", "jwt")
@@ -178,7 +178,8 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
 
 
 def redact_documents(df: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
-    """The same rows and columns with secrets replaced and the length renewed."""
+    """The same rows and columns with secrets replaced and the length renewed; a null text stays null."""
+    small_batches(df.sparkSession)
 
     @F.pandas_udf("string")
     def clean(texts):

@@ -809,17 +809,77 @@ def test_language(spark):
     assert {r["lang_pred"] for r in blind} == {"und"}
 
 
-def test_kneser_ney_sums_to_one():
-    model = langid.fit("xx", Counter({"banana": 3, "bandana": 1, "nab": 2}))
-    alphabet = sorted(set("bandana nab"))
-    for head in ("", "ba", "nan"):
-        words = [head + c for c in alphabet if c != " "]
-        codes, owner = langid._codes(words)
-        hashes = [np.zeros(0, np.uint64)] + [langid._hashes(codes, n) for n in range(1, langid.ORDER + 1)]
-        p = np.exp2(model.log2(codes, hashes))
-        at = [np.flatnonzero(owner == i)[langid.ORDER - 1 + len(head)] for i in range(len(words))]
-        end = np.flatnonzero(owner == 0)[langid.ORDER - 1 + len(head)]
-        stop_codes, _ = langid._codes([head])
-        stop_hashes = [np.zeros(0, np.uint64)] + [langid._hashes(stop_codes, n) for n in range(1, langid.ORDER + 1)]
-        stop = np.exp2(model.log2(stop_codes, stop_hashes))[-1]
-        assert end == at[0] and abs(p[at].sum() + stop - 1) < 0.01
+def plain_model(counts, order):
+    """Interpolated Kneser-Ney by dictionaries: a function from (context, character) to its probability."""
+    places = Counter()
+    for w, n in counts.items():
+        text = " " * (order - 1) + w + " "
+        for i in range(order - 1, len(text)):
+            places[text[i - order + 1 : i + 1]] += n
+    tables = {order: places}
+    for n in range(order - 1, 0, -1):
+        # an n-gram counts once for each character that stands before it
+        tables[n] = Counter(g[1:] for g in tables[n + 1]) if n + 1 < order else Counter(g[1:] for g in places)
+    levels = {}
+    for n, table in tables.items():
+        ones, twos = (sum(c == k for c in table.values()) for k in (1, 2))
+        d = min(0.9, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+        total, kinds = Counter(), Counter()
+        for g, c in table.items():
+            total[g[:-1]] += c
+            kinds[g[:-1]] += 1
+        levels[n] = table, d, total, kinds
+
+    def p(context, char, n):
+        if n == 0:
+            return langid.Model.base
+        table, d, total, kinds = levels[n]
+        h = context[len(context) - n + 1 :]
+        if not total[h]:
+            return p(context, char, n - 1)
+        return max(table[h + char] - d, 0) / total[h] + d * kinds[h] / total[h] * p(context, char, n - 1)
+
+    return lambda context, char: p(context, char, order)
+
+
+def test_scores_against_plain_kneser_ney():
+    """The scorer that the queries use, for words met and not met, under several models at once."""
+    rng = random.Random(14)
+    n = langid.ORDER
+    vocabularies = [Counter({"".join(rng.choice(x) for _ in range(rng.randint(1, 7))): rng.randint(1, 5) for _ in range(60)}) for x in ("abcd", "cdeé", "日本abc")]
+    scorer = langid.Scorer([langid.fit(str(i), v) for i, v in enumerate(vocabularies)])
+    plain = [plain_model(v, n) for v in vocabularies]
+    words = [w for v in vocabularies for w in list(v)[:15]] + ["zzz", "a", "abcdabcdabcd", "ééé", "日"]
+    padded = {w: " " * (n - 1) + w + " " for w in words}
+    bits = {w: [sum(math.log2(p(t[i - n + 1 : i], t[i])) for i in range(n - 1, len(t))) for p in plain] for w, t in padded.items()}
+    assert np.allclose(scorer._scores(words), [bits[w] for w in words])
+    text = " ".join(words) + ", " + words[0].upper() + " 12"
+    (got, size), = scorer.entropies([text])
+    every = [*words, words[0]]
+    assert size == sum(len(w) + 1 for w in every) and np.allclose(got, [-sum(bits[w][i] for w in every) / size for i in range(3)])
+    lang, score, best, _ = next(scorer.predict([text]))
+    share = np.exp2(-(got - got.min()) * size)
+    assert lang == str(int(got.argmin())) and math.isclose(score, share.max() / share.sum()) and math.isclose(best, got.min())
+
+
+def test_every_language_is_learned(spark):
+    """Hundreds of languages, some with few documents; a language's own letters tell it."""
+    letters = [chr(0x4E00 + 20 * i) for i in range(300)]
+    data = [(i, f"{letters[i % 300]}{letters[i % 300]} {letters[i % 300]} " * 3, f"l{i % 300:03d}") for i in range(900)] + [(None, "aa bb " * 4, "none")]
+    df = spark.createDataFrame(data, "doc_id long, text string, lang string")
+    learned = {l for i, _, l in data if i is None or zlib.crc32(str(i).encode()) % 3 != 1}
+    got = rows(langid.identify(df))
+    assert len(learned) > 256 and all(r["lang_pred"] == f"l{r['doc_id'] % 300:03d}" for r in got if r["doc_id"] is not None and f"l{r['doc_id'] % 300:03d}" in learned)
+
+
+def test_long_texts(spark):
+    """Texts of some megabytes through the operators that no other test gives one; the scores of parts add up."""
+    rng = random.Random(15)
+    words = [f"w{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}{chr(97 + rng.randrange(26))}" for _ in range(500)]
+    long = " ".join(rng.choice(words) for _ in range(400_000)) + " password=abc123456"
+    df = spark.createDataFrame([(0, long, "xx"), (1, long, "xx"), (2, "x " + long, None), (4, "wabc wabd", "xx"), (5, None, "xx")], "doc_id long, text string, lang string")
+    assert {r["doc_id"]: r["n_assign"] for r in rows(secrets.scan(df))} == {0: 1, 1: 1, 2: 1, 4: 0, 5: 0}
+    assert {r["doc_id"]: r["component_id"] for r in rows(simhash.near_duplicates(df))} == {0: 0, 1: 0, 2: 0, 4: 4, 5: 5}
+    assert {r["doc_id"]: r["lang_pred"] for r in rows(langid.identify(df))} == {0: "xx", 1: "xx", 2: "xx", 4: "xx", 5: "und"}
+    packed = rows(packing.pack(df).select("doc_id", "length", "doc_tokens"))
+    assert all(sum(r["length"] for r in packed if r["doc_id"] == i) == next(r["doc_tokens"] for r in packed if r["doc_id"] == i) for i in (0, 1, 2, 4, 5))
