@@ -16,9 +16,11 @@ RUNS = 3
 def main() -> None:
     from pyspark.sql import SparkSession
 
+    from leafmill.plans.index import Index
     from leafmill.plans.rank import ranked
     from leafmill.plans.results import facets, sorted_hits
-    from leafmill.queries import QUERIES, corpus
+    from leafmill.queries import QUERIES, corpus, corpus_config
+    from leafmill.sources import tables
 
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -38,16 +40,15 @@ def main() -> None:
         f()
         return time.time() - start
 
-    # the index is built once, as a searcher would find it
-    t = corpus(spark, sf_dir)
     base = f"/tmp/leafmill-bench-{os.getpid()}"
-    parts = int(cpus)
     spark.range(1).count()
-    times = {"index": seconds(lambda: (
-        t.postings.repartitionByRange(parts, "term", "uri").sortWithinPartitions("term", "uri", "pos").write.parquet(f"{base}/postings"),
-        t.docs.write.parquet(f"{base}/docs"),
-        t.props.write.parquet(f"{base}/props"),
-    ))}
+    docs = tables.text_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text")
+    times = {"index": seconds(lambda: Index(spark, f"{base}/index", corpus_config()).add(docs))}
+    # searches have stored values and fields of other tables too
+    t = corpus(spark, sf_dir)
+    t.postings.repartitionByRange(int(cpus), "term", "uri").sortWithinPartitions("term", "uri", "pos").write.parquet(f"{base}/postings")
+    t.docs.write.parquet(f"{base}/docs")
+    t.props.write.parquet(f"{base}/props")
     t.postings, t.docs, t.props = (spark.read.parquet(f"{base}/{n}") for n in ("postings", "docs", "props"))
     t.docs.count()
     cases = {

@@ -146,21 +146,22 @@ class Config:
         """A configuration from a file or from XML text."""
         return cls(prefix).add(source)
 
-    def add(self, source: str) -> Config:
-        """Read XML from a file or text on top of this configuration."""
+    def add(self, source: str, within: tuple[str, ...] = ()) -> Config:
+        """Read XML from a file or text on top of this configuration; `within` are the files that include it."""
         if source.lstrip().startswith("<"):
             text, path = source, None
         else:
             with open(source, encoding="utf-8") as f:
                 text, path = f.read(), source
+            within = (*within, os.path.realpath(path))
         root = _tree(text)
         for node in root.children:
-            self._section(node, path)
+            self._section(node, path, within)
         self._set_flags()
         self.check()
         return self
 
-    def _section(self, node: _Node, path: str | None) -> None:
+    def _section(self, node: _Node, path: str | None, within: tuple[str, ...] = ()) -> None:
         kind = node.local
         if kind == "MetaNames":
             for n in node.children:
@@ -184,7 +185,9 @@ class Config:
                 if path is None:
                     raise ConfigError(f"cannot resolve {other} without a file")
                 other = os.path.join(os.path.dirname(path), other)
-            self.add(other)
+            if os.path.realpath(other) in within:
+                raise ConfigError(f"{other} includes itself")
+            self.add(other, within)
         elif kind == "XMLClassAttributes":
             self.stringlists.setdefault(kind, []).extend(w.lower() for w in split_words(node.text))
         else:

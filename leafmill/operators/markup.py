@@ -62,8 +62,8 @@ class _Open:
 class Extractor:
     """The state between events."""
 
-    def __init__(self, config: Config, is_html: bool, uri: str = "", depth: int = 0):
-        self.config, self.is_html, self.uri, self.depth = config, is_html, uri, depth
+    def __init__(self, config: Config, is_html: bool, uri: str = "", depth: int = 0, root: str = ""):
+        self.config, self.is_html, self.uri, self.depth, self.root = config, is_html, uri, depth, root
         self.out = Analysis()
         self.dom: list[_Open] = []
         self.props: list[_Open] = []
@@ -337,9 +337,9 @@ def parse_html(text: str, config: Config, uri: str = "") -> Analysis:
     return to.finish()
 
 
-def parse_xml(content: bytes | str, config: Config, uri: str = "", depth: int = 0) -> Analysis:
+def parse_xml(content: bytes | str, config: Config, uri: str = "", depth: int = 0, root: str = "") -> Analysis:
     """Strict events, or loose ones from the whole text if it is not well-formed."""
-    to = Extractor(config, False, uri, depth)
+    to = Extractor(config, False, uri, depth, root)
     reader = expat.ParserCreate(namespace_separator=None)
     scopes: list[dict[str, str]] = [{}]
 
@@ -366,7 +366,7 @@ def parse_xml(content: bytes | str, config: Config, uri: str = "", depth: int =
     try:
         reader.Parse(content.encode() if isinstance(content, str) else content, True)
     except expat.ExpatError as e:
-        to = Extractor(config, False, uri, depth)
+        to = Extractor(config, False, uri, depth, root)
         loose = _LooseXml(to)
         loose.feed(content if isinstance(content, str) else content.decode("utf-8", "replace"))
         loose.close()
@@ -375,7 +375,10 @@ def parse_xml(content: bytes | str, config: Config, uri: str = "", depth: int =
 
 
 def _include(to: Extractor, attrs: dict[str, str]) -> None:
-    """Take in another local file: its fields, properties and pieces follow what is here so far."""
+    """Take in another local file: its fields, properties and pieces follow what is here so far.
+
+    Only files in the document's own folder or below it are read, wherever links lead.
+    """
     href = attrs.get("href")
     if not href:
         return
@@ -383,6 +386,9 @@ def _include(to: Extractor, attrs: dict[str, str]) -> None:
     try:
         if to.depth >= MAX_INCLUDE_DEPTH:
             raise OSError("included too deeply")
+        own = os.path.realpath(os.path.dirname(to.root or to.uri) or ".")
+        if os.path.commonpath([own, os.path.realpath(path)]) != own:
+            raise OSError("outside the document's folder")
         with open(path, "rb") as f:
             content = f.read()
     except OSError as e:
@@ -391,7 +397,7 @@ def _include(to: Extractor, attrs: dict[str, str]) -> None:
     if attrs.get("parse") == "text":
         got = parse_text(content.decode("utf-8", "replace"), to.config, path)
     else:
-        got = parse_xml(content, to.config, path, to.depth + 1)
+        got = parse_xml(content, to.config, path, to.depth + 1, to.root or to.uri)
     for mine, theirs in ((to.out.properties, got.properties), (to.out.metas, got.metas)):
         for k, v in theirs.items():
             mine.setdefault(k, []).extend(v)

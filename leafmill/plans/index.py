@@ -14,9 +14,6 @@ files, a frequent term in several, and row-group statistics prune the rest.
 
 from __future__ import annotations
 
-import os
-import shutil
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,49 +21,49 @@ from ..config import Config, ConfigError
 from ..operators import analyze as A
 from ..operators.stem import stemmer
 from ..operators.tokens import postings
+from ..sources import storage
 from .query import Tables
 
 TABLES = ("docs", "props", "metas", "postings", "deleted")
 
 
-def analyzed_tables(docs: DataFrame, config: Config, language: str = "none") -> dict[str, DataFrame]:
-    """docs, props, metas and postings of source documents (uri, content, mtime, size, mime, parser, ...).
-
-    Plain text goes through column expressions, markup through the parsing stage.
-    """
-    stem = stemmer(language)
-    text = F.upper(F.substring("parser", 1, 1)) == "T"
-    kinds = dict(docs.dtypes)
-    if kinds["content"] == "string":
-        a = A.analyze_text(docs.where(text), config).unionByName(A.analyze(docs.where(~text), config))
-    else:
-        a = A.analyze(docs, config)
-    a = a.where("error IS NULL")
-    p = postings(a, stem=stem) if config.flag("tokenize") else postings(a.limit(0))
-    words = a.select(F.col("uri"), F.aggregate("pieces", F.lit(0).cast("long"), lambda n, x: n + _count(x["text"])).alias("nwords"), F.col("encoding").alias("found_encoding"))
-    optional = {"mtime": "long", "size": "long", "mime": "string", "ext": "string", "parser": "string", "action": "string"}
-    own = docs.select("uri", *(F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in optional.items()))
-    when = F.timestamp_seconds(F.coalesce("mtime", F.lit(0)))
-    own = own.join(words, "uri").withColumns({"day": F.date_format(when, "yyyyMMdd"), "month": F.date_format(when, "yyyyMM"), "year": F.date_format(when, "yyyy")}).withColumnRenamed("found_encoding", "encoding")
-    return {"docs": own, "props": A.field_values(a, "properties"), "metas": A.field_values(a, "metas"), "postings": p}
+def analyzed(docs: DataFrame, config: Config) -> DataFrame:
+    """Fields and text pieces of source documents. Plain text goes through column expressions, markup through the parsing stage."""
+    if dict(docs.dtypes)["content"] != "string":
+        return A.analyze(docs, config)
+    text = F.coalesce(F.upper(F.substring("parser", 1, 1)) == "T", F.lit(False))
+    return A.analyze_text(docs.where(text), config).unionByName(A.analyze(docs.where(~text), config))
 
 
-def _count(text):
-    from ..operators.tokens import tokens
+_OWN = {"mtime": "long", "size": "long", "mime": "string", "ext": "string", "parser": "string", "action": "string"}
 
-    return F.size(tokens(text)).cast("long")
+
+def doc_rows(docs: DataFrame, found: DataFrame, words: DataFrame) -> DataFrame:
+    """The docs table: what the source says of each document, its encoding, its words and its day."""
+    own = docs.select("uri", *(F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in _OWN.items()))
+    when = F.timestamp_seconds(F.coalesce("mtime", F.lit(0)))
+    own = own.join(found.select("uri", "encoding"), "uri").join(words, "uri", "left").withColumn("nwords", F.coalesce("nwords", F.lit(0).cast("long")))
+    return own.withColumns({"day": F.date_format(when, "yyyyMMdd"), "month": F.date_format(when, "yyyyMM"), "year": F.date_format(when, "yyyy")})
+
+
+def analyzed_tables(docs: DataFrame, config: Config, language: str = "none") -> dict[str, DataFrame]:
+    """docs, props, metas and postings of source documents (uri, content, mtime, size, mime, parser, ...), without a folder."""
+    found = analyzed(docs, config).where("error IS NULL")
+    p = postings(found, stem=stemmer(language))
+    own = doc_rows(docs, found, p.groupBy("uri").agg(F.count("*").alias("nwords")))
+    return {"docs": own, "props": A.field_values(found, "properties"), "metas": A.field_values(found, "metas"), "postings": p if config.flag("tokenize") else p.limit(0)}
 
 
 class Index:
     """An index in a folder."""
 
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None, language: str | None = None, overwrite: bool = False):
-        self.spark, self.path = spark, path.removeprefix("file://")
-        header = os.path.join(self.path, "header.xml")
-        if overwrite and os.path.isdir(self.path):
-            shutil.rmtree(self.path)
-        if os.path.exists(header):
-            stored = Config.read(header, prefix=(config or Config()).prefix)
+        self.spark, self.path = spark, path.rstrip("/")
+        header = f"{self.path}/header.xml"
+        if overwrite:
+            storage.remove(spark, self.path)
+        if storage.exists(spark, header):
+            stored = Config.read(storage.read_text(spark, header), prefix=(config or Config()).prefix)
             self.config = stored.merge(config) if config is not None else stored
             kept = stored.index.get("Stemmer", "none")
             if language is not None and language != kept:
@@ -80,36 +77,36 @@ class Index:
     # ---- segments
 
     def segments(self) -> list[int]:
-        folder = os.path.join(self.path, "segments")
-        return sorted(int(n) for n in os.listdir(folder) if os.path.exists(os.path.join(folder, n, "done"))) if os.path.isdir(folder) else []
+        folder = f"{self.path}/segments"
+        return [int(n) for n in storage.names(self.spark, folder) if storage.exists(self.spark, f"{folder}/{n}/done")]
 
     def _folder(self, n: int) -> str:
-        return os.path.join(self.path, "segments", f"{n:08d}")
+        return f"{self.path}/segments/{n:08d}"
 
-    def _commit(self, tables: dict[str, DataFrame]) -> int:
+    def _new_folder(self) -> tuple[int, str]:
         n = max([0, *self.segments()]) + 1
-        folder = self._folder(n)
-        shutil.rmtree(folder, ignore_errors=True)
-        for name, df in tables.items():
-            if name == "postings":
-                parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-                df = df.repartitionByRange(parts, "term", "uri").sortWithinPartitions("term", "uri", "pos")
-            df.write.parquet(os.path.join(folder, name))
-        os.makedirs(folder, exist_ok=True)
-        with open(os.path.join(folder, "done"), "w"):
-            pass
+        storage.remove(self.spark, self._folder(n))
+        return n, self._folder(n)
+
+    def _write(self, folder: str, name: str, df: DataFrame) -> DataFrame:
+        if name == "postings":
+            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            df = df.repartitionByRange(parts, "term", "uri").sortWithinPartitions("term", "uri", "pos")
+        df.write.parquet(f"{folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+    def _done(self, folder: str) -> None:
+        storage.write_text(self.spark, f"{folder}/done", "")
         self.write_header()
-        return n
 
     def write_header(self) -> None:
-        os.makedirs(self.path, exist_ok=True)
-        self.config.write(os.path.join(self.path, "header.xml"))
+        storage.write_text(self.spark, f"{self.path}/header.xml", self.config.to_xml())
 
     def _read(self, name: str, segments: list[int] | None = None) -> DataFrame | None:
         out = None
         for n in self.segments() if segments is None else segments:
-            folder = os.path.join(self._folder(n), name)
-            if os.path.isdir(folder):
+            folder = f"{self._folder(n)}/{name}"
+            if storage.exists(self.spark, folder):
                 df = self.spark.read.parquet(folder).withColumn("segment", F.lit(n))
                 out = df if out is None else out.unionByName(df, allowMissingColumns=True)
         return out
@@ -131,27 +128,45 @@ class Index:
     def add(self, docs: DataFrame, skip_known: bool = False, seq: str | None = None) -> int:
         """Index documents; those with a known uri are replaced, or left out with skip_known.
 
-        Of equal uris in one batch the last by `seq` counts (the first with
-        skip_known), or any of them without one. Returns how many were indexed.
+        Of equal uris in one batch the last by `seq` and then in the order of the
+        rows counts, the first with skip_known. Returns how many were indexed.
+
+        The batch is written to the new segment first and parsed once; contents
+        are shuffled only if the batch repeats a uri or skips known ones.
         """
-        pick = F.min_by if skip_known else F.max_by
-        rows = docs.where(F.col("uri").isNotNull())
-        by = F.col(seq) if seq else F.lit(0)
-        rows = rows.groupBy("uri").agg(pick(F.struct(*(c for c in rows.columns)), by).alias("d")).select("d.*")
+        n, folder = self._new_folder()
+        row = F.monotonically_increasing_id().alias("_row")
+        rows = self._write(folder, "_rows", storage.spread(docs.where(F.col("uri").isNotNull()).select("*", row)))
+        by = F.struct(F.col(seq), F.col("_row")) if seq else F.struct("_row")
+        pick = F.min(by) if skip_known else F.max(by)
+        marks = rows.groupBy("uri").agg(F.count("*").alias("n"), pick["_row"].alias("_row"))
         known = self.live()
         if skip_known and known is not None:
-            rows = rows.join(known.select("uri"), "uri", "left_anti")
-        rows = rows.cache()
-        try:
+            marks = marks.join(known.select("uri"), "uri", "left_anti")
+        marks = self._write(folder, "_marks", marks)
+        count = marks.count()
+        if count and (skip_known and known is not None or not marks.where("n > 1").isEmpty()):
+            rows = rows.join(marks.select("_row"), "_row", "left_semi")
+        if count:
+            found = self._write(folder, "_analyzed", analyzed(rows, self.config))
             policies = {self.config.flag("undefined_tags"), self.config.flag("undefined_attributes")}
             if policies & {"auto", "autoall"}:
-                self.config = A.discover(A.analyze(rows, self.config), self.config)
-            n = rows.count()
-            if n:
-                self._commit(analyzed_tables(rows, self.config, self.language))
-        finally:
-            rows.unpersist()
-        return n
+                # names that other documents have defined count in a second parse
+                self.config = A.discover(found, self.config)
+                found = self._write(folder, "_defined", analyzed(rows, self.config))
+            found = found.where("error IS NULL")
+            indexed = self.config.flag("tokenize")
+            p = self._write(folder, "postings", postings(found if indexed else found.limit(0), stem=stemmer(self.language)))
+            words = (p if indexed else postings(found)).groupBy("uri").agg(F.count("*").alias("nwords"))
+            self._write(folder, "docs", doc_rows(rows, found, words))
+            self._write(folder, "props", A.field_values(found, "properties"))
+            self._write(folder, "metas", A.field_values(found, "metas"))
+            self._done(folder)
+        for name in ("_rows", "_marks", "_analyzed", "_defined"):
+            storage.remove(self.spark, f"{folder}/{name}")
+        if not count:
+            storage.remove(self.spark, folder)
+        return count
 
     def delete(self, uris: DataFrame | list[str]) -> tuple[int, list[str] | DataFrame]:
         """Delete documents by uri; how many were there, and the uris that were not."""
@@ -164,7 +179,9 @@ class Index:
         missing = [r["uri"] for r in missing.collect()] if isinstance(uris, list) else missing
         n = found.count()
         if n:
-            self._commit({"deleted": found})
+            _, folder = self._new_folder()
+            self._write(folder, "deleted", found)
+            self._done(folder)
         found.unpersist()
         return n, missing
 
@@ -172,9 +189,12 @@ class Index:
         """Write what is live as one segment and drop the others."""
         old = self.segments()
         t = self.tables()
-        self._commit({"docs": t.docs, "props": t.props, "metas": self._live_rows("metas"), "postings": t.postings})
+        _, folder = self._new_folder()
+        for name, df in {"docs": t.docs, "props": t.props, "metas": self._live_rows("metas"), "postings": t.postings}.items():
+            self._write(folder, name, df)
+        self._done(folder)
         for n in old:
-            shutil.rmtree(self._folder(n))
+            storage.remove(self.spark, self._folder(n))
 
     # ---- reading
 

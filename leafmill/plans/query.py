@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..config import INT, Config, ConfigError
 
-MAX_LEAVES = 62
+BITS = 62
 _WORDS = regex.compile(r"[\p{Alphabetic}\p{Nd}'_]+")
 #: Exact document terms and the columns that hold them.
 EXACT = {"U": "uri", "T": "mtime", "D": "day", "M": "month", "Y": "year"}
@@ -303,8 +303,11 @@ class Tables:
         place = F.array(*(F.when(F.col("term") == w, F.lit(i)) for i, w in enumerate(words)))
         rows = self.postings.where(F.col("term").isin(sorted(set(words))) & self.field_filter(leaf.field))
         rows = rows.select("uri", "meta", "pos", F.explode(F.filter(place, lambda x: x.isNotNull())).alias("i"))
-        starts = rows.groupBy("uri", "meta", (F.col("pos") - F.col("i")).alias("start")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i"))).alias("seen"))
-        return starts.where(F.col("seen") == (1 << len(words)) - 1).drop("seen")
+        seen = {f"seen{at}": F.bit_or(F.when(F.col("i").between(at, at + BITS - 1), F.call_function("shiftleft", F.lit(1).cast("long"), F.col("i") - at)).otherwise(F.lit(0).cast("long"))) for at in range(0, len(words), BITS)}
+        starts = rows.groupBy("uri", "meta", (F.col("pos") - F.col("i")).alias("start")).agg(*(c.alias(n) for n, c in seen.items()))
+        for at in range(0, len(words), BITS):
+            starts = starts.where(F.col(f"seen{at}") == (1 << min(BITS, len(words) - at)) - 1)
+        return starts.drop(*seen)
 
     def range_condition(self, leaf: Range) -> Column:
         """Which stored values lie within bounds: integers as numbers, the rest as strings."""
@@ -326,48 +329,47 @@ class Tables:
         return self.props.where(F.col("name") == target).select("uri", "value")
 
     def hits(self, tree: Node | None) -> DataFrame:
-        """(uri, bits, tf): documents that match; tf is an array with the weighted count of each leaf."""
+        """(uri, bits0, ..., tf0, ...): documents that match; a tf is the weighted count of a leaf, bits tell which leaves are there."""
         found = leaves(tree)
-        if len(found) > MAX_LEAVES:
-            raise QueryError(f"more than {MAX_LEAVES} different terms")
         bit = {x: i for i, x in enumerate(found)}
+        words = range((max(1, len(found)) + BITS - 1) // BITS)
         weights = {m.name: m.weight for m in self.config.metanames.values()}
         weight = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("meta")), F.lit(1)).cast("long")
         counted = [x for x in found if isinstance(x, (Term, Wild, Phrase))]
         zero = F.lit(0).cast("long")
         tf_names = [f"tf{bit[x]}" for x in counted]
 
-        def row(source: DataFrame, bits: Column, tfs: dict[Node, Column]) -> DataFrame:
-            return source.select("uri", bits.cast("long").alias("bits"), *(tfs.get(x, zero).alias(f"tf{bit[x]}") for x in counted))
+        def row(source: DataFrame, there: dict[Node, Column | None], tfs: dict[Node, Column]) -> DataFrame:
+            """Rows with the bits of the leaves that are there, where their condition holds if they have one."""
+            bits = [zero for _ in words]
+            for x, c in there.items():
+                one = F.lit(1 << bit[x] % BITS).cast("long")
+                bits[bit[x] // BITS] = bits[bit[x] // BITS].bitwiseOR(one if c is None else F.when(c, one).otherwise(zero))
+            return source.select("uri", *(b.alias(f"bits{i}") for i, b in enumerate(bits)), *(tfs.get(x, zero).alias(f"tf{bit[x]}") for x in counted))
 
         parts = []
-        plain = [x for x in found if isinstance(x, (Term, Wild))]
-        if plain:
-            conditions = {x: self.leaf_condition(x) for x in plain}
+        conditions = {x: self.leaf_condition(x) for x in found if isinstance(x, (Term, Wild))}
+        if conditions:
             wanted = None
             for c in conditions.values():
                 wanted = c if wanted is None else wanted | c
-            bits = zero
-            for x, c in conditions.items():
-                bits = bits.bitwiseOR(F.when(c, F.lit(1 << bit[x]).cast("long")).otherwise(zero))
-            parts.append(row(self.postings.where(wanted), bits, {x: F.when(c, weight).otherwise(zero) for x, c in conditions.items()}))
+            parts.append(row(self.postings.where(wanted), conditions, {x: F.when(c, weight).otherwise(zero) for x, c in conditions.items()}))
         for x in found:
             if isinstance(x, Phrase):
-                parts.append(row(self.phrase_starts(x), F.lit(1 << bit[x]), {x: weight}))
+                parts.append(row(self.phrase_starts(x), {x: None}, {x: weight}))
             elif isinstance(x, Range):
-                rows = self._property_rows(x.prop)
-                parts.append(row(rows.where(self.range_condition(x)), F.lit(1 << bit[x]), {}))
+                parts.append(row(self._property_rows(x.prop).where(self.range_condition(x)), {x: None}, {}))
             elif isinstance(x, Exact):
-                parts.append(row(self.docs.where(F.col(EXACT[x.kind]).cast("string") == x.value), F.lit(1 << bit[x]), {}))
+                parts.append(row(self.docs.where(F.col(EXACT[x.kind]).cast("string") == x.value), {x: None}, {}))
         if tree is None:
-            return self.docs.select("uri", zero.alias("bits")).limit(0)
+            return self.docs.select("uri", zero.alias("bits0")).limit(0)
         if truth(tree, lambda _: False, False, lambda v: not v):
-            parts.append(row(self.docs, F.lit(0), {}))  # documents without any leaf match too
+            parts.append(row(self.docs, {}, {}))  # documents without any leaf match too
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p)
-        merged = rows.groupBy("uri").agg(F.bit_or("bits").alias("bits"), *(F.sum(n).alias(n) for n in tf_names))
-        matches = truth(tree, lambda x: F.col("bits").bitwiseAND(F.lit(1 << bit[x])) != 0, F.lit(False), lambda c: ~c)
+        merged = rows.groupBy("uri").agg(*(F.bit_or(f"bits{i}").alias(f"bits{i}") for i in words), *(F.sum(n).alias(n) for n in tf_names))
+        matches = truth(tree, lambda x: F.col(f"bits{bit[x] // BITS}").bitwiseAND(F.lit(1 << bit[x] % BITS)) != 0, F.lit(False), lambda c: ~c)
         return merged.where(matches)
 
     def search(self, query: str | Node | None, limits: list[str] | None = None) -> DataFrame:

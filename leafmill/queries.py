@@ -18,7 +18,7 @@ from .plans import merge
 from .plans.query import Tables
 from .plans.rank import ranked, with_percent
 from .plans.results import facets, rendered, sorted_hits
-from .sources import files, framed, mime, tables
+from .sources import files, framed, mime, storage, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -54,7 +54,7 @@ def corpus_config() -> Config:
 def corpus(spark: SparkSession, sf_dir: str, letters: str = T.PLAIN_LETTERS) -> Tables:
     """The documents table as an index in memory: text, title field, and stored values."""
     config = corpus_config()
-    rows = _table(spark, sf_dir, "documents")
+    rows = storage.spread(_table(spark, sf_dir, "documents"))
     docs = rows.select(
         F.col("doc_id").cast("string").alias("uri"), F.lit(0).cast("long").alias("mtime"), F.octet_length("text").cast("long").alias("size"),
         F.lit("text/plain").alias("mime"), F.lit("TXT").alias("parser"), T.word_count(F.col("text"), letters).alias("nwords"),
@@ -67,7 +67,7 @@ def corpus(spark: SparkSession, sf_dir: str, letters: str = T.PLAIN_LETTERS) ->
 
 
 def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return T.text_postings(_table(spark, sf_dir, "documents"), "doc_id", "text", "leafdefault", T.PLAIN_LETTERS)
+    return T.text_postings(storage.spread(_table(spark, sf_dir, "documents")), "doc_id", "text", "leafdefault", T.PLAIN_LETTERS)
 
 
 # ---- tokens and counts
@@ -85,14 +85,21 @@ def corpus_totals(spark, sf_dir):
 
 @query(f"WITH {TOK} SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM tok GROUP BY term ORDER BY n DESC, term LIMIT 20")
 def top_terms(spark, sf_dir):
-    per_doc = _words(spark, sf_dir).groupBy("term", "uri").agg(F.count("*").alias("c"))
-    return per_doc.groupBy("term").agg(F.sum("c").alias("n"), F.count("*").alias("docs")).orderBy(F.desc("n"), "term").limit(20)
+    return _term_counts(spark, sf_dir).orderBy(F.desc("n"), "term").select("term", "n", "docs").limit(20)
+
+
+def _term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(term, n, docs): a document's words are counted in its own array, so one aggregation follows."""
+    words = F.array_sort(T.tokens(F.col("text"), T.PLAIN_LETTERS))
+    ends = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == F.size("w")) | (F.get("w", i) != F.get("w", i - 1)))
+    rows = storage.spread(_table(spark, sf_dir, "documents").select("text")).select(words.alias("w")).where(F.size("w") > 0).select("w", ends.alias("e"))
+    per_doc = F.transform("e", lambda i, k: F.struct(F.get("w", i - 1).alias("term"), (i - F.when(k == 0, 0).otherwise(F.get("e", k - 1))).alias("c")))
+    return rows.select(F.inline(per_doc)).groupBy("term").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
 
 
 @query(f"WITH {TOK} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tok GROUP BY term")
 def term_df(spark, sf_dir):
-    per_doc = _words(spark, sf_dir).groupBy("term", "uri").agg(F.count("*").alias("c"))
-    return per_doc.groupBy("term").agg(F.count("*").alias("df"), F.sum("c").alias("cf"))
+    return _term_counts(spark, sf_dir).select("term", F.col("docs").alias("df"), F.col("n").alias("cf"))
 
 
 @query(f"WITH {TOK} SELECT doc_id, term, CAST(pos AS INTEGER) AS pos, CAST(strlen(term) AS INTEGER) AS len FROM tok")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gzip
 import zlib
 
 import pandas as pd
@@ -17,11 +16,18 @@ from . import mime
 
 @F.pandas_udf(BinaryType())
 def gunzip(content: pd.Series) -> pd.Series:
-    """The bytes inside a gzip stream; null for null and for what is none."""
+    """The bytes inside a gzip stream; null for null, for what is none and for MAX_FILE bytes or more."""
     def one(b):
+        out, rest = [], b
         try:
-            return gzip.decompress(b)
-        except (OSError, EOFError, zlib.error):
+            while rest:  # a stream may have several members
+                member = zlib.decompressobj(wbits=31)
+                out.append(member.decompress(rest, MAX_FILE - sum(map(len, out))))
+                if not member.eof or sum(map(len, out)) >= MAX_FILE:
+                    return None
+                rest = member.unused_data.lstrip(b"\0")
+            return b"".join(out)
+        except zlib.error:
             return None
 
     return content.map(one, na_action="ignore")
@@ -50,7 +56,7 @@ def checked(df: DataFrame) -> DataFrame:
 def read_files(spark: SparkSession, paths: str | list[str], config: Config | None = None, recursive: bool = True) -> DataFrame:
     """(uri, content, mtime, size, ext, is_gzipped, mime, parser) of files; hidden ones are left out.
 
-    The size limit is checked before any content is read.
+    The size limit is checked before any content is read; refused_files() tells what it leaves out.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths)
     raw = raw.where((F.col("length") > 0) & (F.col("length") < MAX_FILE))
@@ -60,6 +66,12 @@ def read_files(spark: SparkSession, paths: str | list[str], config: Config | Non
     return rows.withColumn("content", F.when(F.col("is_gzipped"), inside).otherwise(F.col("content")))
 
 
+def refused_files(spark: SparkSession, paths: str | list[str], recursive: bool = True) -> DataFrame:
+    """(uri, size) of the files that read_files() leaves out as too large; no content is read. Empty files are no part of any scan."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(paths).select("path", "length")
+    return raw.where(F.col("length") >= MAX_FILE).select(F.regexp_replace("path", "^file:/*", "/").alias("uri"), F.col("length").alias("size"))
+
+
 def file_list(spark: SparkSession, path: str) -> DataFrame:
     """(uri) of the lines of a list; blank lines and comments are left out."""
     lines = spark.read.text(path)

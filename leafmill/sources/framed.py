@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import io
-import os
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from ..functions.words import to_int
+from .storage import files_in, open_file
 
 SCHEMA = "uri string, content binary, size long, mtime long, mime string, parser string, encoding string, action string"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -138,51 +138,78 @@ def framed(uri: Column, content: Column, mtime: Column | None = None, parser: Co
     return F.concat(head, F.lit("\n\n"), body)
 
 
-class _File(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+class _Range(InputPartition):
+    """Bytes of a file; to its end without `until`."""
+
+    def __init__(self, path: str, at: int = 0, until: int | None = None):
+        self.path, self.at, self.until = path, at, until
+
+
+def _read_range(part: _Range) -> Iterator[pa.RecordBatch]:
+    with open_file(part.path) as f:
+        f.seek(part.at)
+        if part.until is None:
+            yield from _batches(d for d, _ in read_frames(f))
+        else:
+            yield from _batches(d for d, done in read_frames(f, strict=False) if done <= part.until)
+
+
+def _complete(path: str, at: int, size: int) -> int:
+    """Where the last whole document ends; only header lines are read."""
+    with open_file(path) as f:
+        while at < size:
+            f.seek(at)
+            head = []
+            while (line := f.readline()).endswith(b"\n"):
+                if text := line.decode("utf-8", "replace").strip():
+                    head.append(text)
+                elif head:
+                    break
+            if not line.endswith(b"\n") or len(head) < MIN_HEADERS:
+                return at
+            end = f.tell() + parse_head(head)[0]["size"]
+            if end > size:
+                return at
+            at = end
+    return at
 
 
 class FramedReader(DataSourceReader):
     """One partition for each file; a file is read as a stream."""
 
-    def __init__(self, paths: list[str]):
-        self.paths = paths
+    def __init__(self, path: str):
+        self.path = path
 
     def partitions(self):
-        return [_File(p) for p in self.paths]
+        return [_Range(p) for p, _ in files_in(self.path)]
 
     def read(self, partition):
-        with open(partition.path, "rb") as f:
-            yield from _batches(d for d, _ in read_frames(f))
+        yield from _read_range(partition)
 
 
-class FramedStreamReader(SimpleDataSourceStreamReader):
-    """A file that grows: documents come when they are complete, the offset is the bytes read."""
+class FramedStreamReader(DataSourceStreamReader):
+    """Files that grow, and new files of a folder: documents come when they are complete.
+
+    The offset is the end of the last whole document of each file, the driver
+    reads header lines only, and each file's new bytes are a partition.
+    """
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self.seen = path, {}
 
     def initialOffset(self):
-        return {"at": 0}
+        return {}
 
-    def _from(self, at: int, until: int | None = None):
-        out = []
-        with open(self.path, "rb") as f:
-            f.seek(at)
-            for d, done in read_frames(f, strict=False):
-                if until is not None and done > until:
-                    break
-                out.append(tuple(d[k] for k in NAMES))
-                at = done
-        return out, at
+    def latestOffset(self):
+        for path, size in files_in(self.path):
+            self.seen[path] = _complete(path, self.seen.get(path, 0), size)
+        return {p: n for p, n in self.seen.items() if n}
 
-    def read(self, start):
-        rows, at = self._from(start["at"])
-        return iter(rows), {"at": at}
+    def partitions(self, start, end):
+        return [_Range(p, start.get(p, 0), n) for p, n in sorted(end.items()) if n > start.get(p, 0)]
 
-    def readBetweenOffsets(self, start, end):
-        return iter(self._from(start["at"], end["at"])[0])
+    def read(self, partition):
+        yield from _read_range(partition)
 
 
 class FramedSource(DataSource):
@@ -195,18 +222,11 @@ class FramedSource(DataSource):
     def schema(self):
         return SCHEMA
 
-    def _paths(self) -> list[str]:
-        path = self.options.get("path", "")
-        path = "/" + path[5:].lstrip("/") if path.startswith("file:") else path
-        if os.path.isdir(path):
-            return [os.path.join(path, n) for n in sorted(os.listdir(path)) if n[0] not in "._"]
-        return [path]
-
     def reader(self, schema):
-        return FramedReader(self._paths())
+        return FramedReader(self.options.get("path", ""))
 
-    def simpleStreamReader(self, schema):
-        return FramedStreamReader(self._paths()[0])
+    def streamReader(self, schema):
+        return FramedStreamReader(self.options.get("path", ""))
 
 
 def register(spark: SparkSession) -> None:
