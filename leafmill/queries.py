@@ -74,12 +74,12 @@ def _words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT doc_id, CAST(len({WORDS}) AS BIGINT) AS nwords FROM documents")
 def doc_word_counts(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", T.word_count(F.col("text"), T.PLAIN_LETTERS).alias("nwords"))
+    return storage.spread(_table(spark, sf_dir, "documents")).select("doc_id", T.word_count(F.col("text"), T.PLAIN_LETTERS).alias("nwords"))
 
 
 @query(f"SELECT count(*) AS files, CAST(sum(len({WORDS})) AS BIGINT) AS words, CAST(sum(strlen(text)) AS BIGINT) AS bytes FROM documents")
 def corpus_totals(spark, sf_dir):
-    rows = _table(spark, sf_dir, "documents").select(T.word_count(F.col("text"), T.PLAIN_LETTERS).alias("n"), F.octet_length("text").alias("b"))
+    rows = storage.spread(_table(spark, sf_dir, "documents")).select(T.word_count(F.col("text"), T.PLAIN_LETTERS).alias("n"), F.octet_length("text").alias("b"))
     return rows.agg(F.count("*").alias("files"), F.sum("n").alias("words"), F.sum("b").alias("bytes"))
 
 
@@ -91,10 +91,10 @@ def top_terms(spark, sf_dir):
 def _term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(term, n, docs): a document's words are counted in its own array, so one aggregation follows."""
     words = F.array_sort(T.tokens(F.col("text"), T.PLAIN_LETTERS))
-    ends = F.filter(F.sequence(F.lit(1), F.size("w")), lambda i: (i == F.size("w")) | (F.get("w", i) != F.get("w", i - 1)))
-    rows = storage.spread(_table(spark, sf_dir, "documents").select("text")).select(words.alias("w")).where(F.size("w") > 0).select("w", ends.alias("e"))
+    ends = F.filter(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1))), lambda i: (i == F.size("w")) | (F.get("w", i) != F.get("w", i - 1)))
+    rows = storage.spread(_table(spark, sf_dir, "documents").select("text")).select(words.alias("w")).select("w", ends.alias("e"))
     per_doc = F.transform("e", lambda i, k: F.struct(F.get("w", i - 1).alias("term"), (i - F.when(k == 0, 0).otherwise(F.get("e", k - 1))).alias("c")))
-    return rows.select(F.inline(per_doc)).groupBy("term").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
+    return rows.select(F.inline(per_doc)).where("term IS NOT NULL").groupBy("term").agg(F.sum("c").alias("n"), F.count("*").alias("docs"))
 
 
 @query(f"WITH {TOK} SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM tok GROUP BY term")
@@ -313,22 +313,22 @@ def strip_markup(spark, sf_dir):
     return _table(spark, sf_dir, "pages").select("page_id", C.strip_markup("html").alias("text"))
 
 
-@query("SELECT page_id, replace(replace(replace(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title FROM pages WHERE html LIKE '%<title>%'")
+@query("SELECT page_id, regexp_replace(replace(replace(replace(trim(regexp_extract(html, '(?s)<title>(.*?)</title>', 1)), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;?', '&', 'g') AS title FROM pages WHERE html LIKE '%<title>%'")
 def html_title(spark, sf_dir):
-    pages = tables.html_documents(_table(spark, sf_dir, "pages"), "page_id", "html")
+    pages = tables.html_documents(storage.spread(_table(spark, sf_dir, "pages")), "page_id", "html")
     rows = A.field_values(A.analyze(pages, Config())).where("name = 'leaftitle' AND idx = 0")
     return rows.select(F.col("uri").cast("long").alias("page_id"), F.col("value").alias("title"))
 
 
 @query()
 def html_fields(spark, sf_dir):
-    pages = tables.html_documents(_table(spark, sf_dir, "pages"), "page_id", "html")
+    pages = tables.html_documents(storage.spread(_table(spark, sf_dir, "pages")), "page_id", "html")
     return A.field_values(A.analyze(pages, Config()), "metas").select(F.col("uri").cast("long").alias("page_id"), "name", "idx", F.length("value").cast("long").alias("chars"))
 
 
 @query()
 def html_postings(spark, sf_dir):
-    pages = tables.html_documents(_table(spark, sf_dir, "pages"), "page_id", "html")
+    pages = tables.html_documents(storage.spread(_table(spark, sf_dir, "pages")), "page_id", "html")
     return T.postings(A.analyze(pages, Config())).groupBy("meta", "context", "term").agg(F.count("*").alias("n"))
 
 
