@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + _own_dir
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+def staged(df: DataFrame, name: str, **options) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back.
 
     It cuts the lineage, so what follows survives the loss of executors
@@ -49,7 +49,7 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     was = spark.conf.get(_CLEAN_UP)
     spark.conf.set(_CLEAN_UP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     finally:
         spark.conf.set(_CLEAN_UP, was)
     out = spark.read.schema(df.schema).parquet(path)

@@ -23,7 +23,7 @@ again by what it can be extended to: so many of the missing bytes behind it and
 so many before it, in WAYS ways of which each string that it may hold meets one,
 until it has fewer places or is `length` bytes long.
 
-Surroundings that are equal by 128 bits of BLAKE2b are extended once; they are
+Surroundings that are equal by 96 bits of BLAKE2b are extended once; they are
 repeated wherever they stand. Equal texts are extended once too.
 """
 
@@ -37,12 +37,11 @@ from itertools import groupby
 import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
-import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, open_shared, parts, staged
+from .common import dropped, map_batches, open_shared, parts, staged
 
 LENGTH = 200
 #: Bytes hashed at a time; windows reach over the cuts.
@@ -116,16 +115,17 @@ def anchors(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray,
 
 
 def _digest(data: bytes, left: int, right: int) -> bytes:
-    """128 bits of a string and of the bytes that it reaches to both sides."""
-    return hashlib.blake2b(data, digest_size=16, salt=struct.pack("<QQ", left, right)).digest()
+    """96 bits of a string and of the bytes that it reaches to both sides."""
+    return hashlib.blake2b(data, digest_size=12, salt=struct.pack("<QQ", left, right)).digest()
 
 
-def surroundings(data: bytes, places: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """How far the strings of each anchor reach before it and from it on, and two longs with a digest of these bytes."""
+def surroundings(data: bytes, places: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """How far the strings of each anchor reach before it and from it on, and a digest of these bytes as a long and an int."""
     ends = np.r_[starts[1:] - 1 + length, [len(data)] * min(1, len(starts))].astype(np.int64)
     before, after = places - starts, ends - places
     out = b"".join(_digest(data[a:b], x, y) for a, b, x, y in zip(starts.tolist(), ends.tolist(), before.tolist(), after.tolist(), strict=True))
-    return before, after, np.frombuffer(out, "<i8").reshape(-1, 2)
+    digests = np.frombuffer(out, [("reach", "<i8"), ("proof", "<i4")])
+    return before, after, digests["reach"], digests["proof"]
 
 
 # ---- the transform of a block
@@ -279,30 +279,29 @@ def _batch(out: list[tuple], schema: str) -> pa.RecordBatch:
 
 
 def _store(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
-    """Texts, squeezed, with their anchors, k-gram hashes and digests of surroundings, as a table in the shared folder."""
+    """Texts with their anchors, k-gram hashes and digests of surroundings, as a table in the shared folder."""
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    schema = "doc_id long, body binary, pos array<int>, before array<short>, after array<short>, gram array<long>, reach array<long>, proof array<long>"
-    kinds = (np.int32, np.int16, np.int16, np.int64, np.int64, np.int64) if length < 1 << 15 else (np.int32,) * 3 + (np.int64,) * 3
+    schema = "doc_id long, body binary, pos array<int>, before array<short>, after array<short>, gram array<long>, reach array<long>, proof array<int>"
+    kinds = (np.int32, *[np.int16 if length < 1 << 15 else np.int32] * 2, np.int64, np.int64, np.int32)
     if length >= 1 << 15:
         schema = schema.replace("short", "int")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             bodies, lists = [], []
             for text in batch.column(1).to_pylist():
                 data = text or b""
                 places, grams, starts = anchors(data, length)
-                before, after, digests = surroundings(data, places, starts, length)
-                bodies.append(squeeze.compress(data))
-                lists.append((places, before, after, grams.view(np.int64), digests[:, 0], digests[:, 1]))
+                bodies.append(data)
+                lists.append((places, *surroundings(data, places, starts, length)))
+                lists[-1] = (*lists[-1][:3], grams.view(np.int64), *lists[-1][3:])
             if not bodies:
                 continue
             offsets = pa.array(np.r_[0, np.cumsum([len(x[0]) for x in lists])].astype(np.int32))
             columns = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(x).astype(kind))) for x, kind in zip(zip(*lists, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.binary()), *columns], names=_names(schema))
 
-    return staged(map_batches(rows, run, schema), "suffix")
+    return staged(map_batches(rows, run, schema), "suffix", compression="zstd")
 
 
 def _file_rows(path: str, columns: list[str]) -> Iterator[dict]:
@@ -332,7 +331,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[tup
         yield next(rows)["path"], places(rows)
 
 
-_CONTEXT = "key binary, gram long, reach long, proof long, n long, before int, after int, at int, around binary"
+_CONTEXT = "key binary, reach long, proof int, n long, before int, after int, at int, around binary"
 
 
 def _contexts(frontier: DataFrame, stored: DataFrame, length: int) -> DataFrame:
@@ -340,15 +339,13 @@ def _contexts(frontier: DataFrame, stored: DataFrame, length: int) -> DataFrame:
     k = gram_bytes(length)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unsqueeze, out = zstandard.ZstdDecompressor(), []
+        out = []
         for path, places in _runs(batches):
-            texts, at, data = enumerate(_file_rows(path, ["body"])), -1, b""
+            texts, at = enumerate(_file_rows(path, ["body"])), -1
             for row, pos, p in places:
-                if at < row:
-                    while at < row:
-                        at, here = next(texts)
-                    data = unsqueeze.decompress(here["body"])
-                out.append((struct.pack("<q", p["gram"]), p["gram"], p["reach"], p["proof"], p["n"], 0, k, p["before"], data[pos - p["before"] : pos + p["after"]]))
+                while at < row:
+                    at, here = next(texts)
+                out.append((struct.pack("<q", p["gram"]), p["reach"], p["proof"], p["n"], 0, k, p["before"], here["body"][pos - p["before"] : pos + p["after"]]))
                 if len(out) == 4096:
                     yield _batch(out, _CONTEXT)
                     out = []
@@ -358,7 +355,7 @@ def _contexts(frontier: DataFrame, stored: DataFrame, length: int) -> DataFrame:
     return map_batches(_by_file(frontier, stored), run, _CONTEXT)
 
 
-_VERDICT = "gram long, reach long, proof long, before int, after int"
+_VERDICT = "reach long, proof int, before int, after int"
 
 
 def _resolve(contexts: DataFrame, length: int) -> DataFrame:
@@ -368,7 +365,7 @@ def _resolve(contexts: DataFrame, length: int) -> DataFrame:
         numbers: dict[bytes, int] = {}
         interval = np.array([numbers.setdefault(r["key"], len(numbers)) for r in rows], np.int64)
         left, right = expand([r["around"] for r in rows], np.array([r["at"] for r in rows], np.int64), interval, length)
-        found = [(r["gram"], r["reach"], r["proof"], a, b) for r, a, b in zip(rows, left.tolist(), right.tolist(), strict=True) if a >= 0 and r["n"] == 1]
+        found = [(r["reach"], r["proof"], a, b) for r, a, b in zip(rows, left.tolist(), right.tolist(), strict=True) if a >= 0 and r["n"] == 1]
         if found:
             yield _batch(found, _VERDICT)
 
@@ -406,7 +403,7 @@ def extended(row: dict, length: int) -> Iterator[tuple]:
         if least < over and before <= at and at + after <= len(around):
             low = max(0, at - (length - after))
             key = _digest(around[at - before : at + after], before, after)
-            yield key, row["gram"], row["reach"], row["proof"], row["n"], before, after, at - low, around[low : at + length - before]
+            yield key, row["reach"], row["proof"], row["n"], before, after, at - low, around[low : at + length - before]
 
 
 def _split(contexts: DataFrame, length: int) -> DataFrame:
@@ -421,17 +418,16 @@ def _split(contexts: DataFrame, length: int) -> DataFrame:
 
 def _resolve_large(contexts: DataFrame, length: int) -> list[DataFrame]:
     """The same for intervals of more than GROUP places. A round leaves a quarter of the bytes that they miss."""
-    out = []
+    out, whole = [], F.col("before") + F.col("after") == length
     while True:
         rows = staged(_split(contexts, length), "suffix-split")
-        sizes = staged(rows.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "suffix-sizes")
+        sizes = staged(rows.groupBy("key").agg(F.count("*").alias("m"), F.first(whole).alias("whole")).where("m > 1"), "suffix-sizes")
         rows = rows.join(sizes, "key")
-        whole = F.col("before") + F.col("after") == length
-        out.append(rows.where(whole & (F.col("n") == 1)).select(*_names(_VERDICT)))
-        out.append(_resolve(rows.where(~whole & (F.col("m") <= GROUP)).drop("m"), length))
-        contexts = rows.where(~whole & (F.col("m") > GROUP)).drop("m")
-        if sizes.where(F.col("m") > GROUP).isEmpty() or contexts.isEmpty():
+        out.append(rows.where("whole AND n = 1").select(*_names(_VERDICT)))
+        out.append(_resolve(rows.where(~F.col("whole") & (F.col("m") <= GROUP)).drop("m", "whole"), length))
+        if sizes.where(~F.col("whole") & (F.col("m") > GROUP)).isEmpty():
             return out
+        contexts = rows.where(~F.col("whole") & (F.col("m") > GROUP)).drop("m", "whole")
 
 
 def repeated_spans(stored: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -439,13 +435,15 @@ def repeated_spans(stored: DataFrame, length: int = LENGTH) -> DataFrame:
 
     A file is a hash of its path, a place the row in its file above 32 bits with the place in the text.
     """
-    pair = ["gram", "reach", "proof"]
-    lists = stored.select(F.xxhash64("_metadata.file_path").alias("file"), F.shiftleft(F.col("_metadata.row_index"), 32).alias("row"), F.inline(F.arrays_zip("pos", "before", "after", *pair)))
-    places = lists.select("file", (F.col("row") + F.col("pos")).alias("place"), "before", "after", *pair)
-    # before and after are the same in all places with one digest
-    around = places.groupBy(*pair).agg(F.count("*").alias("n"), F.min("file").alias("file"), F.min_by("place", "file").alias("place"), F.max("before").cast("int").alias("before"), F.max("after").cast("int").alias("after"))
+    columns, pair = ["gram", "reach", "proof"], ["reach", "proof"]
+    lists = stored.select(F.xxhash64("_metadata.file_path").alias("file"), F.shiftleft(F.col("_metadata.row_index"), 32).alias("row"), F.inline(F.arrays_zip("pos", "before", "after", *columns)))
+    places = lists.select("file", (F.col("row") + F.col("pos")).alias("place"), "before", "after", *columns)
+    # what is the same in all places with one digest is taken from any of them
+    around = places.groupBy(*pair).agg(
+        F.max("gram").alias("gram"), F.count("*").alias("n"), F.min("file").alias("file"), F.min_by("place", "file").alias("place"), F.max("before").cast("int").alias("before"), F.max("after").cast("int").alias("after"),
+    )
     grams = around.groupBy("gram").agg(F.count("*").alias("m"), F.count_if(F.col("n") == 1).alias("single"))
-    around = around.join(grams.where("m > single OR m > 1"), "gram").where("n > 1 OR m > 1").select(*pair, "n", "m", (F.col("single") > 0).alias("single"), "file", "place", "before", "after")
+    around = around.join(grams.where("m > single OR m > 1"), "gram").where("n > 1 OR m > 1").select(*columns, "n", "m", (F.col("single") > 0).alias("single"), "file", "place", "before", "after")
     around = staged(around, "suffix-around")
     frontier = around.where("m > 1 AND single").drop("single")
     found = [_resolve(_contexts(frontier.where(F.col("m") <= GROUP).drop("m"), stored, length), length)]
@@ -454,11 +452,12 @@ def repeated_spans(stored: DataFrame, length: int = LENGTH) -> DataFrame:
         found += _resolve_large(_contexts(large, stored, length), length)
     # surroundings that stand twice are repeated as a whole
     found.append(around.where("n > 1").select(*pair, "before", "after"))
-    verdicts = found[0]
+    verdicts = found[0].select(*pair, "before", "after")
     for x in found[1:]:
-        verdicts = verdicts.unionByName(x)
+        verdicts = verdicts.unionByName(x.select(*pair, "before", "after"))
     verdicts = staged(verdicts.groupBy(*pair).agg(F.max("before").alias("before"), F.max("after").alias("after")), "suffix-verdicts")
-    return places.drop("before", "after").join(verdicts, pair).select("file", "place", "before", "after")
+    dropped(around)
+    return places.select("file", "place", *pair).join(verdicts, pair).select("file", "place", "before", "after")
 
 
 class Cut:
@@ -492,11 +491,11 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unsqueeze, out, held = zstandard.ZstdDecompressor(), [], 0
+        out, held = [], 0
         for path, ranges in _runs(batches):
             pending = next(ranges, None)
             for at, row in enumerate(_file_rows(path, ["doc_id", "body"])):
-                cut = Cut(unsqueeze.decompress(row["body"]))
+                cut = Cut(row["body"])
                 while pending is not None and pending[0] == at:
                     cut.remove(pending[1] - pending[2]["before"], pending[1] + pending[2]["after"])
                     pending = next(ranges, None)

@@ -223,7 +223,7 @@ def test_large_intervals_meet_every_string():
     """Each string of the length around the anchor is in one of the longer intervals, at any depth."""
     length, around, at = 20, bytes(range(40, 74)), 15
     strings = {s for s in range(len(around) - length + 1) if s <= at and s + length >= at + 4}
-    todo, met = [{"key": b"", "gram": 0, "reach": 0, "proof": 0, "n": 1, "before": 0, "after": 4, "at": at, "around": around}], set()
+    todo, met = [{"key": b"", "reach": 0, "proof": 0, "n": 1, "before": 0, "after": 4, "at": at, "around": around}], set()
     while todo:
         row = todo.pop()
         if row["before"] + row["after"] == length:
