@@ -46,10 +46,10 @@ from .common import dropped, map_batches, open_shared, parts, staged
 LENGTH = 200
 #: Bytes hashed at a time; windows reach over the cuts.
 CHUNK = 1 << 23
-#: Surroundings of one interval that a task takes; an interval of more is extended by a shuffle first.
-GROUP = 1 << 10
-#: Surroundings in one transform, as whole intervals.
+#: Surroundings in one transform, as whole intervals: about a megabyte of text.
 BLOCK = 1 << 12
+#: Surroundings of one interval that a task takes, as many as a transform; an interval of more is extended by a shuffle first.
+GROUP = BLOCK
 #: Extensions of an interval that is too large.
 WAYS = 4
 
@@ -58,8 +58,8 @@ _AT_BITS = 24
 
 
 def gram_bytes(length: int) -> int:
-    """Bytes of an anchor's k-gram: the greatest power of two up to a third of the length."""
-    return 1 << (max(1, length // 3).bit_length() - 1)
+    """Bytes of an anchor's k-gram: the greatest power of two up to a quarter of the length."""
+    return 1 << (max(1, length // 4).bit_length() - 1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
