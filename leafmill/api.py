@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .config import GAP, Config
 from .operators import analyze as A
 from .operators import markup
+from .operators.dumps import config_lines
 from .operators.tokens import postings
 from .plans.query import split_text
 from .sources import files, framed, mime
@@ -87,6 +88,13 @@ class Document:
     def count_words(self) -> int:
         return sum(1 for _ in self.tokens())
 
+    def dump(self) -> str:
+        """Metadata, properties, fields and tokens as lines to read."""
+        out = [f"{k}={v}" for k, v in sorted(self.doc.items())]
+        for kind, table in (("property", self.properties), ("field", self.metanames)):
+            out += [f"{kind} {name} {i} {v.replace(GAP, '|')}" for name, values in sorted(table.items()) for i, v in enumerate(values)]
+        return "\n".join(out + [f"token {t.pos} {t.meta} {t.context} {t.value} {t.len}" for t in self.tokens()])
+
 
 class Engine:
     """Parse single documents in this process, or tables of them on a cluster."""
@@ -199,8 +207,13 @@ class Engine:
     def analyze(self, docs: DataFrame) -> DataFrame:
         return A.analyze(docs, self.config)
 
-    def postings(self, docs: DataFrame) -> DataFrame:
-        return postings(self.analyze(docs))
+    def postings(self, docs: DataFrame, tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
+        """Tokens with positions; `tokenizer` gives the words of a text column as an array."""
+        return postings(self.analyze(docs), tokenizer=tokenizer)
+
+    def dump(self) -> str:
+        """The configuration as lines to read."""
+        return "\n".join(config_lines(self.config))
 
     def totals(self, docs: DataFrame) -> DataFrame:
         """One row: files, words."""

@@ -417,3 +417,44 @@ def estimated_matches(spark, sf_dir):
     from .queries import corpus
 
     return corpus(spark, sf_dir).search("the").agg(F.count("*").alias("matches"))
+
+
+# ---- dumps, hooks and code points
+
+@query("""SELECT n_nationkey AS id, CAST(unnest([0, 1, 2, 3, 4, 5, 6, 7]) AS INTEGER) AS at, unnest(['document ' || n_nationkey || ' UTF-8', 'property name 0 ' || n_name,
+  'field leafdefault 0 see', 'field leafdefault 1 it', 'field name 0 ' || n_name, 'token 1 leafdefault leafdefault see 3', 'token 2 name leafdefault/name ' || lower(n_name) || ' ' || strlen(n_name), 'token 3 leafdefault leafdefault it 2']) AS line FROM nation""")
+def document_dumps(spark, sf_dir):
+    """All lines of a document; a field's tag parts the text around it in two values, paths name fields only."""
+    from .operators.dumps import document_lines
+
+    config = Config.read("<c><MetaNames><name/></MetaNames><PropertyNames><name/></PropertyNames></c>")
+    lines = document_lines(_nations(spark, sf_dir, "concat('<r>see <name>', n_name, '</name> it</r>')", config))
+    return lines.select(F.col("uri").cast("int").alias("id"), "at", F.btrim(F.regexp_replace("line", " +", " ")).alias("line"))
+
+
+@query("SELECT o_orderpriority AS place, term, pos, count(*) AS n FROM (SELECT o_orderpriority, CAST(unnest([1, 2]) AS INTEGER) AS pos, unnest([split_part(o_orderpriority, '-', 1), substr(o_orderpriority, strpos(o_orderpriority, '-') + 1)]) AS term FROM orders) t GROUP BY ALL")
+def replaced_tokenizer(spark, sf_dir):
+    """Words as a tokenizer of one's own finds them: letter case and spaces stay."""
+    o = _table(spark, sf_dir, "orders")
+    analyzed = A.analyze_text(o.select(F.col("o_orderpriority").alias("uri"), F.col("o_orderpriority").alias("content")), Config())
+    rows = T.postings(analyzed, tokenizer=lambda text: F.split(text, "-", 2)).where(F.col("meta") == Config().default_meta)
+    return rows.groupBy(F.col("uri").alias("place"), "term", "pos").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, strlen(left(text, 7)) AS seventh, CASE WHEN contains(text, 'e') THEN length(text) - strpos(reverse(text), 'e') ELSE -1 END AS last_e,
+  nullif(substr(text, 4, 1), '') AS fourth, CASE WHEN strlen(text) <= 7 THEN length(text) ELSE (SELECT count(*) - 1 FROM (SELECT unnest(range(1, 9)) AS i) WHERE substr(hex(encode(text)), 2 * i - 1, 1) NOT IN ('8', '9', 'A', 'B')) END AS char_of_byte
+  FROM documents""")
+def code_point_places(spark, sf_dir):
+    text = F.col("text")
+    return _table(spark, sf_dir, "documents").select(
+        "doc_id", C.byte_offset(text, 7).cast("long").alias("seventh"), C.last_char_index(text, "e").cast("long").alias("last_e"), C.char_at(text, 3).alias("fourth"), C.char_offset(text, 7).cast("long").alias("char_of_byte"),
+    )
+
+
+@query("SELECT DISTINCT c_custkey AS uri FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey IS NOT NULL)")
+def uris_without_match(spark, sf_dir):
+    """Keys that a table lacks, with some to find."""
+    from .plans import merge
+
+    keys, there = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uri")), _table(spark, sf_dir, "orders").where("o_orderstatus = 'P'")
+    return merge.missing(there.select(F.col("o_custkey").alias("uri")), keys, "uri")

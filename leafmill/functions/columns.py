@@ -107,6 +107,33 @@ def char_index(c, char: str):
     return F.instr(_col(c), char) - 1
 
 
+def last_char_index(c, char: str):
+    """0-based last place of a character, -1 without it."""
+    c = _col(c)
+    return F.when(F.instr(c, char) > 0, F.char_length(c) - F.instr(F.reverse(c), char)).when(c.isNotNull(), F.lit(-1))
+
+
+def byte_offset(c, n):
+    """Where the n-th character (from 0) starts in the UTF-8 bytes; their number beyond the last one."""
+    c = _col(c)
+    return F.octet_length(F.substring(c, F.lit(1), F.lit(n).cast("int")))
+
+
+def char_offset(c, n):
+    """The number (from 0) of the character whose UTF-8 bytes hold byte n; the number of characters beyond."""
+    c, n = _col(c), F.lit(n).cast("int")
+    # a character starts at each byte that does not go on with one: all but 80-BF
+    hexes = F.hex(F.substring(F.to_binary(c, F.lit("utf-8")), F.lit(1), n + 1))
+    starts = F.size(F.filter(F.regexp_extract_all(hexes, F.lit(".."), F.lit(0)), lambda b: ~b.rlike("^[89AB]")))
+    return F.when(n >= F.octet_length(c), F.char_length(c)).otherwise(starts - 1)
+
+
+def char_at(c, n):
+    """The n-th character (from 0), null beyond the last one."""
+    found = F.substring(_col(c), F.lit(n).cast("int") + 1, F.lit(1))
+    return F.when(found != "", found)
+
+
 def file_ext(c):
     """Lower-cased text after the last dot if no slash follows it, else null."""
     c = _col(c)

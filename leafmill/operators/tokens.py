@@ -50,12 +50,28 @@ def word_count(text: Column, letters: str = LETTERS) -> Column:
     return F.size(tokens(text, letters)).cast("long")
 
 
-def postings(df: DataFrame, uri: str = "uri", pieces: str = "pieces", letters: str = LETTERS, stem: Callable[[Column], Column] | None = None, min_word: int = MIN_WORD, max_word: int = MAX_WORD) -> DataFrame:
+def _hooked(text: Column, tokenizer: Callable[[Column], Column]) -> Column:
+    """What a replaced tokenizer finds between gaps, and the gaps."""
+    gap = lambda i: F.when(i > 0, F.array(F.lit(GAP))).otherwise(F.array().cast("array<string>"))
+    return F.flatten(F.transform(F.split(text, GAP), lambda t, i: F.concat(gap(i), tokenizer(t))))
+
+
+def marked_pieces(pieces: str, letters: str = LETTERS, min_word: int = MIN_WORD, max_word: int = MAX_WORD, tokenizer: Callable[[Column], Column] | None = None) -> Column:
+    """(meta, context, term) for each word and gap of all pieces, in order.
+
+    `tokenizer` replaces the splitting of words: from a text column to an array of
+    words, by column functions.
+    """
+    words = (lambda t: _hooked(t, tokenizer)) if tokenizer else lambda t: _marks(t, letters, min_word, max_word)
+    return F.flatten(F.transform(pieces, lambda p: F.transform(words(p["text"]), lambda w: F.struct(p["meta"].alias("meta"), p["context"].alias("context"), w.alias("term")))))
+
+
+def postings(df: DataFrame, uri: str = "uri", pieces: str = "pieces", letters: str = LETTERS, stem: Callable[[Column], Column] | None = None, min_word: int = MIN_WORD, max_word: int = MAX_WORD, tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
     """(uri, meta, context, term, pos, len) from an array of (meta, context, text) for each document.
 
     All array work is in one generator in the JVM; rows are made last.
     """
-    marked = F.flatten(F.transform(pieces, lambda p: F.transform(_marks(p["text"], letters, min_word, max_word), lambda w: F.struct(p["meta"].alias("meta"), p["context"].alias("context"), w.alias("term")))))
+    marked = marked_pieces(pieces, letters, min_word, max_word, tokenizer)
     rows = df.select(F.col(uri).alias("uri"), F.posexplode(marked).alias("at", "t"))
     rows = rows.select("uri", "t.meta", "t.context", "t.term", (F.col("at") + 1).alias("pos")).where(F.col("term") != GAP)
     rows = rows.withColumn("len", F.octet_length("term"))

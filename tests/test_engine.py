@@ -472,3 +472,18 @@ def test_command_line(tmp_path, capsys, spark):
     out = capsys.readouterr().out
     assert "1 of 1" in out and f'1000 {tmp_path}/a.txt "" "10"' in out and "# leafparser 'TXT': 1" in out
     assert cli.main(["index", "-D", "-i", str(tmp_path / "i"), str(tmp_path / "a.txt"), "nope"]) == 0 and "not in the index: nope" in capsys.readouterr().out
+
+
+def test_dumps_hook_and_code_points(spark):
+    engine = Engine("<c><MetaNames><name/></MetaNames></c>")
+    assert "metaname name id=" in engine.dump()
+    doc = engine.parse(b"Content-Length: 21\nContent-Location: a.xml\n\n<r><name>x</name></r>")
+    assert "field name 0 x" in doc.dump().split("\n")
+    rows = spark.createDataFrame([("aé布😀z",), ("",), (None,)], "t string")
+    got = rows.select(*[C.char_offset("t", n) for n in range(12)], C.byte_offset("t", 3), C.char_at("t", 3), C.last_char_index("t", "z")).collect()
+    assert tuple(got[0]) == (0, 1, 1, 2, 2, 2, 3, 3, 3, 3, 4, 5, 6, "😀", 4)
+    assert tuple(got[1]) == (0,) * 13 + (None, -1)
+    assert set(got[2]) == {None}
+    pieces = spark.createDataFrame([("u", [("m", "m", "A-b\x03c")])], "uri string, pieces array<struct<meta:string,context:string,text:string>>")
+    hooked = T.postings(pieces, tokenizer=lambda t: F.split(t, "-"))
+    assert [(r["term"], r["pos"]) for r in hooked.orderBy("pos").collect()] == [("A", 1), ("b", 2), ("c", 4)]
