@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, gif, langid, mixing, packing, secrets, simhash, sketch, sst, suffix
+from . import bpe, chat, codes, fim, gif, langid, mixing, packing, secrets, simhash, sketch, sst, suffix
 from .common import documents
 
 
@@ -56,6 +56,23 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(documents(spark, sf_dir))
 
 
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bpe.decode(bpe.encode(documents(spark, sf_dir).select("doc_id", "text")))
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("data", 256).alias("decoded_sha256"))
+
+
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fim.fill_in_middle(documents(spark, sf_dir).select("doc_id", "text"))
+    text = fim.restored(F.col("output"), F.col("form"))
+    return rows.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = codes.product_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return rows.select("vec_id", F.lower(F.hex("code")).alias("code"), "error", "label_error", "codebooks_sha256")
+
+
 #: The same as op4_chat: user turns call, the next turn answers if it is the assistant's, calls refer to the result before them.
 OP4_SQL = """
 WITH t AS (
@@ -113,10 +130,57 @@ FROM g
 """
 
 
+#: The same as op12_fim, by counting code points.
+OP12_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, CAST(length(coalesce(text, '')) AS BIGINT) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+h AS (SELECT doc_id, text, n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS h2,
+  CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4 FROM d),
+f AS (SELECT doc_id, text, n, least(h1, h2) AS a, greatest(h1, h2) AS b,
+  CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 90 THEN 'plain' WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (SELECT *, substr(text, 1, a) AS prefix, substr(text, a + 1, b - a) AS middle, substr(text, b + 1) AS suffix FROM f)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def _op13_sql() -> str:
+    """The same as op13_codes, with a distance for each part and entry; vectors have one length that divides by eight."""
+    parts, entries = codes.PARTS, codes.ENTRIES
+    steps = [
+        f"""
+WITH i AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * {codes.SCALE}) AS BIGINT)) AS v, row_number() OVER (ORDER BY vec_id) AS row
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+x AS MATERIALIZED (SELECT row, part, v[part * len(v) // {parts} + 1:(part + 1) * len(v) // {parts}] AS x FROM i, (SELECT unnest(range({parts})) AS part)),
+c0 AS MATERIALIZED (SELECT part, CAST(row - 1 AS INTEGER) AS entry, x AS c FROM x WHERE row <= {entries})""",
+    ]
+    for r in range(codes.ROUNDS + 1):
+        steps.append(f"""
+a{r} AS MATERIALIZED (SELECT row, part, x, min((d, entry)) AS best FROM
+  (SELECT row, x.part, x, entry, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM x JOIN c{r} c ON x.part = c.part)
+  GROUP BY row, part, x)""")
+        if r < codes.ROUNDS:
+            steps.append(f"""
+s{r} AS (SELECT part, best[2] AS entry, place, CAST(sum(x[place]) AS BIGINT) AS s, count(*) AS n FROM a{r}, LATERAL (SELECT unnest(range(1, len(x) + 1)) AS place) GROUP BY ALL),
+m{r} AS (SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY place) AS c FROM s{r} GROUP BY part, entry),
+c{r + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.c, c.c) AS c FROM c{r} c LEFT JOIN m{r} m ON m.part = c.part AND m.entry = c.entry)""")
+    last = codes.ROUNDS
+    return ",".join(steps) + f""",
+e AS (SELECT row, string_agg(printf('%02x', best[2]), '' ORDER BY part) AS code, CAST(sum(best[1]) AS BIGINT) AS error FROM a{last} GROUP BY row)
+SELECT i.vec_id, e.code, e.error, CAST(sum(e.error) OVER (PARTITION BY i.label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM c{last}) AS codebooks_sha256
+FROM i JOIN e ON e.row = i.row
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = (op1_secrets, op2_fingerprints, op3_repeats, op4_chat, op5_gif, op6_mixing, op7_shards, op8_simhash, op9_packing, op10_language)
+    ops = (op1_secrets, op2_fingerprints, op3_repeats, op4_chat, op5_gif, op6_mixing, op7_shards, op8_simhash, op9_packing, op10_language, op11_bpe, op12_fim, op13_codes)
     return {f.__name__: f for f in ops}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_chat": OP4_SQL, "op6_mixing": OP6_SQL}
+    return {"op4_chat": OP4_SQL, "op6_mixing": OP6_SQL, "op12_fim": OP12_SQL, "op13_codes": OP13_SQL}
