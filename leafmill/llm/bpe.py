@@ -5,14 +5,15 @@ points into the next one. Chunks are dealt out and split into pre-tokens in
 parallel, each from its own start. In the overlap of two chunks both have
 boundaries; from the first that they have in common on they agree, as a
 pre-token depends on nothing before it. There the chunks are stitched, and each
-chunk's own pre-tokens between its two stitches are encoded, again in parallel.
+chunk's own pre-tokens between its two stitches are encoded.
 Boundaries within GUARD code points of a cut end do not count, as the cut may
 have moved them. A document with chunks that have no boundary in common (a run
 without a boundary that is longer than the overlap) is split and encoded whole.
 A text of one chunk needs no stitch.
 
 Pre-tokens are found by the pattern of the rank file and encoded once for each
-worker that meets them. A null text counts as an empty one and has no ids;
+worker that meets them. Chunks are gathered by document, which is a row of the
+result anyhow, to be stitched. A null text counts as an empty one and has no ids;
 repeated rows, null ids and empty tables need nothing special. All columns of
 the documents are carried along; a column with the name of the result is
 replaced.
@@ -22,7 +23,6 @@ from __future__ import annotations
 
 import base64
 from functools import lru_cache
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -131,6 +131,19 @@ def _lists(values: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(values), np.int32)))
 
 
+def stitches(texts: list[str], ends: list[np.ndarray], chunk: int, overlap: int) -> list[int] | None:
+    """How far behind the start of each next chunk a document's chunks are stitched; none if two have no boundary in common."""
+    out = []
+    for i in range(len(texts) - 1):
+        sure = chunk + overlap - (GUARD if len(texts[i]) == chunk + overlap else 0)
+        left = ends[i][(ends[i] >= chunk) & (ends[i] <= sure)] - chunk
+        common = np.intersect1d(left, np.concatenate(([0], ends[i + 1][ends[i + 1] <= overlap])))
+        if not len(common):
+            return None
+        out.append(int(common[0]))
+    return out
+
+
 def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """All rows and columns of docs, and the ids of their texts as an array column.
 
@@ -152,46 +165,42 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
     def cut(texts: pa.Array) -> pa.Array:
         return pa.array([[t[i : i + chunk + overlap] for i in range(0, len(t), chunk)] for t in texts.to_pylist()], pa.list_(pa.string()))
 
-    @F.arrow_udf("array<int>")
-    def boundaries(texts: pa.Array) -> pa.Array:
+    lengths = "<u2" if chunk + overlap < 1 << 16 else "<u4"
+
+    @F.arrow_udf("binary")
+    def split(texts: pa.Array) -> pa.Array:
         r = ranks(path)
-        return _lists([np.fromiter(accumulate(map(len, r.pieces(t))), np.int32).tobytes() for t in texts.to_pylist()])
+        return pa.array([np.fromiter(map(len, r.pieces(t)), lengths).tobytes() for t in texts.to_pylist()], pa.binary())
 
     @F.arrow_udf("array<int>")
-    def between(texts: pa.Array, ends: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
+    def stitch(documents: pa.Array) -> pa.Array:
         r, out = ranks(path), []
-        for t, e, start, stop in zip(texts.to_pylist(), ends.to_pylist(), starts.to_pylist(), stops.to_pylist(), strict=True):
-            inner = [start, *(x for x in e if start < x <= stop)]
-            out.append(r.ids([t[a:b] for a, b in zip(inner, inner[1:])]))
+        for parts in documents.to_pylist():
+            texts = [p["text"] for p in parts]
+            ends = [np.cumsum(np.frombuffer(p["lengths"], lengths), dtype=np.int64) for p in parts]
+            at = stitches(texts, ends, chunk, overlap)
+            if at is None:
+                out.append(r.ids(r.pieces("".join(t[:chunk] for t in texts))))
+                continue
+            coded = []
+            for t, e, start, stop in zip(texts, ends, [0, *at], [*(chunk + x for x in at), len(texts[-1])], strict=True):
+                inner = [start, *e[(e > start) & (e <= stop)].tolist()]
+                coded.append(r.ids([t[i:j] for i, j in zip(inner, inner[1:])]))
+            out.append(b"".join(coded))
         return _lists(out)
 
     long = F.char_length(named(text)) > chunk
+    others = F.struct(F.lit(True).alias("here"), *(named(c) for c in kept if c != text))
     # a staged table, as rows must keep their numbers when a task runs again
-    rows = docs.where(long).select(F.monotonically_increasing_id().alias("row"), F.struct(*(named(c) for c in kept)).alias("doc"), cut(named(text)).alias("cut"))
+    rows = docs.where(long).select(F.monotonically_increasing_id().alias("row"), others.alias("doc"), cut(named(text)).alias("cut"))
     rows = rows.select("row", "doc", F.posexplode("cut").alias("chunk", "text")).withColumn("doc", F.when(F.col("chunk") == 0, F.col("doc")))
-    chunks = staged(rows.repartition("row", "chunk").withColumn("ends", boundaries("text")), "chunks")
-
-    sure = F.when(F.char_length("text") == chunk + overlap, chunk + overlap - GUARD).otherwise(chunk + overlap)
-    tails = chunks.select("row", (F.col("chunk") + 1).alias("border"), F.transform(F.filter("ends", lambda x: x.between(chunk, sure)), lambda x: x - chunk).alias("tail"), F.lit(None).cast("array<int>").alias("head"))
-    heads = chunks.where("chunk > 0").select("row", F.col("chunk").alias("border"), F.lit(None).cast("array<int>").alias("tail"), F.concat(F.array(F.lit(0)), F.filter("ends", lambda x: x <= overlap)).alias("head"))
-    borders = tails.unionByName(heads).groupBy("row", "border").agg(F.max("tail").alias("tail"), F.max("head").alias("head")).where("head IS NOT NULL")
-    borders = borders.select("row", "border", F.array_min(F.array_intersect("tail", "head")).alias("at"))
-    none = F.lit(None).cast("int")
-    sides = borders.select("row", F.explode(F.array(
-        F.struct(F.col("border").alias("chunk"), F.col("at").alias("start"), none.alias("stop"), F.col("at").isNull().alias("apart")),
-        F.struct((F.col("border") - 1).alias("chunk"), none.alias("start"), (F.col("at") + chunk).alias("stop"), F.col("at").isNull().alias("apart")),
-    )).alias("s")).select("row", "s.*")
-    stitches = sides.groupBy("row", "chunk").agg(F.max("start").alias("start"), F.max("stop").alias("stop"))
-    apart = sides.where("apart").select("row").distinct()
-
-    parts = chunks.select("row", "chunk", "text", "ends").join(stitches, ["row", "chunk"]).join(apart, "row", "left_anti")
-    coded = between("text", "ends", F.coalesce("start", F.lit(0)), F.coalesce("stop", F.char_length("text")))
-    stitched = parts.select("row", "chunk", coded.alias("ids")).groupBy("row").agg(F.sort_array(F.collect_list(F.struct("chunk", "ids"))).alias("p"))
-    first = chunks.where("chunk = 0").select("row", "doc")
-    joined = first.join(stitched, "row").select("doc.*", F.flatten(F.transform("p", lambda x: x["ids"])).alias(ids))
-    rest = first.join(apart, "row", "left_semi").select("doc.*")
+    chunks = staged(rows.repartition("row", "chunk").withColumn("lengths", split("text")), "chunks")
+    whole_docs = chunks.groupBy("row").agg(F.first("doc", True).alias("doc"), F.sort_array(F.collect_list(F.struct("chunk", "text", "lengths"))).alias("parts"))
+    again = F.array_join(F.transform("parts", lambda x: F.left(x["text"], F.lit(chunk))), "")
+    columns = {c: (again if c == text else F.col("doc").getField(c)).alias(c) for c in kept}
+    stitched = whole_docs.select(*columns.values(), stitch("parts").alias(ids))
     short = docs.where(~F.coalesce(long, F.lit(False))).select(*(named(c) for c in kept))
-    return short.unionAll(rest).withColumn(ids, whole(named(text))).unionAll(joined)
+    return short.withColumn(ids, whole(named(text))).unionAll(stitched)
 
 
 def decode(rows: DataFrame, ids: str = "ids", data: str = "data", path: str | None = None) -> DataFrame:
@@ -207,4 +216,5 @@ def decode(rows: DataFrame, ids: str = "ids", data: str = "data", path: str | No
         r = ranks(path)
         return pa.array([None if x is None else r.bytes_of(x) for x in lists.to_pylist()], pa.binary())
 
-    return rows.withColumn(data, raw(named(ids)))
+    # the condition parts it from the function that made the ids, which would run again for it
+    return rows.withColumn(data, raw(F.when(F.size(named(ids)) > 0, named(ids)).when(named(ids).isNotNull(), F.array().cast("array<int>"))))
