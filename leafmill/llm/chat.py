@@ -37,6 +37,8 @@ SCHEMAS = {
         "additionalProperties": False,
     },
 }
+#: Arguments and contents that are nested deeper make a plain message.
+MAX_DEPTH = 200
 _REF = re.compile(r"^\$result:(.+)$")
 _TYPES = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None)}
 
@@ -52,7 +54,30 @@ def canonical(value) -> str:
             return int(v)
         return v
 
-    return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False)
+    return well_formed(json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False))
+
+
+_LONE = re.compile("[\ud800-\udfff]")
+
+
+def well_formed(text: str) -> str:
+    """The text with lone surrogates, which no encoding has, as the escapes they came from."""
+    return _LONE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def depth(value) -> int:
+    """Levels of nesting."""
+    n, level = 0, [value]
+    while level := [x for v in level if isinstance(v, (dict, list)) for x in (v.values() if isinstance(v, dict) else v)]:
+        n += 1
+    return n
+
+
+def identifier(value) -> str | None:
+    """A string or whole number as an identifier; anything else is none."""
+    if isinstance(value, str):
+        return well_formed(value)
+    return str(value) if isinstance(value, int) and not isinstance(value, bool) else None
 
 
 def check(value, schema: dict, at: str = "$") -> list[str]:
@@ -63,7 +88,7 @@ def check(value, schema: dict, at: str = "$") -> list[str]:
 
         def is_a(k: str) -> bool:
             if k in ("integer", "number"):
-                return isinstance(value, (int, float)) and not isinstance(value, bool) and (k == "number" or float(value).is_integer())
+                return isinstance(value, (int, float)) and not isinstance(value, bool) and (k == "number" or isinstance(value, int) or value.is_integer())
             return isinstance(value, _TYPES[k]) if k in _TYPES else False
 
         if not any(map(is_a, kinds)):
@@ -106,7 +131,11 @@ def parse_messages(df: DataFrame) -> DataFrame:
     A text that is a JSON object {"tool_call": {"id", "name", "arguments"}} is a
     call, {"tool_result": {"id", "content"}} a result, anything else a plain
     message. A message with several calls ({"tool_calls": [...]}) gives a row
-    for each. `arguments` is canonical JSON, null where it is no JSON.
+    for each. `arguments` is canonical JSON; arguments that are a string are read
+    as JSON, and stay a string where they are none. An id that is no string or
+    whole number is null and links to nothing, a name that is no string is null.
+    Lone surrogates come as escapes. What is nested deeper than MAX_DEPTH is a
+    plain message.
     """
     schema = "conv_id long, turn long, part int, role string, text string, kind string, call_id string, name string, arguments string, refs array<string>"
     types = (pa.int64(), pa.int64(), pa.int32(), *[pa.string()] * 6, pa.list_(pa.string()))
@@ -126,10 +155,15 @@ def parse_messages(df: DataFrame) -> DataFrame:
                         args = json.loads(args)
                     except ValueError:
                         pass
-                found.append(("call", str(c["id"]), c.get("name"), canonical(args), references(args)))
+                if depth(args) > MAX_DEPTH:
+                    return plain
+                name = c.get("name")
+                found.append(("call", identifier(c.get("id")), well_formed(name) if isinstance(name, str) else None, canonical(args), sorted(map(well_formed, references(args)))))
             if "tool_result" in top:
                 r = top["tool_result"]
-                found.append(("result", str(r["id"]), None, canonical(r.get("content")), []))
+                if depth(r.get("content")) > MAX_DEPTH:
+                    return plain
+                found.append(("result", identifier(r.get("id")), None, canonical(r.get("content")), []))
             return found or plain
         except (ValueError, KeyError, TypeError, AttributeError, RecursionError):
             return plain

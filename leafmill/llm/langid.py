@@ -7,11 +7,13 @@ under a model is the mean over its characters; the language with the lowest
 one wins. Rejection is calibrated on sampled documents that the models have not
 seen.
 
-Models of all languages are fitted on a bounded sample: whole texts chosen by a
-hash of their ids, about TRAIN_DOCS for each language, fewer where there are so
-many languages or texts so long that all would have more than TRAIN_CHARS
-characters, but never less than LEAST_DOCS. Every document is scored, by all of
-its words. Words repeat, so each worker scores a distinct word once.
+Models of all languages are fitted on a bounded sample: distinct texts chosen by
+a hash of themselves, so that null, repeated and missing ids do not matter,
+about TRAIN_DOCS for each language, fewer where there are so many languages that
+all would have more than TRAIN_CHARS characters, but about LEAST_DOCS in any
+case. Of a sampled text TRAIN_TEXT characters count, so what goes to the driver
+is bounded by the number of languages. Every document is scored, by all of its
+words. Words repeat, so each worker scores a distinct word once.
 """
 
 from __future__ import annotations
@@ -32,14 +34,16 @@ from .common import map_batches, small_batches, staged
 
 #: The sample's documents for each language, about; a fifth of them calibrates.
 TRAIN_DOCS = 400
-#: Characters of the whole sample, about, and documents that each language has whatever they are.
+#: Characters of the whole sample, about, and documents that each language has whatever they are, about.
 TRAIN_CHARS, LEAST_DOCS = 1 << 26, 20
+#: Characters of a sampled text that are learned from.
+TRAIN_TEXT = 1 << 14
 #: Characters of the longest n-gram.
 ORDER = 4
 #: Words kept by a worker.
 CACHE_WORDS = 300_000
-#: Words scored at a time.
-BLOCK_WORDS = 20_000
+#: Words scored at a time, and with many languages the numbers of a block.
+BLOCK_WORDS, BLOCK_CELLS = 20_000, 1 << 20
 #: Bits above the worst of REJECT_QUANTILE of the calibration documents that are still accepted.
 REJECT_QUANTILE, SLACK_BITS, SHORT_BITS = 0.995, 0.75, 12.0
 UND = "und"
@@ -47,12 +51,16 @@ UND = "und"
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 
+# letters and numbers that are no decimal digits
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str) -> list[str]:
-    """The words of a text: runs of letters, in lower case."""
-    return _LETTERS.findall(text.lower())
+    """The words of a text: runs of letters (general category L), in lower case."""
+    words = _LETTERS.findall(text.lower())
+    if all(map(str.isalpha, words)):
+        return words
+    return [x for w in words for x in ([w] if w.isalpha() else "".join(c if c.isalpha() else " " for c in w).split())]
 
 
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -133,19 +141,20 @@ class Scorer:
         self.models = models
         n = max(1, len(models))
         self.most = max(10_000, min(CACHE_WORDS, (1 << 24) // n))
+        self.block = max(200, min(BLOCK_WORDS, BLOCK_CELLS // n))
         self.index: dict[str, int] = {}
         self.table, self.sizes = np.zeros((0, n)), np.zeros(0)
         # one sorted array for all languages: an n-gram is looked up once
-        self.grams = [_joint([m.grams[k] for m in models], [m.share[k] for m in models], 0.0) for k in range(ORDER)]
-        self.contexts = [_joint([m.contexts[k] for m in models], [m.lower[k] for m in models], 1.0) for k in range(ORDER)]
+        self.grams = [_joint([m.grams[k] for m in models], [m.share[k] for m in models]) for k in range(ORDER)]
+        self.contexts = [_joint([m.contexts[k] for m in models], [m.lower[k] for m in models]) for k in range(ORDER)]
         self.base = np.array([m.base for m in models])
         self.first = np.array([m.lower[0][0] if len(m.lower[0]) else 1.0 for m in models])
 
     def _scores(self, words: list[str]) -> np.ndarray:
         """Sums of log2 probabilities of words, by word and model."""
         out = []
-        for i in range(0, len(words), BLOCK_WORDS):
-            block = words[i : i + BLOCK_WORDS]
+        for i in range(0, len(words), self.block):
+            block = words[i : i + self.block]
             codes, owner = _codes(block)
             hashes = [np.zeros(0, np.uint64)] + [_hashes(codes, n) for n in range(1, ORDER + 1)]
             at = np.r_[0, np.flatnonzero(np.diff(owner)) + 1]
@@ -155,8 +164,8 @@ class Scorer:
             lead = np.flatnonzero(lead)
             p = np.broadcast_to(self.base, (len(lead), len(self.models)))
             for n in range(1, ORDER + 1):
-                alpha = _rows(*self.grams[n - 1], hashes[n][lead])
-                gamma = self.first if n == 1 else _rows(*self.contexts[n - 1], hashes[n - 1][lead - 1])
+                alpha = _rows(self.grams[n - 1], hashes[n][lead], len(self.models), 0.0)
+                gamma = self.first if n == 1 else _rows(self.contexts[n - 1], hashes[n - 1][lead - 1], len(self.models), 1.0)
                 p = alpha + gamma * p
             ends = np.searchsorted(owner[lead], np.arange(len(block)))
             out.append(np.add.reduceat(np.log2(p), ends, axis=0))
@@ -194,14 +203,14 @@ class Scorer:
         for text in texts:
             c = Counter(words_of(text)) if text else Counter()
             fresh = [w for w in c if w not in self.index and w not in new]
-            if held and len(new) + len(fresh) > BLOCK_WORDS:
+            if held and len(new) + len(fresh) > self.block:
                 yield from flush()
                 fresh = [w for w in c if w not in self.index]
             if len(c) > self.most // 2:  # a text with more words than are kept is scored by itself
                 yield from flush()
                 words, times = list(c), np.fromiter(c.values(), np.float64, len(c))
                 n = int(times @ np.array([len(w) + 1 for w in words]))
-                bits = sum(times[i : i + BLOCK_WORDS] @ self._scores(words[i : i + BLOCK_WORDS]) for i in range(0, len(words), BLOCK_WORDS))
+                bits = sum(times[i : i + self.block] @ self._scores(words[i : i + self.block]) for i in range(0, len(words), self.block))
                 yield -bits / n, n
                 continue
             held.append(c)
@@ -211,7 +220,7 @@ class Scorer:
     def predict(self, texts: list[str | None]) -> Iterator[tuple[str, float, float | None, bool]]:
         """For each text (language, score, bits a character, rejected); the score is the language's share if all are as likely before."""
         if not self.models:
-            yield from ((UND, 0.0, None, True) for _ in texts)
+            yield from ((UND, 0.0, None, not (t and words_of(t))) for t in texts)
             return
         for bits, n in self.entropies(texts):
             if not n:
@@ -223,20 +232,29 @@ class Scorer:
             yield self.models[best].lang, float(1 / gap.sum()), float(bits[best]), bool(over)
 
 
-def _joint(keys: list[np.ndarray], values: list[np.ndarray], missing: float) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted keys of all languages and a row of values for each; a last row for keys that are not there."""
-    every = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-    rows = np.full((len(every) + 1, max(1, len(keys))), missing)
-    for i, (k, v) in enumerate(zip(keys, values, strict=True)):
-        rows[np.searchsorted(every, k), i] = v
-    return every, rows
+def _joint(keys: list[np.ndarray], values: list[np.ndarray]) -> tuple[np.ndarray, ...]:
+    """Sorted keys of all languages, where each one's entries begin, and the entries: a language and its value, by key.
 
-
-def _rows(keys: np.ndarray, rows: np.ndarray, wanted: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return rows[np.zeros(len(wanted), np.intp)]
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return rows[np.where(keys[at] == wanted, at, len(keys))]
+    The size is that of the models together, however many languages there are.
+    """
+    every = np.concatenate([np.zeros(0, np.uint64), *keys])
+    owner = np.repeat(np.arange(len(keys), dtype=np.int32), [len(k) for k in keys])
+    order = np.argsort(every, kind="stable")
+    found, starts = np.unique(every[order], return_index=True)
+    return found, np.append(starts, len(every)), owner[order], np.concatenate([np.zeros(0), *values])[order]
+
+
+def _rows(table: tuple[np.ndarray, ...], wanted: np.ndarray, n: int, missing: float) -> np.ndarray:
+    """The values of all n languages for each wanted key."""
+    keys, starts, owner, values = table
+    out = np.full((len(wanted), n), missing)
+    if len(keys):
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        there = np.flatnonzero(keys[at] == wanted)
+        first, size = starts[at[there]], np.diff(starts)[at[there]]
+        place = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+        out[np.repeat(there, size), owner[place]] = values[place]
+    return out
 
 
 def calibrate(models: list[Model], held: list[tuple[str, str]]) -> None:
@@ -254,19 +272,23 @@ def calibrate(models: list[Model], held: list[tuple[str, str]]) -> None:
 
 
 def training_sample(df: DataFrame, train: Column, docs: int = TRAIN_DOCS, chars: int = TRAIN_CHARS) -> DataFrame:
-    """Rows (lang, text, held) of each language, by a hash of the id; independent of row order.
+    """Rows (lang, text, held) of distinct texts of each language, by a hash of the text; independent of ids and row order.
 
     The share kept of a language comes from its count, so its size is bounded
-    however many rows there are, and no language's rows meet in one task.
+    however many rows there are, and no language's rows meet in one task. Copies
+    of a text are one row; they are merged where they are read.
     """
     rows = df.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = staged(rows.groupBy("lang").agg(F.count("*").alias("n"), F.avg(F.length("text")).alias("mean")), "langid")
+    rows = rows.select("lang", F.xxhash64("text", F.lit("langid")).alias("hash"), F.left("text", F.lit(TRAIN_TEXT)).alias("text"))
+    distinct = rows.groupBy("lang", "hash").agg(F.max(F.length("text")).alias("size"))
+    counts = staged(distinct.groupBy("lang").agg(F.count("*").alias("n"), F.avg("size").alias("mean")), "langid")
     share = chars / max(1, counts.count())
     size = F.least(F.col("n"), F.greatest(F.lit(float(LEAST_DOCS)), F.least(F.lit(float(docs)), F.lit(share) / F.greatest("mean", F.lit(1.0)))))
     sizes = counts.select(F.col("lang").alias("of"), "n", size.alias("size"))
-    draw = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    picked = rows.select("lang", "text", draw.alias("draw")).join(sizes, F.col("lang") == F.col("of")).where(F.col("draw") * F.col("n") < F.col("size"))
-    return picked.select("lang", "text", (F.col("draw") * F.col("n") >= 0.8 * F.col("size")).alias("held"))
+    draw = F.pmod("hash", F.lit(1 << 30)) / float(1 << 30)
+    picked = rows.withColumn("draw", draw).join(sizes, F.col("lang") == F.col("of")).where(F.col("draw") * F.col("n") < F.col("size"))
+    picked = picked.select("lang", "hash", "text", (F.col("draw") * F.col("n") >= 0.8 * F.col("size")).alias("held"))
+    return picked.dropDuplicates(["lang", "hash"]).select("lang", "text", "held")
 
 
 def train(df: DataFrame, train_rows: Column, docs: int = TRAIN_DOCS) -> list[Model]:
@@ -296,9 +318,10 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     """One row per document: doc_id, held_out, lang_pred, score, bits, rejected.
 
     lang_pred is a language met in training, or `und` for a null text, one
-    without a letter, and where nothing could be learned. Rejected are those
-    and texts whose cross-entropy lies above the calibrated limit. Repeated
-    rows give a row each; rows with a null id may be learned from.
+    without a letter, and where nothing could be learned. Rejected are texts
+    without a letter and those whose cross-entropy lies above the calibrated
+    limit; where nothing could be learned, no other text is. Repeated rows give
+    a row each; rows with a null id may be learned from.
     """
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     models = train(rows, ~held_out(F.col("doc_id")), docs)
@@ -319,7 +342,10 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The documents that are not rejected; all columns stay, whatever their names. An empty table stays empty."""
+    """The documents that are not rejected; all columns stay, whatever their names.
+
+    Where nothing can be learned, all documents with a letter stay. An empty table stays empty.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     models = train(rows, ~held_out(F.col("doc_id")))
     shared = docs.sparkSession.sparkContext.broadcast(models)

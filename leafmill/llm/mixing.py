@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import named, staged
 
 WEIGHTS = (3.0, 1.0, 2.0)
 DEMAND = 1.5
@@ -80,7 +80,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 
     Null texts have size 0 and take nothing; a null source is a source of its
     own, in last place; repeated rows are documents each; an empty table gives
-    no rows. The order depends on ids, sources and sizes only, so reruns agree.
+    no rows. The order depends on ids, sources, sizes and, where ids are null or
+    repeated, texts, so reruns agree.
     """
     out = _planned(df, id_col, text_col, source_col, weights, demand, most)
     return out.orderBy(F.col("position").asc_nulls_last(), "doc_id")
@@ -89,16 +90,18 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
 def _planned(df: DataFrame, id_col: str, text_col: str, source_col: str, weights: Sequence[float] = WEIGHTS, demand: float = DEMAND, most: float = MOST, along: Sequence[Column] = ()) -> DataFrame:
     """The rows of mix() in no order, with the columns that go along."""
     key = F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source")
-    rows = staged(df.select(*key, word_count(F.col(text_col)).alias("size"), *along), "mix")
-    carried = rows.columns[3:]
+    text = F.coalesce(named(text_col).cast("string"), F.lit(""))
+    named_by = F.coalesce(named(id_col).cast("long").cast("string"), F.md5(text))
+    draw = F.conv(F.substring(F.md5(F.concat_ws("/", named_by, named(source_col).cast("string")).cast("binary")), 1, 15), 16, 10).cast("long")
+    rows = staged(df.select(*key, word_count(F.col(text_col)).alias("size"), draw.alias("draw"), F.xxhash64(text).alias("tie"), *along), "mix")
+    carried = rows.columns[5:]
     sizes = rows.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"), F.count("*").alias("n_rows"))
     targets = staged(source_targets(sizes, weights, demand, most), "mix-targets")
     t = targets.withColumnRenamed("source", "t_source")
     docs = rows.join(t, F.col("source").eqNullSafe(F.col("t_source")))
-    draw = F.conv(F.substring(F.md5(F.concat_ws("/", F.col("doc_id").cast("string"), "source").cast("binary")), 1, 15), 16, 10).cast("long")
     blocks = F.ceil(F.col("n_rows") / BLOCK_ROWS)
-    docs = docs.withColumn("draw", draw).withColumn("block", F.pmod(F.shiftright("draw", 20), blocks).cast("int")).drop("t_source")
-    inner = Window.partitionBy("number", "block").orderBy("draw", F.col("doc_id").asc_nulls_first(), "size").rowsBetween(Window.unboundedPreceding, -1)
+    docs = docs.withColumn("block", F.pmod(F.shiftright("draw", 20), blocks).cast("int")).drop("t_source")
+    inner = Window.partitionBy("number", "block").orderBy("draw", F.col("doc_id").asc_nulls_first(), "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("inside", F.coalesce(F.sum("size").over(inner), F.lit(0)))
     per_block = docs.groupBy("number", "block").agg(F.sum("size").alias("b_size"))
     outer = Window.partitionBy("number").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
@@ -132,7 +135,7 @@ def apply_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     each copy at its own place. Repeated ids are documents each, null ids too.
     An empty table gives no rows.
     """
-    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    row = F.struct(*(named(c) for c in docs.columns)).alias("row")
     plan = _planned(docs, id_col, text_col, source_col, along=[row]).where("copies > 0")
     copies = plan.select("row", "doc_id", F.explode(F.slice("positions", F.lit(1), F.col("copies").cast("int"))).alias("position"))
     return copies.orderBy("position", "doc_id").select("row.*")

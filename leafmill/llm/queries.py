@@ -106,7 +106,7 @@ FROM g
 
 #: The same as op6_mixing, with one window for each source where the operator adds up blocks.
 OP6_SQL = f"""
-WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size FROM documents),
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size, coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))) AS named_by FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_rows FROM d GROUP BY source),
 n AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM s),
 w AS (SELECT *, CAST(CASE number % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS DOUBLE) AS weight, CAST(source_size AS DOUBLE) * 2 AS cap FROM n),
@@ -115,7 +115,7 @@ f AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) * 1.5 - coalesce(sum(c
   / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY level, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS own FROM l),
 t AS (SELECT *, least(cap, coalesce((SELECT own FROM f WHERE own <= level ORDER BY level, number LIMIT 1) * weight, cap)) AS target FROM f),
 x AS (SELECT d.doc_id, d.size, t.source_size, t.n_rows, t.number, t.target, CAST(round(t.target) AS BIGINT) AS words,
-  CAST('0x' || substr(md5(concat_ws('/', CAST(d.doc_id AS VARCHAR), d.source)), 1, 15) AS BIGINT) AS draw FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+  CAST('0x' || substr(md5(concat_ws('/', d.named_by, d.source)), 1, 15) AS BIGINT) AS draw FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 b AS (SELECT *, (draw >> 20) % CAST(ceil(n_rows / {mixing.BLOCK_ROWS}.0) AS BIGINT) AS block FROM x),
 c AS (SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY number ORDER BY block, draw, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
   CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS passes FROM b),

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, parts, staged
+from .common import named as column
 from .components import components
 
 SEED = 42
@@ -222,7 +223,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     alike = fps.join(named, "fp").groupBy("component", "doc_id", "digest").agg(F.count("*").alias("n"))
     stay = staged(alike.groupBy("component").agg(F.min(rank).alias("k")).select("k.none", "k.id", "k.digest", "k.n"), "simhash-stay")
     # all columns in one, so that no name meets another
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("digest"))
+    packed = docs.select(F.struct(*(column(c) for c in docs.columns)).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("digest"))
     packed = packed.select("row", F.col("doc_id").isNull().alias("none"), F.coalesce("doc_id", F.lit(0)).alias("id"), "digest")
     # the rows that stay grow with the documents: never broadcast, whatever their size is now
     kept = packed.join(stay.hint("merge"), ["none", "id", "digest"])
