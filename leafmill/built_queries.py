@@ -17,7 +17,7 @@ from .operators import tokens as T
 from .operators.stem import stemmer
 from .plans.index import Index
 from .plans.query import Tables
-from .plans.rank import ranked
+from .plans.rank import ranked, top
 from .plans.results import facets, sorted_hits
 from .queries import _BM25, _HAS, TOK, _table, corpus_config, query
 from .sources import files, framed, tables
@@ -379,6 +379,31 @@ def index_bm25(spark, sf_dir):
     return _ids(sorted_hits(t, hits, max=10), "score")
 
 
+@query(f"WITH {_DEFAULT_TOK}, len AS (SELECT doc_id, 1 + len({_DEFAULT_WORDS}) AS n FROM documents), " + _BM25.split("AS n FROM documents), ", 1)[1] + " SELECT doc_id, round(score, 6) AS score FROM s ORDER BY round(score, 6) DESC, CAST(doc_id AS VARCHAR) LIMIT 25")
+def index_top(spark, sf_dir):
+    """The best documents of an index of several segments with replaced and deleted documents, without scoring all."""
+    documents = tables.text_documents(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    third = F.col("uri").cast("long") % 3
+    index = Index(spark, _scratch(spark, "index"), corpus_config())
+    index.add(documents.where(third < 2).withColumn("content", F.when(third == 1, F.lit("thing thing")).otherwise(F.col("content"))))
+    index.delete(_table(spark, sf_dir, "documents").where("doc_id % 6 = 3").select(F.col("doc_id").cast("string").alias("uri")))
+    index.add(documents.where((third > 0) | (F.col("uri").cast("long") % 6 == 3)))
+    index.compact(most_docs=0)
+    return _ids(top(index.tables(), "thing ing there", 25).withColumn("score", F.round("score", 6)), "score")
+
+
+@query(f"""SELECT term, count(*) AS df, CAST(sum(n) AS BIGINT) AS cf FROM (SELECT term, doc_id, count(*) AS n FROM
+  (SELECT doc_id, unnest({_DEFAULT_WORDS}) AS term FROM documents WHERE doc_id % 7 <> 2) GROUP BY term, doc_id) GROUP BY term""")
+def index_terms(spark, sf_dir):
+    """The dictionary of an index after adding, replacing and deleting: no posting is read for it."""
+    documents = tables.text_documents(_table(spark, sf_dir, "documents"), "doc_id", "text")
+    index = Index(spark, _scratch(spark, "index"), corpus_config())
+    index.add(documents.withColumn("content", F.when(F.col("uri").cast("long") % 5 == 0, F.lit("old words of it")).otherwise(F.col("content"))))
+    index.add(documents.where(F.col("uri").cast("long") % 5 == 0))
+    index.delete(_table(spark, sf_dir, "documents").where("doc_id % 7 = 2").select(F.col("doc_id").cast("string").alias("uri")))
+    return index.terms().where(F.col("meta") == index.config.default_meta).select("term", "df", "cf")
+
+
 @query("SELECT 'leafparser' AS facet, 'TXT' AS value, count(*) AS n FROM documents WHERE text <> ''")
 def index_facets(spark, sf_dir):
     t = _index(spark, sf_dir).tables()

@@ -66,6 +66,17 @@ def marked_pieces(pieces: str, letters: str = LETTERS, min_word: int = MIN_WORD,
     return F.flatten(F.transform(pieces, lambda p: F.transform(words(p["text"]), lambda w: F.struct(p["meta"].alias("meta"), p["context"].alias("context"), w.alias("term")))))
 
 
+def piece_words(pieces: str, letters: str = LETTERS, min_word: int = MIN_WORD, max_word: int = MAX_WORD) -> Column:
+    """(meta, context, words) for each piece, in order; words with a GAP for each gap."""
+    return F.transform(pieces, lambda p: F.struct(p["meta"].alias("meta"), p["context"].alias("context"), _marks(p["text"], letters, min_word, max_word).alias("words")))
+
+
+def word_total(words: str) -> Column:
+    """How many words the pieces have together."""
+    one = lambda p: F.size(p["words"]) - F.size(F.filter(p["words"], lambda w: w == GAP))
+    return F.aggregate(words, F.lit(0).cast("long"), lambda n, p: n + one(p))
+
+
 def postings(df: DataFrame, uri: str = "uri", pieces: str = "pieces", letters: str = LETTERS, stem: Callable[[Column], Column] | None = None, min_word: int = MIN_WORD, max_word: int = MAX_WORD, tokenizer: Callable[[Column], Column] | None = None) -> DataFrame:
     """(uri, meta, context, term, pos, len) from an array of (meta, context, text) for each document.
 

@@ -1,30 +1,35 @@
-"""The index: a folder of Parquet segments that only grows, and a header.
-
-    header.xml            configuration and index settings
-    segments/NNNNNNNN/    docs, props, metas and postings of one commit, and the
-                          uris that it deletes
-    segments are complete when their `done` file is there
-
-A commit writes one segment; nothing that is there is rewritten. Of a document
-the last commit counts, so an upsert is an append and a delete a mark. Reading
-joins with the live (uri, segment) pairs; compact() writes one segment of what
-is live. Postings are range-partitioned by term and uri, so a term lies in few
-files, a frequent term in several, and row-group statistics prune the rest.
+"""The index: a folder of Parquet segments that only grows, a log, and a header.
+
+    header.xml          configuration and index settings
+    log/                one entry a commit (commits.py)
+    segments/*/         docs, props, metas, blocks and terms of one commit
+    dead/*, less/*      bitmaps of dead documents; corrections of dictionaries
+
+A commit writes one segment; nothing that is there is rewritten. It also finds
+the documents that it replaces, by one join of uris, and writes the bitmaps of
+all dead documents and what those take from the dictionary. Reading needs no
+aggregation then: rows of dead documents are left out by their chunk's bits.
+compact() writes one segment of what is live, of all segments or of the small
+ones. What a writer that failed has left is not in the log and is not read.
 """
 
 from __future__ import annotations
 
+import uuid
+from dataclasses import dataclass, replace
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import Config, ConfigError
 from ..operators import analyze as A
 from ..operators.stem import stemmer
-from ..operators.tokens import postings
+from ..operators.tokens import piece_words, postings, word_total
 from ..sources import storage
-from .query import Tables
-
-TABLES = ("docs", "props", "metas", "postings", "deleted")
+from . import blocks as B
+from .commits import Log, Segment, State
+from .query import Phrase, Tables, Term
 
 
 def analyzed(docs: DataFrame, config: Config) -> DataFrame:
@@ -35,14 +40,20 @@ def analyzed(docs: DataFrame, config: Config) -> DataFrame:
     return A.analyze_text(docs.where(text), config).unionByName(A.analyze(docs.where(~text), config))
 
 
+#: How blocks are written: whole numbers as differences.
+PAGES = {"parquet.writer.version": "v2"}
+
 _OWN = {"mtime": "long", "size": "long", "mime": "string", "ext": "string", "parser": "string", "action": "string"}
 
 
-def doc_rows(docs: DataFrame, found: DataFrame, words: DataFrame) -> DataFrame:
+def doc_rows(docs: DataFrame, found: DataFrame, words: DataFrame | None = None) -> DataFrame:
     """The docs table: what the source says of each document, its encoding, its words and its day."""
     own = docs.select("uri", *(F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in _OWN.items()))
     when = F.timestamp_seconds(F.coalesce("mtime", F.lit(0)))
-    own = own.join(found.select("uri", "encoding"), "uri").join(words, "uri", "left").withColumn("nwords", F.coalesce("nwords", F.lit(0).cast("long")))
+    if words is None:
+        own = own.join(found.select("uri", "encoding", "doc", "nwords"), "uri")
+    else:
+        own = own.join(found.select("uri", "encoding"), "uri").join(words, "uri", "left").withColumn("nwords", F.coalesce("nwords", F.lit(0).cast("long")))
     return own.withColumns({"day": F.date_format(when, "yyyyMMdd"), "month": F.date_format(when, "yyyyMM"), "year": F.date_format(when, "yyyy")})
 
 
@@ -54,11 +65,102 @@ def analyzed_tables(docs: DataFrame, config: Config, language: str = "none") ->
     return {"docs": own, "props": A.field_values(found, "properties"), "metas": A.field_values(found, "metas"), "postings": p if config.flag("tokenize") else p.limit(0)}
 
 
+@dataclass
+class Stored(Tables):
+    """What is searched in a folder; documents go by (segment, doc), and uris are joined to matches only."""
+
+    blocks: DataFrame | None = None
+    dead: DataFrame | None = None
+    terms: DataFrame | None = None
+    n_docs: int = 0
+    n_words: int = 0
+
+    @property
+    def keys(self) -> tuple[str, ...]:
+        return ("segment", "doc")
+
+    def live_postings(self, condition=None) -> DataFrame:
+        rows = self.blocks if condition is None else self.blocks.where(condition)
+        return B.alive(B.postings(rows), self.dead)
+
+    def term_rows(self, condition) -> DataFrame:
+        return self.live_postings(condition).select(*self.keys, "meta", "term", "tf")
+
+    def phrase_starts(self, leaf: Phrase) -> DataFrame:
+        """(segment, doc, meta, start): where all words of a phrase stand in a row.
+
+        A row for each word and document goes to the document, with its places
+        as one array; the starts are what the arrays have in common.
+        """
+        words = [self._word(w) for w in leaf.words]
+        distinct = sorted(set(words))
+        rows = self.live_postings(F.col("term").isin(distinct) & self.field_filter(leaf.field)).select(*self.keys, "meta", "term", "positions")
+        by_word = rows.groupBy(*self.keys, "meta").agg(*(F.max(F.when(F.col("term") == w, F.col("positions"))).alias(f"w{i}") for i, w in enumerate(distinct)))
+        for i in range(len(distinct)):
+            by_word = by_word.where(F.col(f"w{i}").isNotNull())
+        # a function of one argument: with two the second would be an index
+        earlier = lambda i: lambda x: x - i
+        starts = None
+        for i, w in enumerate(words):
+            own = F.transform(f"w{distinct.index(w)}", earlier(i))
+            starts = own if starts is None else F.array_intersect(starts, own)
+        return by_word.select(*self.keys, "meta", F.explode(starts).alias("start"))
+
+    def bounds(self, counted: dict[Term, int]) -> DataFrame:
+        """(segment, chunk, tf0, ..., words0, ...): the greatest weighted count and the least length of each term in a chunk.
+
+        Only the heads of blocks are read, no arrays.
+        """
+        weight = self.weight()
+        conditions = {x: self.leaf_condition(x) for x in counted}
+        wanted = None
+        for c in conditions.values():
+            wanted = c if wanted is None else wanted | c
+        heads = self.blocks.where(wanted).select("segment", "chunk", "meta", "term", "max_tf", "min_words")
+        # a chunk with very many words has several blocks of a term and field
+        most = heads.groupBy("segment", "chunk", "meta", "term").agg(F.max("max_tf").alias("max_tf"), F.min("min_words").alias("min_words"))
+        tfs = [F.coalesce(F.sum(F.when(conditions[x], weight * F.col("max_tf"))), F.lit(0)).alias(f"tf{i}") for x, i in counted.items()]
+        words = [F.min(F.when(conditions[x], F.col("min_words"))).alias(f"words{i}") for x, i in counted.items()]
+        return most.groupBy("segment", "chunk").agg(*tfs, *words)
+
+    def within(self, chunks: DataFrame) -> Stored:
+        """The same, with blocks of some chunks (segment, chunk) only."""
+        return replace(self, blocks=self.blocks.join(chunks, ["segment", "chunk"], "left_semi"))
+
+    def with_uri(self, rows: DataFrame) -> DataFrame:
+        return rows.join(self.docs.select(*self.keys, "uri"), list(self.keys))
+
+    def corpus(self) -> DataFrame:
+        figures = F.lit(self.n_docs).alias("n_docs"), F.lit(self.n_words / max(1, self.n_docs)).alias("avg_words")
+        return self.docs.sparkSession.range(1).select(*figures)
+
+    def entry(self, leaf: Term):
+        """Which rows of the dictionary are a term's."""
+        meta = B.BOTH if leaf.field is None else self.config.meta_target(leaf.field)
+        return (F.col("term") == self._word(leaf.word)) & (F.col("meta") == meta)
+
+    def document_counts(self, counted: dict) -> DataFrame:
+        """One row: how many documents have each leaf. Terms come from the dictionary, the rest is counted."""
+        terms = {x: i for x, i in counted.items() if isinstance(x, Term)}
+        rest = {x: i for x, i in counted.items() if not isinstance(x, Term)}
+        out = None
+        if terms:
+            wanted = None
+            for x in terms:
+                wanted = self.entry(x) if wanted is None else wanted | self.entry(x)
+            out = self.terms.where(wanted).agg(*(F.coalesce(F.sum(F.when(self.entry(x), F.col("df"))), F.lit(0)).alias(f"df{i}") for x, i in terms.items()))
+        if rest:
+            more = super().document_counts(rest)
+            out = more if out is None else out.crossJoin(F.broadcast(more))
+        return out
+
+
 class Index:
     """An index in a folder."""
 
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None, language: str | None = None, overwrite: bool = False):
         self.spark, self.path = spark, path.rstrip("/")
+        self.log = Log(spark, f"{self.path}/log")
         header = f"{self.path}/header.xml"
         if overwrite:
             storage.remove(spark, self.path)
@@ -77,70 +179,78 @@ class Index:
     # ---- segments
 
     def segments(self) -> list[int]:
-        folder = f"{self.path}/segments"
-        return [int(n) for n in storage.names(self.spark, folder) if storage.exists(self.spark, f"{folder}/{n}/done")]
-
-    def _folder(self, n: int) -> str:
-        return f"{self.path}/segments/{n:08d}"
-
-    def _new_folder(self) -> tuple[int, str]:
-        n = max([0, *self.segments()]) + 1
-        storage.remove(self.spark, self._folder(n))
-        return n, self._folder(n)
+        return [s.id for s in self.log.state().segments]
 
-    def _write(self, folder: str, name: str, df: DataFrame) -> DataFrame:
-        if name == "postings":
-            parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            df = df.repartitionByRange(parts, "term", "uri").sortWithinPartitions("term", "uri", "pos")
-        df.write.parquet(f"{folder}/{name}")
-        return self.spark.read.schema(df.schema).parquet(f"{folder}/{name}")
+    def _new_segment(self) -> tuple[int, str]:
+        name = uuid.uuid4()
+        return name.int >> 97, f"segments/{name.hex}"
 
-    def _done(self, folder: str) -> None:
-        storage.write_text(self.spark, f"{folder}/done", "")
-        self.write_header()
+    def _write(self, folder: str, name: str, df: DataFrame, **options) -> DataFrame:
+        df.write.options(**options).parquet(f"{self.path}/{folder}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.path}/{folder}/{name}")
 
     def write_header(self) -> None:
         storage.write_text(self.spark, f"{self.path}/header.xml", self.config.to_xml())
 
-    def _read(self, name: str, segments: list[int] | None = None) -> DataFrame | None:
+    def _read(self, name: str, segments: list[Segment]) -> DataFrame | None:
         out = None
-        for n in self.segments() if segments is None else segments:
-            folder = f"{self._folder(n)}/{name}"
-            if storage.exists(self.spark, folder):
-                df = self.spark.read.parquet(folder).withColumn("segment", F.lit(n))
-                out = df if out is None else out.unionByName(df, allowMissingColumns=True)
+        for s in segments:
+            df = self.spark.read.parquet(f"{self.path}/{s.folder}/{name}").withColumn("segment", F.lit(s.id))
+            out = df if out is None else out.unionByName(df, allowMissingColumns=True)
         return out
 
-    def live(self) -> DataFrame | None:
-        """(uri, segment) of the last commit of each document that is not deleted."""
-        docs = self._read("docs")
-        if docs is None:
-            return None
-        marks = docs.select("uri", "segment", F.lit(True).alias("here"))
-        gone = self._read("deleted")
-        if gone is not None:
-            marks = marks.unionByName(gone.select("uri", "segment", F.lit(False).alias("here")))
-        last = marks.groupBy("uri").agg(F.max(F.struct("segment", "here")).alias("x"))
-        return last.where("x.here").select("uri", "x.segment")
+    def _dead(self, state: State) -> DataFrame | None:
+        return self.spark.read.parquet(f"{self.path}/{state.dead}") if state.dead else None
+
+    def live(self, state: State | None = None) -> DataFrame | None:
+        """(uri, segment, doc, nwords) of the documents that count."""
+        state = state or self.log.state()
+        docs = self._read("docs", state.segments)
+        return None if docs is None else B.alive(docs.select("uri", "segment", "doc", "nwords"), self._dead(state))
+
+    @property
+    def _both(self) -> list[str]:
+        return [self.config.default_meta, self.config.title_meta]
+
+    def _parts(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
 
     # ---- writing
 
-    def add(self, docs: DataFrame, skip_known: bool = False, seq: str | None = None) -> int:
+    def _without(self, state: State, dead: DataFrame) -> State | None:
+        """The state in which documents (segment, doc, nwords), written to a table, are dead too; none if there are none."""
+        figures = {r["segment"]: (r["n"], r["words"]) for r in dead.groupBy("segment").agg(F.count("*").alias("n"), F.sum("nwords").alias("words")).collect()}
+        if not figures:
+            return None
+        name = uuid.uuid4().hex
+        bits = self._write("dead", name, B.bitmaps(dead, self._dead(state)))
+        new = B.bitmaps(dead)
+        less = B.corrections(self._read("blocks", [s for s in state.segments if s.id in figures]), new, self._both)
+        self._write("less", name, less)
+        segments = [replace(s, docs=s.docs - figures[s.id][0], words=s.words - figures[s.id][1]) if s.id in figures else s for s in state.segments]
+        return replace(state, segments=segments, dead=f"dead/{name}", corrections=[*state.corrections, f"less/{name}"])
+
+    def add(self, docs: DataFrame, skip_known: bool = False, seq: str | None = None, batch: tuple[str, int] | None = None) -> int:
         """Index documents; those with a known uri are replaced, or left out with skip_known.
 
         Of equal uris in one batch the last by `seq` and then in the order of the
         rows counts, the first with skip_known. Returns how many were indexed.
+        `batch` names a stream and a number in it; a batch that was committed is
+        not indexed again.
 
-        The batch is written to the new segment first and parsed once; contents
-        are shuffled only if the batch repeats a uri or skips known ones.
+        The batch is written to the new segment first, and parsed and tokenized
+        once; contents are shuffled only if it repeats a uri or skips known ones.
         """
-        n, folder = self._new_folder()
+        start = self.log.state()
+        if start.seen(batch):
+            return 0
+        number, folder = self._new_segment()
         row = F.monotonically_increasing_id().alias("_row")
         rows = self._write(folder, "_rows", storage.spread(docs.where(F.col("uri").isNotNull()).select("*", row)))
         by = F.struct(F.col(seq), F.col("_row")) if seq else F.struct("_row")
         pick = F.min(by) if skip_known else F.max(by)
         marks = rows.groupBy("uri").agg(F.count("*").alias("n"), pick["_row"].alias("_row"))
-        known = self.live()
+        known = self.live(start)
         if skip_known and known is not None:
             marks = marks.join(known.select("uri"), "uri", "left_anti")
         marks = self._write(folder, "_marks", marks)
@@ -148,76 +258,136 @@ class Index:
         if count and (skip_known and known is not None or not marks.where("n > 1").isEmpty()):
             rows = rows.join(marks.select("_row"), "_row", "left_semi")
         if count:
-            found = self._write(folder, "_analyzed", analyzed(rows, self.config))
-            policies = {self.config.flag("undefined_tags"), self.config.flag("undefined_attributes")}
-            if policies & {"auto", "autoall"}:
-                # names that other documents have defined count in a second parse
-                self.config = A.discover(found, self.config)
-                found = self._write(folder, "_defined", analyzed(rows, self.config))
-            found = found.where("error IS NULL")
-            indexed = self.config.flag("tokenize")
-            p = self._write(folder, "postings", postings(found if indexed else found.limit(0), stem=stemmer(self.language)))
-            words = (p if indexed else postings(found)).groupBy("uri").agg(F.count("*").alias("nwords"))
-            self._write(folder, "docs", doc_rows(rows, found, words))
-            self._write(folder, "props", A.field_values(found, "properties"))
-            self._write(folder, "metas", A.field_values(found, "metas"))
-            self._done(folder)
-        for name in ("_rows", "_marks", "_analyzed", "_defined"):
-            storage.remove(self.spark, f"{folder}/{name}")
+            self._segment(folder, rows)
+            own = self._read("docs", [Segment(number, folder, 0, 0)])
+            words, count = own.agg(F.sum("nwords").alias("w"), F.count("*").alias("n")).first()
+
+            def prepare(state: State) -> State:
+                segment = Segment(number, folder, count, words or 0)
+                new = replace(state, segments=[*state.segments, segment])
+                if skip_known and state.version == start.version:
+                    return new
+                # what came since this writer looked counts as known; otherwise the new document replaces the old one
+                old, mine = self.live(state), own.select("uri", "segment", "doc", "nwords")
+                if old is None:
+                    return new
+                gone = mine.join(old.select("uri"), "uri", "left_semi") if skip_known else old.join(mine.select("uri"), "uri", "left_semi")
+                return self._without(new, self._write(f"dead/_{uuid.uuid4().hex}", "gone", gone.drop("uri"))) or new
+
+            self.log.commit(prepare, batch)
+            self.write_header()
+        for name in ("_rows", "_marks", "_analyzed", "_defined", "_blocks"):
+            storage.remove(self.spark, f"{self.path}/{folder}/{name}")
         if not count:
-            storage.remove(self.spark, folder)
+            storage.remove(self.spark, f"{self.path}/{folder}")
         return count
 
-    def delete(self, uris: DataFrame | list[str]) -> tuple[int, list[str] | DataFrame]:
+    def _segment(self, folder: str, rows: DataFrame) -> None:
+        """Write the tables of documents."""
+        def written(name: str) -> DataFrame:
+            found = analyzed(rows, self.config).withColumns({"doc": F.monotonically_increasing_id(), "words": piece_words("pieces")})
+            return self._write(folder, name, found.withColumn("nwords", word_total("words")).drop("pieces"))
+
+        found = written("_analyzed")
+        policies = {self.config.flag("undefined_tags"), self.config.flag("undefined_attributes")}
+        if policies & {"auto", "autoall"}:
+            # names that other documents have defined count in a second parse
+            self.config = A.discover(found, self.config)
+            found = written("_defined")
+        found = found.where("error IS NULL")
+        stem = partial(stem_word, language=self.language) if stemmer(self.language) else None
+        # a staged table, as ranges are found by reading it
+        near = self._write(folder, "_blocks", B.blocks(found if self.config.flag("tokenize") else found.limit(0), stem))
+        blocks = self._write(folder, "blocks", B.ranged(near, self._parts()), **PAGES)
+        self._terms(folder, blocks)
+        self._write(folder, "docs", doc_rows(rows, found))
+        for name in ("props", "metas"):
+            values = A.field_values(found.withColumn("uri", F.struct("uri", "doc")), "properties" if name == "props" else name)
+            self._write(folder, name, values.select("uri.uri", "uri.doc", "name", "idx", "value"))
+
+    def _terms(self, folder: str, blocks: DataFrame) -> DataFrame:
+        return self._write(folder, "terms", B.dictionary(blocks, self._both).repartitionByRange(self._parts(), "term", "meta").sortWithinPartitions("term", "meta"))
+
+    def delete(self, uris: DataFrame | list[str], batch: tuple[str, int] | None = None) -> tuple[int, list[str] | DataFrame]:
         """Delete documents by uri; how many were there, and the uris that were not."""
         given = self.spark.createDataFrame([(u,) for u in uris], "uri string") if isinstance(uris, list) else uris.select("uri")
         given, known = given.distinct(), self.live()
         if known is None:
             return 0, uris
-        found = given.join(known.select("uri"), "uri", "left_semi").cache()
         missing = given.join(known.select("uri"), "uri", "left_anti")
         missing = [r["uri"] for r in missing.collect()] if isinstance(uris, list) else missing
-        n = found.count()
-        if n:
-            _, folder = self._new_folder()
-            self._write(folder, "deleted", found)
-            self._done(folder)
-        found.unpersist()
+        n = 0
+
+        def prepare(state: State) -> State | None:
+            nonlocal n
+            gone = self._write(f"dead/_{uuid.uuid4().hex}", "gone", self.live(state).join(given, "uri", "left_semi").drop("uri"))
+            n = gone.count()
+            return self._without(state, gone)
+
+        if self.log.commit(prepare, batch) is not None:
+            self.write_header()
         return n, missing
 
-    def compact(self) -> None:
-        """Write what is live as one segment and drop the others."""
-        old = self.segments()
-        t = self.tables()
-        _, folder = self._new_folder()
-        for name, df in {"docs": t.docs, "props": t.props, "metas": self._live_rows("metas"), "postings": t.postings}.items():
-            self._write(folder, name, df)
-        self._done(folder)
-        for n in old:
-            storage.remove(self.spark, self._folder(n))
+    def compact(self, most_docs: int | None = None) -> None:
+        """Write what is live of all segments, or of those with at most so many documents, as one segment."""
+        def prepare(state: State) -> State | None:
+            number, folder = self._new_segment()
+            old = [s for s in state.segments if most_docs is None or s.docs <= most_docs]
+            if not old or (len(old) == 1 and not state.dead):
+                return None
+            dead = self._dead(state)
+            docs = B.alive(self._read("docs", old), dead)
+            numbers = self._write(folder, "_numbers", docs.withColumn("new", F.monotonically_increasing_id()))
+            new = numbers.select("segment", "doc", "new")
+            self._write(folder, "docs", numbers.withColumn("doc", F.col("new")).drop("segment", "new"))
+            for name in ("props", "metas"):
+                rows = self._read(name, old).join(new, ["segment", "doc"]).withColumn("doc", F.col("new"))
+                self._write(folder, name, rows.drop("segment", "new"))
+            blocks = self._write(folder, "blocks", B.rechunked(self._read("blocks", old), new, self._parts()), **PAGES)
+            self._terms(folder, blocks)
+            storage.remove(self.spark, f"{self.path}/{folder}/_numbers")
+            segment = Segment(number, folder, sum(s.docs for s in old), sum(s.words for s in old))
+            kept = [s for s in state.segments if s not in old]
+            out = replace(state, segments=[*kept, segment])
+            return out if kept else replace(out, dead=None, corrections=[])
+
+        before = self.log.state()
+        after = self.log.commit(prepare)
+        if after is not None:
+            self.write_header()
+            now = {s.folder for s in after.segments}
+            for s in before.segments:
+                if s.folder not in now:
+                    storage.remove(self.spark, f"{self.path}/{s.folder}")
 
     # ---- reading
 
-    def _live_rows(self, name: str) -> DataFrame:
-        rows = self._read(name)
-        known = self.live()
-        if len(self.segments()) == 1:
-            return rows.drop("segment")
-        return rows.join(known, ["uri", "segment"], "left_semi").drop("segment")
-
-    def tables(self) -> Tables:
+    def tables(self) -> Stored:
         """What can be searched."""
-        if not self.segments():
+        state = self.log.state()
+        if not state.segments:
             raise ConfigError(f"no index in {self.path}")
         stem = stemmer(self.language)
-        word = (lambda w: stem_word(w, self.language)) if stem else None
-        return Tables(self.config, self._live_rows("docs"), self._live_rows("postings"), self._live_rows("props"), word)
+        word = partial(stem_word, language=self.language) if stem else None
+        dead = self._dead(state)
+        live = lambda name: B.alive(self._read(name, state.segments), dead)
+        postings_ = self._read("blocks", state.segments)
+        t = Stored(self.config, live("docs"), None, live("props"), word, postings_, dead, self._dictionary(state), sum(s.docs for s in state.segments), sum(s.words for s in state.segments))
+        t.postings = t.with_uri(B.paths(postings_)).select("uri", "meta", "context", "term", "pos", F.octet_length("term").alias("len"))
+        return t
+
+    def _dictionary(self, state: State) -> DataFrame:
+        """(meta, term, df, cf) rows of all segments and their corrections, to be summed."""
+        out = self._read("terms", state.segments).select("meta", "term", "df", "cf")
+        for folder in state.corrections:
+            less = self.spark.read.parquet(f"{self.path}/{folder}").where(F.col("of").isin([s.id for s in state.segments]))
+            out = out.unionByName(less.select("meta", "term", "df", "cf"))
+        return out
 
     def terms(self) -> DataFrame:
-        """(meta, term, df, cf): documents and places of each term."""
-        p = self.tables().postings
-        per_doc = p.groupBy("meta", "term", "uri").agg(F.count("*").alias("n"))
-        return per_doc.groupBy("meta", "term").agg(F.count("*").alias("df"), F.sum("n").alias("cf"))
+        """(meta, term, df, cf): documents and places of each term, from the dictionary."""
+        rows = self.tables().terms.where(F.col("meta") != B.BOTH)
+        return rows.groupBy("meta", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
 
 
 def stem_word(word: str, language: str) -> str:

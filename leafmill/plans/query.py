@@ -280,6 +280,29 @@ class Tables:
     props: DataFrame | None = None
     stem: Callable[[str], str] | None = None
 
+    @property
+    def keys(self) -> tuple[str, ...]:
+        """The columns that documents go by."""
+        return ("uri",)
+
+    def term_rows(self, condition: Column) -> DataFrame:
+        """(keys, meta, term, tf) of postings; a row may stand for several places."""
+        return self.postings.where(condition).select(*self.keys, "meta", "term", F.lit(1).alias("tf"))
+
+    def with_uri(self, rows: DataFrame) -> DataFrame:
+        return rows
+
+    def corpus(self) -> DataFrame:
+        """One row: how many documents there are, and their mean number of words."""
+        return self.docs.agg(F.count("*").alias("n_docs"), F.avg("nwords").alias("avg_words"))
+
+    def document_counts(self, counted: dict[Node, int]) -> DataFrame:
+        """One row: how many documents have each leaf, as df and its number."""
+        # an OR of the leaves, so that none is left out by the query
+        every = next(iter(counted)) if len(counted) == 1 else Op("OR", tuple(counted))
+        order = {x: i for i, x in enumerate(leaves(every))}
+        return self.hits(every).agg(*(F.count_if(F.col(f"tf{order[x]}") > 0).alias(f"df{i}") for x, i in counted.items()))
+
     def field_filter(self, name: str | None) -> Column:
         if name is None:
             return F.col("meta").isin(self.config.default_meta, self.config.title_meta)
@@ -319,22 +342,26 @@ class Tables:
             return F.lower(value).between(leaf.low.lower(), leaf.high.lower())
         return value.between(leaf.low, leaf.high)
 
+    def weight(self) -> Column:
+        """How much a word of the row's field counts."""
+        weights = {m.name: m.weight for m in self.config.metanames.values()}
+        return F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("meta")), F.lit(1)).cast("long")
+
     def _property_rows(self, name: str) -> DataFrame:
-        """(uri, value) of one property, from the stored values or a built-in column of docs."""
+        """(keys, value) of one property, from the stored values or a built-in column of docs."""
         short = name.removeprefix(self.config.prefix)
         column = {"docpath": "uri", "lastmodified": "mtime", "docsize": "size", "mime": "mime", "parser": "parser", "wordnum": "nwords"}.get(short) if name not in self.config.properties else None
         if column is not None:
-            return self.docs.select("uri", F.col(column).cast("string").alias("value"))
+            return self.docs.select(*self.keys, F.col(column).cast("string").alias("value"))
         target = self.config.property_target(name)
-        return self.props.where(F.col("name") == target).select("uri", "value")
+        return self.props.where(F.col("name") == target).select(*self.keys, "value")
 
     def hits(self, tree: Node | None) -> DataFrame:
-        """(uri, bits0, ..., tf0, ...): documents that match; a tf is the weighted count of a leaf, bits tell which leaves are there."""
+        """(keys, bits0, ..., tf0, ...): documents that match; a tf is the weighted count of a leaf, bits tell which leaves are there."""
         found = leaves(tree)
         bit = {x: i for i, x in enumerate(found)}
         words = range((max(1, len(found)) + BITS - 1) // BITS)
-        weights = {m.name: m.weight for m in self.config.metanames.values()}
-        weight = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in weights.items() for x in kv)), F.col("meta")), F.lit(1)).cast("long")
+        weight = self.weight()
         counted = [x for x in found if isinstance(x, (Term, Wild, Phrase))]
         zero = F.lit(0).cast("long")
         tf_names = [f"tf{bit[x]}" for x in counted]
@@ -345,7 +372,7 @@ class Tables:
             for x, c in there.items():
                 one = F.lit(1 << bit[x] % BITS).cast("long")
                 bits[bit[x] // BITS] = bits[bit[x] // BITS].bitwiseOR(one if c is None else F.when(c, one).otherwise(zero))
-            return source.select("uri", *(b.alias(f"bits{i}") for i, b in enumerate(bits)), *(tfs.get(x, zero).alias(f"tf{bit[x]}") for x in counted))
+            return source.select(*self.keys, *(b.alias(f"bits{i}") for i, b in enumerate(bits)), *(tfs.get(x, zero).alias(f"tf{bit[x]}") for x in counted))
 
         parts = []
         conditions = {x: self.leaf_condition(x) for x in found if isinstance(x, (Term, Wild))}
@@ -353,7 +380,7 @@ class Tables:
             wanted = None
             for c in conditions.values():
                 wanted = c if wanted is None else wanted | c
-            parts.append(row(self.postings.where(wanted), conditions, {x: F.when(c, weight).otherwise(zero) for x, c in conditions.items()}))
+            parts.append(row(self.term_rows(wanted), conditions, {x: F.when(c, weight * F.col("tf")).otherwise(zero) for x, c in conditions.items()}))
         for x in found:
             if isinstance(x, Phrase):
                 parts.append(row(self.phrase_starts(x), {x: None}, {x: weight}))
@@ -362,17 +389,17 @@ class Tables:
             elif isinstance(x, Exact):
                 parts.append(row(self.docs.where(F.col(EXACT[x.kind]).cast("string") == x.value), {x: None}, {}))
         if tree is None:
-            return self.docs.select("uri", zero.alias("bits0")).limit(0)
+            return self.docs.select(*self.keys, zero.alias("bits0")).limit(0)
         if truth(tree, lambda _: False, False, lambda v: not v):
             parts.append(row(self.docs, {}, {}))  # documents without any leaf match too
         rows = parts[0]
         for p in parts[1:]:
             rows = rows.unionByName(p)
-        merged = rows.groupBy("uri").agg(*(F.bit_or(f"bits{i}").alias(f"bits{i}") for i in words), *(F.sum(n).alias(n) for n in tf_names))
+        merged = rows.groupBy(*self.keys).agg(*(F.bit_or(f"bits{i}").alias(f"bits{i}") for i in words), *(F.sum(n).alias(n) for n in tf_names))
         matches = truth(tree, lambda x: F.col(f"bits{bit[x] // BITS}").bitwiseAND(F.lit(1 << bit[x] % BITS)) != 0, F.lit(False), lambda c: ~c)
         return merged.where(matches)
 
     def search(self, query: str | Node | None, limits: list[str] | None = None) -> DataFrame:
         """(uri) of the documents that match."""
         tree = parse(query, self.config) if isinstance(query, str) else query
-        return self.hits(with_limits(tree, limits or [])).select("uri")
+        return self.with_uri(self.hits(with_limits(tree, limits or []))).select("uri")

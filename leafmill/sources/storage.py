@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,6 +47,26 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         stream.close()
 
 
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file whole, or not at all if there is one of that name."""
+    system, where = _at(spark, path)
+    own = f"{path}.{uuid.uuid4().hex}.part"
+    write_text(spark, own, text)
+    if system.getUri().getScheme() == "file":
+        source, target = (system.makeQualified(spark._jvm.org.apache.hadoop.fs.Path(p)).toUri().getPath() for p in (own, path))
+        try:
+            os.link(source, target)
+            done = True
+        except FileExistsError:
+            done = False
+        remove(spark, own)
+        return done
+    done = not system.exists(where) and system.rename(spark._jvm.org.apache.hadoop.fs.Path(own), where)
+    if not done:
+        remove(spark, own)
+    return done
+
+
 def spread(df: DataFrame) -> DataFrame:
     """The same rows over as many tasks as can run at once, where the input has fewer parts.
 

@@ -15,14 +15,16 @@ def upsert_stream(docs: DataFrame, index: Index, checkpoint: str, skip_known: bo
     """Each micro-batch of documents becomes a segment of the index.
 
     A column `action` of `delete` deletes the document; anything else indexes
-    it. A batch that is run again after a failure gives the same live documents.
+    it. The index keeps the number of the stream's last batch, so one that is
+    run again after a failure is committed once; the stream goes by its
+    checkpoint's folder.
     """
-    def write(batch: DataFrame, _: int) -> None:
+    def write(batch: DataFrame, number: int) -> None:
         if "action" in batch.columns:
             gone = batch.where(F.lower("action") == "delete").select("uri")
             batch = batch.where(F.coalesce(F.lower("action") != "delete", F.lit(True)))
-            index.delete(gone)
-        index.add(batch, skip_known, seq)
+            index.delete(gone, batch=(f"{checkpoint}#delete", number))
+        index.add(batch, skip_known, seq, batch=(checkpoint, number))
 
     return _start(docs, write, checkpoint, once)
 
