@@ -330,6 +330,24 @@ def framed_files(spark, sf_dir):
     return spark.read.format("framed").load(_framed_files(spark, sf_dir)).select("uri", F.col("content").cast("string").alias("body"), "mtime", "size", "parser", "action")
 
 
+@query("""SELECT CAST(o_orderkey AS VARCHAR) AS uri, CAST(o_custkey AS VARCHAR) || ' ' || o_orderpriority || chr(10) AS body, CAST(NULL AS VARCHAR) AS fault FROM orders
+UNION ALL SELECT NULL, NULL, 'no size for bad' FROM region""")
+def framed_splits(spark, sf_dir):
+    """Framed files in ranges that any task reads, after a table of offsets; a head without a good size ends its file with a row that says so."""
+    good = framed.framed(F.col("o_orderkey"), F.concat("o_custkey", F.lit(" "), "o_orderpriority", F.lit("\n")), parser=F.lit("TXT"))
+    folder = _scratch(spark, "splits")
+    lines = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5).alias("file"), F.btrim(good, F.lit("\n")).alias("value"), F.lit(0).alias("last"))
+    bad = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("file"), F.lit("Content-Length: -45\nContent-Location: bad\n\n").alias("value"), F.lit(1).alias("last"))
+    # the writer ends the line that is the body
+    lines.unionByName(bad).repartition(5, "file").sortWithinPartitions("file", "last").select("value", "file").write.partitionBy("file").text(folder)
+    offsets = None
+    for n in range(5):
+        found = framed.frame_offsets(spark, f"{folder}/file={n}", split=4096)
+        offsets = found if offsets is None else offsets.unionByName(found)
+    rows = framed.read_split(offsets)
+    return rows.select("uri", F.col("content").cast("string").alias("body"), F.regexp_extract("error", "no size for bad", 0).alias("fault"))
+
+
 @query(_FRAMED)
 def framed_stream(spark, sf_dir):
     """The documents of all files of a folder, as a stream."""

@@ -1,4 +1,9 @@
-"""Header-framed document streams: headers, a blank line, as many bytes as they say, and again."""
+"""Header-framed document streams: headers, a blank line, as many bytes as they say, and again.
+
+What does not keep to the framing is a row of its own, without uri and content
+and with the fault in `error`; the rest of its file is not read, as no later
+frame can be found, and other files are.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +19,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStrea
 from ..functions.words import to_int
 from .storage import files_in, open_file
 
-SCHEMA = "uri string, content binary, size long, mtime long, mime string, parser string, encoding string, action string"
+SCHEMA = "uri string, content binary, size long, mtime long, mime string, parser string, encoding string, action string, error string"
 NAMES = [x.split()[0] for x in SCHEMA.split(", ")]
 
 # Header names and what they set; the last four are older or shorter spellings.
@@ -56,10 +61,13 @@ def parse_head(lines: list[str]) -> tuple[dict, list[str]]:
             m = re.search(r"charset=[\"']?([\w.-]+)", rest)
             if m:
                 out.setdefault("encoding", m[1])
-        out[name] = to_int(value) if name in ("size", "mtime") else value
+        try:
+            out[name] = to_int(value) if name in ("size", "mtime") else value
+        except ValueError as e:
+            raise FrameError(str(e)) from None
     if not out.get("uri"):
         raise FrameError("no Content-Location")
-    if not out.get("size"):
+    if out.get("size", 0) < 1:
         raise FrameError(f"no size for {out['uri']}")
     return out, warnings
 
@@ -95,6 +103,23 @@ def read_frames(stream, strict: bool = True) -> Iterator[tuple[dict, int]]:
         raise FrameError("unparsed header lines remain")
 
 
+def _fault(where: str, error: FrameError) -> dict:
+    return {**dict.fromkeys(NAMES), "error": f"{where}: {error}"}
+
+
+def _readable(stream, where: str, until: int | None = None) -> Iterator[dict]:
+    """The documents of a stream, those that end by `until`, and a row for the first fault."""
+    try:
+        for doc, done in read_frames(stream, strict=until is None):
+            if until is not None and done > until:
+                return
+            yield doc
+            if done == until:
+                return
+    except FrameError as e:
+        yield _fault(where, e)
+
+
 def parse_buffer(buffer: bytes | str) -> dict:
     """The one document of a buffer."""
     data = buffer.encode() if isinstance(buffer, str) else buffer
@@ -107,19 +132,19 @@ def frames(df: DataFrame, col: str) -> DataFrame:
         for batch in batches:
             for value in batch.column(0).to_pylist():
                 if value:
-                    yield from _batches(d for d, _ in read_frames(io.BytesIO(value)))
+                    yield from _batches(_readable(io.BytesIO(value), "buffer"))
 
     return df.select(F.col(col).cast("binary").alias("value")).mapInArrow(run, SCHEMA)
 
 
-_TYPES = [pa.string(), pa.binary(), pa.int64(), pa.int64(), *[pa.string()] * 4]
+_TYPES = [pa.string(), pa.binary(), pa.int64(), pa.int64(), *[pa.string()] * 5]
 
 
 def _batches(docs: Iterator[dict], size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     held, n = [], 0
     for d in docs:
         held.append(d)
-        n += len(d["content"])
+        n += len(d["content"] or b"")
         if n >= size:
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in held], t) for k, t in zip(NAMES, _TYPES, strict=True)], names=NAMES)
             held, n = [], 0
@@ -148,14 +173,11 @@ class _Range(InputPartition):
 def _read_range(part: _Range) -> Iterator[pa.RecordBatch]:
     with open_file(part.path) as f:
         f.seek(part.at)
-        if part.until is None:
-            yield from _batches(d for d, _ in read_frames(f))
-        else:
-            yield from _batches(d for d, done in read_frames(f, strict=False) if done <= part.until)
+        yield from _batches(_readable(f, part.path, part.until))
 
 
-def _complete(path: str, at: int, size: int) -> int:
-    """Where the last whole document ends; only header lines are read."""
+def _heads(path: str, at: int, size: int) -> Iterator[int]:
+    """Where each whole document ends, in order; only header lines are read. A FrameError says where a head is bad."""
     with open_file(path) as f:
         while at < size:
             f.seek(at)
@@ -163,14 +185,70 @@ def _complete(path: str, at: int, size: int) -> int:
             while (line := f.readline()).endswith(b"\n"):
                 if text := line.decode("utf-8", "replace").strip():
                     head.append(text)
-                elif head:
+                else:
                     break
-            if not line.endswith(b"\n") or len(head) < MIN_HEADERS:
-                return at
-            end = f.tell() + parse_head(head)[0]["size"]
-            if end > size:
-                return at
-            at = end
+            if not line.endswith(b"\n"):
+                return
+            if len(head) < MIN_HEADERS:
+                raise FrameError("not enough header lines")
+            at = f.tell() + parse_head(head)[0]["size"]
+            if at > size:
+                return
+            yield at
+
+
+#: Bytes of a file that one row of the offsets stands for, about.
+SPLIT_BYTES = 64 << 20
+
+
+def frame_offsets(spark: SparkSession, path: str, split: int = SPLIT_BYTES) -> DataFrame:
+    """(path, at, until): ranges of whole documents of the files of a folder, of `split` bytes or one document.
+
+    A task goes from head to head of a file without reading bodies. The last
+    range of a file that ends badly has no `until`: its reader finds the fault.
+    Stored as a table, the ranges need not be found again.
+    """
+    files = files_in(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                rows, at, end = [], 0, 0
+                try:
+                    for end in _heads(r["path"], 0, r["size"]):
+                        if end - at >= split:
+                            rows.append((r["path"], at, end))
+                            at = end
+                except FrameError:
+                    pass
+                if end < r["size"]:
+                    rows.append((r["path"], at, None))
+                elif end > at:
+                    rows.append((r["path"], at, end))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["path", "at", "until"])
+
+    listed = spark.createDataFrame(files, "path string, size long")
+    return listed.repartition(max(1, min(len(files), 4 * spark.sparkContext.defaultParallelism))).mapInArrow(run, "path string, at long, until long")
+
+
+def read_split(offsets: DataFrame) -> DataFrame:
+    """The documents of ranges that frame_offsets() has found, each range in any task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                yield from _read_range(_Range(r["path"], r["at"], r["until"]))
+
+    return offsets.select("path", "at", "until").repartition("path", "at").mapInArrow(run, SCHEMA)
+
+
+def _complete(path: str, at: int, size: int) -> int:
+    """Where the last whole document ends; the end of the file behind a bad head, as nothing can follow that."""
+    try:
+        for at in _heads(path, at, size):
+            pass
+    except FrameError:
+        return size
     return at
 
 

@@ -82,10 +82,20 @@ def open_file(path: str):
         path = "/" + path[5:].lstrip("/")
     if "://" not in path:
         return open(path, "rb")
+    system, inner = _arrow(path)
+    return system.open_input_file(inner)
+
+
+def _arrow(path: str):
+    """Arrow's file system of a path and the path in it; other names of a store's scheme are known too."""
     from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(path)
-    return system.open_input_file(inner)
+    scheme, rest = path.split("://", 1)
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+
+
+#: Names that Hadoop has for stores that Arrow calls otherwise.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "wasbs": "abfss", "wasb": "abfs"}
 
 
 def files_in(path: str) -> list[tuple[str, int]]:
@@ -94,7 +104,7 @@ def files_in(path: str) -> list[tuple[str, int]]:
 
     if path.startswith("file:"):
         path = "/" + path[5:].lstrip("/")
-    system, inner = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+    system, inner = _arrow(path) if "://" in path else (fs.LocalFileSystem(), path)
     head = path.removesuffix(inner)
     info = system.get_file_info(inner)
     if info.type == fs.FileType.Directory:
