@@ -189,6 +189,8 @@ def encode(docs: DataFrame, text: str = "text", ids: str = "ids", path: str | No
             out.append(b"".join(coded))
         return _lists(out)
 
+    # plans repeat a deterministic function for each use of its result
+    whole, stitch = whole.asNondeterministic(), stitch.asNondeterministic()
     long = F.char_length(named(text)) > chunk
     others = F.struct(F.lit(True).alias("here"), *(named(c) for c in kept if c != text))
     # a staged table, as rows must keep their numbers when a task runs again
@@ -216,5 +218,4 @@ def decode(rows: DataFrame, ids: str = "ids", data: str = "data", path: str | No
         r = ranks(path)
         return pa.array([None if x is None else r.bytes_of(x) for x in lists.to_pylist()], pa.binary())
 
-    # the condition parts it from the function that made the ids, which would run again for it
-    return rows.withColumn(data, raw(F.when(F.size(named(ids)) > 0, named(ids)).when(named(ids).isNotNull(), F.array().cast("array<int>"))))
+    return rows.withColumn(data, raw(named(ids)))
