@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import os
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
 from xml.parsers import expat
@@ -49,11 +50,15 @@ class Analysis:
     new_properties: list[str] = field(default_factory=list)
 
 
+#: Characters of a dotted path of tags that can name a field, if no configured name is longer.
+LONGEST_PATH = 512
+
+
 @dataclass
 class _Open:
     raw: str
     name: str
-    path: str
+    path: str | None
     ignored: bool = False
     is_property: bool = False
     is_field: bool = False
@@ -66,11 +71,15 @@ class Extractor:
         self.config, self.is_html, self.uri, self.depth, self.root = config, is_html, uri, depth, root
         self.out = Analysis()
         self.dom: list[_Open] = []
+        # open elements by tag, and how many are ignored, so that no event looks through the stack
+        self.raws: Counter[str] = Counter()
+        self.ignored = 0
         self.props: list[_Open] = []
         self.fields = [_Open("", config.default_meta, config.default_meta)]
         self.meta_text = self.prop_text = ""
         self.bump, self.hidden = False, 0
         self.metas, self.properties = set(config.metanames), set(config.properties)
+        self.longest = max([LONGEST_PATH, *map(len, (*self.metas, *self.properties, *config.tag_aliases))])
         self.class_attributes = set(config.stringlists.get("XMLClassAttributes", []))
 
     # ---- events
@@ -98,7 +107,7 @@ class Extractor:
         self._pop(tag)
 
     def text(self, data: str) -> None:
-        if self.hidden or any(o.ignored for o in self.dom) or not data:
+        if self.hidden or self.ignored or not data:
             return
         if self.bump:
             self.meta_text += GAP if self.meta_text else ""
@@ -131,7 +140,7 @@ class Extractor:
 
     def _alias(self, name: str) -> str:
         aliases = self.config.tag_aliases
-        return aliases.get(name) or aliases.get(".".join([*(o.name for o in self.dom), name])) or name
+        return aliases.get(name) or aliases.get(self._dotted(name)) or name
 
     def _html_bump(self, name: str) -> None:
         if name in ("br", "img"):
@@ -204,9 +213,18 @@ class Extractor:
 
     # ---- stacks and buffers
 
+    def _dotted(self, name: str) -> str | None:
+        """The names of all open elements and this one; none where that is longer than any configured name can be."""
+        if not self.dom:
+            return name
+        above = self.dom[-1].path
+        return f"{above}.{name}" if above is not None and len(above) + len(name) < self.longest else None
+
     def _push(self, raw: str, name: str, ignored: bool) -> None:
-        dotted = ".".join([*(o.name for o in self.dom), name])
+        dotted = self._dotted(name)
         self.dom.append(_Open(raw, name, dotted, ignored))
+        self.raws[raw] += 1
+        self.ignored += ignored
         as_property = dotted if dotted in self.properties else name if name in self.properties else None
         if as_property:
             self._store(None)
@@ -218,10 +236,12 @@ class Extractor:
         self.dom[-1].is_property, self.dom[-1].is_field = bool(as_property), bool(as_field)
 
     def _pop(self, raw: str) -> None:
-        if not any(o.raw == raw for o in self.dom):
+        if not self.raws[raw]:
             return
         while self.dom:
             top = self.dom.pop()
+            self.raws[top.raw] -= 1
+            self.ignored -= top.ignored
             if top.is_property:
                 self._store(self.props.pop().name)
             if top.is_field:

@@ -487,3 +487,16 @@ def test_dumps_hook_and_code_points(spark):
     pieces = spark.createDataFrame([("u", [("m", "m", "A-b\x03c")])], "uri string, pieces array<struct<meta:string,context:string,text:string>>")
     hooked = T.postings(pieces, tokenizer=lambda t: F.split(t, "-"))
     assert [(r["term"], r["pos"]) for r in hooked.orderBy("pos").collect()] == [("A", 1), ("b", 2), ("c", 4)]
+
+
+def test_deep_markup_takes_linear_time():
+    import time
+
+    def seconds(n: int) -> float:
+        start = time.process_time()
+        page = "".join(f"<t{i}>" for i in range(n)) + "deep words" + "".join(f"</t{i}>" for i in reversed(range(n)))
+        assert words(M.parse_xml(f"<r>{page}</r>", Config())) == ["deep", "words"]
+        return time.process_time() - start
+
+    seconds(500)
+    assert seconds(16_000) < 12 * max(seconds(4_000), 0.05)
