@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,12 +15,13 @@ from .functions import columns as C
 from .functions import words as W
 from .operators import analyze as A
 from .operators import tokens as T
+from .operators.includes import included
 from .operators.stem import stemmer
 from .plans.index import Index
 from .plans.query import Tables
 from .plans.rank import ranked, top
 from .plans.results import facets, sorted_hits
-from .queries import _BM25, _HAS, TOK, _table, corpus_config, query
+from .queries import _BM25, _HAS, TOK, WORDS, _table, corpus_config, query
 from .sources import files, framed, tables
 
 _TIDY = f"[\\x00-\\x20{GAP}]+"
@@ -91,6 +93,65 @@ def attribute_fields(spark, sf_dir):
     return out
 
 
+@query("""WITH t AS (SELECT n_nationkey AS id, lower(n_name) AS a, 'o ' || n_regionkey AS o FROM nation)
+SELECT id, which, name, CAST(0 AS INTEGER) AS idx, value FROM (
+  SELECT id, unnest(['metas', 'properties']) AS which, 'other' AS name, o AS value FROM t UNION ALL SELECT id, 'metas', 'other.a', a FROM t
+  UNION ALL SELECT id, unnest(['metas', 'properties']), 'r', unnest(['k', 'k ' || a]) FROM t)
+UNION ALL SELECT id, 'properties', 'r', CAST(1 AS INTEGER), o FROM t""")
+def auto_policies(spark, sf_dir):
+    """Tags and attributes that are not configured become fields, with autoall stored values too."""
+    xml = "concat('<r>k<other a=\"', n_name, '\">o ', n_regionkey, '</other></r>')"
+    found = _nations(spark, sf_dir, xml, Config.read("<c><UndefinedMetaTags>autoall</UndefinedMetaTags><UndefinedXMLAttributes>auto</UndefinedXMLAttributes></c>"))
+    return _fields(found).withColumn("which", F.lit("metas")).unionByName(_fields(found, "properties").withColumn("which", F.lit("properties")))
+
+
+_XI = '<d xmlns:xi="http://www.w3.org/2001/XInclude">'
+
+
+def _including(name: str, hrefs: list[Column]) -> Column:
+    return F.concat(F.lit(_XI), name, *(x for h in hrefs for x in (F.lit('<xi:include href="'), h, F.lit('.xml"/>'))), F.lit("</d>"))
+
+
+@query("""SELECT c_custkey AS id, c_name || '|' || n_name || '|' || r.r_name || '|' || q.r_name || '|' || CASE WHEN r.r_regionkey < 2 THEN '' ELSE q.r_name || '|' END AS text,
+  'includes itself: ' || CASE WHEN r.r_regionkey < 2 THEN 'r/' ELSE 's/' END || r.r_regionkey % 2 || '.xml|cannot include c/gone/' || c_custkey || '.xml' AS warnings
+FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region r ON n_regionkey = r.r_regionkey JOIN region q ON q.r_regionkey = r.r_regionkey % 2""")
+def included_documents(spark, sf_dir):
+    """Documents of a table that include others of it: a chain of tables, a circle, and one that is nowhere."""
+    c, n, r = (_table(spark, sf_dir, x) for x in ("customer", "nation", "region"))
+    uri = lambda kind, key: F.concat(F.lit(f"{kind}/"), key, F.lit(".xml")).alias("uri")
+    docs = c.select(uri("c", "c_custkey"), _including("c_name", [F.concat(F.lit("../n/"), "c_nationkey"), F.concat(F.lit("gone/"), "c_custkey")]).alias("content"))
+    library = n.select(uri("n", "n_nationkey"), _including("n_name", [F.concat(F.lit("../r/"), "n_regionkey")]).alias("content"))
+    library = library.union(r.select(uri("r", "r_regionkey"), _including("r_name", [F.concat(F.lit("../s/"), F.col("r_regionkey") % 2)])))
+    library = library.union(r.where("r_regionkey < 2").select(uri("s", "r_regionkey"), _including("r_name", [F.concat(F.lit("../r/"), "r_regionkey")])))
+    folder, config = _scratch(spark, "includes"), Config()
+    A.analyze(docs.withColumn("parser", F.lit("XML")), config).write.parquet(f"{folder}/found")
+    found = included(spark.read.parquet(f"{folder}/found"), library, config, folder)
+    texts = F.transform("pieces", lambda p: F.concat(F.btrim(F.regexp_replace(p["text"], _TIDY, " ")), F.lit("|")))
+    text = F.array_join(F.filter(texts, lambda x: x != "|"), "")
+    return found.select(F.regexp_extract("uri", "[0-9]+", 0).cast("long").alias("id"), text.alias("text"), F.array_join("warnings", "|").alias("warnings"))
+
+
+@query("""WITH t AS (SELECT c_custkey AS id, lower(repeat(replace(c_name, '#', 'İ') || 'Éé字𐐨', 40)) AS text FROM customer),
+p AS (SELECT id, list_reduce(list_filter(regexp_split_to_array(text, ''), lambda x: x <> ''), lambda a, c: CASE
+  WHEN strlen(regexp_extract(a, '[^|]*$')) + strlen(c) > 256 THEN a WHEN strlen(regexp_extract(a, '[^|]*$')) + strlen(c) = 256 THEN a || c || '|' ELSE a || c END, '') AS cut FROM t),
+w AS (SELECT id, list_filter(string_split(cut, '|'), lambda x: x <> '') AS words FROM p)
+SELECT id, unnest(words) AS term, CAST(generate_subscripts(words, 1) AS INTEGER) AS pos FROM w""")
+def long_words(spark, sf_dir):
+    """Words of many bytes, cut to 256; a character that would go beyond that is left out. Case is folded one to one."""
+    text = F.repeat(F.concat(F.replace("c_name", F.lit("#"), F.lit("İ")), F.lit("Éé字𐐨")), 40)
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uri"), text.alias("text"))
+    return T.text_postings(rows, "uri", "text", "d", T.PLAIN_LETTERS).select(F.col("uri").alias("id"), "term", "pos")
+
+
+@query("""SELECT doc_id, array_to_string(list_transform(list_filter(regexp_split_to_array(text || chr(1) || 'A', ''), lambda x: x <> ''), lambda c: CASE WHEN c = chr(92) THEN chr(92) || chr(92)
+  WHEN unicode(c) BETWEEN 7 AND 13 THEN chr(92) || substr('abtnvfr', unicode(c) - 6, 1) WHEN unicode(c) < 32 OR unicode(c) = 127 THEN printf('%sx%02X', chr(92), unicode(c))
+  WHEN unicode(c) < 128 THEN c WHEN unicode(c) < 65536 THEN printf('%su%04X', chr(92), unicode(c)) ELSE printf('%sU%08X', chr(92), unicode(c)) END), '') AS escaped, true AS back FROM documents""")
+def escaped_texts(spark, sf_dir):
+    """Texts in ASCII spelling, with a control before a digit at the end; and whether they read back."""
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\x01A")).alias("t")).withColumn("escaped", C.escape_utf8("t"))
+    return rows.select("doc_id", "escaped", F.col("t").eqNullSafe(C.unescape_utf8("escaped")).alias("back"))
+
+
 _NESTED = "concat('<a><b>', n_name, '<c>', n_regionkey, '</c></b></a>')"
 
 
@@ -195,6 +256,60 @@ def english_stems(spark, sf_dir):
     return T.postings(docs, stem=stemmer("english")).select(F.col("uri").alias("id"), "term", "pos")
 
 
+def _cut(vowels: str, n: str = "w") -> str:
+    return f"CASE WHEN length({n}) < 3 OR NOT regexp_matches({n}, '[{vowels}][^{vowels}]') THEN length({n}) ELSE greatest(3, length(regexp_extract({n}, '^[^{vowels}]*[{vowels}]+[^{vowels}]'))) END"
+
+
+def _ended(n: str, suffixes: str, start: str = "p1") -> str:
+    """The longest of some suffixes behind a place."""
+    return f"regexp_extract(substr({n}, CAST({start} AS BIGINT) + 1), '(?:{suffixes.replace(' ', '|')})$')"
+
+
+_SV, _NO, _DE = "aeiouyäåö", "aeiouyæåø", "aeiouyäöü"
+_STEM_SQL = f"""WITH d AS (SELECT DISTINCT w FROM (SELECT unnest({WORDS}) AS w FROM documents)),
+sv0 AS (SELECT w, {_cut(_SV)} AS p1 FROM d),
+sv1 AS (SELECT *, {_ended("w", "a arna erna heterna orna ad e ade ande arne are aste en anden aren heten ern ar er heter or as arnas ernas ornas es ades andes ens arens hetens erns at andet het ast s")} AS e FROM sv0),
+sv2 AS (SELECT w, p1, CASE WHEN e = 's' AND NOT regexp_matches(w, '[bcdfghjklmnoprtvy]s$') THEN w ELSE left(w, length(w) - length(e)) END AS t FROM sv1),
+sv3 AS (SELECT w, p1, CASE WHEN {_ended("t", "dd gd nn dt gt kt tt")} <> '' THEN left(t, length(t) - 1) ELSE t END AS t FROM sv2),
+sv AS (SELECT w, CASE {_ended("t", "lig ig els löst fullt")} WHEN '' THEN t WHEN 'lig' THEN left(t, length(t) - 3) WHEN 'ig' THEN left(t, length(t) - 2) WHEN 'els' THEN left(t, length(t) - 3) ELSE left(t, length(t) - 1) END AS stem FROM sv3),
+no0 AS (SELECT w, {_cut(_NO)} AS p1 FROM d),
+no1 AS (SELECT *, {_ended("w", "a e ede ande ende ane ene hetene en heten ar er heter as es edes endes enes hetenes ens hetens ers ets et het ast s erte ert")} AS e FROM no0),
+no2 AS (SELECT w, p1, CASE WHEN e = 's' AND NOT regexp_matches(w, '(?:[bcdfghjlmnoprtvyz]|^k|[^{_NO}]k)s$') THEN w WHEN e IN ('erte', 'ert') THEN left(w, length(w) - length(e) + 2) ELSE left(w, length(w) - length(e)) END AS t FROM no1),
+no3 AS (SELECT w, p1, CASE WHEN {_ended("t", "dt vt")} <> '' THEN left(t, length(t) - 1) ELSE t END AS t FROM no2),
+no AS (SELECT w, left(t, length(t) - length({_ended("t", "leg eleg ig eig lig elig els lov elov slov hetslov")})) AS stem FROM no3),
+da0 AS (SELECT w, {_cut(_NO)} AS p1 FROM d),
+da1 AS (SELECT *, {_ended("w", "hed ethed ered e erede ende erende ene erne ere en heden eren er heder erer heds es endes erendes enes ernes eres ens hedens erens ers ets erets et eret s")} AS e FROM da0),
+da2 AS (SELECT w, p1, CASE WHEN e = 's' AND NOT regexp_matches(w, '[abcdfghjklmnoprtvyzå]s$') THEN w ELSE left(w, length(w) - length(e)) END AS t FROM da1),
+da3 AS (SELECT w, p1, CASE WHEN {_ended("t", "gd dt gt kt")} <> '' THEN left(t, length(t) - 1) ELSE t END AS t FROM da2),
+da4 AS (SELECT w, p1, CASE WHEN ends_with(t, 'igst') THEN left(t, length(t) - 2) ELSE t END AS t FROM da3),
+da5 AS (SELECT w, p1, t, {_ended("t", "ig lig elig els løst")} AS e FROM da4),
+da6 AS (SELECT w, p1, e, CASE WHEN e = 'løst' THEN left(t, length(t) - 1) ELSE left(t, length(t) - length(e)) END AS t FROM da5),
+da7 AS (SELECT w, p1, CASE WHEN e NOT IN ('', 'løst') AND {_ended("t", "gd dt gt kt")} <> '' THEN left(t, length(t) - 1) ELSE t END AS t FROM da6),
+da AS (SELECT w, CASE WHEN {_ended("t", "bb cc dd ff gg hh jj kk ll mm nn pp qq rr ss tt vv ww xx zz")} <> '' THEN left(t, length(t) - 1) ELSE t END AS stem FROM da7),
+de0 AS (SELECT w, replace(w, 'ß', 'ss') AS t FROM d),
+de1 AS (SELECT w, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '([{_DE}])u([{_DE}])', '\\1U\\2', 'g'), '([{_DE}])u([{_DE}])', '\\1U\\2', 'g'), '([{_DE}])y([{_DE}])', '\\1Y\\2', 'g'), '([{_DE}])y([{_DE}])', '\\1Y\\2', 'g') AS t FROM de0),
+de2 AS (SELECT w, t, {_cut(_DE, "t")} AS p1, CASE WHEN length(t) < 3 OR NOT regexp_matches(t, '^[^{_DE}]*[{_DE}]+[^{_DE}]+[{_DE}]+[^{_DE}]') THEN length(t) ELSE length(regexp_extract(t, '^[^{_DE}]*[{_DE}]+[^{_DE}]+[{_DE}]+[^{_DE}]')) END AS p2, {_ended("t", "em ern er e en es s", "0")} AS e FROM de1),
+de3 AS (SELECT w, p1, p2, CASE WHEN length(t) - length(e) < p1 OR e = 's' AND NOT regexp_matches(t, '[bdfghklmnrt]s$') THEN t WHEN e IN ('e', 'en', 'es') THEN regexp_replace(left(t, length(t) - length(e)), 'niss$', 'nis') ELSE left(t, length(t) - length(e)) END AS t FROM de2),
+de4 AS (SELECT *, {_ended("t", "en er est st", "0")} AS e FROM de3),
+de5 AS (SELECT w, p1, p2, CASE WHEN length(t) - length(e) < p1 OR e = 'st' AND NOT regexp_matches(t, '.{{3}}[bdfghklmnt]st$') THEN t ELSE left(t, length(t) - length(e)) END AS t FROM de4),
+de6 AS (SELECT *, {_ended("t", "end ung ig ik isch lich heit keit", "0")} AS e FROM de5),
+de7 AS (SELECT w, p1, p2, t, CASE WHEN length(t) - length(e) < p2 OR e IN ('ig', 'ik', 'isch') AND regexp_matches(t, 'e(?:ig|ik|isch)$') THEN '' ELSE e END AS e FROM de6),
+de8 AS (SELECT w, p1, p2, e, left(t, length(t) - length(e)) AS t FROM de7),
+de9 AS (SELECT w, CASE WHEN e IN ('end', 'ung') AND ends_with(t, 'ig') AND length(t) - 2 >= p2 AND NOT ends_with(t, 'eig') THEN left(t, length(t) - 2) WHEN e IN ('lich', 'heit') AND regexp_matches(t, 'e[rn]$') AND length(t) - 2 >= p1 THEN left(t, length(t) - 2)
+  WHEN e = 'keit' AND ends_with(t, 'lich') AND length(t) - 4 >= p2 THEN left(t, length(t) - 4) WHEN e = 'keit' AND ends_with(t, 'ig') AND length(t) - 2 >= p2 THEN left(t, length(t) - 2) ELSE t END AS t FROM de8),
+de AS (SELECT w, translate(t, 'UYäöü', 'uyaou') AS stem FROM de9)
+SELECT 'swedish' AS language, w AS word, stem FROM sv UNION ALL SELECT 'norwegian', w, stem FROM no UNION ALL SELECT 'danish', w, stem FROM da UNION ALL SELECT 'german', w, stem FROM de"""
+
+
+@query(_STEM_SQL)
+def stems_by_rules(spark, sf_dir):
+    """Every word of the documents and its stem in each language that has rules."""
+    found = T.tokens(F.col("text"), T.PLAIN_LETTERS, max_word=1 << 20)
+    words = _table(spark, sf_dir, "documents").select(F.explode(F.array_distinct(found)).alias("word")).distinct()
+    stems = F.array(*(F.struct(F.lit(x).alias("language"), stemmer(x)(F.col("word")).alias("stem")) for x in ("swedish", "norwegian", "danish", "german")))
+    return words.select("word", F.inline(stems)).select("language", "word", "stem")
+
+
 @query("SELECT n_nationkey AS id, lower('ÄÖ ' || n_name) AS low, ltrim(' ' || chr(9) || n_name, ' ' || chr(9)) AS skipped, 'lower,alpha' AS first FROM nation")
 def more_text_helpers(spark, sf_dir):
     rows = _table(spark, sf_dir, "nation").withColumn("t", F.concat(F.lit(" \t"), "n_name"))
@@ -202,10 +317,17 @@ def more_text_helpers(spark, sf_dir):
     return rows.select(F.col("n_nationkey").alias("id"), C.lower(F.concat(F.lit("ÄÖ "), "n_name")).alias("low"), C.skip_space("t").alias("skipped"), F.array_join(F.array_sort(first, lambda a, b: F.when(a > b, -1).otherwise(1)), ",").alias("first"))
 
 
-@query("SELECT * FROM (VALUES ('split', 'a,b c,d'), ('merge', 'y,z,x,y'), ('unescape', 'a' || chr(9) || 'A'), ('int', '42'), ('bool', 'True')) t(kind, value)")
+@query("""WITH w AS (SELECT p_partkey AS id, [p_brand, p_name, p_type || ' "' || p_size, 'of' || p_size || chr(39)] AS words FROM part)
+SELECT id, array_to_string(words, '|') AS split, array_to_string(words[1:2] || string_split(p_brand, '#') || words[3:4], '|') AS merged, p_name || chr(9) || p_brand || 'A' || chr(10) || 'q' AS unescaped,
+  CAST(p_size AS INTEGER) AS number, p_brand LIKE '%1%' AS yes FROM w JOIN part ON p_partkey = id""")
 def word_helpers(spark, sf_dir):
-    found = [("split", ",".join(W.split_words("a 'b c' d"))), ("merge", ",".join(W.merge_words(["x", "y"], ["y", "z"]))), ("unescape", W.unescape_c("a\\t\\x41")), ("int", str(W.to_int(" 42x"))), ("bool", str(W.to_bool("yes")))]
-    return spark.createDataFrame(found, "kind string, value string")
+    """Quoted lists, C escapes, numbers and switches that are made of a table's columns."""
+    line = F.concat("p_brand", F.lit(" '"), "p_name", F.lit("' \""), "p_type", F.lit(' \\"'), F.col("p_size").cast("string"), F.lit("\" \t'of"), "p_size", F.lit("\\''\nnot read"))
+    escapes = F.concat("p_name", F.lit("\\t"), "p_brand", F.lit("\\x41\\012\\q"))
+    switch = F.when(F.col("p_brand").contains("1"), F.concat(F.lit("yes "), "p_brand")).otherwise(F.lit("off"))
+    rows = _table(spark, sf_dir, "part").select("p_partkey", "p_brand", C.split_words(line).alias("w"), C.unescape_c(escapes).alias("unescaped"), C.to_int(F.concat(F.lit(" +"), "p_size", F.lit("x"))).alias("number"), C.to_bool(switch).alias("yes"))
+    merged = C.merge_words(F.slice("w", 3, 2), C.merge_words(F.split("p_brand", "#"), F.slice("w", 1, 2)))
+    return rows.select(F.col("p_partkey").alias("id"), F.array_join("w", "|").alias("split"), F.array_join(merged, "|").alias("merged"), "unescaped", "number", "yes")
 
 
 # ---- searches
@@ -260,29 +382,41 @@ def long_queries(spark, sf_dir):
 
 # ---- configuration
 
-_CONFIG = '<c><MetaNames><place bias="5" id="30">town</place></MetaNames><PropertyNames><n type="int" max="9"/><d type="date" ignore_case="0"/></PropertyNames><TagAlias><leafdescription>abstract</leafdescription></TagAlias><MIME><foo>text/x-foo</foo></MIME><Parsers><HTML>text/x-foo</HTML></Parsers><Index><Format>x</Format></Index><CascadeMetaContext>1</CascadeMetaContext></c>'
-
-
 def _entries(config: Config, source: str) -> list[tuple]:
     metas = [(source, "meta", m.name, m.alias_for or "", str(m.bias)) for m in config.metanames.values() if not m.name.startswith("leaf")]
     props = [(source, "property", p.name, p.alias_for or "", f"{p.type},{p.max},{p.ignore_case}") for p in config.properties.values() if not p.name.startswith("leaf")]
-    rest = [(source, "alias", "abstract", "", config.tag_aliases["abstract"]), (source, "mime", "foo", "", config.mimes["foo"]), (source, "parser", "text/x-foo", "", config.parsers["text/x-foo"]), (source, "flag", "cascade", "", str(config.flag("cascade")))]
-    return [*metas, *props, *rest]
-
-
-@query("""WITH c AS (SELECT * FROM (VALUES ('meta', 'place', '', '5'), ('meta', 'town', 'place', '5'), ('property', 'n', '', '3,9,True'), ('property', 'd', '', '2,0,False'),
- ('alias', 'abstract', '', 'leafdescription'), ('mime', 'foo', '', 'text/x-foo'), ('parser', 'text/x-foo', '', 'HTML'), ('flag', 'cascade', '', 'True')) t(kind, name, stands_for, value))
-SELECT source, c.* FROM c, (VALUES ('text'), ('header'), ('merged')) s(source)
-UNION ALL SELECT 'merged', 'meta', 'other', '', '2'""")
+    rest = [(source, kind, name, "", value) for kind, table in (("alias", config.tag_aliases), ("mime", config.mimes), ("parser", config.parsers)) for name, value in table.items() if "nation" in name or "nation" in value]
+    return [*metas, *props, *rest, (source, "flag", "cascade", "", str(config.flag("cascade")))]
+
+
+@query("""WITH n AS (SELECT n_nationkey AS id, n_regionkey AS r, lower(n_name) AS name FROM nation),
+c AS (SELECT id, 'meta' AS kind, 'm' || id AS name, '' AS stands_for, CAST(r AS VARCHAR) AS value FROM n UNION ALL SELECT id, 'meta', unnest(string_split(name, ' ')), 'm' || id, CAST(r AS VARCHAR) FROM n
+  UNION ALL SELECT id, 'property', 'n', '', '3,' || id + 1 || ',True' FROM n UNION ALL SELECT id, 'property', 'd', '', '2,0,False' FROM n
+  UNION ALL SELECT id, 'alias', 'nation' || r, '', 'leafdescription' FROM n UNION ALL SELECT id, 'mime', 'nation' || id, '', 'text/x-' || r FROM n
+  UNION ALL SELECT id, 'parser', 'text/x-nation' || id, '', CASE WHEN r % 2 = 0 THEN 'HTML' ELSE 'XML' END FROM n)
+SELECT source, c.* FROM c, (VALUES ('text'), ('header'), ('merged')) s(source) WHERE source <> 'merged' OR name <> 'd'
+UNION ALL SELECT source, id, 'flag', 'cascade', '', CASE WHEN r % 2 = 1 OR source = 'merged' THEN 'True' ELSE 'False' END FROM n, (VALUES ('text'), ('header'), ('merged')) s(source)
+UNION ALL SELECT 'merged', id, 'meta', 'r' || r, '', CAST(id AS VARCHAR) FROM n UNION ALL SELECT 'merged', id, 'property', 'd', '', '1,7,True' FROM n""")
 def config_entries(spark, sf_dir):
-    """A configuration as it is read, as its own header gives it back, and with another one on top."""
-    own = Config.read(_CONFIG)
-    merged = own.merge(Config.read('<c><MetaNames><other bias="2" id="30"/></MetaNames></c>'))
-    header = Config.read(own.to_xml())
-    # an alias's weight is its target's; headers keep none of its own
-    header.metanames["town"].bias = header.metanames["place"].bias
-    rows = [*_entries(own, "text"), *_entries(header, "header"), *_entries(merged, "merged")]
-    return spark.createDataFrame(rows, "source string, kind string, name string, stands_for string, value string")
+    """A configuration for each row of a table: as it is read, as its own header gives it back, and with another one on top."""
+    own = """concat('<c><MetaNames><m', n_nationkey, ' bias="', n_regionkey, '" id="', 30 + n_nationkey, '">', n_name, '</m', n_nationkey, '></MetaNames><PropertyNames><n type="int" max="', n_nationkey + 1, '"/><d type="date" ignore_case="0"/></PropertyNames>',
+      '<TagAlias><leafdescription>nation', n_regionkey, '</leafdescription></TagAlias><MIME><nation', n_nationkey, '>text/x-', n_regionkey, '</nation', n_nationkey, '></MIME>',
+      IF(n_regionkey % 2 = 0, '<Parsers><HTML>', '<Parsers><XML>'), 'text/x-nation', n_nationkey, IF(n_regionkey % 2 = 0, '</HTML></Parsers>', '</XML></Parsers>'), '<CascadeMetaContext>', n_regionkey % 2, '</CascadeMetaContext></c>')"""
+    other = """concat('<c><MetaNames><r', n_regionkey, ' bias="', n_nationkey, '" id="', 30 + n_nationkey, '"/></MetaNames><PropertyNames><d max="7"/></PropertyNames><CascadeMetaContext>1</CascadeMetaContext></c>')"""
+
+    def entries(batches):
+        for rows in batches:
+            for i, first, second in zip(rows["id"], rows["own"], rows["other"], strict=True):
+                config = Config.read(first)
+                header = Config.read(config.to_xml())
+                for m in header.metanames.values():
+                    # an alias's weight is its target's; headers keep none of its own
+                    m.bias = header.metanames[m.alias_for].bias if m.alias_for else m.bias
+                found = [*_entries(config, "text"), *_entries(header, "header"), *_entries(config.merge(Config.read(second)), "merged")]
+                yield pd.DataFrame([(i, *x) for x in found], columns=["id", "source", "kind", "name", "stands_for", "value"])
+
+    rows = _table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.expr(own).alias("own"), F.expr(other).alias("other"))
+    return rows.mapInPandas(entries, "id int, source string, kind string, name string, stands_for string, value string")
 
 
 # ---- files and frames

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from . import words
 
@@ -38,7 +38,8 @@ def num_chars(c):
 
 
 def lower(c):
-    return F.lower(_col(c))
+    """Lower case with one code point for each of the text's."""
+    return F.lower(F.replace(F.replace(_col(c), F.lit("İ"), F.lit("i")), F.lit("Σ"), F.lit("σ")))
 
 
 def skip_space(c):
@@ -215,3 +216,30 @@ def escape_utf8(s: pd.Series) -> pd.Series:
 @F.pandas_udf(StringType())
 def unescape_utf8(s: pd.Series) -> pd.Series:
     return s.map(words.unescape_text, na_action="ignore")
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def split_words(s: pd.Series) -> pd.Series:
+    """Words of the first line, with quotes and backslashes as words.split_words(); null for null."""
+    return s.map(words.split_words, na_action="ignore")
+
+
+def merge_words(first, second):
+    """The second list with the first one's words behind it; repeats stay."""
+    return F.concat(_col(second), _col(first))
+
+
+@F.pandas_udf(StringType())
+def unescape_c(s: pd.Series) -> pd.Series:
+    return s.map(words.unescape_c, na_action="ignore")
+
+
+def to_int(c):
+    """The decimal number at the start of a text, 0 if there is none; null where it is out of range."""
+    digits = F.regexp_extract(F.coalesce(_col(c), F.lit("")), "^\\s*([+-]?\\d+)", 1)
+    return F.when(digits == "", 0).otherwise(digits.try_cast("int"))
+
+
+def to_bool(c):
+    """True for what starts with y, Y or 1, and for on and ON."""
+    return F.coalesce(_col(c).rlike("^[yY1]|^(?:on|ON)$"), F.lit(False))

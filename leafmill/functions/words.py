@@ -41,6 +41,11 @@ def merge_words(first: list[str], second: list[str]) -> list[str]:
     return [*second, *first]
 
 
+def fold_case(text: str) -> str:
+    """Lower case with one code point for each of the text's, as columns.lower()."""
+    return text.replace("İ", "i").replace("Σ", "σ").lower()
+
+
 def unescape_c(text: str) -> str:
     """Control sequences of C: letters, \\xHH, \\0oct; any other escaped character is itself."""
     def one(m: re.Match) -> str:
@@ -54,7 +59,7 @@ def unescape_c(text: str) -> str:
 
 
 def escape_text(text: str | None) -> str | None:
-    """ASCII spelling of a text: C escapes, \\xH for other controls, \\uXXXX and \\UXXXXXXXX beyond ASCII."""
+    """ASCII spelling of a text: C escapes, \\xHH for other controls, \\uXXXX and \\UXXXXXXXX beyond ASCII."""
     if text is None:
         return None
 
@@ -63,7 +68,7 @@ def escape_text(text: str | None) -> str | None:
         if c in _ESCAPED:
             return _ESCAPED[c]
         if n < 32 or n == 127:
-            return f"\\x{n:X}"
+            return f"\\x{n:02X}"
         return c if n < 128 else f"\\u{n:04X}" if n < 1 << 16 else f"\\U{n:08X}"
 
     return "".join(map(one, text))

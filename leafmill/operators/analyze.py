@@ -13,28 +13,30 @@ from . import markup
 
 SCHEMA = (
     "uri string, encoding string, properties map<string,array<string>>, metas map<string,array<string>>, "
-    "pieces array<struct<meta:string,context:string,text:string>>, warnings array<string>, new_metas array<string>, new_properties array<string>, error string"
+    "pieces array<struct<meta:string,context:string,text:string>>, warnings array<string>, new_metas array<string>, new_properties array<string>, error string, "
+    "includes array<struct<target:string,kind:string>>"
 )
 _STRINGS = pa.list_(pa.string())
-_TYPES = [pa.string(), pa.string(), pa.map_(pa.string(), _STRINGS), pa.map_(pa.string(), _STRINGS), pa.list_(pa.struct([("meta", pa.string()), ("context", pa.string()), ("text", pa.string())])), _STRINGS, _STRINGS, _STRINGS, pa.string()]
+_TYPES = [pa.string(), pa.string(), pa.map_(pa.string(), _STRINGS), pa.map_(pa.string(), _STRINGS), pa.list_(pa.struct([("meta", pa.string()), ("context", pa.string()), ("text", pa.string())])), _STRINGS, _STRINGS, _STRINGS, pa.string(), pa.list_(pa.struct([("target", pa.string()), ("kind", pa.string())]))]
 
 
 def analyze(docs: DataFrame, config: Config) -> DataFrame:
     """One row of SCHEMA for each row (uri, content, parser, encoding) of documents.
 
     `content` is binary or a string. A document that a policy refuses has its
-    reason in `error` and no fields; the others are not held up by it.
+    reason in `error` and no fields; the others are not held up by it. What
+    documents include is in `includes`; includes.included() joins it.
     """
     rows = docs.select("uri", "content", "parser", F.col("encoding") if "encoding" in docs.columns else F.lit(None).cast("string").alias("encoding"))
-    names = ["uri", "encoding", "properties", "metas", "pieces", "warnings", "new_metas", "new_properties", "error"]
+    names = ["uri", "encoding", "properties", "metas", "pieces", "warnings", "new_metas", "new_properties", "error", "includes"]
 
     def one(uri, content, parser, encoding) -> tuple:
         try:
-            got = markup.analyze(content, parser or "", config, uri or "", encoding)
+            got = markup.analyze(content, parser or "", config, uri or "", encoding, from_files=False)
         except markup.MarkupError as e:
-            return uri, None, {}, {}, [], [], [], [], str(e)
+            return uri, None, {}, {}, [], [], [], [], str(e), []
         pieces = [{"meta": m, "context": c, "text": t} for m, c, t in got.pieces]
-        return uri, got.encoding, got.properties, got.metas, pieces, got.warnings, got.new_metas, got.new_properties, None
+        return uri, got.encoding, got.properties, got.metas, pieces, got.warnings, got.new_metas, got.new_properties, None, [{"target": t, "kind": k} for t, k in got.includes]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -57,6 +59,7 @@ def analyze_text(docs: DataFrame, config: Config) -> DataFrame:
     return docs.select(
         "uri", F.lit("UTF-8").alias("encoding"), F.create_map().cast("map<string,array<string>>").alias("properties"), metas.alias("metas"), pieces.alias("pieces"),
         strings.alias("warnings"), strings.alias("new_metas"), strings.alias("new_properties"), F.lit(None).cast("string").alias("error"),
+        F.array().cast("array<struct<target:string,kind:string>>").alias("includes"),
     )
 
 

@@ -12,6 +12,7 @@ Extractor keeps the stacks of open tags, fields and properties and produces
 from __future__ import annotations
 
 import os
+import posixpath
 import re
 from collections import Counter
 from dataclasses import dataclass, field
@@ -48,6 +49,8 @@ class Analysis:
     warnings: list[str] = field(default_factory=list)
     new_metas: list[str] = field(default_factory=list)
     new_properties: list[str] = field(default_factory=list)
+    #: (uri, X for markup or T for plain text) of what is to be included but was not looked for
+    includes: list[tuple[str, str]] = field(default_factory=list)
 
 
 #: Characters of a dotted path of tags that can name a field, if no configured name is longer.
@@ -67,8 +70,8 @@ class _Open:
 class Extractor:
     """The state between events."""
 
-    def __init__(self, config: Config, is_html: bool, uri: str = "", depth: int = 0, root: str = ""):
-        self.config, self.is_html, self.uri, self.depth, self.root = config, is_html, uri, depth, root
+    def __init__(self, config: Config, is_html: bool, uri: str = "", depth: int = 0, root: str = "", from_files: bool = True):
+        self.config, self.is_html, self.uri, self.depth, self.root, self.from_files = config, is_html, uri, depth, root, from_files
         self.out = Analysis()
         self.dom: list[_Open] = []
         # open elements by tag, and how many are ignored, so that no event looks through the stack
@@ -357,9 +360,9 @@ def parse_html(text: str, config: Config, uri: str = "") -> Analysis:
     return to.finish()
 
 
-def parse_xml(content: bytes | str, config: Config, uri: str = "", depth: int = 0, root: str = "") -> Analysis:
+def parse_xml(content: bytes | str, config: Config, uri: str = "", depth: int = 0, root: str = "", from_files: bool = True) -> Analysis:
     """Strict events, or loose ones from the whole text if it is not well-formed."""
-    to = Extractor(config, False, uri, depth, root)
+    to = Extractor(config, False, uri, depth, root, from_files)
     reader = expat.ParserCreate(namespace_separator=None)
     scopes: list[dict[str, str]] = [{}]
 
@@ -386,7 +389,7 @@ def parse_xml(content: bytes | str, config: Config, uri: str = "", depth: int =
     try:
         reader.Parse(content.encode() if isinstance(content, str) else content, True)
     except expat.ExpatError as e:
-        to = Extractor(config, False, uri, depth, root)
+        to = Extractor(config, False, uri, depth, root, from_files)
         loose = _LooseXml(to)
         loose.feed(content if isinstance(content, str) else content.decode("utf-8", "replace"))
         loose.close()
@@ -394,14 +397,26 @@ def parse_xml(content: bytes | str, config: Config, uri: str = "", depth: int =
     return to.finish()
 
 
+def resolved(uri: str, href: str) -> str:
+    """Where a reference leads from a document, in the spelling of the corpus's uris."""
+    scheme, mark, rest = uri.rpartition("://")
+    if "://" in href:
+        return href
+    return scheme + mark + posixpath.normpath(posixpath.join(posixpath.dirname(rest), href))
+
+
 def _include(to: Extractor, attrs: dict[str, str]) -> None:
     """Take in another local file: its fields, properties and pieces follow what is here so far.
 
     Only files in the document's own folder or below it are read, wherever links lead.
+    Documents that are not files are only noted.
     """
     href = attrs.get("href")
     if not href:
         return
+    if not to.from_files:
+        to.out.includes.append((resolved(to.uri, href), "T" if attrs.get("parse") == "text" else "X"))
+        return
     path = href if os.path.isabs(href) else os.path.join(os.path.dirname(to.uri), href)
     try:
         if to.depth >= MAX_INCLUDE_DEPTH:
@@ -458,8 +473,11 @@ def decode(content: bytes, parser: str, encoding: str | None = None) -> tuple[st
         return content.decode("latin-1"), "ISO-8859-1"
 
 
-def analyze(content: bytes | str | None, parser: str, config: Config, uri: str = "", encoding: str | None = None) -> Analysis:
-    """Dispatch by the first letter of the parser's name; an empty document gives a warning and nothing else."""
+def analyze(content: bytes | str | None, parser: str, config: Config, uri: str = "", encoding: str | None = None, from_files: bool = True) -> Analysis:
+    """Dispatch by the first letter of the parser's name; an empty document gives a warning and nothing else.
+
+    What a document includes is read from files, or only noted.
+    """
     kind = parser[:1].upper()
     if kind not in ("H", "X", "T"):
         raise MarkupError(f"unknown parser: {parser}")
@@ -473,7 +491,7 @@ def analyze(content: bytes | str | None, parser: str, config: Config, uri: str =
     if kind == "H":
         out = parse_html(content, config, uri)
     elif kind == "X":
-        out = parse_xml(content, config, uri)
+        out = parse_xml(content, config, uri, from_files=from_files)
     else:
         out = parse_text(content, config, uri)
     out.encoding = found

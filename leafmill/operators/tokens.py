@@ -1,8 +1,10 @@
 """Tokens with positions as column expressions.
 
 A word is a run of alphabetic characters and decimal digits, with apostrophes
-and underscores inside; it is lower-cased, and those two are stripped from its
-ends. Positions count words from 1 over all pieces of a document; each GAP
+and underscores inside; it is lower-cased, one code point for each, and those
+two are stripped from its ends. A longer word than `max_word` bytes is cut: a
+token is full at that size, and a character that would go beyond it is left out.
+Positions count words from 1 over all pieces of a document; each GAP
 character leaves out one position, so phrases do not match across it.
 """
 
@@ -14,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import GAP, MAX_WORD, MIN_WORD
+from ..functions import columns as C
 
 #: Letters as Java knows them; marks that are alphabetic count.
 LETTERS = "\\p{IsAlphabetic}"
@@ -23,13 +26,27 @@ PLAIN_LETTERS = "\\p{L}"
 WORD_PATTERN = "(?U)\\w+(?:[’']\\w+)*"
 
 
+def cut_word(word: Column, size: int) -> Column:
+    """Pieces of a word of at most `size` bytes of UTF-8; a character that does not fit into what is left of a piece is dropped."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("own"))
+
+    def add(a: Column, c: Column) -> Column:
+        own = F.when(F.octet_length(a["own"]) + F.octet_length(c) <= size, F.concat(a["own"], c)).otherwise(a["own"])
+        full = F.octet_length(own) >= size
+        return F.struct(F.when(full, F.concat(a["done"], F.array(own))).otherwise(a["done"]).alias("done"), F.when(full, F.lit("")).otherwise(own).alias("own"))
+
+    folded = F.aggregate(F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0)), start, add, lambda a: F.concat(a["done"], F.array(a["own"])))
+    plain = F.regexp_extract_all(word, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return F.when(F.octet_length(word) == F.char_length(word), plain).otherwise(folded)
+
+
 def _marks(text: Column, letters: str, min_word: int, max_word: int) -> Column:
     """Words of a text and a GAP for each gap, in order."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(f"[{letters}\\p{{Nd}}'_]+|{GAP}"), F.lit(0))
-    words = F.filter(F.transform(found, lambda w: F.btrim(w, F.lit("'_"))), lambda w: w != "")
+    words = F.regexp_extract_all(C.lower(text), F.lit(f"[{letters}\\p{{Nd}}'_]+|{GAP}"), F.lit(0))
     if max_word < 1 << 20:
-        cut = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > max_word, F.regexp_extract_all(w, F.lit(f"(?s).{{1,{max_word}}}"), F.lit(0))).otherwise(F.array(w))))
-        words = F.when(F.exists(words, lambda w: F.length(w) > max_word), cut).otherwise(words)
+        long = lambda w: F.octet_length(w) > max_word
+        words = F.when(F.exists(words, long), F.flatten(F.transform(words, lambda w: F.when(long(w), cut_word(w, max_word)).otherwise(F.array(w))))).otherwise(words)
+    words = F.filter(F.transform(words, lambda w: F.btrim(w, F.lit("'_"))), lambda w: w != "")
     if min_word > 2:
         # the length counts the byte behind the word as well
         words = F.filter(words, lambda w: (w == GAP) | (F.octet_length(w) + 1 >= min_word))

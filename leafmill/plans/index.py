@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..config import Config, ConfigError
 from ..operators import analyze as A
+from ..operators.includes import included
 from ..operators.stem import stemmer
 from ..operators.tokens import piece_words, postings, word_total
 from ..sources import storage
@@ -276,7 +277,7 @@ class Index:
 
             self.log.commit(prepare, batch)
             self.write_header()
-        for name in ("_rows", "_marks", "_analyzed", "_defined", "_blocks"):
+        for name in ("_rows", "_marks", "_analyzed", "_defined", "_analyzed_parts", "_analyzed_whole", "_defined_parts", "_defined_whole", "_blocks"):
             storage.remove(self.spark, f"{self.path}/{folder}/{name}")
         if not count:
             storage.remove(self.spark, f"{self.path}/{folder}")
@@ -284,9 +285,20 @@ class Index:
 
     def _segment(self, folder: str, rows: DataFrame) -> None:
         """Write the tables of documents."""
+        def with_words(found: DataFrame) -> DataFrame:
+            return found.withColumn("words", piece_words("pieces")).withColumn("nwords", word_total("words")).drop("pieces")
+
         def written(name: str) -> DataFrame:
-            found = analyzed(rows, self.config).withColumns({"doc": F.monotonically_increasing_id(), "words": piece_words("pieces")})
-            return self._write(folder, name, found.withColumn("nwords", word_total("words")).drop("pieces"))
+            found = self._write(folder, name, with_words(analyzed(rows, self.config).withColumn("doc", F.monotonically_increasing_id())))
+            if not self.config.flag("follow_xinclude"):
+                return found
+            # documents of one batch may include each other
+            whole = included(found, rows, self.config, f"{self.path}/{folder}/{name}_parts", "doc", ("words",), with_words)
+            if whole is found:
+                return found
+            # numbers rise within a task, and a chunk lies in one
+            whole = whole.withColumn("nwords", word_total("words")).repartitionByRange(self._parts(), B.chunk_of(F.col("doc"))).sortWithinPartitions("doc")
+            return self._write(folder, f"{name}_whole", whole)
 
         found = written("_analyzed")
         policies = {self.config.flag("undefined_tags"), self.config.flag("undefined_attributes")}

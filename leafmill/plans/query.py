@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import INT, Config, ConfigError
+from ..functions.words import fold_case
 
 BITS = 62
 _WORDS = regex.compile(r"[\p{Alphabetic}\p{Nd}'_]+")
@@ -77,7 +78,7 @@ Node = Term | Wild | Phrase | Range | Exact | Op
 
 def split_text(text: str) -> list[str]:
     """Words of query text by the rules of the tokens."""
-    return [w for w in (m.strip("'_") for m in _WORDS.findall(text.lower())) if w]
+    return [w for w in (m.strip("'_") for m in _WORDS.findall(fold_case(text))) if w]
 
 
 _LEX = regex.compile(r"\s*(?:(?P<paren>[()])|(?P<field>[^\s()\":]+):(?=\S)|\"(?P<quoted>[^\"]*)\"?|(?P<word>[^\s()\"]+))")

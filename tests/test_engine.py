@@ -239,7 +239,7 @@ def test_words_and_escapes():
     assert W.merge_words(["a"], ["b", "a"]) == ["b", "a", "a"]
     assert W.unescape_c("a\\tb\\x41\\012\\q\\") == "a\tbA\nq\\"
     text = "tab\t nl\n \x01 \\ é 😀 \x7f"
-    assert W.escape_text(text) == "tab\\t nl\\n \\x1 \\\\ \\u00E9 \\U0001F600 \\x7F" and W.unescape_text(W.escape_text(text)) == text
+    assert W.escape_text(text) == "tab\\t nl\\n \\x01 \\\\ \\u00E9 \\U0001F600 \\x7F" and W.unescape_text(W.escape_text(text)) == text
     assert W.escape_text(None) is None and W.unescape_text("\\101\\u41") == "AA"
     assert [W.to_int(x) for x in ("12ab", "-3", "x", None)] == [12, -3, 0, 0] and [W.to_bool(x) for x in ("yes", "1", "on", "On", "no", "")] == [True, True, True, False, False, False]
 
@@ -500,3 +500,19 @@ def test_deep_markup_takes_linear_time():
 
     seconds(500)
     assert seconds(16_000) < 12 * max(seconds(4_000), 0.05)
+
+
+def test_stems_by_rules():
+    # Words and stems of the published vocabularies.
+    known = {
+        "german": "aufeinanderfolge aufeinanderfolg häuser haus kategorischen kategor aufgeräumter aufgeraumt freundlichkeiten freundlich ergebnisse ergebnis ordnung ordnung auflösung auflos heiligkeit heilig",
+        "swedish": "jaktkarlarne jaktkarl jakthundens jakthund klockornas klock friskt frisk maktlöst maktlös",
+        "norwegian": "havnedistriktene havnedistrikt opning opning havnemyndighetene havnemynd vevet vev",
+        "danish": "undertidsstillingerne undertidsstilling universelt universelt uafsluttet uafslut",
+    }
+    for language, words in known.items():
+        words = words.split()
+        for word, want in zip(words[::2], words[1::2], strict=True):
+            assert stem.STEMMERS[language](word) == want, (language, word)
+        for odd in ("", "s", "en", "12s", "'s", "字字"):
+            assert stem.STEMMERS[language](odd) == odd
