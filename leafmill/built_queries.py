@@ -22,7 +22,7 @@ from .plans.query import Tables
 from .plans.rank import ranked, top
 from .plans.results import facets, sorted_hits
 from .queries import _BM25, _HAS, TOK, WORDS, _table, corpus_config, query
-from .sources import files, framed, tables
+from .sources import files, framed, listing, tables
 
 _TIDY = f"[\\x00-\\x20{GAP}]+"
 
@@ -310,6 +310,35 @@ def stems_by_rules(spark, sf_dir):
     return words.select("word", F.inline(stems)).select("language", "word", "stem")
 
 
+# The character classes in the spelling of another engine.
+_CLASSES = {
+    "alnum": "[\\p{L}\\p{Nd}]",
+    "alpha": "\\p{L}",
+    "ascii": "[\\x00-\\x7f]",
+    "blank": "[\\p{Zs}\\t]",
+    "cntrl": "[\\p{Cc}\\p{Zl}\\p{Zp}]",
+    "digit": "[0-9]",
+    "graph": "[^\\p{Z}\\p{C}]",
+    "lower": "\\p{Ll}",
+    "print": "[^\\p{Zl}\\p{Zp}\\p{C}]",
+    "punct": "[^\\p{L}\\p{Nd}\\p{Z}\\p{C}]",
+    "space": "[\\p{Z}\\x09-\\x0d\\x{85}]",
+    "title": "\\p{Lt}",
+    "upper": "\\p{Lu}",
+    "word": "[\\p{L}\\p{Nd}_]",
+    "xdigit": "[0-9A-Fa-f]",
+}
+
+
+@query(f"""WITH c AS (SELECT unnest(regexp_split_to_array(text, '')) AS c FROM documents UNION ALL SELECT unnest(regexp_split_to_array(html, '')) FROM pages)
+SELECT CAST(unicode(c) AS INTEGER) AS point, array_to_string(list_filter([{', '.join(f"CASE WHEN regexp_full_match(c, '{p}', 's') THEN '{k}' END" for k, p in _CLASSES.items())}], lambda x: x IS NOT NULL), ' ') AS classes, count(*) AS n FROM c WHERE c <> '' GROUP BY c""")
+def character_classes(spark, sf_dir):
+    """Every character of the corpus, its classes and how often it stands there."""
+    texts = _table(spark, sf_dir, "documents").select("text").unionAll(_table(spark, sf_dir, "pages").select("html"))
+    chars = texts.select(F.explode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("c")).groupBy("c").agg(F.count("*").alias("n"))
+    return chars.select(C.code_point("c").alias("point"), F.array_join(C.char_class("c"), " ").alias("classes"), "n")
+
+
 @query("SELECT n_nationkey AS id, lower('ÄÖ ' || n_name) AS low, ltrim(' ' || chr(9) || n_name, ' ' || chr(9)) AS skipped, 'lower,alpha' AS first FROM nation")
 def more_text_helpers(spark, sf_dir):
     rows = _table(spark, sf_dir, "nation").withColumn("t", F.concat(F.lit(" \t"), "n_name"))
@@ -440,6 +469,17 @@ def files_of_a_folder(spark, sf_dir):
     return out
 
 
+@query("""SELECT c_name AS value, CAST(strlen(c_name) + 1 AS BIGINT) AS size, 'TXT' AS parser, CAST(NULL AS VARCHAR) AS error FROM customer
+UNION ALL SELECT NULL, 0, 'HTML', 'empty' FROM (SELECT count(*) FROM customer)""")
+def listed_files(spark, sf_dir):
+    """A file for each customer in folders of their nations below one that is named with an underscore, listed by many tasks; the writer's mark is an empty file."""
+    folder = _scratch(spark, "listing")
+    rows = _table(spark, sf_dir, "customer").select(F.col("c_name").alias("value"), "c_nationkey")
+    rows.coalesce(1).write.partitionBy("c_nationkey").option("maxRecordsPerFile", 1).text(f"{folder}/_customers")
+    found = listing.read_listed(listing.listed(spark, folder))
+    return found.select(F.btrim(F.col("content").cast("string"), F.lit("\n")).alias("value"), "size", "parser", "error")
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS lines, CAST(sum(strlen(trim(line))) AS BIGINT) AS bytes FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM conversations UNION ALL SELECT CASE WHEN p_partkey % 5 = 0 THEN ' # ' || p_name WHEN p_partkey % 7 = 0 THEN '  ' ELSE ' ' || p_name || ' ' END FROM part) WHERE NOT regexp_matches(line, '^\\s*(#.*)?$')")
 def listed_names(spark, sf_dir):
     """The lines of a list that name something."""
