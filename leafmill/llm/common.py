@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import SCHEMES
+
 #: Rows and bytes of one Arrow batch sent to a Python worker.
 BATCH_ROWS = 2000
 BATCH_BYTES = 8 << 20
@@ -88,22 +90,26 @@ def open_shared(path: str, mode: str):
         return open(path, mode)
     if path.startswith("file:"):
         return open(local_path(path), mode)
-    from pyarrow import fs
-
-    system, inner = fs.FileSystem.from_uri(path)
+    system, inner = store(path)
     if mode == "rb":
         return system.open_input_file(inner)
     return system.open_output_stream(inner)
 
 
+def store(path: str):
+    """Arrow's file system of a path and the path in it; the schemes that Hadoop has for stores are known too."""
+    from pyarrow import fs
+
+    scheme, rest = path.split("://", 1)
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}://{rest}")
+
+
 def make_shared(path: str) -> str:
     """Create a folder of the shared file system."""
     if path.startswith("file:") or "://" not in path:
         os.makedirs(local_path(path), exist_ok=True)
     else:
-        from pyarrow import fs
-
-        system, inner = fs.FileSystem.from_uri(path)
+        system, inner = store(path)
         system.create_dir(inner, recursive=True)
     return path
 

@@ -33,6 +33,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 from itertools import groupby
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
@@ -305,8 +306,8 @@ def _store(df: DataFrame, id_col: str, text_col: str, length: int) -> DataFrame:
 
 
 def _file_rows(path: str, columns: list[str]) -> Iterator[dict]:
-    """The rows of one file of the stored table, in their order."""
-    with open_shared(path, "rb") as file:
+    """The rows of one file of the stored table, in their order; its path comes as Spark writes it, with escapes."""
+    with open_shared(unquote(path), "rb") as file:
         for batch in pq.ParquetFile(file).iter_batches(batch_size=128, columns=columns):
             yield from batch.to_pylist()
 
