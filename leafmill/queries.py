@@ -395,9 +395,9 @@ def ctrl_to_space(spark, sf_dir):
     return _table(spark, sf_dir, "documents").select("doc_id", C.ctrl_to_space("text").alias("text"), C.is_ascii("text").alias("ascii"))
 
 
-@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(strlen(text) AS BIGINT) AS bytes, CAST(unicode(text) AS INTEGER) AS point, CAST(strlen(substr(text, 1, 1)) AS INTEGER) AS char_bytes, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(text, ''), lambda x: x <> ''))), '') AS letters, CAST(position('e' IN text) - 1 AS INTEGER) AS at, reverse(text) AS back FROM documents WHERE text <> ''")
+@query("SELECT doc_id, CAST(length(text) AS BIGINT) AS chars, CAST(strlen(text) AS BIGINT) AS bytes, CASE WHEN text = '' THEN 0 ELSE CAST(unicode(text) AS INTEGER) END AS point, CAST(strlen(substr(text, 1, 1)) AS INTEGER) AS char_bytes, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(text, ''), lambda x: x <> ''))), '') AS letters, CAST(position('e' IN text) - 1 AS INTEGER) AS at, reverse(text) AS back FROM documents")
 def text_measures(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").where("text <> ''").select(
+    return _table(spark, sf_dir, "documents").select(
         "doc_id", C.num_chars("text").cast("long").alias("chars"), F.octet_length("text").cast("long").alias("bytes"), C.code_point("text").alias("point"), C.char_bytes("text").alias("char_bytes"),
         C.sorted_chars("text").alias("letters"), C.char_index("text", "e").alias("at"), C.reverse("text").alias("back"),
     )
