@@ -37,10 +37,10 @@ def html_documents(df: DataFrame, uri: str, html: str) -> DataFrame:
     return rows.withColumn("size", F.octet_length("content").cast("long")).withColumn("mtime", F.lit(0).cast("long"))
 
 
-def normalized(docs: DataFrame) -> DataFrame:
-    """(uri, words): html, sgml, xml and txt documents without markup, split at white space."""
+def normalized(docs: DataFrame, *keep: str) -> DataFrame:
+    """(uri, *keep, words): html, sgml, xml and txt documents without markup, split at white space. Rows stay apart whatever their uris."""
     rows = with_docinfo(docs).where(F.col("ext").isin("html", "sgml", "xml", "txt"))
-    return rows.select("uri", F.filter(F.split(strip_markup("content"), "\\s+"), lambda w: w != "").alias("words"))
+    return rows.select("uri", *keep, F.filter(F.split(strip_markup("content"), "\\s+"), lambda w: w != "").alias("words"))
 
 
 def random_documents(spark: SparkSession, n: int, vocabulary: list[str], low: int = 3, high: int = 9999, seed: int = 0, shift_every: int = 0, shift: int = 30_000) -> DataFrame:

@@ -6,3 +6,10 @@ import __spark_entry__ as entry
 def test_stream_totals_of_a_table_of_many_files(spark, tmp_path):
     spark.createDataFrame([(i, "one two") for i in range(40)], "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
     assert [tuple(r) for r in entry.queries()["stream_totals"](spark, str(tmp_path)).collect()] == [(40, 80)]
+
+
+def test_normalized_words_of_pages_with_one_url(spark, tmp_path):
+    rows = [(i, url, f"<p>w{i}</p>") for i, url in enumerate(["http://a/x.html", "http://a/x.html", "http://a/y.html", None])]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = entry.queries()["normalized_words"](spark, str(tmp_path)).collect()
+    assert sorted((r["page_id"], r["words"]) for r in found) == [(0, ["w0"]), (1, ["w1"]), (2, ["w2"])]
