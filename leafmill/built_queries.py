@@ -22,7 +22,7 @@ from .plans.query import Tables
 from .plans.rank import ranked, top
 from .plans.results import facets, sorted_hits
 from .queries import _BM25, _HAS, TOK, WORDS, _table, corpus_config, query
-from .sources import files, framed, listing, tables
+from .sources import files, framed, listing, storage, tables
 
 _TIDY = f"[\\x00-\\x20{GAP}]+"
 
@@ -139,7 +139,7 @@ SELECT id, unnest(words) AS term, CAST(generate_subscripts(words, 1) AS INTEGER)
 def long_words(spark, sf_dir):
     """Words of many bytes, cut to 256; a character that would go beyond that is left out. Case is folded one to one."""
     text = F.repeat(F.concat(F.replace("c_name", F.lit("#"), F.lit("İ")), F.lit("Éé字𐐨")), 40)
-    rows = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("uri"), text.alias("text"))
+    rows = storage.spread(_table(spark, sf_dir, "customer")).select(F.col("c_custkey").alias("uri"), text.alias("text"))
     return T.text_postings(rows, "uri", "text", "d", T.PLAIN_LETTERS).select(F.col("uri").alias("id"), "term", "pos")
 
 

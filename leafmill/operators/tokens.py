@@ -10,6 +10,7 @@ character leaves out one position, so phrases do not match across it.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -26,27 +27,56 @@ PLAIN_LETTERS = "\\p{L}"
 WORD_PATTERN = "(?U)\\w+(?:[’']\\w+)*"
 
 
-def cut_word(word: Column, size: int) -> Column:
-    """Pieces of a word of at most `size` bytes of UTF-8; a character that does not fit into what is left of a piece is dropped."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("own"))
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """An expression over a value that is found once."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+#: Marks that no word holds: what a character takes beyond one byte, and the end of a piece.
+_MORE, _END = "\x04", "\x05"
+
+
+def _full(size: int) -> str:
+    """A piece of just `size` bytes of a padded word, and characters that are too wide for what is left of it; groups are what stays."""
+    one = f"[^{_MORE}]"
+    last = f"(?:{one}{_MORE}++)*+({one}?+)"
+    last_two = f"(?:{one}{_MORE}{{2,}}+)*+(?:({one}{_MORE})|({one}){last})?+"
+    last_three = f"(?:{one}{_MORE}{{3}})*+(?:({one}{_MORE}{{2}})|({one}{_MORE}){last}|({one}){last_two})?+"
+    heads = [f"(.{{{size - left}}})(?!{_MORE}){rest}" for left, rest in enumerate(("", last, last_two, last_three)) if left <= size]
+    return f"(?s)(?=.)(?:{'|'.join(heads)})"
 
-    def add(a: Column, c: Column) -> Column:
-        own = F.when(F.octet_length(a["own"]) + F.octet_length(c) <= size, F.concat(a["own"], c)).otherwise(a["own"])
-        full = F.octet_length(own) >= size
-        return F.struct(F.when(full, F.concat(a["done"], F.array(own))).otherwise(a["done"]).alias("done"), F.when(full, F.lit("")).otherwise(own).alias("own"))
 
-    folded = F.aggregate(F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0)), start, add, lambda a: F.concat(a["done"], F.array(a["own"])))
+def cut_word(word: Column, size: int) -> Column:
+    """Pieces of a word of at most `size` bytes of UTF-8; a character that does not fit into what is left of a piece is dropped.
+
+    Each character is padded to as many characters as it has bytes, so one expression
+    finds the pieces and drops what does not fit, in time linear in the word.
+    """
+    padded = word
+    for wide, n in (("[\\x{80}-\\x{7FF}]", 1), ("[\\x{800}-\\x{FFFF}]", 2), ("[\\x{10000}-\\x{10FFFF}]", 3)):
+        padded = F.regexp_replace(padded, wide, "$0" + _MORE * n)
+    pattern = _full(size)
+    kept = "".join(f"${i + 1}" for i in range(re.compile(pattern).groups))
+    folded = F.split(F.translate(F.regexp_replace(padded, pattern, kept + _END), _MORE, ""), _END)
     plain = F.regexp_extract_all(word, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
     return F.when(F.octet_length(word) == F.char_length(word), plain).otherwise(folded)
 
 
 def _marks(text: Column, letters: str, min_word: int, max_word: int) -> Column:
     """Words of a text and a GAP for each gap, in order."""
-    words = F.regexp_extract_all(C.lower(text), F.lit(f"[{letters}\\p{{Nd}}'_]+|{GAP}"), F.lit(0))
+    found = lambda pattern: F.regexp_extract_all(C.lower(text), F.lit(f"{pattern}|{GAP}"), F.lit(0))
+    # runs without the apostrophes and underscores at their ends
+    words = found(f"[{letters}\\p{{Nd}}]+(?:['_]+[{letters}\\p{{Nd}}]+)*+")
     if max_word < 1 << 20:
         long = lambda w: F.octet_length(w) > max_word
-        words = F.when(F.exists(words, long), F.flatten(F.transform(words, lambda w: F.when(long(w), cut_word(w, max_word)).otherwise(F.array(w))))).otherwise(words)
-    words = F.filter(F.transform(words, lambda w: F.btrim(w, F.lit("'_"))), lambda w: w != "")
+
+        def cut() -> Column:
+            runs = F.flatten(F.transform(found(f"[{letters}\\p{{Nd}}'_]+"), lambda w: F.when(long(w), cut_word(w, max_word)).otherwise(F.array(w))))
+            return F.filter(F.transform(runs, lambda w: F.btrim(w, F.lit("'_"))), lambda w: w != "")
+
+        # a run is cut before its ends are taken off; one that is too long has a long word, or much at its ends
+        some = max(1, max_word // 4)
+        words = F.when(text.rlike(f"['_]{{{some}}}"), cut()).otherwise(_let(words, lambda ws: F.when(F.exists(ws, lambda w: F.octet_length(w) > max_word - 2 * some), cut()).otherwise(ws)))
     if min_word > 2:
         # the length counts the byte behind the word as well
         words = F.filter(words, lambda w: (w == GAP) | (F.octet_length(w) + 1 >= min_word))

@@ -13,3 +13,19 @@ def test_normalized_words_of_pages_with_one_url(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     found = entry.queries()["normalized_words"](spark, str(tmp_path)).collect()
     assert sorted((r["page_id"], r["words"]) for r in found) == [(0, ["w0"]), (1, ["w1"]), (2, ["w2"])]
+
+
+def test_words_are_cut_in_linear_time(spark):
+    import time
+
+    from pyspark.sql import functions as F
+
+    from leafmill.operators import tokens as T
+
+    texts = ["_" * 250 + "abcdefghij", "x" * 253 + "𐐨字éaéb", "a" + "字" * 90 + "b" + "é" * 9, "é" * 1_000_000]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").repartition(1)
+    start = time.time()
+    found = [r["w"] for r in rows.select(T.tokens(F.col("t"), T.PLAIN_LETTERS).alias("w")).collect()]
+    assert time.time() - start < 60
+    want = [["abcdef", "ghij"], ["x" * 253 + "字", "éaéb"], ["a" + "字" * 85, "字" * 5 + "b" + "é" * 9], ["é" * 128] * 7812 + ["é" * 64]]
+    assert sorted(found) == sorted(want)
