@@ -70,10 +70,16 @@ def discover(analyzed: DataFrame, config: Config) -> Config:
     distinct names, not the documents) and given ids in name order.
     """
     out = config.copy()
-    for col, known, add in (("new_metas", out.metanames, out.add_meta), ("new_properties", out.properties, out.add_property)):
-        for r in analyzed.select(F.explode(col).alias("name")).distinct().orderBy("name").collect():
-            if r["name"] not in known:
-                add(r["name"])
+    kinds = {"new_metas": (out.metanames, out.add_meta), "new_properties": (out.properties, out.add_property)}
+
+    def pairs(kind: str):
+        return F.transform(F.coalesce(kind, F.array().cast("array<string>")), lambda name: F.struct(F.lit(kind).alias("kind"), name.alias("name")))
+
+    # both kinds at once, as the documents may be parsed for it
+    for r in analyzed.select(F.inline(F.concat(*map(pairs, kinds)))).distinct().orderBy("kind", "name").collect():
+        known, add = kinds[r["kind"]]
+        if r["name"] not in known:
+            add(r["name"])
     return out
 
 
