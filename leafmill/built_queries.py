@@ -148,7 +148,7 @@ def long_words(spark, sf_dir):
   WHEN unicode(c) < 128 THEN c WHEN unicode(c) < 65536 THEN printf('%su%04X', chr(92), unicode(c)) ELSE printf('%sU%08X', chr(92), unicode(c)) END), '') AS escaped, true AS back FROM documents""")
 def escaped_texts(spark, sf_dir):
     """Texts in ASCII spelling, with a control before a digit at the end; and whether they read back."""
-    rows = _table(spark, sf_dir, "documents").select("doc_id", F.concat("text", F.lit("\x01A")).alias("t")).withColumn("escaped", C.escape_utf8("t"))
+    rows = storage.spread(_table(spark, sf_dir, "documents")).select("doc_id", F.concat("text", F.lit("\x01A")).alias("t")).withColumn("escaped", C.escape_utf8("t"))
     return rows.select("doc_id", "escaped", F.col("t").eqNullSafe(C.unescape_utf8("escaped")).alias("back"))
 
 

@@ -1,4 +1,4 @@
-"""Scalar functions as column expressions; all run in the JVM but for the two escapes."""
+"""Scalar functions as column expressions; all run in the JVM but for quoted lists and C escapes."""
 
 from __future__ import annotations
 
@@ -208,14 +208,34 @@ def snippet(text, term, width: int = 60):
     return F.when(at > 0, found).otherwise(F.substr(text, F.lit(1), F.lit(2 * width)))
 
 
-@F.pandas_udf(StringType())
-def escape_utf8(s: pd.Series) -> pd.Series:
-    return s.map(words.escape_text, na_action="ignore")
+_LETTERS, _CONTROLS = "abtnvfr", "\a\b\t\n\v\f\r"
 
 
-@F.pandas_udf(StringType())
-def unescape_utf8(s: pd.Series) -> pd.Series:
-    return s.map(words.unescape_text, na_action="ignore")
+def escape_utf8(c):
+    """ASCII spelling of a text, as words.escape_text()."""
+    def one(p: Column) -> Column:
+        n = F.ascii(p)
+        digits = lambda size: F.lpad(F.hex(n), size, "0")
+        plain = F.when((n >= 32) & (n < 127) & (n != 92), p).when(n == 92, F.lit("\\\\")).when(n.between(7, 13), F.concat(F.lit("\\"), F.translate(p, _CONTROLS, _LETTERS)))
+        return plain.when(n < 128, F.concat(F.lit("\\x"), digits(2))).when(n < 1 << 16, F.concat(F.lit("\\u"), digits(4))).otherwise(F.concat(F.lit("\\U"), digits(8)))
+
+    return F.array_join(F.transform(F.regexp_extract_all(_col(c), F.lit("[ -\\[\\]-~]+|(?s:.)"), F.lit(0)), one), "")
+
+
+def unescape_utf8(c):
+    """The text of an ASCII spelling, as words.unescape_text(); numbers of no character give U+FFFD."""
+    def char(digits: Column, base: int) -> Column:
+        n = F.conv(digits, base, 10).cast("long")
+        n = F.when((n > 0x10FFFF) | n.between(0xD800, 0xDFFF), F.lit(0xFFFD)).otherwise(n)
+        return F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")
+
+    def one(p: Column) -> Column:
+        behind = F.substr(p, F.lit(2))
+        number = F.when(p.rlike("^.[xuU][0-9A-Fa-f]"), char(F.substr(p, F.lit(3)), 16)).when(p.rlike("^.[0-7]"), char(behind, 8))
+        return F.when(~p.startswith("\\") | (p == "\\"), p).otherwise(number.otherwise(F.translate(behind, _LETTERS, _CONTROLS)))
+
+    escapes = "x[0-9A-Fa-f]{1,2}|u[0-9A-Fa-f]{1,4}|U[0-9A-Fa-f]{1,8}|[0-7]{1,3}|(?s:.)"
+    return F.array_join(F.transform(F.regexp_extract_all(_col(c), F.lit(f"[^\\\\]+|\\\\(?:{escapes})?"), F.lit(0)), one), "")
 
 
 @F.pandas_udf(ArrayType(StringType()))

@@ -29,3 +29,13 @@ def test_words_are_cut_in_linear_time(spark):
     assert time.time() - start < 60
     want = [["abcdef", "ghij"], ["x" * 253 + "字", "éaéb"], ["a" + "字" * 85, "字" * 5 + "b" + "é" * 9], ["é" * 128] * 7812 + ["é" * 64]]
     assert sorted(found) == sorted(want)
+
+
+def test_escapes_run_without_python(spark):
+    from leafmill.functions import columns as C
+    from leafmill.functions import words as W
+
+    texts = ["a\\é字𐐨\0\x07\n\x7f~", "\\", "\\x", "\\x4", "\\u00e9\\U0001F600\\777\\q\\a", "\\UFFFFFFFF", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", C.escape_utf8("t").alias("e"), C.unescape_utf8("t").alias("u"))
+    assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
+    assert all(r["e"] == W.escape_text(r["t"]) and r["u"] == W.unescape_text(r["t"]) for r in df.collect())
