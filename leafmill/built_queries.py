@@ -118,6 +118,7 @@ FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region r ON n_region
 def included_documents(spark, sf_dir):
     """Documents of a table that include others of it: a chain of tables, a circle, and one that is nowhere."""
     c, n, r = (_table(spark, sf_dir, x) for x in ("customer", "nation", "region"))
+    c = storage.spread(c)
     uri = lambda kind, key: F.concat(F.lit(f"{kind}/"), key, F.lit(".xml")).alias("uri")
     docs = c.select(uri("c", "c_custkey"), _including("c_name", [F.concat(F.lit("../n/"), "c_nationkey"), F.concat(F.lit("gone/"), "c_custkey")]).alias("content"))
     library = n.select(uri("n", "n_nationkey"), _including("n_name", [F.concat(F.lit("../r/"), "n_regionkey")]).alias("content"))
