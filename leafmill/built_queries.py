@@ -511,10 +511,10 @@ def framed_splits(spark, sf_dir):
     """Framed files in ranges that any task reads, after a table of offsets; a head without a good size ends its file with a row that says so."""
     good = framed.framed(F.col("o_orderkey"), F.concat("o_custkey", F.lit(" "), "o_orderpriority", F.lit("\n")), parser=F.lit("TXT"))
     folder = _scratch(spark, "splits")
-    lines = _table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 5).alias("file"), F.btrim(good, F.lit("\n")).alias("value"), F.lit(0).alias("last"))
-    bad = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("file"), F.lit("Content-Length: -45\nContent-Location: bad\n\n").alias("value"), F.lit(1).alias("last"))
-    # the writer ends the line that is the body
-    lines.unionByName(bad).repartition(5, "file").sortWithinPartitions("file", "last").select("value", "file").write.partitionBy("file").text(folder)
+    lines = _table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 5).alias("file"), F.btrim(good, F.lit("\n")).alias("value"), F.lit(0).alias("last"))
+    bad = _table(spark, sf_dir, "region").select(F.col("r_regionkey").cast("long").alias("o_orderkey"), F.col("r_regionkey").cast("long").alias("file"), F.lit("Content-Length: -45\nContent-Location: bad\n\n").alias("value"), F.lit(1).alias("last"))
+    # the writer ends the line that is the body; each task has a file of its own in each folder
+    lines.unionByName(bad).repartition("o_orderkey").sortWithinPartitions("file", "last").select("value", "file").write.partitionBy("file").text(folder)
     offsets = None
     for n in range(5):
         found = framed.frame_offsets(spark, f"{folder}/file={n}", split=4096)
