@@ -475,8 +475,9 @@ UNION ALL SELECT NULL, 0, 'HTML', 'empty' FROM (SELECT count(*) FROM customer)""
 def listed_files(spark, sf_dir):
     """A file for each customer in folders of their nations below one that is named with an underscore, listed by many tasks; the writer's mark is an empty file."""
     folder = _scratch(spark, "listing")
-    rows = _table(spark, sf_dir, "customer").select(F.col("c_name").alias("value"), "c_nationkey")
-    rows.coalesce(1).write.partitionBy("c_nationkey").option("maxRecordsPerFile", 1).text(f"{folder}/_customers")
+    rows = storage.spread(_table(spark, sf_dir, "customer"))
+    rows = rows.select(F.concat(F.lit("c_nationkey="), F.coalesce(F.col("c_nationkey").cast("string"), F.lit("none"))).alias("within"), F.concat(F.coalesce("c_name", F.lit("")), F.lit("\n")).alias("content"))
+    listing.write_each(rows, f"{folder}/_customers")
     found = listing.read_listed(listing.listed(spark, folder))
     return found.select(F.btrim(F.col("content").cast("string"), F.lit("\n")).alias("value"), "size", "parser", "error")
 

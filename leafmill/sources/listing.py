@@ -20,13 +20,14 @@ import stat
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..config import MAX_FILE, Config
 from . import files
-from .storage import _arrow, open_file
+from .storage import _arrow, make_folder, new_file, open_file, write_text
 
 SCHEMA = "uri string, size long, mtime long, error string"
 _TYPES = pa.schema([("uri", pa.string()), ("size", pa.int64()), ("mtime", pa.int64()), ("error", pa.string())])
@@ -85,6 +86,20 @@ def _entries(path: str, links: bool) -> tuple[list[str], list[tuple]]:
     return folders, rows
 
 
+def _folders(path: str, links: bool) -> list[str]:
+    """The folders of a folder as _entries() gives them, without asking for each file."""
+    here = _local(path)
+    if here is None:
+        return _entries(path, links)[0]
+    try:
+        with os.scandir(here) as found:
+            names = sorted(e.name for e in found if not e.name.startswith(".") and (e.is_symlink() or e.is_dir()))
+    except (OSError, ValueError):
+        return []
+    full = [os.path.join(here, name) for name in names]
+    return [f for f in full if os.path.isdir(f) and not (os.path.islink(f) and (not links or _above(f)))]
+
+
 def _above(link: str) -> bool:
     """Whether a link leads to a folder that it lies in."""
     to, here = os.path.realpath(link), os.path.realpath(os.path.dirname(link))
@@ -107,7 +122,7 @@ class ListingReader(DataSourceReader):
         passed, level = [], [self.path]
         while self.deep and level and len(level) < self.tasks:
             passed += level
-            level = [f for path in level for f in _entries(path, self.links)[0]]
+            level = [f for path in level for f in _folders(path, self.links)]
         return [_Folder(p, False) for p in passed] + [_Folder(p, self.deep) for p in level]
 
     def read(self, partition):
@@ -145,6 +160,28 @@ def listed(spark: SparkSession, path: str, links: bool = False, recursive: bool
     return spark.read.format("listing").options(links=links, recursive=recursive, tasks=tasks).load(path)
 
 
+def write_each(rows: DataFrame, folder: str) -> None:
+    """A file for each row (within, content): tasks put them into the folder `within` below `folder`, then comes an empty mark.
+
+    Names are of a task's number and the row's in it, so a task that runs again writes the same files.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n, made = TaskContext.get().partitionId(), 0, set()
+        for batch in batches:
+            for within, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                place = f"{folder}/{within}"
+                if place not in made:
+                    make_folder(place)
+                    made.add(place)
+                with new_file(f"{place}/part-{task:05d}-{n}.txt") as f:
+                    f.write(content.encode())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows.select("within", F.coalesce("content", F.lit("")).alias("content")).mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    write_text(rows.sparkSession, f"{folder}/_SUCCESS", "")
+
+
 def read_listed(listing: DataFrame, config: Config | None = None) -> DataFrame:
     """The documents of a listing: (uri, content, mtime, size, error, ext, is_gzipped, mime, parser).
 
@@ -177,7 +214,9 @@ def read_listed(listing: DataFrame, config: Config | None = None) -> DataFrame:
         if held:
             yield out()
 
-    rows = listing.select("uri", "size", "mtime", "error").mapInArrow(run, f"{SCHEMA}, content binary")
+    # a folder is listed by one task, its files are read by many
+    parts = int(listing.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = listing.select("uri", "size", "mtime", "error").repartition(parts, "uri").mapInArrow(run, f"{SCHEMA}, content binary")
     rows = files.with_docinfo(rows, config)
     inside = F.when(F.col("is_gzipped"), files.gunzip(F.when(F.col("is_gzipped"), F.col("content")))).otherwise(F.col("content"))
     rows = rows.withColumn("_inside", inside)

@@ -86,6 +86,27 @@ def open_file(path: str):
     return system.open_input_file(inner)
 
 
+def make_folder(path: str) -> None:
+    """A folder and those above it, from a task; it may be there."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    if "://" not in path:
+        os.makedirs(path, exist_ok=True)
+        return
+    system, inner = _arrow(path)
+    system.create_dir(inner, recursive=True)
+
+
+def new_file(path: str):
+    """A file for writing from a task, as open_file() for reading."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    if "://" not in path:
+        return open(path, "wb")
+    system, inner = _arrow(path)
+    return system.open_output_stream(inner)
+
+
 def _arrow(path: str):
     """Arrow's file system of a path and the path in it; other names of a store's scheme are known too."""
     from pyarrow import fs

@@ -39,3 +39,29 @@ def test_escapes_run_without_python(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", C.escape_utf8("t").alias("e"), C.unescape_utf8("t").alias("u"))
     assert "Python" not in df._jdf.queryExecution().executedPlan().toString()
     assert all(r["e"] == W.escape_text(r["t"]) and r["u"] == W.unescape_text(r["t"]) for r in df.collect())
+
+
+def test_files_of_rows_are_written_by_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from leafmill.sources import listing
+
+    folder = str(tmp_path / "in")
+    rows = spark.range(3000).repartition(5).select((F.col("id") % 3).cast("string").alias("within"), F.concat("id", F.lit("\n")).alias("content"))
+    listing.write_each(rows, folder)
+    found = listing.read_listed(listing.listed(spark, folder)).collect()
+    assert sorted(int(r["content"]) for r in found if r["content"]) == list(range(3000))
+    assert [(r["uri"].split("/")[-1], r["error"]) for r in found if not r["content"]] == [("_SUCCESS", "empty")]
+
+
+def test_folders_are_told_without_asking_for_files(tmp_path):
+    from leafmill.sources import listing
+
+    for name in ("a", "b", ".c"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "x").write_text("x")
+    (tmp_path / "a" / "up").symlink_to(tmp_path)
+    (tmp_path / "b" / "side").symlink_to(tmp_path / "a")
+    for links in (False, True):
+        for place in (tmp_path, tmp_path / "a", tmp_path / "b"):
+            assert listing._folders(str(place), links) == listing._entries(str(place), links)[0]
