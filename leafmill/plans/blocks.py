@@ -47,6 +47,8 @@ SCHEMA = (
 )
 #: Words that a task holds before it writes blocks.
 HELD_WORDS = 1 << 20
+#: Documents that are counted at a time.
+HELD_ROWS = 64
 
 
 def blocks(analyzed: DataFrame, stem: Callable[[str], str] | None = None) -> DataFrame:
@@ -59,11 +61,13 @@ def blocks(analyzed: DataFrame, stem: Callable[[str], str] | None = None) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            held.append(batch)
-            n += len(batch.column(2).flatten().field("words").flatten())
-            if n >= HELD_WORDS:
-                yield from _built(held, stem, bits)
-                held, n = [], 0
+            # a batch may have many times the words that are held at once
+            for at in range(0, batch.num_rows, HELD_ROWS):
+                held.append(batch.slice(at, HELD_ROWS))
+                n += len(held[-1].column(2).flatten().field("words").flatten())
+                if n >= HELD_WORDS:
+                    yield from _built(held, stem, bits)
+                    held, n = [], 0
         if held:
             yield from _built(held, stem, bits)
 
@@ -81,7 +85,7 @@ def _built(batches: list[pa.RecordBatch], stem: Callable[[str], str] | None, bit
         return
     docs, sizes, pieces = (table.column(i).chunk(0) for i in range(3))
     docs, sizes = docs.to_numpy(), sizes.to_numpy()
-    of_piece = np.repeat(np.arange(len(docs)), pc.list_value_length(pieces).fill_null(0).to_numpy())
+    of_piece = np.repeat(np.arange(len(docs), dtype=np.int32), pc.list_value_length(pieces).fill_null(0).to_numpy())
     pieces = pieces.flatten()
     lists = pieces.field("words")
     per_piece = pc.list_value_length(lists).fill_null(0).to_numpy()
@@ -89,7 +93,7 @@ def _built(batches: list[pa.RecordBatch], stem: Callable[[str], str] | None, bit
     row = np.repeat(of_piece, per_piece)
     # positions count words and gaps from 1 in each document
     first = np.searchsorted(row, np.arange(len(docs)))
-    pos = (np.arange(len(row)) - first[row] + 1).astype(np.int32)
+    pos = np.arange(1, len(row) + 1, dtype=np.int32) - first.astype(np.int32)[row]
     keep = np.flatnonzero(pc.not_equal(words, GAP).to_numpy(zero_copy_only=False))
     if not len(keep):
         return
@@ -100,7 +104,7 @@ def _built(batches: list[pa.RecordBatch], stem: Callable[[str], str] | None, bit
         kinds = [change(x) for x in d.dictionary.to_pylist()] if change else d.dictionary.to_pylist()
         names = sorted(set(kinds))
         at = {x: i for i, x in enumerate(names)}
-        return np.array([at[x] for x in kinds], np.int64)[d.indices.to_numpy()], pa.array(names, pa.string())
+        return np.array([at[x] for x in kinds], np.int32)[d.indices.to_numpy()], pa.array(names, pa.string())
 
     term, terms = coded(words.take(pa.array(keep)), stem)
     meta, metas = coded(pieces.field("meta"))
@@ -125,7 +129,7 @@ def _built(batches: list[pa.RecordBatch], stem: Callable[[str], str] | None, bit
         path_at = pa.nulls(len(block_at), pa.list_(pa.list_(pa.int32())))
     else:
         width = len(paths)
-        number = (np.searchsorted(pairs[:, 0] * width + pairs[:, 1], block_of * width + path) - path_cuts[block_of]).astype(np.int32)
+        number = (np.searchsorted(pairs[:, 0] * width + pairs[:, 1], block_of.astype(np.int64) * width + path) - path_cuts[block_of]).astype(np.int32)
         inner = _lists(doc_at, pa.array(number))
         path_at = pc.if_else(pa.array(single), pa.scalar(None, pa.list_(pa.list_(pa.int32()))), _lists(own, inner))
     yield pa.RecordBatch.from_arrays([

@@ -65,3 +65,24 @@ def test_folders_are_told_without_asking_for_files(tmp_path):
     for links in (False, True):
         for place in (tmp_path, tmp_path / "a", tmp_path / "b"):
             assert listing._folders(str(place), links) == listing._entries(str(place), links)[0]
+
+
+def test_words_that_a_task_holds_are_bounded(monkeypatch):
+    import pyarrow as pa
+
+    from leafmill.plans import blocks as B
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    sizes, built = [], B._built
+    monkeypatch.setattr(B, "HELD_WORDS", 1000)
+    monkeypatch.setattr(B, "_built", lambda held, *x: sizes.append(sum(b.num_rows for b in held)) or built(held, *x))
+    words = [[{"meta": "m", "context": "m", "words": ["a", "b"] * 10}]] * 5000
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5000), pa.int64()), pa.array([20] * 5000, pa.int64()), pa.array(words)], names=["doc", "nwords", "words"])
+    out = pa.Table.from_batches(B.blocks(Rows())(iter([batch])))
+    assert max(sizes) * 20 < 1000 + 64 * 20 and sum(out["cf"].to_pylist()) == 100_000
