@@ -7,6 +7,8 @@ Parquet stores as differences) and paths, and with the greatest count and the
 least length in it, which bound the relevance that it can give. A frequent
 term's blocks are spread over chunks, so no row or task holds all its documents.
 Words come from the JVM as arrays; they are sorted into blocks a million at a time.
+New blocks of the title also tell how many of their documents have the term in
+the text (`shared`), so that the dictionary need not compare documents.
 
 The dictionary has (meta, term, df, cf) of each segment. The empty field stands
 for an unfielded term, whose documents may have it in the text or the title.
@@ -18,6 +20,7 @@ Dead documents are 64 words of 64 bits for each chunk that has some.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -43,7 +46,7 @@ def chunk_of(doc: Column) -> Column:
 
 SCHEMA = (
     "term string, meta string, chunk long, n int, cf long, max_tf int, min_words long, docs array<long>, tfs array<int>, lengths array<long>, "
-    "positions array<array<int>>, paths array<string>, path_at array<array<int>>"
+    "positions array<array<int>>, paths array<string>, path_at array<array<int>>, shared int, part int"
 )
 #: Words that a task holds before it writes blocks.
 HELD_WORDS = 1 << 20
@@ -51,12 +54,14 @@ HELD_WORDS = 1 << 20
 HELD_ROWS = 64
 
 
-def blocks(analyzed: DataFrame, stem: Callable[[str], str] | None = None) -> DataFrame:
+def blocks(analyzed: DataFrame, stem: Callable[[str], str] | None = None, both: list[str] | None = None, bounds: list[str] | None = None) -> DataFrame:
     """Blocks of documents (doc, nwords, words); numbers rise within a task, so a chunk lies in one and nothing is shuffled.
 
-    A chunk with very many words gives several blocks of a term.
+    A chunk with very many words gives several blocks of a term. `both` are the
+    fields of unfielded terms; `bounds` part the terms into ranges, and `part` is
+    that of a block. A term that is a bound several times has several parts.
     """
-    bits = CHUNK_BITS
+    bits, both, bounds = CHUNK_BITS, both or [], bounds or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -66,20 +71,45 @@ def blocks(analyzed: DataFrame, stem: Callable[[str], str] | None = None) -> Dat
                 held.append(batch.slice(at, HELD_ROWS))
                 n += len(held[-1].column(2).flatten().field("words").flatten())
                 if n >= HELD_WORDS:
-                    yield from _built(held, stem, bits)
+                    yield from _built(held, stem, bits, both, bounds)
                     held, n = [], 0
         if held:
-            yield from _built(held, stem, bits)
+            yield from _built(held, stem, bits, both, bounds)
 
     return analyzed.select("doc", "nwords", "words").mapInArrow(run, SCHEMA)
 
 
+#: One word of so many is looked at to find the ranges of terms, and so many for each range.
+STEP, LOOKED_AT = 64, 200
+
+
+def some_words(words: str, key: str) -> Column:
+    """One of STEP words of each piece."""
+    at = F.pmod(F.xxhash64(key), F.lit(STEP)).cast("int")
+
+    def own(p: Column) -> Column:
+        size = F.size(p["words"])
+        return F.when(size > at, F.transform(F.sequence(at, size - 1, F.lit(STEP)), lambda i: F.get(p["words"], i))).otherwise(F.array().cast("array<string>"))
+
+    return F.filter(F.flatten(F.transform(words, own)), lambda w: w != GAP)
+
+
+def term_bounds(some: DataFrame, parts: int, stem: Callable[[str], str] | None = None) -> list[str]:
+    """Terms between `parts` ranges with about as many words each, from a column of some words; they only decide which file a block is in."""
+    n = some.agg(F.sum(F.size("some"))).first()[0] or 0
+    words = some.select(F.explode("some").alias("term"))
+    if n > LOOKED_AT * parts:
+        words = words.sample(LOOKED_AT * parts / n, seed=1)
+    found = sorted(stem(r[0]) if stem else r[0] for r in words.collect())
+    return [found[len(found) * i // parts] for i in range(1, parts)] if found else []
+
+
 def _lists(cuts: np.ndarray, values: pa.Array) -> pa.ListArray:
     """Lists of values that begin at the cuts."""
     return pa.ListArray.from_arrays(pa.array(np.append(cuts, len(values)), pa.int32()), values)
 
 
-def _built(batches: list[pa.RecordBatch], stem: Callable[[str], str] | None, bits: int) -> Iterator[pa.RecordBatch]:
+def _built(batches: list[pa.RecordBatch], stem: Callable[[str], str] | None, bits: int, both: list[str], bounds: list[str]) -> Iterator[pa.RecordBatch]:
     table = pa.Table.from_batches(batches).combine_chunks()
     if not table.num_rows:
         return
@@ -101,16 +131,24 @@ def _built(batches: list[pa.RecordBatch], stem: Callable[[str], str] | None, bit
     def coded(values: pa.Array, change=None) -> tuple[np.ndarray, pa.Array]:
         """Codes in the order of the values."""
         d = values.dictionary_encode()
-        kinds = [change(x) for x in d.dictionary.to_pylist()] if change else d.dictionary.to_pylist()
-        names = sorted(set(kinds))
-        at = {x: i for i, x in enumerate(names)}
-        return np.array([at[x] for x in kinds], np.int32)[d.indices.to_numpy()], pa.array(names, pa.string())
+        names = d.dictionary
+        again = pa.array(list(map(change, names.to_pylist())), pa.string()).dictionary_encode() if change else None
+        if change:
+            names = again.dictionary
+        order = pc.sort_indices(names)
+        code = np.empty(len(names), np.int32)
+        code[order.to_numpy()] = np.arange(len(names), dtype=np.int32)
+        if change:
+            code = code[again.indices.to_numpy()]
+        return code[d.indices.to_numpy()], names.take(order)
 
     term, terms = coded(words.take(pa.array(keep)), stem)
     meta, metas = coded(pieces.field("meta"))
     path, paths = coded(pieces.field("context"))
     meta, path = np.repeat(meta, per_piece)[keep], np.repeat(path, per_piece)[keep].astype(np.int32)
     row, pos = row[keep], pos[keep]
+    # a bound's place in the terms tells which of them lie before it
+    low, high = (np.sort([find(range(len(terms)), b, key=lambda i: terms[i].as_py()) for b in bounds]) for find in (bisect_right, bisect_left))
     chunks = docs[row] >> bits
     order = np.lexsort((chunks, meta, term))  # stable: documents and positions stay in order
     term, meta, path, row, pos, chunks = (x[order] for x in (term, meta, path, row, pos, chunks))
@@ -132,18 +170,34 @@ def _built(batches: list[pa.RecordBatch], stem: Callable[[str], str] | None, bit
         number = (np.searchsorted(pairs[:, 0] * width + pairs[:, 1], block_of.astype(np.int64) * width + path) - path_cuts[block_of]).astype(np.int32)
         inner = _lists(doc_at, pa.array(number))
         path_at = pc.if_else(pa.array(single), pa.scalar(None, pa.list_(pa.list_(pa.int32()))), _lists(own, inner))
+    # which documents of the second field have the term in the first
+    shared = np.zeros(len(doc_at), np.int32)
+    if len(both) == 2:
+        one, two = (np.flatnonzero(meta[doc_at] == metas.index(m).as_py()) for m in both)
+        # rows in the order of their chunks, as places are; a task may read files in any order
+        nth = np.empty(len(docs), np.int64)
+        nth[np.argsort(docs >> bits, kind="stable")] = np.arange(len(docs))
+        place = term[doc_at].astype(np.int64) * len(docs) + nth[row[doc_at]]
+        if len(one):
+            at = np.minimum(np.searchsorted(place[one], place[two]), len(one) - 1)
+            shared[two] = place[one][at] == place[two]
+    of = term[block_at]
+    first_part, last_part = (np.searchsorted(x, of, "right") for x in (low, high))
+    spread = chunks[block_at] + (chunks[block_at] >> max(0, 33 - bits))
+    part = (first_part + spread % (last_part - first_part + 1)).astype(np.int32)
     yield pa.RecordBatch.from_arrays([
-        terms.take(pa.array(term[block_at])), metas.take(pa.array(meta[block_at])), pa.array(chunks[block_at]),
+        terms.take(pa.array(of)), metas.take(pa.array(meta[block_at])), pa.array(chunks[block_at]),
         pa.array(np.diff(np.append(own, len(doc_at))).astype(np.int32)), pa.array(np.add.reduceat(tfs, own, dtype=np.int64)),
         pa.array(np.maximum.reduceat(tfs, own)), pa.array(np.minimum.reduceat(lengths, own)),
         _lists(own, pa.array(docs[row[doc_at]])), _lists(own, pa.array(tfs)), _lists(own, pa.array(lengths)),
         _lists(own, _lists(doc_at, pa.array(pos))), _lists(path_cuts, paths.take(pa.array(pairs[:, 1]))), path_at,
+        pa.array(np.add.reduceat(shared, own, dtype=np.int32)), pa.array(part),
     ], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
 def ranged(rows: DataFrame, parts: int) -> DataFrame:
-    """Blocks in files by ranges of (term, meta, chunk), so that a term lies in few files, a very frequent one in several."""
-    return rows.repartitionByRange(parts, "term", "meta", "chunk").sortWithinPartitions("term", "meta", "chunk")
+    """Blocks in files by their ranges of terms, so that a term lies in few files, a very frequent one in several."""
+    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("term", "meta", "chunk").drop("part")
 
 
 def postings(rows: DataFrame) -> DataFrame:
@@ -179,10 +233,15 @@ def rechunked(rows: DataFrame, numbers: DataFrame, parts: int) -> DataFrame:
 
 def dictionary(rows: DataFrame, both: list[str]) -> DataFrame:
     """(meta, term, df, cf, max_tf) of blocks; `both` are the fields of unfielded terms."""
-    own = rows.groupBy("meta", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.max("max_tf").alias("max_tf"))
+    sums = {"df": F.sum("n"), "cf": F.sum("cf"), "max_tf": F.max("max_tf")}
+    if "shared" in rows.columns:
+        own = rows.groupBy("meta", "term").agg(*(c.alias(n) for n, c in sums.items()), F.sum("shared").alias("shared"))
+        either = own.where(F.col("meta").isin(both)).groupBy("term").agg(F.sum(F.col("df") - F.col("shared")).alias("df"), F.sum("cf").alias("cf"), F.sum("max_tf").alias("max_tf"))
+        return own.drop("shared").unionByName(either.withColumn("meta", F.lit(BOTH)))
+    own = rows.groupBy("meta", "term").agg(*(c.alias(n) for n, c in sums.items()))
     either = rows.where(F.col("meta").isin(both)).groupBy("term", "chunk")
     either = either.agg(F.size(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("n"), F.sum("cf").alias("cf"), F.sum("max_tf").alias("max_tf"))
-    either = either.groupBy("term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.max("max_tf").alias("max_tf"))
+    either = either.groupBy("term").agg(*(c.alias(n) for n, c in sums.items()))
     return own.unionByName(either.withColumn("meta", F.lit(BOTH)))
 
 

@@ -33,11 +33,16 @@ from .commits import Log, Segment, State
 from .query import Phrase, Tables, Term
 
 
-def analyzed(docs: DataFrame, config: Config) -> DataFrame:
-    """Fields and text pieces of source documents. Plain text goes through column expressions, markup through the parsing stage."""
+def analyzed(docs: DataFrame, config: Config, stored: bool = False) -> DataFrame:
+    """Fields and text pieces of source documents. Plain text goes through column expressions, markup through the parsing stage.
+
+    Of a stored table the parsers are looked at first; without markup there is no parsing stage.
+    """
     if dict(docs.dtypes)["content"] != "string":
         return A.analyze(docs, config)
     text = F.coalesce(F.upper(F.substring("parser", 1, 1)) == "T", F.lit(False))
+    if stored and docs.where(~text).isEmpty():
+        return A.analyze_text(docs, config)
     return A.analyze_text(docs.where(text), config).unionByName(A.analyze(docs.where(~text), config))
 
 
@@ -277,7 +282,7 @@ class Index:
 
             self.log.commit(prepare, batch)
             self.write_header()
-        for name in ("_rows", "_marks", "_analyzed", "_defined", "_analyzed_parts", "_analyzed_whole", "_defined_parts", "_defined_whole", "_blocks"):
+        for name in ("_rows", "_marks", "_analyzed", "_defined", "_analyzed_parts", "_analyzed_whole", "_defined_parts", "_defined_whole"):
             storage.remove(self.spark, f"{self.path}/{folder}/{name}")
         if not count:
             storage.remove(self.spark, f"{self.path}/{folder}")
@@ -286,10 +291,10 @@ class Index:
     def _segment(self, folder: str, rows: DataFrame) -> None:
         """Write the tables of documents."""
         def with_words(found: DataFrame) -> DataFrame:
-            return found.withColumn("words", piece_words("pieces")).withColumn("nwords", word_total("words")).drop("pieces")
+            return found.withColumn("words", piece_words("pieces")).withColumn("nwords", word_total("words")).withColumn("some", B.some_words("words", "uri")).drop("pieces")
 
         def written(name: str) -> DataFrame:
-            found = self._write(folder, name, with_words(analyzed(rows, self.config).withColumn("doc", F.monotonically_increasing_id())))
+            found = self._write(folder, name, with_words(analyzed(rows, self.config, stored=True).withColumn("doc", F.monotonically_increasing_id())))
             if not self.config.flag("follow_xinclude"):
                 return found
             # documents of one batch may include each other
@@ -308,8 +313,8 @@ class Index:
             found = written("_defined")
         found = found.where("error IS NULL")
         stem = partial(stem_word, language=self.language) if stemmer(self.language) else None
-        # a staged table, as ranges are found by reading it
-        near = self._write(folder, "_blocks", B.blocks(found if self.config.flag("tokenize") else found.limit(0), stem))
+        found_words = found if self.config.flag("tokenize") else found.limit(0)
+        near = B.blocks(found_words, stem, self._both, B.term_bounds(found_words, self._parts(), stem))
         blocks = self._write(folder, "blocks", B.ranged(near, self._parts()), **PAGES)
         self._terms(folder, blocks)
         self._write(folder, "docs", doc_rows(rows, found))
@@ -384,7 +389,7 @@ class Index:
         dead = self._dead(state)
         live = lambda name: B.alive(self._read(name, state.segments), dead)
         postings_ = self._read("blocks", state.segments)
-        t = Stored(self.config, live("docs"), None, live("props"), word, postings_, dead, self._dictionary(state), sum(s.docs for s in state.segments), sum(s.words for s in state.segments))
+        t = Stored(self.config, live("docs"), None, live("props"), word, blocks=postings_, dead=dead, terms=self._dictionary(state), n_docs=sum(s.docs for s in state.segments), n_words=sum(s.words for s in state.segments))
         t.postings = t.with_uri(B.paths(postings_)).select("uri", "meta", "context", "term", "pos", F.octet_length("term").alias("len"))
         return t
 

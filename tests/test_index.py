@@ -180,3 +180,29 @@ def test_empty_and_odd_documents(spark, tmp_path):
     assert index.add(frame(spark, []).limit(0)) == 0 and index.segments() == [] and index.delete(["a"]) == (0, ["a"])
     assert index.add(frame(spark, [("e", "<d></d>"), (None, "<d>x</d>"), ("f", "<d>x</d>"), ("f", "<d>y</d>")]), seq="seq") == 2
     assert rows(index.tables().search("y")) == [("f",)] and rows(index.tables().search("not y")) == [("e",)] and index.tables().search("x").count() == 0
+
+
+def test_dictionary_without_comparing_documents(spark, tmp_path, monkeypatch):
+    """New blocks know what title and text share, and are written once."""
+    written, real = [], Index._write
+    monkeypatch.setattr(Index, "_write", lambda self, folder, name, df, **o: written.append(name) or real(self, folder, name, df, **o))
+    monkeypatch.setattr(B, "CHUNK_BITS", 3)
+    index = Index(spark, str(tmp_path / "i"))
+    docs = [(f"u{i}", f"<d><title>ant {WORDS[i % 8]}</title>{WORDS[i % 5]} {'ant' if i % 3 else 'bee'} bee</d>") for i in range(60)]
+    index.add(frame(spark, docs).repartition(3))
+    assert "blocks" in written and "_blocks" not in written
+    blocks = index.tables().blocks
+    new, old = B.dictionary(blocks, index._both), B.dictionary(blocks.drop("shared"), index._both)
+    assert "collect_list" not in new._jdf.queryExecution().toString()
+    assert rows(new.select("meta", "term", "df", "cf")) == rows(old.select("meta", "term", "df", "cf"))
+    assert rows(new.where("meta = '' and term = 'ant'").select("df")) == [(60,)]
+
+
+def test_frequent_terms_have_several_parts(spark):
+    """A term that is a bound several times is spread by its chunks; others stay together, in order."""
+    docs = spark.createDataFrame([(d << 12, 3, [{"meta": "m", "context": "m", "words": ["a", "the", "z"]}]) for d in range(40)], "doc long, nwords long, words array<struct<meta:string,context:string,words:array<string>>>")
+    found = B.blocks(docs.coalesce(1), None, ["m", "t"], ["b", "the", "the", "the"])
+    parts = {t: {r["part"] for r in found.where(F.col("term") == t).select("part").collect()} for t in ("a", "the", "z")}
+    assert parts == {"a": {0}, "the": {1, 2, 3, 4}, "z": {4}}
+    some = docs.select(B.some_words("words", "doc").alias("some"))
+    assert B.term_bounds(some.limit(0), 4) == [] and len(B.term_bounds(docs.select(F.col("words")[0]["words"].alias("some")), 4)) == 3
