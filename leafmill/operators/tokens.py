@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,19 +65,27 @@ def cut_word(word: Column, size: int) -> Column:
 
 def _marks(text: Column, letters: str, min_word: int, max_word: int) -> Column:
     """Words of a text and a GAP for each gap, in order."""
-    found = lambda pattern: F.regexp_extract_all(C.lower(text), F.lit(f"{pattern}|{GAP}"), F.lit(0))
+    # plain letters first, as the pattern tries what a class names in order
+    one = f"a-z0-9{letters}\\p{{Nd}}"
+    lower, gaps = C.lower(text), F.contains(text, F.lit(GAP))
+
+    def found(pattern: str) -> Column:
+        every = lambda p: F.regexp_extract_all(lower, F.lit(p), F.lit(0))
+        return F.when(gaps, every(f"{pattern}|{GAP}")).otherwise(every(pattern))
+
     # runs without the apostrophes and underscores at their ends
-    words = found(f"[{letters}\\p{{Nd}}]+(?:['_]+[{letters}\\p{{Nd}}]+)*+")
+    words = found(f"[{one}]+(?:['_]+[{one}]+)*+")
     if max_word < 1 << 20:
         long = lambda w: F.octet_length(w) > max_word
 
         def cut() -> Column:
-            runs = F.flatten(F.transform(found(f"[{letters}\\p{{Nd}}'_]+"), lambda w: F.when(long(w), cut_word(w, max_word)).otherwise(F.array(w))))
+            runs = F.flatten(F.transform(found(f"[{one}'_]+"), lambda w: F.when(long(w), cut_word(w, max_word)).otherwise(F.array(w))))
             return F.filter(F.transform(runs, lambda w: F.btrim(w, F.lit("'_"))), lambda w: w != "")
 
         # a run is cut before its ends are taken off; one that is too long has a long word, or much at its ends
         some = max(1, max_word // 4)
-        words = F.when(text.rlike(f"['_]{{{some}}}"), cut()).otherwise(_let(words, lambda ws: F.when(F.exists(ws, lambda w: F.octet_length(w) > max_word - 2 * some), cut()).otherwise(ws)))
+        pairs = reduce(Column.__or__, (F.contains(text, F.lit(p)) for p in ("''", "'_", "_'", "__"))) if some > 1 else F.lit(True)
+        words = F.when(pairs & text.rlike(f"['_]{{{some}}}"), cut()).otherwise(_let(words, lambda ws: F.when(F.exists(ws, lambda w: F.octet_length(w) > max_word - 2 * some), cut()).otherwise(ws)))
     if min_word > 2:
         # the length counts the byte behind the word as well
         words = F.filter(words, lambda w: (w == GAP) | (F.octet_length(w) + 1 >= min_word))
@@ -85,7 +94,7 @@ def _marks(text: Column, letters: str, min_word: int, max_word: int) -> Column:
 
 def tokens(text: Column, letters: str = LETTERS, min_word: int = MIN_WORD, max_word: int = MAX_WORD) -> Column:
     """The words of a text as an array."""
-    return F.filter(_marks(text, letters, min_word, max_word), lambda w: w != GAP)
+    return F.array_remove(_marks(text, letters, min_word, max_word), GAP)
 
 
 def pattern_tokens(text: Column, pattern: str = WORD_PATTERN) -> Column:
@@ -120,7 +129,7 @@ def piece_words(pieces: str, letters: str = LETTERS, min_word: int = MIN_WORD, m
 
 def word_total(words: str) -> Column:
     """How many words the pieces have together."""
-    one = lambda p: F.size(p["words"]) - F.size(F.filter(p["words"], lambda w: w == GAP))
+    one = lambda p: F.size(F.array_remove(p["words"], GAP))
     return F.aggregate(words, F.lit(0).cast("long"), lambda n, p: n + one(p))
 
 

@@ -15,7 +15,7 @@ the bits. However many leaves there are, documents are shuffled once.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import regex
 from pyspark.sql import Column, DataFrame
@@ -273,19 +273,46 @@ def truth(node: Node | None, value: Callable[[Node], object], false, negate):
 
 @dataclass
 class Tables:
-    """What is searched: documents (uri, ...), postings (uri, meta, term, pos, ...), stored values (uri, name, idx, value)."""
+    """What is searched: documents (uri, ...), postings (uri, meta, term, pos, ...), stored values (uri, name, idx, value).
+
+    `words` may hold the documents with the words of their pieces, which narrowed() reads.
+    """
 
     config: Config
     docs: DataFrame
     postings: DataFrame
     props: DataFrame | None = None
     stem: Callable[[str], str] | None = None
+    words: DataFrame | None = None
 
     @property
     def keys(self) -> tuple[str, ...]:
         """The columns that documents go by."""
         return ("uri",)
 
+    def narrowed(self, query: str | Node | None, folder: str) -> Tables:
+        """The same for one query: documents and the words that it asks for, written to a folder.
+
+        Texts are split into words once, however often documents and postings are
+        read then. Phrases need the places of words and leave the tables as they are.
+        """
+        tree = parse(query, self.config) if isinstance(query, str) else query
+        asked = [x for x in leaves(tree) if isinstance(x, (Term, Wild))]
+        if self.words is None or self.stem or not asked or any(isinstance(x, Phrase) for x in leaves(tree)):
+            return self
+
+        def wanted(w: Column) -> Column:
+            out = F.lit(False)
+            for x in asked:
+                out = out | (w == x.word if isinstance(x, Term) else w.startswith(x.start))
+            return out
+
+        found = F.flatten(F.transform("words", lambda p: F.transform(F.filter(p["words"], wanted), lambda w: F.struct(p["meta"].alias("meta"), w.alias("term")))))
+        rows = self.words.withColumn("found", found).select(*self.docs.columns, "found")
+        rows.write.parquet(folder)
+        rows = rows.sparkSession.read.schema(rows.schema).parquet(folder)
+        return replace(self, docs=rows.drop("found"), postings=rows.select("uri", F.inline("found")), words=None)
+
     def term_rows(self, condition: Column) -> DataFrame:
         """(keys, meta, term, tf) of postings; a row may stand for several places."""
         return self.postings.where(condition).select(*self.keys, "meta", "term", F.lit(1).alias("tf"))

@@ -86,3 +86,36 @@ def test_words_that_a_task_holds_are_bounded(monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(5000), pa.int64()), pa.array([20] * 5000, pa.int64()), pa.array(words)], names=["doc", "nwords", "words"])
     out = pa.Table.from_batches(B.blocks(Rows())(iter([batch])))
     assert max(sizes) * 20 < 1000 + 64 * 20 and sum(out["cf"].to_pylist()) == 100_000
+
+
+def test_ranked_queries_split_texts_once(spark):
+    """What is ranked reads stored counts; no plan of a result splits texts again."""
+    found = entry.queries()["bm25_topk"](spark, "/root/testdata/sf0.001")
+    assert "regexp_extract_all" not in found._jdf.queryExecution().toString()
+
+
+def test_narrowed_tables_rank_as_whole_ones(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from leafmill.plans.rank import ranked
+    from leafmill.queries import corpus
+
+    rows = [(1, "Thing thing, ing", "there"), (2, "ing'ing there\x03thing", "thing"), (3, "", "b"), (4, None, "ing"), (5, "things ing", None), (None, "thing", "a")]
+    spark.createDataFrame([(i, t, "en", s) for i, t, s in rows], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1)], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    t = corpus(spark, str(tmp_path))
+    for i, q in enumerate(("thing ing there", "thing* not ing", "source:thing or ing", "there and lang:a..z", '"thing ing" or there')):
+        one, two = (sorted((r["uri"], r["score"]) for r in ranked(x, q).select("uri", F.round("score", 9).alias("score")).collect()) for x in (t, t.narrowed(q, str(tmp_path / f"q{i}"))))
+        assert one == two and one, q
+
+
+def test_words_with_and_without_gaps_are_the_same(spark):
+    from pyspark.sql import functions as F
+
+    from leafmill.operators import tokens as T
+
+    texts = ["Añb ß9 d'e_ _f", "''x'' __y", "İI Σ字", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = [r[0] for r in df.select(T.tokens(F.col("t"))).collect()]
+    gapped = [r[0] for r in df.select(T.tokens(F.concat("t", F.lit("\x03")))).collect()]
+    assert plain == gapped == [["añb", "ß9", "d'e", "f"], ["x", "y"], ["ii", "σ字"], []]
