@@ -22,11 +22,12 @@ from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import GAP
@@ -52,6 +53,25 @@ SCHEMA = (
 HELD_WORDS = 1 << 20
 #: Documents that are counted at a time.
 HELD_ROWS = 64
+#: What goes to a Python worker at a time, at most.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of what runs meanwhile are small: a worker still holds the last one while it reads the next.
+
+    With Spark's own bounds a worker's memory would grow with the rows of a task until it has 10,000.
+    """
+    names = {f"spark.sql.execution.arrow.max{k}PerBatch": str(v) for k, v in (("Records", BATCH_ROWS), ("Bytes", BATCH_BYTES))}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def blocks(analyzed: DataFrame, stem: Callable[[str], str] | None = None, both: list[str] | None = None, bounds: list[str] | None = None) -> DataFrame:

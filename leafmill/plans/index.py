@@ -264,7 +264,8 @@ class Index:
         if count and (skip_known and known is not None or not marks.where("n > 1").isEmpty()):
             rows = rows.join(marks.select("_row"), "_row", "left_semi")
         if count:
-            self._segment(folder, rows)
+            with B.small_batches(self.spark):
+                self._segment(folder, rows)
             own = self._read("docs", [Segment(number, folder, 0, 0)])
             words, count = own.agg(F.sum("nwords").alias("w"), F.count("*").alias("n")).first()
 

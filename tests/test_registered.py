@@ -119,3 +119,32 @@ def test_words_with_and_without_gaps_are_the_same(spark):
     plain = [r[0] for r in df.select(T.tokens(F.col("t"))).collect()]
     gapped = [r[0] for r in df.select(T.tokens(F.concat("t", F.lit("\x03")))).collect()]
     assert plain == gapped == [["añb", "ß9", "d'e", "f"], ["x", "y"], ["ii", "σ字"], []]
+
+
+def test_batches_of_an_index_are_small(spark, tmp_path, monkeypatch):
+    """Workers get few documents at a time, and the session's own bounds are back afterwards."""
+    from leafmill.plans import blocks as B
+    from leafmill.plans.index import Index
+
+    (seen := tmp_path / "seen").mkdir()
+    folder, built = str(seen), B.blocks
+
+    def note(batches):
+        import uuid
+
+        for b in batches:
+            open(f"{folder}/{uuid.uuid4().hex}-{b.num_rows}", "w").close()
+            yield b
+
+    def spied(rows, *x):
+        rows = rows.select("doc", "nwords", "words")
+        return built(rows.mapInArrow(note, rows.schema), *x)
+
+    monkeypatch.setattr(B, "blocks", spied)
+    names = [f"spark.sql.execution.arrow.max{k}PerBatch" for k in ("Records", "Bytes")]
+    before = [spark.conf.get(k, None) for k in names]
+    index = Index(spark, str(tmp_path / "index"))
+    assert index.add(spark.range(16_000).selectExpr("CAST(id AS STRING) AS uri", "'ant bee' AS content", "'TXT' AS parser")) == 16_000
+    sizes = [int(p.name.split("-")[1]) for p in seen.iterdir()]
+    assert sum(sizes) == 16_000 and max(sizes) <= 1000
+    assert [spark.conf.get(k, None) for k in names] == before
