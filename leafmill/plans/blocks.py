@@ -167,11 +167,19 @@ def _built(batches: list[pa.RecordBatch], stem: Callable[[str], str] | None, bit
     path, paths = coded(pieces.field("context"))
     meta, path = np.repeat(meta, per_piece)[keep], np.repeat(path, per_piece)[keep].astype(np.int32)
     row, pos = row[keep], pos[keep]
+    # columns of a million numbers are let go as soon as they have been used
+    del keep, of_piece, first, pieces, lists, per_piece, words, table
     # a bound's place in the terms tells which of them lie before it
     low, high = (np.sort([find(range(len(terms)), b, key=lambda i: terms[i].as_py()) for b in bounds]) for find in (bisect_right, bisect_left))
-    chunks = docs[row] >> bits
+    chunks = (docs >> bits)[row]
     order = np.lexsort((chunks, meta, term))  # stable: documents and positions stay in order
-    term, meta, path, row, pos, chunks = (x[order] for x in (term, meta, path, row, pos, chunks))
+    term = term[order]
+    meta = meta[order]
+    path = path[order]
+    row = row[order]
+    pos = pos[order]
+    chunks = chunks[order]
+    del order
     new_block = np.r_[True, (term[1:] != term[:-1]) | (meta[1:] != meta[:-1]) | (chunks[1:] != chunks[:-1])]
     new_doc = new_block | np.r_[True, row[1:] != row[:-1]]
     doc_at, block_at = np.flatnonzero(new_doc), np.flatnonzero(new_block)
@@ -180,10 +188,10 @@ def _built(batches: list[pa.RecordBatch], stem: Callable[[str], str] | None, bit
     lengths = sizes[row[doc_at]]
     # the paths of a block, and a place's number among them; none where the block has one path
     single = np.minimum.reduceat(path, block_at) == np.maximum.reduceat(path, block_at)
-    block_of = np.cumsum(new_block) - 1
-    pairs = np.unique(np.stack((block_of, path), 1), axis=0) if not single.all() else np.stack((np.arange(len(block_at)), path[block_at]), 1)
+    block_of = None if single.all() else np.cumsum(new_block) - 1
+    pairs = np.stack((np.arange(len(block_at)), path[block_at]), 1) if block_of is None else np.unique(np.stack((block_of, path), 1), axis=0)
     path_cuts = np.searchsorted(pairs[:, 0], np.arange(len(block_at)))
-    if single.all():
+    if block_of is None:
         path_at = pa.nulls(len(block_at), pa.list_(pa.list_(pa.int32())))
     else:
         width = len(paths)
