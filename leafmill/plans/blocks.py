@@ -49,7 +49,7 @@ SCHEMA = (
     "term string, meta string, chunk long, n int, cf long, max_tf int, min_words long, docs array<long>, tfs array<int>, lengths array<long>, "
     "positions array<array<int>>, paths array<string>, path_at array<array<int>>, shared int, part int"
 )
-#: Words that a task holds before it writes blocks.
+#: Words that a task holds before it writes blocks; a document and a piece count as one each.
 HELD_WORDS = 1 << 20
 #: Documents that are counted at a time.
 HELD_ROWS = 64
@@ -89,10 +89,15 @@ def blocks(analyzed: DataFrame, stem: Callable[[str], str] | None = None, both:
             # a batch may have many times the words that are held at once
             for at in range(0, batch.num_rows, HELD_ROWS):
                 held.append(batch.slice(at, HELD_ROWS))
-                n += len(held[-1].column(2).flatten().field("words").flatten())
+                pieces = held[-1].column(2).flatten()
+                # documents and pieces take room even if they have no words
+                n += held[-1].num_rows + len(pieces) + len(pieces.field("words").flatten())
+                del pieces
                 if n >= HELD_WORDS:
                     yield from _built(held, stem, bits, both, bounds)
-                    held, n = [], 0
+                    n = 0
+                    # what the allocator keeps would add up over a worker's tasks
+                    pa.default_memory_pool().release_unused()
         if held:
             yield from _built(held, stem, bits, both, bounds)
 
@@ -129,10 +134,12 @@ def _lists(cuts: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(cuts, len(values)), pa.int32()), values)
 
 
-def _built(batches: list[pa.RecordBatch], stem: Callable[[str], str] | None, bits: int, both: list[str], bounds: list[str]) -> Iterator[pa.RecordBatch]:
+def _built(batches: list[pa.RecordBatch], stem: Callable[[str], str] | None, bits: int, both: list[str], bounds: list[str]) -> list[pa.RecordBatch]:
+    """A batch of blocks, or none if there are no words; the given list is empty then, and no words are held while the blocks are written."""
     table = pa.Table.from_batches(batches).combine_chunks()
+    batches.clear()
     if not table.num_rows:
-        return
+        return []
     docs, sizes, pieces = (table.column(i).chunk(0) for i in range(3))
     docs, sizes = docs.to_numpy(), sizes.to_numpy()
     of_piece = np.repeat(np.arange(len(docs), dtype=np.int32), pc.list_value_length(pieces).fill_null(0).to_numpy())
@@ -146,7 +153,7 @@ def _built(batches: list[pa.RecordBatch], stem: Callable[[str], str] | None, bit
     pos = np.arange(1, len(row) + 1, dtype=np.int32) - first.astype(np.int32)[row]
     keep = np.flatnonzero(pc.not_equal(words, GAP).to_numpy(zero_copy_only=False))
     if not len(keep):
-        return
+        return []
 
     def coded(values: pa.Array, change=None) -> tuple[np.ndarray, pa.Array]:
         """Codes in the order of the values."""
@@ -185,10 +192,14 @@ def _built(batches: list[pa.RecordBatch], stem: Callable[[str], str] | None, bit
     doc_at, block_at = np.flatnonzero(new_doc), np.flatnonzero(new_block)
     tfs = np.diff(np.append(doc_at, len(row))).astype(np.int32)
     own = np.searchsorted(doc_at, block_at)  # where a block's documents begin
-    lengths = sizes[row[doc_at]]
+    # of documents and blocks from here on; only positions and paths are still those of words
+    term, meta, row, chunks = term[doc_at], meta[doc_at], row[doc_at], chunks[block_at]
+    of, fields = term[own], meta[own]
+    lengths = sizes[row]
     # the paths of a block, and a place's number among them; none where the block has one path
     single = np.minimum.reduceat(path, block_at) == np.maximum.reduceat(path, block_at)
     block_of = None if single.all() else np.cumsum(new_block) - 1
+    del new_block, new_doc
     pairs = np.stack((np.arange(len(block_at)), path[block_at]), 1) if block_of is None else np.unique(np.stack((block_of, path), 1), axis=0)
     path_cuts = np.searchsorted(pairs[:, 0], np.arange(len(block_at)))
     if block_of is None:
@@ -201,26 +212,27 @@ def _built(batches: list[pa.RecordBatch], stem: Callable[[str], str] | None, bit
     # which documents of the second field have the term in the first
     shared = np.zeros(len(doc_at), np.int32)
     if len(both) == 2:
-        one, two = (np.flatnonzero(meta[doc_at] == metas.index(m).as_py()) for m in both)
+        one, two = (np.flatnonzero(meta == metas.index(m).as_py()) for m in both)
         # rows in the order of their chunks, as places are; a task may read files in any order
         nth = np.empty(len(docs), np.int64)
         nth[np.argsort(docs >> bits, kind="stable")] = np.arange(len(docs))
-        place = term[doc_at].astype(np.int64) * len(docs) + nth[row[doc_at]]
-        if len(one):
-            at = np.minimum(np.searchsorted(place[one], place[two]), len(one) - 1)
-            shared[two] = place[one][at] == place[two]
-    of = term[block_at]
+        place = lambda these: term[these].astype(np.int64) * len(docs) + nth[row[these]]
+        if len(one) and len(two):
+            first, second = place(one), place(two)
+            shared[two] = first[np.minimum(np.searchsorted(first, second), len(one) - 1)] == second
+            del first, second
+        del one, two
     first_part, last_part = (np.searchsorted(x, of, "right") for x in (low, high))
-    spread = chunks[block_at] + (chunks[block_at] >> max(0, 33 - bits))
+    spread = chunks + (chunks >> max(0, 33 - bits))
     part = (first_part + spread % (last_part - first_part + 1)).astype(np.int32)
-    yield pa.RecordBatch.from_arrays([
-        terms.take(pa.array(of)), metas.take(pa.array(meta[block_at])), pa.array(chunks[block_at]),
+    return [pa.RecordBatch.from_arrays([
+        terms.take(pa.array(of)), metas.take(pa.array(fields)), pa.array(chunks),
         pa.array(np.diff(np.append(own, len(doc_at))).astype(np.int32)), pa.array(np.add.reduceat(tfs, own, dtype=np.int64)),
         pa.array(np.maximum.reduceat(tfs, own)), pa.array(np.minimum.reduceat(lengths, own)),
-        _lists(own, pa.array(docs[row[doc_at]])), _lists(own, pa.array(tfs)), _lists(own, pa.array(lengths)),
+        _lists(own, pa.array(docs[row])), _lists(own, pa.array(tfs)), _lists(own, pa.array(lengths)),
         _lists(own, _lists(doc_at, pa.array(pos))), _lists(path_cuts, paths.take(pa.array(pairs[:, 1]))), path_at,
         pa.array(np.add.reduceat(shared, own, dtype=np.int32)), pa.array(part),
-    ], names=[x.split()[0] for x in SCHEMA.split(", ")])
+    ], names=[x.split()[0] for x in SCHEMA.split(", ")])]
 
 
 def ranged(rows: DataFrame, parts: int) -> DataFrame:

@@ -148,3 +148,38 @@ def test_batches_of_an_index_are_small(spark, tmp_path, monkeypatch):
     sizes = [int(p.name.split("-")[1]) for p in seen.iterdir()]
     assert sum(sizes) == 16_000 and max(sizes) <= 1000
     assert [spark.conf.get(k, None) for k in names] == before
+
+
+def test_documents_without_words_that_a_task_holds_are_bounded(monkeypatch):
+    """Documents of no or few words take room too; what was held is let go before blocks are written."""
+    import pyarrow as pa
+
+    from leafmill.plans import blocks as B
+
+    class Rows:
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            return run
+
+    lists, sizes, built = [], [], B._built
+
+    def noted(held, *x):
+        sizes.append(sum(b.num_rows for b in held))
+        lists.append(held)
+        return built(held, *x)
+
+    monkeypatch.setattr(B, "HELD_WORDS", 1000)
+    monkeypatch.setattr(B, "_built", noted)
+    piece = lambda words: [{"meta": "m", "context": "m", "words": words}]
+    kind = pa.list_(pa.struct([("meta", pa.string()), ("context", pa.string()), ("words", pa.list_(pa.string()))]))
+    words = pa.array([piece([])] * 2000 + [[]] * 2000 + [None] * 2000 + [piece(["a"])] * 2000, kind)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8000), pa.int64()), pa.array([0] * 6000 + [1] * 2000, pa.int64()), words], names=["doc", "nwords", "words"])
+    held = []
+    out = []
+    for b in B.blocks(Rows())(iter([batch])):
+        held.append(sum(x.num_rows for x in lists[-1]))
+        out.append(b)
+    assert sum(sizes) == 8000 and max(sizes) <= 1000 + 64
+    assert sum(pa.Table.from_batches(out)["cf"].to_pylist()) == 2000 and set(held) == {0}
