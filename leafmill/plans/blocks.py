@@ -27,7 +27,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..config import GAP
@@ -39,6 +39,24 @@ CHUNK = 1 << CHUNK_BITS
 BOTH = ""
 
 
+#: Documents that a join may send to all tasks, at most. Compressed columns look small to Spark, which would collect millions in the driver.
+SENT_DOCS = 1 << 17
+
+
+def by_shuffle(rows: DataFrame, n: int) -> DataFrame:
+    """Rows of n documents, to be joined: they and the other side are shuffled if there are many."""
+    return rows.hint("merge") if n > SENT_DOCS else rows
+
+
+#: Chunks whose bits and numbers a join may send to all tasks, at most; each has under 1 KB.
+SENT_CHUNKS = 1 << 14
+
+
+def sent(chunks: DataFrame, n: int) -> DataFrame:
+    """Rows of n chunks, to be joined: they go to all tasks, or are shuffled if there are many; the other side is never sent."""
+    return chunks.hint("broadcast" if n <= SENT_CHUNKS else "merge")
+
+
 def chunk_of(doc: Column) -> Column:
     return F.shiftright(doc, CHUNK_BITS)
 
@@ -254,19 +272,80 @@ def paths(rows: DataFrame) -> DataFrame:
     return out.select("segment", "doc", "meta", "term", F.col("y.pos").alias("pos"), F.get("paths", F.col("y.at")).alias("context"))
 
 
+# ---- compaction
+
+#: Documents whose chunks are numbered by one task, about.
+NUMBERED = 1 << 20
+
+
+def live_chunks(live: DataFrame, docs: int) -> DataFrame:
+    """(segment, chunk, bits, before, n, bucket) of live documents (segment, doc): before has how many lie before each word of the bits.
+
+    Buckets are runs of chunks with about NUMBERED documents.
+    """
+    ones = lambda i: F.aggregate(F.slice("bits", F.lit(1), i), F.lit(0), lambda n, w: n + F.bit_count(w).cast("int"))
+    rows = bitmaps(live).withColumn("before", F.transform(F.sequence(F.lit(0), F.lit(CHUNK // 64)), ones)).withColumn("n", F.get("before", F.lit(CHUNK // 64)))
+    return rows.repartitionByRange(1 + docs // NUMBERED, "segment", "chunk").withColumn("bucket", F.spark_partition_id())
+
+
+def renumbering(chunks: DataFrame) -> DataFrame:
+    """(segment, chunk, bits, before, base, alone): a chunk's live documents get the numbers from `base` on, in their order.
+
+    Chunks that are more than half full stay alone; smaller ones are put together, and stay within one chunk as
+    each begins in its first half. Documents are neither sorted nor joined for it.
+    """
+    half = 1 << CHUNK_BITS >> 1
+    small = F.col("n") <= half
+    each = Window.partitionBy("bucket").orderBy("segment", "chunk")
+    rows = chunks.withColumn("row", F.row_number().over(each).cast("long"))
+    rows = rows.withColumn("start", F.sum(F.when(small, F.col("n")).otherwise(0)).over(each) - F.when(small, F.col("n")).otherwise(0))
+    rows = rows.withColumn("set", F.when(small, F.floor(F.col("start") / half)).otherwise(-F.col("row")))
+    together = Window.partitionBy("bucket", "set")
+    new = F.shiftleft(F.col("bucket").cast("long"), 32) + F.min("row").over(together)
+    rows = rows.withColumn("base", F.shiftleft(new, CHUNK_BITS) + F.col("start") - F.min("start").over(together))
+    return rows.select("segment", "chunk", "bits", "before", "base", (F.count("*").over(together) == 1).alias("alone"))
+
+
+def _new_number(doc: Column) -> Column:
+    """The number of a live document, from its chunk's row of the numbering."""
+    inside = doc.bitwiseAND(F.lit(CHUNK - 1).cast("long")).cast("int")
+    at, bit = F.shiftright(inside, 6), inside.bitwiseAND(63)
+    below = F.get("bits", at).bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(-1).cast("long"), bit)))
+    return F.col("base") + F.get("before", at) + F.bit_count(below)
+
+
+def renumbered(rows: DataFrame, numbers: DataFrame) -> DataFrame:
+    """Rows (segment, doc, ...) of live documents with their new numbers."""
+    own = rows.withColumn("chunk", chunk_of(F.col("doc"))).join(numbers, ["segment", "chunk"]).where(is_dead(F.col("doc"), F.col("bits")))
+    return own.withColumn("doc", _new_number(F.col("doc"))).select(*(c for c in rows.columns if c != "segment"))
+
+
+#: Arrays of a block that have an entry for each document.
+_ARRAYS = ("docs", "tfs", "lengths", "positions")
+
+
 def rechunked(rows: DataFrame, numbers: DataFrame, parts: int) -> DataFrame:
-    """Blocks of the documents that have new numbers (segment, doc, new), range-partitioned and sorted."""
-    own = rows.select("segment", "term", "meta", "paths", F.posexplode(F.arrays_zip("docs", "tfs", "lengths", "positions")).alias("i", "x"), "path_at")
-    own = own.select("segment", F.col("x.docs").alias("doc"), "term", "meta", F.struct("x.tfs", "x.lengths", "x.positions", "paths", F.get("path_at", F.col("i")).alias("at")).alias("p"))
-    own = own.join(numbers, ["segment", "doc"]).withColumn("chunk", chunk_of(F.col("new"))).repartitionByRange(parts, "term", "meta", "chunk")
-    d = own.groupBy("term", "meta", "chunk").agg(
-        F.sort_array(F.collect_list(F.struct(F.col("new").alias("doc"), "p.*"))).alias("d"),
-        F.count("*").cast("int").alias("n"), F.sum("p.tfs").alias("cf"), F.max("p.tfs").alias("max_tf"), F.min("p.lengths").alias("min_words"),
-    ).withColumn("paths", F.array_sort(F.array_distinct(F.flatten(F.col("d.paths")))))
-    number = lambda x: F.transform(F.coalesce(x["at"], F.array_repeat(F.lit(0), F.size(x["positions"]))), lambda i: (F.array_position("paths", F.get(x["paths"], i)) - 1).cast("int"))
-    path_at = F.when(F.size("paths") > 1, F.transform("d", number))
-    arrays = {"docs": "doc", "tfs": "tfs", "lengths": "lengths", "positions": "positions"}
-    return d.select("term", "meta", "chunk", "n", "cf", "max_tf", "min_words", *(F.col(f"d.{x}").alias(name) for name, x in arrays.items()), "paths", path_at.alias("path_at")).sortWithinPartitions("term", "meta", "chunk")
+    """Blocks of live documents with their new numbers, range-partitioned and sorted. Blocks are neither unpacked nor put together but where small chunks are."""
+    own = rows.select("segment", "chunk", "term", "meta", *_ARRAYS, "paths", "path_at").join(numbers, ["segment", "chunk"])
+    # the bit of a live document is set
+    own = own.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("docs") - 1), lambda i: is_dead(F.get("docs", i), F.col("bits")))).where(F.size("at") > 0)
+    whole = F.size("at") == F.size("docs")
+    # a function of one argument: with two the second would be an index
+    picked = lambda x: F.when(whole, F.col(x)).otherwise(F.transform("at", lambda i: F.get(x, i)))
+    some = F.when(F.col("path_at").isNotNull(), picked("path_at"))
+    docs = F.transform("at", lambda i: _new_number(F.get("docs", i)))
+    own = own.select("term", "meta", chunk_of(F.col("base")).alias("chunk"), docs.alias("docs"), *(picked(x).alias(x) for x in _ARRAYS[1:]), "paths", some.alias("path_at"), "alone")
+    block = F.struct(*_ARRAYS, "paths", "path_at")
+    d = own.where(~F.col("alone")).groupBy("term", "meta", "chunk").agg(F.sort_array(F.collect_list(block)).alias("d"))
+    d = d.withColumn("all", F.array_sort(F.array_distinct(F.flatten("d.paths"))))
+    # a place's number among all paths, from that among its block's
+    number = lambda x, i, t: F.transform(F.coalesce(F.get(x["path_at"], i), F.array_repeat(F.lit(0), t)), lambda k: (F.array_position("all", F.get(x["paths"], k)) - 1).cast("int"))
+    path_at = F.when(F.size("all") > 1, F.flatten(F.transform("d", lambda x: F.transform(x["tfs"], lambda t, i: number(x, i, t)))))
+    d = d.select("term", "meta", "chunk", *(F.flatten(f"d.{x}").alias(x) for x in _ARRAYS), F.col("all").alias("paths"), path_at.alias("path_at"))
+    out = own.where("alone").drop("alone").unionByName(d)
+    figures = F.size("docs").alias("n"), F.aggregate("tfs", F.lit(0).cast("long"), lambda n, t: n + t).alias("cf"), F.array_max("tfs").alias("max_tf"), F.array_min("lengths").alias("min_words")
+    out = out.select("term", "meta", "chunk", *figures, *_ARRAYS, "paths", "path_at")
+    return out.repartitionByRange(parts, "term", "meta", "chunk").sortWithinPartitions("term", "meta", "chunk")
 
 
 # ---- dictionary

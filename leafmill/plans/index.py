@@ -52,12 +52,12 @@ PAGES = {"parquet.writer.version": "v2"}
 _OWN = {"mtime": "long", "size": "long", "mime": "string", "ext": "string", "parser": "string", "action": "string"}
 
 
-def doc_rows(docs: DataFrame, found: DataFrame, words: DataFrame | None = None) -> DataFrame:
-    """The docs table: what the source says of each document, its encoding, its words and its day."""
+def doc_rows(docs: DataFrame, found: DataFrame, words: DataFrame | None = None, count: int = 0) -> DataFrame:
+    """The docs table: what the source says of each of `count` documents, its encoding, its words and its day."""
     own = docs.select("uri", *(F.col(c).cast(t).alias(c) if c in docs.columns else F.lit(None).cast(t).alias(c) for c, t in _OWN.items()))
     when = F.timestamp_seconds(F.coalesce("mtime", F.lit(0)))
     if words is None:
-        own = own.join(found.select("uri", "encoding", "doc", "nwords"), "uri")
+        own = own.join(B.by_shuffle(found.select("uri", "encoding", "doc", "nwords"), count), "uri")
     else:
         own = own.join(found.select("uri", "encoding"), "uri").join(words, "uri", "left").withColumn("nwords", F.coalesce("nwords", F.lit(0).cast("long")))
     return own.withColumns({"day": F.date_format(when, "yyyyMMdd"), "month": F.date_format(when, "yyyyMM"), "year": F.date_format(when, "yyyy")})
@@ -134,7 +134,7 @@ class Stored(Tables):
         return replace(self, blocks=self.blocks.join(chunks, ["segment", "chunk"], "left_semi"))
 
     def with_uri(self, rows: DataFrame) -> DataFrame:
-        return rows.join(self.docs.select(*self.keys, "uri"), list(self.keys))
+        return rows.join(B.by_shuffle(self.docs.select(*self.keys, "uri"), self.n_docs), list(self.keys))
 
     def corpus(self) -> DataFrame:
         figures = F.lit(self.n_docs).alias("n_docs"), F.lit(self.n_words / max(1, self.n_docs)).alias("avg_words")
@@ -230,8 +230,9 @@ class Index:
             return None
         name = uuid.uuid4().hex
         bits = self._write("dead", name, B.bitmaps(dead, self._dead(state)))
-        new = B.bitmaps(dead)
-        less = B.corrections(self._read("blocks", [s for s in state.segments if s.id in figures]), new, self._both)
+        new = self._write(f"dead/_{uuid.uuid4().hex}", "new", B.bitmaps(dead))
+        # blocks of few words look small, so Spark would send them rather than the bitmaps
+        less = B.corrections(self._read("blocks", [s for s in state.segments if s.id in figures]), B.sent(new, new.count()), self._both)
         self._write("less", name, less)
         segments = [replace(s, docs=s.docs - figures[s.id][0], words=s.words - figures[s.id][1]) if s.id in figures else s for s in state.segments]
         return replace(state, segments=segments, dead=f"dead/{name}", corrections=[*state.corrections, f"less/{name}"])
@@ -258,11 +259,11 @@ class Index:
         marks = rows.groupBy("uri").agg(F.count("*").alias("n"), pick["_row"].alias("_row"))
         known = self.live(start)
         if skip_known and known is not None:
-            marks = marks.join(known.select("uri"), "uri", "left_anti")
+            marks = marks.join(B.by_shuffle(known.select("uri"), start.docs), "uri", "left_anti")
         marks = self._write(folder, "_marks", marks)
         count = marks.count()
         if count and (skip_known and known is not None or not marks.where("n > 1").isEmpty()):
-            rows = rows.join(marks.select("_row"), "_row", "left_semi")
+            rows = rows.join(B.by_shuffle(marks.select("_row"), count), "_row", "left_semi")
         if count:
             with B.small_batches(self.spark):
                 self._segment(folder, rows)
@@ -278,7 +279,8 @@ class Index:
                 old, mine = self.live(state), own.select("uri", "segment", "doc", "nwords")
                 if old is None:
                     return new
-                gone = mine.join(old.select("uri"), "uri", "left_semi") if skip_known else old.join(mine.select("uri"), "uri", "left_semi")
+                uris = lambda of, n: B.by_shuffle(of.select("uri"), n)
+                gone = mine.join(uris(old, state.docs), "uri", "left_semi") if skip_known else old.join(uris(mine, count), "uri", "left_semi")
                 return self._without(new, self._write(f"dead/_{uuid.uuid4().hex}", "gone", gone.drop("uri"))) or new
 
             self.log.commit(prepare, batch)
@@ -318,13 +320,16 @@ class Index:
         near = B.blocks(found_words, stem, self._both, B.term_bounds(found_words, self._parts(), stem))
         blocks = self._write(folder, "blocks", B.ranged(near, self._parts()), **PAGES)
         self._terms(folder, blocks)
-        self._write(folder, "docs", doc_rows(rows, found))
+        self._write(folder, "docs", doc_rows(rows, found, count=found.count()))
         for name in ("props", "metas"):
             values = A.field_values(found.withColumn("uri", F.struct("uri", "doc")), "properties" if name == "props" else name)
             self._write(folder, name, values.select("uri.uri", "uri.doc", "name", "idx", "value"))
 
     def _terms(self, folder: str, blocks: DataFrame) -> DataFrame:
-        return self._write(folder, "terms", B.dictionary(blocks, self._both).repartitionByRange(self._parts(), "term", "meta").sortWithinPartitions("term", "meta"))
+        return self._write(folder, "terms", self._by_term(B.dictionary(blocks, self._both)))
+
+    def _by_term(self, rows: DataFrame) -> DataFrame:
+        return rows.repartitionByRange(self._parts(), "term", "meta").sortWithinPartitions("term", "meta")
 
     def delete(self, uris: DataFrame | list[str], batch: tuple[str, int] | None = None) -> tuple[int, list[str] | DataFrame]:
         """Delete documents by uri; how many were there, and the uris that were not."""
@@ -332,13 +337,13 @@ class Index:
         given, known = given.distinct(), self.live()
         if known is None:
             return 0, uris
-        missing = given.join(known.select("uri"), "uri", "left_anti")
+        missing = given.join(B.by_shuffle(known.select("uri"), self.log.state().docs), "uri", "left_anti")
         missing = [r["uri"] for r in missing.collect()] if isinstance(uris, list) else missing
         n = 0
 
         def prepare(state: State) -> State | None:
             nonlocal n
-            gone = self._write(f"dead/_{uuid.uuid4().hex}", "gone", self.live(state).join(given, "uri", "left_semi").drop("uri"))
+            gone = self._write(f"dead/_{uuid.uuid4().hex}", "gone", self.live(state).join(B.by_shuffle(given, state.docs), "uri", "left_semi").drop("uri"))
             n = gone.count()
             return self._without(state, gone)
 
@@ -353,17 +358,18 @@ class Index:
             old = [s for s in state.segments if most_docs is None or s.docs <= most_docs]
             if not old or (len(old) == 1 and not state.dead):
                 return None
-            dead = self._dead(state)
-            docs = B.alive(self._read("docs", old), dead)
-            numbers = self._write(folder, "_numbers", docs.withColumn("new", F.monotonically_increasing_id()))
-            new = numbers.select("segment", "doc", "new")
-            self._write(folder, "docs", numbers.withColumn("doc", F.col("new")).drop("segment", "new"))
-            for name in ("props", "metas"):
-                rows = self._read(name, old).join(new, ["segment", "doc"]).withColumn("doc", F.col("new"))
-                self._write(folder, name, rows.drop("segment", "new"))
-            blocks = self._write(folder, "blocks", B.rechunked(self._read("blocks", old), new, self._parts()), **PAGES)
-            self._terms(folder, blocks)
-            storage.remove(self.spark, f"{self.path}/{folder}/_numbers")
+            docs = self._read("docs", old)
+            chunks = B.live_chunks(B.alive(docs.select("segment", "doc"), self._dead(state)), sum(s.docs for s in old))
+            numbers = self._write(folder, "_numbers", B.renumbering(self._write(folder, "_chunks", chunks)))
+            numbers = B.sent(numbers, numbers.count())
+            for name in ("docs", "props", "metas"):
+                self._write(folder, name, B.renumbered(self._read(name, old), numbers))
+            self._write(folder, "blocks", B.rechunked(self._read("blocks", old), numbers, self._parts()), **PAGES)
+            # what the old segments and their corrections have together
+            rows = self._dictionary(replace(state, segments=old)).groupBy("meta", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).where("df > 0")
+            self._write(folder, "terms", self._by_term(rows))
+            for name in ("_chunks", "_numbers"):
+                storage.remove(self.spark, f"{self.path}/{folder}/{name}")
             segment = Segment(number, folder, sum(s.docs for s in old), sum(s.words for s in old))
             kept = [s for s in state.segments if s not in old]
             out = replace(state, segments=[*kept, segment])

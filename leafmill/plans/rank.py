@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .blocks import by_shuffle
 from .query import Node, Phrase, Tables, Term, Wild, leaves, parse, truth, with_limits
 
 K1, B = 1.2, 0.75
@@ -27,7 +28,7 @@ def ranked(tables: Tables, query: str | Node | None, limits: list[str] | None =
     # a leaf's documents are counted among all, whatever the query leaves out
     df = tables.document_counts({x: bit[x] for x in counted})
     lengths = tables.docs.select(*dict.fromkeys((*tables.keys, "uri", "nwords")))
-    rows = hits.join(lengths, list(tables.keys)).crossJoin(F.broadcast(df)).crossJoin(F.broadcast(tables.corpus()))
+    rows = hits.join(by_shuffle(lengths, getattr(tables, "n_docs", 0)), list(tables.keys)).crossJoin(F.broadcast(df)).crossJoin(F.broadcast(tables.corpus()))
     score = F.lit(0.0)
     for x in counted:
         score = score + _part(F.col(f"tf{bit[x]}"), F.col(f"df{bit[x]}"), F.col("n_docs"), F.col("nwords") / F.col("avg_words"), k1, b)
