@@ -60,3 +60,12 @@ def test_small_chunks_are_put_together(spark, tmp_path, monkeypatch):
     assert {r["uri"] for r in t.search('"ant even"').collect()} == {u for u in live if int(u) % 2 == 0}
     place = t.postings.where("term = 'odd'").select("uri", "pos").collect()
     assert {(r["uri"], r["pos"]) for r in place} == {(u, 4) for u in live if int(u) % 2}
+
+
+def test_words_are_ordered_by_one_key():
+    import numpy as np
+
+    some = np.random.default_rng(4)
+    for terms, chunks in ((1, 1), (50, 1), (50, 7), (1 << 30, 1 << 40)):
+        term, meta, chunk = some.integers(0, terms, 5000).astype(np.int32), some.integers(0, 3, 5000).astype(np.int32), some.integers(0, chunks, 5000)
+        assert (B._ordered(term, meta, chunk) == np.lexsort((chunk, meta, term))).all()
