@@ -23,6 +23,7 @@ from __future__ import annotations
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -373,9 +374,12 @@ def dictionary(rows: DataFrame, both: list[str]) -> DataFrame:
     """(meta, term, df, cf, max_tf) of blocks; `both` are the fields of unfielded terms."""
     sums = {"df": F.sum("n"), "cf": F.sum("cf"), "max_tf": F.max("max_tf")}
     if "shared" in rows.columns:
-        own = rows.groupBy("meta", "term").agg(*(c.alias(n) for n, c in sums.items()), F.sum("shared").alias("shared"))
-        either = own.where(F.col("meta").isin(both)).groupBy("term").agg(F.sum(F.col("df") - F.col("shared")).alias("df"), F.sum("cf").alias("cf"), F.sum("max_tf").alias("max_tf"))
-        return own.drop("shared").unionByName(either.withColumn("meta", F.lit(BOTH)))
+        # a block counts for its own field and, if that is one of both, for the empty one; blocks are read and shuffled once
+        of = F.when(F.col("meta").isin(both), F.array(F.struct(F.col("meta"), F.col("n")), F.struct(F.lit(BOTH).alias("meta"), (F.col("n") - F.col("shared")).alias("n"))))
+        each = rows.select("term", "cf", "max_tf", F.col("meta").alias("field"), F.inline(of.otherwise(F.array(F.struct(F.col("meta"), F.col("n"))))))
+        most = [F.max(F.when(F.col("field") == m, F.col("max_tf"))) for m in both]
+        either = F.when(F.col("meta") == BOTH, reduce(Column.__add__, (F.coalesce(m, F.lit(0)).cast("long") for m in most), F.lit(0).cast("long")))
+        return each.groupBy("meta", "term").agg(F.sum("n").alias("df"), F.sum("cf").alias("cf"), F.coalesce(either, F.max("max_tf")).alias("max_tf"))
     own = rows.groupBy("meta", "term").agg(*(c.alias(n) for n, c in sums.items()))
     either = rows.where(F.col("meta").isin(both)).groupBy("term", "chunk")
     either = either.agg(F.size(F.array_distinct(F.flatten(F.collect_list("docs")))).alias("n"), F.sum("cf").alias("cf"), F.sum("max_tf").alias("max_tf"))

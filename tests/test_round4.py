@@ -62,6 +62,15 @@ def test_small_chunks_are_put_together(spark, tmp_path, monkeypatch):
     assert {(r["uri"], r["pos"]) for r in place} == {(u, 4) for u in live if int(u) % 2}
 
 
+def test_dictionary_reads_blocks_once(spark):
+    rows = [("a", "m", 0, 3, 5, 2, 0), ("a", "m", 1, 2, 2, 1, 0), ("a", "t", 0, 2, 3, 7, 1), ("a", "k", 0, 9, 9, 9, 0), ("b", "t", 0, 1, 1, 1, 0)]
+    blocks = spark.createDataFrame(rows, "term string, meta string, chunk long, n int, cf long, max_tf int, shared int")
+    got = B.dictionary(blocks, ["m", "t"])
+    assert sorted(map(tuple, got.select("meta", "term", "df", "cf", "max_tf").collect())) == [("", "a", 6, 10, 9), ("", "b", 1, 1, 1), ("k", "a", 9, 9, 9), ("m", "a", 5, 7, 2), ("t", "a", 2, 3, 7), ("t", "b", 1, 1, 1)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+    assert not [r for r in B.dictionary(blocks, []).collect() if r["meta"] == B.BOTH]
+
+
 def test_words_are_ordered_by_one_key():
     import numpy as np
 
